@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, quality_rules, secrets_scan, simhash
+from . import byte_bpe, decontamination, quality_rules, secrets_scan, simhash
 
 QUERIES = {
     "op1_secret_scan": secrets_scan.op1_secret_scan,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_simhash": simhash.op10_simhash,
