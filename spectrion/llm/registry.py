@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, quality_rules, secrets_scan, simhash
+from . import byte_bpe, chat_format, decontamination, pii, quality_rules, secrets_scan, simhash, suffix_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets_scan.op1_secret_scan,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op5_pii": pii.op5_pii,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
 SQL = {
+    "op2_chat_format": chat_format.OP2_SQL,
+    "op5_pii": pii.OP5_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
 }
