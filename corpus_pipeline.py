@@ -8,10 +8,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrion.llm import byte_bpe, quality_rules
+from spectrion.llm import byte_bpe, decontamination, quality_rules, secrets_scan, simhash
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("simhash_dedup", simhash.stage),
+    ("decontamination", decontamination.stage),
+    ("secret_scan", secrets_scan.stage),
     ("byte_bpe", byte_bpe.stage),
 ]
 

@@ -13,6 +13,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Rows in one Arrow batch. Texts may be long, so a batch must stay small.
 BATCH_ROWS = 500
 
+#: Bits of a filter of keys: about 2 MB when broadcast.
+FILTER_BITS = 1 << 23
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +30,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def fixed_filter(keys: DataFrame) -> DataFrame:
+    """A filter of the numbers in column ``doc`` as rows of 64 bits: FILTER_BITS / 64 rows of two numbers at most, however many keys there are."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(doc, {FILTER_BITS}) % 64 AS int))")
+    word = F.expr(f"cast(pmod(doc, {FILTER_BITS}) DIV 64 AS int)")
+    return keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def maybe_in(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Column ``maybe``: false where ``doc`` is surely not in the filter, which is small enough to broadcast at any size of input."""
+    word = F.expr(f"cast(pmod(doc, {FILTER_BITS}) DIV 64 AS int)")
+    hit = F.expr(f"coalesce(shiftrightunsigned(bits, cast(pmod(doc, {FILTER_BITS}) % 64 AS int)) & 1, 0L) = 1L")
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word", "left").withColumn("maybe", hit).drop("word", "bits")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 

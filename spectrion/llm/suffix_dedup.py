@@ -36,15 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fixed_filter, maybe_in, small_batches, table
 
 LENGTH = 400
 GRAM = 200
 CELL = 16
 
-#: Bits of the filter of documents with something to compare: 1 MB however many there are.
-FILTER_BITS = 1 << 23
-
 #: Bytes of text handled at once, but for a longer text.
 SLICE = 1 << 20
 
@@ -210,23 +207,10 @@ def _runs_of(docs: DataFrame) -> DataFrame:
     return per_text(docs, work, _ROWS, ["doc", "at", "coarse", "fine"])
 
 
-def _flags(docs: DataFrame) -> DataFrame:
-    """The filter as rows of 64 bits: at most FILTER_BITS / 64 rows of two numbers, small enough to broadcast."""
-    bit = F.pmod("doc", F.lit(FILTER_BITS))
-    return docs.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(doc, {FILTER_BITS}) % 64 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-
-
-def _maybe(docs: DataFrame, flags: DataFrame) -> DataFrame:
-    """Column ``maybe``: false for documents that are surely not in the filter."""
-    word = F.expr(f"cast(pmod(doc, {FILTER_BITS}) DIV 64 AS int)")
-    hit = F.expr(f"coalesce(shiftrightunsigned(bits, cast(pmod(doc, {FILTER_BITS}) % 64 AS int)) & 1, 0L) = 1L")
-    return docs.withColumn("word", word).join(F.broadcast(flags), "word", "left").withColumn("maybe", hit).drop("word", "bits")
-
-
 def _edges(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
     """(doc, at, text): the bytes of the given runs, checkpointed."""
     lists = cut(open_runs.groupBy("doc").agg(F.collect_set("at").alias("runs")))
-    near = _maybe(docs, _flags(lists)).where("maybe").select("doc", "text").dropDuplicates(["doc"]).join(lists, "doc")
+    near = maybe_in(docs, fixed_filter(lists)).where("maybe").select("doc", "text").dropDuplicates(["doc"]).join(lists, "doc")
 
     def work(data, ends, rows):
         of, at, text = [], [], []
@@ -310,7 +294,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes:
     """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, unless left out, the kept bytes."""
     mine = keyed(docs, key, text)
     spans = cut(repeated(mine.select("doc", "text")))
-    flagged = _maybe(mine, _flags(spans))
+    flagged = maybe_in(mine, fixed_filter(spans))
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
