@@ -1,0 +1,255 @@
+"""Numeric kernels that column expressions can't state, run by Spark as grouped functions: one signal or one fold a group."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def grouped(df: DataFrame, keys: list[str], columns: list[str], schema: str, work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Run ``work`` on each key's rows; the keys are put back in front of its result."""
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        out = work(part)
+        for i, (k, v) in enumerate(zip(keys, key)):
+            out.insert(i, k, v)
+        return out
+
+    return df.select(*keys, *[c for c in columns if c not in keys]).groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
+
+
+def asls(y: np.ndarray, smooth: float = 1e5, asymmetry: float = 0.01, rounds: int = 10) -> np.ndarray:
+    """Asymmetric least-squares baseline: a banded Cholesky solve of (W + smooth D'D) z = W y in each round."""
+    n = len(y)
+    if n < 3:
+        return y.astype(float).copy()
+    main = np.full(n, 6.0)
+    main[[0, -1]], main[[1, -2]] = 1.0, 5.0
+    if n == 3:
+        main[1] = 4.0
+    side = np.full(n - 1, -4.0)
+    side[[0, -1]] = -2.0
+    far = np.ones(n - 2)
+    w = np.ones(n)
+    for _ in range(rounds):
+        z = _pentadiagonal(w + smooth * main, smooth * side, smooth * far, w * y)
+        w = np.where(y > z, asymmetry, 1 - asymmetry)
+    return z
+
+
+def _pentadiagonal(d: np.ndarray, e: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solve a symmetric pentadiagonal system by LDL'."""
+    n = len(d)
+    dd, l1, l2 = np.zeros(n), np.zeros(n), np.zeros(n)
+    x = b.astype(float).copy()
+    for i in range(n):
+        a1 = e[i - 1] if i else 0.0
+        a2 = f[i - 2] if i > 1 else 0.0
+        l2[i] = a2 / dd[i - 2] if i > 1 else 0.0
+        l1[i] = (a1 - (l2[i] * dd[i - 2] * l1[i - 1] if i > 1 else 0.0)) / dd[i - 1] if i else 0.0
+        dd[i] = d[i] - (l1[i] ** 2 * dd[i - 1] if i else 0.0) - (l2[i] ** 2 * dd[i - 2] if i > 1 else 0.0)
+        x[i] -= (l1[i] * x[i - 1] if i else 0.0) + (l2[i] * x[i - 2] if i > 1 else 0.0)
+    x /= dd
+    for i in range(n - 2, -1, -1):
+        x[i] -= l1[i + 1] * x[i + 1] + (l2[i + 2] * x[i + 2] if i + 2 < n else 0.0)
+    return x
+
+
+def baseline(points: DataFrame, keys: list[str], x: str, y: str, smooth: float = 1e5, asymmetry: float = 0.01) -> DataFrame:
+    """(keys, x, y, baseline, corrected) of each signal by asymmetric least squares; the corrected signal isn't negative."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(x)
+        base = asls(part[y].to_numpy(float), smooth, asymmetry)
+        return pd.DataFrame({x: part[x].to_numpy(float), y: part[y].to_numpy(float), "baseline": base, "corrected": np.maximum(part[y].to_numpy(float) - base, 0)})
+
+    return grouped(points, keys, [x, y], f"`{x}` double, `{y}` double, baseline double, corrected double", work)
+
+
+def prominent(y: np.ndarray, prominence: float, distance: int = 1) -> np.ndarray:
+    """Indices of local maxima by distance, then by prominence; the middle of a flat top."""
+    n = len(y)
+    change = np.nonzero(np.diff(y))[0]
+    if not len(change):
+        return np.zeros(0, int)
+    starts = np.concatenate([[0], change + 1])
+    ends = np.concatenate([change, [n - 1]])
+    v = y[starts]
+    top = np.nonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]))[0] + 1
+    peaks = (starts[top] + ends[top]) // 2
+    if distance > 1 and len(peaks):
+        keep = np.ones(len(peaks), bool)
+        for i in np.argsort(y[peaks], kind="stable")[::-1]:
+            if keep[i]:
+                near = np.abs(peaks - peaks[i]) < distance
+                near[i] = False
+                keep &= ~near
+        peaks = peaks[keep]
+    out = []
+    for p in peaks:
+        higher = np.nonzero(y > y[p])[0]
+        left, right = higher[higher < p], higher[higher > p]
+        low = max(y[(left[-1] + 1 if len(left) else 0) : p + 1].min(), y[p : (right[0] if len(right) else n)].min())
+        if y[p] - low >= prominence:
+            out.append(p)
+    return np.array(out, int)
+
+
+def find_peaks(points: DataFrame, keys: list[str], x: str, y: str, prominence: float, distance: int = 1) -> DataFrame:
+    """(keys, x, y) of each signal's prominent maxima."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(x)
+        at = prominent(part[y].to_numpy(float), prominence, distance)
+        return pd.DataFrame({x: part[x].to_numpy(float)[at], y: part[y].to_numpy(float)[at]})
+
+    return grouped(points, keys, [x, y], f"`{x}` double, `{y}` double", work)
+
+
+def aligned(a: DataFrame, b: DataFrame, keys: list[str], mass: str, ppm: float) -> DataFrame:
+    """One-to-one greedy alignment of two spectra of each key: in order of mass each peak of a takes the nearest free peak of b in its window."""
+
+    def work(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        ma, mb = np.sort(x[mass].to_numpy(float)), np.sort(y[mass].to_numpy(float))
+        used = np.zeros(len(mb), bool)
+        out = []
+        for m in ma:
+            lo, hi = np.searchsorted(mb, m - m * ppm * 1e-6, "left"), np.searchsorted(mb, m + m * ppm * 1e-6, "right")
+            free = [j for j in range(lo, hi) if not used[j]]
+            if free:
+                j = min(free, key=lambda i: (abs(mb[i] - m), i))
+                used[j] = True
+                out.append((*key, m, mb[j]))
+        return pd.DataFrame(out, columns=[*keys, "mass_a", "mass_b"])
+
+    kinds = ", ".join(f"`{k}` {a.schema[k].dataType.simpleString()}" for k in keys)
+    return a.select(*keys, mass).groupBy(*keys).cogroup(b.select(*keys, mass).groupBy(*keys)).applyInPandas(work, f"{kinds}, mass_a double, mass_b double")
+
+
+# Latent-variable models: the rows of a fold or a permutation meet in one group; a model's table must fit a task, which is stated by ``fan_out``
+
+
+def fan_out(samples: DataFrame, repeats: int, name: str, bound: int = 1_000_000) -> DataFrame:
+    """The samples once for each repeat; refused beyond ``bound`` samples, as a model's samples meet in one task."""
+    if samples.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} samples for one model")
+    return samples.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+
+
+def pls1(x: np.ndarray, y: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """NIPALS PLS of one response on centred data: weights, scores, loadings, response loadings and coefficients."""
+    e, f = x.copy(), y.copy()
+    ws, ts, ps, qs = [], [], [], []
+    for _ in range(components):
+        w = e.T @ f
+        norm = np.linalg.norm(w)
+        if norm < 1e-12:
+            break
+        w /= norm
+        t = e @ w
+        tt = t @ t
+        p, q = e.T @ t / tt, f @ t / tt
+        e, f = e - np.outer(t, p), f - q * t
+        ws.append(w), ts.append(t), ps.append(p), qs.append(q)
+    if not ws:
+        return np.zeros((x.shape[1], 0)), np.zeros((len(x), 0)), np.zeros((x.shape[1], 0)), np.zeros(0), np.zeros(x.shape[1])
+    w, t, p, q = np.array(ws).T, np.array(ts).T, np.array(ps).T, np.array(qs)
+    return w, t, p, q, w @ np.linalg.pinv(p.T @ w) @ q
+
+
+def vip(w: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Importance of each variable in the projection."""
+    ssy = (t * t).sum(axis=0) * q * q
+    return np.sqrt(len(w) * (w * w @ ssy) / ssy.sum()) if ssy.sum() > 0 else np.zeros(len(w))
+
+
+def _fit_predict(train: np.ndarray, response: np.ndarray, test: np.ndarray, components: int) -> np.ndarray:
+    mean, scale = train.mean(axis=0), train.std(axis=0)
+    scale[scale == 0] = 1.0
+    x, y = (train - mean) / scale, response - response.mean()
+    return (test - mean) / scale @ pls1(x, y, components)[4] + response.mean()
+
+
+def cross_validated(samples: DataFrame, key: str, features: list[str], response: str, folds: int, components: int = 2, permutations: int = 0, seed: int = 42) -> DataFrame:
+    """(permutation, key, truth, predicted) of a PLS discriminant model: every fold of every permutation is one Spark group.
+
+    Permutation 0 has the true labels; the others shuffle them by a seed of their own.
+    """
+    runs = fan_out(fan_out(samples.select(key, response, *features), permutations + 1, "permutation"), folds, "fold")
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key).reset_index(drop=True)
+        k, fold = int(part["permutation"].iloc[0]), int(part["fold"].iloc[0])
+        x, y = part[features].to_numpy(float), part[response].to_numpy(float)
+        if k:
+            y = np.random.default_rng(seed + k).permutation(y)
+        out = np.arange(len(part)) % folds == fold
+        guess = _fit_predict(x[~out], y[~out], x[out], min(components, max(1, (~out).sum() - 1), len(features)))
+        return pd.DataFrame({key: part[key][out], "truth": y[out], "predicted": guess})
+
+    kind = samples.schema[key].dataType.simpleString()
+    return grouped(runs, ["permutation", "fold"], [key, response, *features], f"`{key}` {kind}, truth double, predicted double", work).drop("fold")
+
+
+def variable_importance(samples: DataFrame, key: str, features: list[str], response: str, components: int = 2) -> DataFrame:
+    """(descriptor, vip, coefficient) of a PLS model on all samples."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key)
+        x, y = part[features].to_numpy(float), part[response].to_numpy(float)
+        scale = x.std(axis=0)
+        x = (x - x.mean(axis=0)) / np.where(scale == 0, 1.0, scale)
+        w, t, _, q, b = pls1(x, y - y.mean(), min(components, len(features), len(x) - 1))
+        return pd.DataFrame({"descriptor": features, "vip": vip(w, t, q) if t.shape[1] else 0.0, "coefficient": b})
+
+    one = fan_out(samples.select(key, response, *features), 1, "model")
+    return grouped(one, ["model"], [key, response, *features], "descriptor string, vip double, coefficient double", work).drop("model")
+
+
+def principal_axes(samples: DataFrame, key: str, features: list[str], components: int = 2) -> DataFrame:
+    """(component, descriptor, loading, explained) from the covariance of standardised descriptors.
+
+    The covariance is a Spark aggregate over any number of rows; only the square of the number of descriptors reaches the driver.
+    """
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    row = samples.agg(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    place = {f: i for i, f in enumerate(features)}
+    cov = np.zeros((len(features), len(features)))
+    for i, (a, b) in enumerate(pairs):
+        cov[place[a], place[b]] = cov[place[b], place[a]] = row[i] or 0.0
+    d = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))
+    values, vectors = np.linalg.eigh(cov / np.outer(d, d))
+    rows = []
+    for k, j in enumerate(np.argsort(values)[::-1][:components]):
+        v = vectors[:, j] * (1 if vectors[np.argmax(np.abs(vectors[:, j])), j] >= 0 else -1)
+        rows += [(k + 1, f, float(v[i]), float(100 * values[j] / values.sum())) for i, f in enumerate(features)]
+    return samples.sparkSession.createDataFrame(rows, "component int, descriptor string, loading double, explained double")
+
+
+def student_p(r: float, n: int) -> float:
+    """Two-sided p-value of a correlation by the t distribution (continued fraction of the incomplete beta function)."""
+    from math import exp, lgamma, log
+
+    if n < 3 or not abs(r) < 1:
+        return 0.0 if n >= 3 else float("nan")
+    a, b, x = (n - 2) / 2, 0.5, 1 - r * r
+
+    def fraction(a: float, b: float, x: float) -> float:
+        c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+        h = d
+        for m in range(1, 500):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / ((1 + num * d) or 1e-300)
+                c = (1 + num / c) or 1e-300
+                h *= c * d
+            if abs(c * d - 1) < 1e-15:
+                break
+        return h
+
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) if 0 < x < 1 else 0.0
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
