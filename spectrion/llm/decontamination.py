@@ -191,7 +191,7 @@ def window_table(texts: DataFrame, key: str, prefix: str, bitmap: np.ndarray | N
 
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
     """Which remainders of the hashes occur: BITMAP_BITS flags, whatever the number of hashes."""
-    bits = hashes.select((F.col("hash").bitwiseAND(BITMAP_BITS - 1)).alias("bit")).distinct().toPandas()["bit"].to_numpy()
+    bits = hashes.select((F.col("hash").bitwiseAND(BITMAP_BITS - 1)).alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)
     flags = np.zeros(BITMAP_BITS, dtype=bool)
     flags[bits] = True
     return flags

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, table
+from .common import SPACES, fresh, let, table
 
 WINDOW = 8
 
@@ -158,7 +158,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that break a rule go."""
-    return judge(docs).where(F.size("broken_rules") == 0).select(*docs.columns)
+    measured, verdict = fresh(docs, "_m"), fresh(docs, "broken_rules")
+    return judge(docs, measured=measured, verdict=verdict).where(F.size(verdict) == 0).select(*docs.columns)
 
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))

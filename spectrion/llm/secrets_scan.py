@@ -40,9 +40,10 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 MAX_INFLATED = 1 << 24
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+=:/&?-])*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+=:/&?-])*")
+_URL_RUN = re.compile(r"[A-Za-z0-9_.~+=:/&?%-]+")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _PERCENT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|.", re.S)
-_ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_WORD_RUN = re.compile(r"[^ \n\t\r\"']+")
 _ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 
@@ -96,7 +97,9 @@ def unwrap(layer: Layer) -> tuple[list[Layer], int]:
     out: list[Layer] = []
     unopened = 0
     if "%" in text:
-        for m in _PERCENT.finditer(text):
+        for m in _URL_RUN.finditer(text):
+            if not _PERCENT.search(m[0]):
+                continue
             chars, start, end = [], [], []
             for u in _PERCENT_UNIT.finditer(m[0]):
                 a, b = _map(layer, m.start() + u.start(), m.start() + u.end())
@@ -111,13 +114,10 @@ def unwrap(layer: Layer) -> tuple[list[Layer], int]:
                     end += [b] * len(got)
             out.append(("".join(chars), start, end))
     if "\\" in text:
-        for m in _ESCAPED.finditer(text):
-            # the run with the word characters around it: a secret may be escaped in part only
-            lo, hi = m.start(), m.end()
-            while lo and text[lo - 1] not in " \n\t\r\"'":
-                lo -= 1
-            while hi < len(text) and text[hi] not in " \n\t\r\"'":
-                hi += 1
+        for m in _WORD_RUN.finditer(text):  # a secret may be escaped in part only
+            if not _ESCAPE_UNIT.search(m[0]):
+                continue
+            lo, hi = m.span()
             chars, start, end, at = [], [], [], lo
             for u in _ESCAPE_UNIT.finditer(text, lo, hi):
                 for i in range(at, u.start()):

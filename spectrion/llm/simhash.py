@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fresh, small_batches, table
 
 SHINGLE = 4
 SEED = 42
@@ -252,6 +252,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest doc_id stays, once; rows without doc_id stay."""
     kept = classes(fingerprints(docs)).where("doc_id = component_id").select("doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    known = docs.join(kept, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    place = fresh(docs, "_rank")
+    known = docs.join(kept, "doc_id", "left_semi").withColumn(place, rank).where(F.col(place) == 1).drop(place)
     return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 

@@ -75,8 +75,8 @@ def intervals(entries: DataFrame, until: DataFrame) -> DataFrame:
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
-    """All columns of the captures and host, matched_domain, action, listed_at and blocked (false without an active entry, null without a host or time)."""
-    mine = captures.withColumn("host", host_of(F.col(url)))
+    """All columns of the captures and host, matched_domain, action, listed_at and blocked (false without an active entry, null without a host or time); columns of these names are replaced."""
+    mine = captures.drop("matched_domain", "action", "listed_at", "blocked", "_host", "_at").withColumn("host", host_of(F.col(url)))
     asked = mine.where(F.col("host").isNotNull() & F.col(fetched).isNotNull()).select("host", F.col(fetched).alias("at")).distinct()
     until = asked.agg(F.max(_month(F.col("at"))).alias("last"))
     parts = asked.select("host", "at", _month(F.col("at")).alias("month"), F.explode(domains_of(F.col("host"))).alias("domain"))
