@@ -115,6 +115,8 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str], mass: str, ppm: float)
     """One-to-one greedy alignment of two spectra of each key: in order of mass each peak of a takes the nearest free peak of b in its window."""
 
     def work(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame(columns=[*keys, "mass_a", "mass_b"])
         ma, mb = np.sort(x[mass].to_numpy(float)), np.sort(y[mass].to_numpy(float))
         used = np.zeros(len(mb), bool)
         out = []

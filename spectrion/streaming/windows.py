@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _late(events: DataFrame, time: str, late: str) -> DataFrame:
-    return events.withWatermark(time, late) if events.isStreaming else events
+    if not events.isStreaming:
+        return events
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)  # watermarks need a time zone
 
 
 def tumbling(events: DataFrame, time: str, length: str, keys: list[str], value: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
