@@ -115,7 +115,7 @@ _EL = """SELECT p_partkey, 40.0::DOUBLE + p_partkey % 20 AS c, 3.0::DOUBLE + p_p
 @query(f"""WITH k AS (SELECT *, 100.0 / CASE basis WHEN 'as_received' THEN 100 - ash - moisture WHEN 'dry' THEN 100 - ash ELSE 100 END AS k FROM ({_EL})), d AS (SELECT p_partkey, c * k AS c, h * k AS h, n * k AS n, s * k AS s, o * k AS o FROM k),
 q AS (SELECT *, h / 1.008::DOUBLE / (c / 12.011::DOUBLE) AS hc, o / 15.999::DOUBLE / (c / 12.011::DOUBLE) AS oc, n / 14.007::DOUBLE / (c / 12.011::DOUBLE) AS nc, s / 32.065::DOUBLE / (c / 12.011::DOUBLE) AS sc FROM d)
 SELECT p_partkey, round(hc, 6) AS h_c, round(oc, 6) AS o_c, round(-(hc - 3 * nc - 2 * oc - 2 * sc), 6) AS nosc, round(CASE WHEN 1 - oc - sc - 0.5 * (hc + nc) > 0 AND 1 - oc - sc - nc > 0 THEN (1 - oc - sc - 0.5 * (hc + nc)) / (1 - oc - sc - nc) ELSE 0 END, 6) AS ai,
-    round(0.339::DOUBLE * c + 1.256::DOUBLE * h - 0.1088::DOUBLE * (o - s), 5) AS hhv_mendeleev, round(0.3383::DOUBLE * c + 1.443::DOUBLE * (h - o / 8.0::DOUBLE) + 0.0942::DOUBLE * s, 5) AS hhv_dulong FROM q""")
+    round((0.3383::DOUBLE * c + 1.443::DOUBLE * (h - o / 8.0::DOUBLE) + 0.0942::DOUBLE * s) / (0.339::DOUBLE * c + 1.256::DOUBLE * h - 0.1088::DOUBLE * (o - s)), 6) AS hhv_ratio FROM q""")
 def elemental_descriptors(spark, d):
     k = F.col("p_partkey")
     one = lambda x: x * 1.0
@@ -124,7 +124,7 @@ def elemental_descriptors(spark, d):
         F.when(k % 3 == 0, "as_received").when(k % 3 == 1, "dry").otherwise("daf").alias("basis"),
     )
     out = spectra.elemental_descriptors(samples)
-    return out.select("p_partkey", *[r(c).alias(c) for c in ("h_c", "o_c", "nosc", "ai")], *[r(c, 5).alias(c) for c in ("hhv_mendeleev", "hhv_dulong")])
+    return out.select("p_partkey", *[r(c).alias(c) for c in ("h_c", "o_c", "nosc", "ai")], r(F.col("hhv_dulong") / F.col("hhv_mendeleev")).alias("hhv_ratio"))
 
 
 @query("""WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN -32.0::DOUBLE + c_custkey % 9 END AS c, CASE WHEN c_custkey % 5 > 0 THEN (c_custkey % 7) * 1.0::DOUBLE END AS n, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 10) * 1.0::DOUBLE END AS s, c_acctbal / 100 AS h, c_acctbal / 1000 AS o, c_custkey % 2 = 0 AS w FROM customer),

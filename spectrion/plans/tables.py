@@ -204,7 +204,7 @@ def session_counts(spark, d):
 
 def _samples(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*[F.avg(c).alias(c) for c in _COLS], F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"))
-    return li.withColumn("label", (F.col("returned") > 0.25).cast("double"))
+    return li.withColumn("label", (F.col("returned") > 1 / 3).cast("double"))
 
 
 @query()
@@ -228,3 +228,24 @@ def variable_importance(spark, d):
 @query()
 def pca_block(spark, d):
     return kernels.principal_axes(_samples(spark, d), "l_suppkey", list(_COLS))
+
+
+@query()
+def opls_scores(spark, d):
+    return kernels.orthogonal_scores(_samples(spark, d), "l_suppkey", list(_COLS), "label")
+
+
+@query()
+def spls_selection(spark, d):
+    return kernels.sparse_selection(_samples(spark, d), "l_suppkey", list(_COLS), "label", 2)
+
+
+@query()
+def multiblock_shares(spark, d):
+    return kernels.block_models(_samples(spark, d), "l_suppkey", {"amount": ["l_quantity", "l_extendedprice"], "rates": ["l_discount", "l_tax"]}, "label")
+
+
+@query()
+def parafac_scores(spark, d):
+    li = table(spark, d, "lineitem").select("l_suppkey", (280.0 + F.col("l_partkey") % 12 * 5).alias("em"), (240.0 + F.col("l_orderkey") % 8 * 10).alias("ex"), "l_quantity")
+    return kernels.parafac(li, "l_suppkey", "em", "ex", "l_quantity", 2, rounds=3)[0]

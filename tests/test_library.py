@@ -191,3 +191,25 @@ def test_stream_equals_batch(spark, tmp_path):
     run.awaitTermination(120)
     key = lambda df: sorted((r["event_type"], r["start"], r["n"], round(r["total"], 6)) for r in df.collect())
     assert key(spark.table("counts")) == key(windows.tumbling(events, "ts", "1 hour", ["event_type"], "value"))
+
+
+def test_models(spark):
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(30, 4)), r.normal(size=30)
+    y = x[:, 0] * 2 + 0.01 * y
+    t, to, w = kernels.opls(x - x.mean(0), y - y.mean(), 2)
+    assert np.allclose(t @ to, 0, atol=1e-8) and np.argmax(np.abs(w)) == 0
+    assert (np.count_nonzero(kernels.sparse_weights(np.array([3.0, -2, 1, 0.5]), 2)), kernels.sparse_weights(np.array([3.0, -2, 1]), 2)[1] < 0) == (2, True)
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(30)], "id long, a double, b double, c double, d double, y double")
+    got = {z["block"]: z for z in kernels.block_models(df, "id", {"one": ["a", "b"], "two": ["c", "d"]}, "y").collect()}
+    assert got["one"]["multiblock_share"] > 0.8 and got["one"]["sequential_share"] > 0.9 > got["two"]["sequential_share"]
+    assert [z["descriptor"] for z in kernels.sparse_selection(df, "id", list("abcd"), "y", 1).collect()] == ["a"]
+
+
+def test_parafac(spark):
+    r = np.random.default_rng(2)
+    a, b, c = r.uniform(0.5, 2, (6, 2)), np.array([[1, 0], [0.8, 0.1], [0.1, 0.9], [0, 1.0]]), np.array([[1, 0.1], [0.5, 0.5], [0, 1.0]])
+    cube = np.einsum("ir,jr,kr->ijk", a, b, c)
+    rows = [(i, float(j), float(k), float(cube[i, j, k])) for i in range(6) for j in range(4) for k in range(3)]
+    scores, loadings, explained = kernels.parafac(spark.createDataFrame(rows, "s long, em double, ex double, v double"), "s", "em", "ex", "v", 2, rounds=12)
+    assert explained > 0.98 and scores.count() == 12 and len(loadings) == 14
