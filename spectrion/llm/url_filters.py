@@ -53,8 +53,8 @@ def _month_start(month: Column) -> Column:
     return F.make_timestamp(((month - 1) / 12).cast("int"), (month - 1) % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
 
 
-def intervals(entries: DataFrame, until: DataFrame) -> DataFrame:
-    """(domain, month, action, listed_at, start, end): what holds on a domain, cut by months, up to the month in ``until`` (one row, column ``last``)."""
+def intervals(entries: DataFrame, until: int) -> DataFrame:
+    """(domain, month, action, listed_at, start, end): what holds on a domain, cut by months, up to the month ``until``."""
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
     known = (
         entries.where("domain IS NOT NULL AND listed_at IS NOT NULL AND action IS NOT NULL")
@@ -66,8 +66,8 @@ def intervals(entries: DataFrame, until: DataFrame) -> DataFrame:
     own = known.select("domain", "month", "rank", "listed_at", F.col("listed_at").alias("start"), F.coalesce(F.lead("listed_at").over(in_month), _month_start(F.col("month") + 1)).alias("end"))
     months = known.groupBy("domain", "month").agg(F.max_by("rank", "listed_at").alias("rank"), F.min("listed_at").alias("first"), F.max("listed_at").alias("listed_at"))
     by_month = Window.partitionBy("domain").orderBy("month")
-    after = months.select("domain", "month", "rank", "listed_at", F.lead("month").over(by_month).alias("next"), F.lead("first").over(by_month).alias("first")).crossJoin(F.broadcast(until))
-    last = F.least(F.coalesce("next", "last"), "last")
+    after = months.select("domain", "month", "rank", "listed_at", F.lead("month").over(by_month).alias("next"), F.lead("first").over(by_month).alias("first"))
+    last = F.least(F.coalesce("next", F.lit(until)), F.lit(until))
     carried = after.where(F.col("month") < last).select("domain", F.explode(F.sequence(F.col("month") + 1, last)).alias("in"), "rank", "listed_at", "next", "first")
     carried = carried.select("domain", F.col("in").alias("month"), "rank", "listed_at", _month_start(F.col("in")).alias("start"), F.when(F.col("in") == F.col("next"), F.col("first")).otherwise(_month_start(F.col("in") + 1)).alias("end"))
     both = own.unionByName(carried).where("start < end")
@@ -78,7 +78,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     """All columns of the captures and host, matched_domain, action, listed_at and blocked (false without an active entry, null without a host or time); columns of these names are replaced."""
     mine = captures.drop("matched_domain", "action", "listed_at", "blocked", "_host", "_at").withColumn("host", host_of(F.col(url)))
     asked = mine.where(F.col("host").isNotNull() & F.col(fetched).isNotNull()).select("host", F.col(fetched).alias("at")).distinct()
-    until = asked.agg(F.max(_month(F.col("at"))).alias("last"))
+    until = asked.agg(F.max(_month(F.col("at"))).alias("last")).first()["last"] or 0
     parts = asked.select("host", "at", _month(F.col("at")).alias("month"), F.explode(domains_of(F.col("host"))).alias("domain"))
     active = parts.join(intervals(entries, until), ["domain", "month"]).where("at >= start AND at < end AND action <> 'remove'")
     best = active.groupBy("host", "at").agg(F.max_by(F.struct("domain", "action", "listed_at"), F.length("domain")).alias("e"))
