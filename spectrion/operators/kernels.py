@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrion.session import let_workers_import
+
 
 def grouped(df: DataFrame, keys: list[str], columns: list[str], schema: str, work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Run ``work`` on each key's rows; the keys are put back in front of its result."""
+    let_workers_import(df.sparkSession)
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -129,6 +132,7 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str], mass: str, ppm: float)
                 out.append((*key, m, mb[j]))
         return pd.DataFrame(out, columns=[*keys, "mass_a", "mass_b"])
 
+    let_workers_import(a.sparkSession)
     kinds = ", ".join(f"`{k}` {a.schema[k].dataType.simpleString()}" for k in keys)
     return a.select(*keys, mass).groupBy(*keys).cogroup(b.select(*keys, mass).groupBy(*keys)).applyInPandas(work, f"{kinds}, mass_a double, mass_b double")
 

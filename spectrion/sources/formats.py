@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrion.functions.text import sample_id
+from spectrion.session import let_workers_import
 
 ENCODINGS = ("utf-8-sig", "cp1251", "latin-1")
 
@@ -250,6 +251,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_points(spark: SparkSession, path: str, pattern: str = "*", largest: int = 50_000_000) -> DataFrame:
     """(path, sample_id, series, x, y, error) of all files below a path, found and read by Spark."""
+    let_workers_import(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).where(F.col("length") <= largest)
     return files.select("path", "content").mapInPandas(_parse, POINTS).withColumn("sample_id", sample_id(F.col("path")))
 
