@@ -121,18 +121,35 @@ def q_squared(df: DataFrame, truth: str, guess: str) -> Column:
     return 1 - F.try_divide(F.sum((t - g) * (t - g)), F.var_pop(t) * F.count(t))
 
 
+def _dynamic(long: DataFrame, block: str, name: str, step: str, value: str) -> DataFrame:
+    mean = long.groupBy(block, name).agg(F.avg(value).alias("_mean"))
+    return long.join(mean, [block, name]).select(block, name, step, (F.col(value) - F.col("_mean")).alias("d"))
+
+
 def synchronous(long: DataFrame, block: str, name: str, step: str, value: str, first: str, second: str) -> DataFrame:
     """Synchronous two-dimensional correlation of two blocks over a perturbation: covariance of every pair of their variables.
 
     An equi-join on the step, then a partial aggregate; the result has a row per pair of variables.
     """
-    mean = long.groupBy(block, name).agg(F.avg(value).alias("_mean"))
-    dyn = long.join(mean, [block, name]).select(block, name, step, (F.col(value) - F.col("_mean")).alias("d"))
+    dyn = _dynamic(long, block, name, step, value)
     a = dyn.where(F.col(block) == first).select(F.col(name).alias("v1"), step, F.col("d").alias("d1"))
     b = dyn.where(F.col(block) == second).select(F.col(name).alias("v2"), step, F.col("d").alias("d2"))
     return a.join(b, step).groupBy("v1", "v2").agg(F.try_divide(F.sum(F.col("d1") * F.col("d2")), F.count("*") - 1).alias("synchronous"))
 
 
+def asynchronous(long: DataFrame, block: str, name: str, step: str, value: str, first: str, second: str) -> DataFrame:
+    """Asynchronous correlation: the second block goes through the Hilbert-Noda transform over numbered steps first.
+
+    The transform joins a variable's own steps, so its rows grow with the square of the number of steps, not of samples.
+    """
+    dyn = _dynamic(long, block, name, step, value)
+    two = dyn.where(F.col(block) == second)
+    other = two.select(F.col(name).alias("_n"), F.col(step).alias("_s"), F.col("d").alias("_d"))
+    turned = two.join(other, (F.col(name) == F.col("_n")) & (F.col(step) != F.col("_s"))).groupBy(F.col(name).alias("v2"), step).agg(F.sum(F.col("_d") / (F.pi() * (F.col("_s") - F.col(step)))).alias("d2"))
+    a = dyn.where(F.col(block) == first).select(F.col(name).alias("v1"), step, F.col("d").alias("d1"))
+    return a.join(turned, step).groupBy("v1", "v2").agg(F.try_divide(F.sum(F.col("d1") * F.col("d2")), F.count("*") - 1).alias("asynchronous"))
+
+
 def permutation_p(scores: DataFrame, observed: str, permuted: str) -> Column:
     """Aggregate: share of permuted scores at or above the observed one, the observed one included."""
     return (F.sum((F.col(permuted) >= F.col(observed)).cast("double")) + 1) / (F.count("*") + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from spectrion.functions import text
+from spectrion.functions import chem, text
 from spectrion.operators import fusion, kernels, stats
 from spectrion.streaming import windows
 
@@ -249,3 +249,51 @@ def multiblock_shares(spark, d):
 def parafac_scores(spark, d):
     li = table(spark, d, "lineitem").select("l_suppkey", (280.0 + F.col("l_partkey") % 12 * 5).alias("em"), (240.0 + F.col("l_orderkey") % 8 * 10).alias("ex"), "l_quantity")
     return kernels.parafac(li, "l_suppkey", "em", "ex", "l_quantity", 2, rounds=3)[0]
+
+
+@query("""WITH v AS (SELECT l_suppkey, 240.0::DOUBLE + l_orderkey * 7 % 22 * 10 AS ex, 280.0::DOUBLE + l_partkey * 3 % 65 * 5 AS em, l_quantity AS f FROM lineitem),
+m AS (SELECT *, abs(em - ex) <= 12 OR abs(em - 2 * ex) <= 15 OR em < ex - 5 OR coalesce(abs(em - CASE WHEN 1 / ex - 3.4e-4::DOUBLE > 0 THEN 1 / (1 / ex - 3.4e-4::DOUBLE) END) <= 10, false) AS masked FROM v)
+SELECT l_suppkey, count(*) FILTER (WHERE masked) AS masked, count(*) AS n, round(sum(f) FILTER (WHERE NOT masked), 4) AS kept FROM m GROUP BY 1""")
+def scatter_mask(spark, d):
+    v = table(spark, d, "lineitem").select("l_suppkey", (F.lit(240.0) + F.col("l_orderkey") * 7 % 22 * 10).alias("ex"), (F.lit(280.0) + F.col("l_partkey") * 3 % 65 * 5).alias("em"), F.col("l_quantity").alias("f"))
+    m = v.withColumn("masked", chem.scatter_masked(F.col("em"), F.col("ex")))
+    return m.groupBy("l_suppkey").agg(F.count_if("masked").alias("masked"), F.count("*").alias("n"), r(F.sum(F.when(~F.col("masked"), F.col("f"))), 4).alias("kept"))
+
+
+@query("""WITH a AS (SELECT s_suppkey, s_nationkey AS k, abs(s_acctbal) / 20000 AS a FROM supplier), n AS (SELECT k, avg(a) AS a FROM a GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round(l_quantity * pow(10.0, 0.5::DOUBLE * (x.a + y.a)), 6) AS corrected FROM lineitem JOIN n x ON x.k = l_suppkey % 25 JOIN n y ON y.k = l_partkey % 25""")
+def inner_filter_correction(spark, d):
+    n = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.avg(F.abs(F.col("s_acctbal")) / 20000).alias("a"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_suppkey") % 25).alias("kx"), (F.col("l_partkey") % 25).alias("km"))
+    both = li.join(n.toDF("kx", "a_ex"), "kx").join(n.toDF("km", "a_em"), "km")
+    return both.select("l_orderkey", "l_linenumber", r(chem.inner_filter(F.col("l_quantity"), F.col("a_ex"), F.col("a_em"))).alias("corrected"))
+
+
+@query("""WITH u AS (SELECT p_partkey, 'size' AS descriptor, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part),
+k AS (SELECT *, rank() OVER (PARTITION BY descriptor ORDER BY value) + (count(*) OVER (PARTITION BY descriptor, value) - 1) / 2.0::DOUBLE AS rank FROM u) SELECT p_partkey, descriptor, rank FROM k""")
+def average_ranks(spark, d):
+    long = fusion.unpivot(table(spark, d, "part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")), ["p_partkey"])
+    return stats.ranked_columns(long).select("p_partkey", "descriptor", "rank")
+
+
+@query("""WITH u AS (SELECT p_size::DOUBLE AS a, p_retailprice AS b FROM part), k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS b FROM u)
+SELECT count(*) AS n, round(corr(a, b), 8) AS rho FROM k""")
+def spearman_correlation(spark, d):
+    long = fusion.unpivot(table(spark, d, "part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")), ["p_partkey"])
+    wide = stats.ranked_columns(long).select("p_partkey", "descriptor", F.col("rank").alias("value"))
+    return stats.correlations(fusion.pivot(wide, ["p_partkey"], ["size", "price"]), ["size", "price"]).select("n", r("r", 8).alias("rho"))
+
+
+@query("""WITH m AS (SELECT l_returnflag AS f, l_linenumber AS k, month(l_shipdate) AS s, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3), c AS (SELECT f, k, s, v - avg(v) OVER (PARTITION BY f, k) AS d FROM m),
+h AS (SELECT x.k, x.s, sum(y.d / (pi() * (y.s - x.s))) AS d FROM c x JOIN c y ON x.f = 'R' AND y.f = 'R' AND x.k = y.k AND x.s <> y.s GROUP BY 1, 2)
+SELECT a.k AS v1, b.k AS v2, round(sum(a.d * b.d) / (count(*) - 1), 6) AS asynchronous FROM c a JOIN h b ON a.s = b.s AND a.f = 'A' GROUP BY 1, 2""")
+def asynchronous_2dcos(spark, d):
+    m = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber", F.month("l_shipdate").alias("s")).agg(F.avg("l_quantity").alias("v"))
+    return stats.asynchronous(m, "l_returnflag", "l_linenumber", "s", "v", "A", "R").select("v1", "v2", r("asynchronous").alias("asynchronous"))
+
+
+@query("""WITH x AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(t, 'syring|dimethoxyphenol') THEN 'syringyl' WHEN regexp_matches(t, 'guaiac|methoxyphenol|vanill|eugenol') THEN 'guaiacyl' WHEN regexp_matches(t, 'phenol|cresol') THEN 'hydroxyphenyl'
+    WHEN regexp_matches(t, 'furan|furfur|levogluc|pyran|cyclopent') THEN 'carbohydrate' WHEN regexp_matches(t, 'pyrrol|pyrid|indol|nitril|amid|amin') THEN 'nitrogen' WHEN regexp_matches(t, 'alkane|alkene|fatty|acid|decan|decen') THEN 'lipid' ELSE 'other' END AS class FROM x""")
+def pyrolysis_classes(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.pyrolysis_class(F.concat_ws(" ", "p_name", "p_type")).alias("class"))
