@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, let, table
+from .common import SPACES, let, table
 
 WINDOW = 8
 
@@ -117,20 +117,20 @@ def flat(m: str) -> list[Column]:
     ]
 
 
-def metrics(m: str) -> dict[str, Column]:
-    """The ratios that the threshold table names, over the struct column ``m``."""
-    n = F.col(f"{m}.w.n_words")
+def metrics(m: Column) -> dict[str, Column]:
+    """The ratios that the threshold table names, over the struct of counts."""
+    n = m["w"]["n_words"]
     return {
         "n_words": n,
-        "repeat_percent": F.try_divide(F.col(f"{m}.w.n_repeat_words") * 100, n),
-        "mean_word_chars": F.try_divide(F.col(f"{m}.w.word_chars"), n),
-        "symbols_per_word": F.try_divide(F.col(f"{m}.n_symbols"), n),
-        "dup_line_ratio": F.try_divide(F.col(f"{m}.l.n_dup_lines"), F.col(f"{m}.l.n_lines")),
-        "stop_ratio": F.try_divide(F.col(f"{m}.w.n_stop_words"), n),
+        "repeat_percent": F.try_divide(m["w"]["n_repeat_words"] * 100, n),
+        "mean_word_chars": F.try_divide(m["w"]["word_chars"], n),
+        "symbols_per_word": F.try_divide(m["n_symbols"], n),
+        "dup_line_ratio": F.try_divide(m["l"]["n_dup_lines"], m["l"]["n_lines"]),
+        "stop_ratio": F.try_divide(m["w"]["n_stop_words"], n),
     }
 
 
-def broken(m: str, rules: tuple[Rule, ...] = RULES) -> Column:
+def broken(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Names of the rules that a text breaks; a ratio over nothing breaks none."""
     known = metrics(m)
     tests = []
@@ -146,8 +146,13 @@ def broken(m: str, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, measured: str = "_m", verdict: str = "broken_rules") -> DataFrame:
-    """All columns of ``docs``, the counts in struct ``measured`` and the broken rules in ``verdict``."""
-    return docs.withColumn(measured, measures(F.col(text))).withColumn(verdict, broken(measured, rules))
+    """All columns of ``docs``, the counts in struct ``measured`` and the broken rules in ``verdict``; columns of these names are replaced."""
+    return docs.withColumn(measured, measures(F.col(text))).withColumn(verdict, broken(F.col(measured), rules))
+
+
+def passing(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that break no rule. The counts are one lambda variable, so the filter measures each text once."""
+    return docs.where(F.size(let(measures(F.col(text)), lambda m: broken(m, rules))) == 0)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +163,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that break a rule go."""
-    measured, verdict = fresh(docs, "_m"), fresh(docs, "broken_rules")
-    return judge(docs, measured=measured, verdict=verdict).where(F.size(verdict) == 0).select(*docs.columns)
+    return passing(docs)
 
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
