@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectrion.session import let_workers_import
+
 #: White space of the word contracts: blank and the controls 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -34,6 +36,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python task holds, and let its worker import this package."""
+    let_workers_import(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
