@@ -175,7 +175,7 @@ def test_fusion(spark):
 
 
 def test_names(spark):
-    assert col(spark, "data/Baikal_Control_01_fticr.csv", text.sample_id(F.col("v"))) == "Baikal_Control_01"
+    assert col(spark, "data/Lake_Control_01_fticr.csv", text.sample_id(F.col("v"))) == "Lake_Control_01"
     for name, block in {"VK_1": "FT-ICR MS", "h/c": "FT-ICR MS", "FTIR_Lignin_Idx": "FTIR", "so4_cl": "IC", "shape": "Other", "doc": "UV-Vis", "sec": "Other", "": "Other"}.items():
         assert col(spark, name, text.feature_block(F.col("v"))) == block
     assert col(spark, "=HYPERLINK(1)", text.guarded_cell(F.col("v"))) == "'=HYPERLINK(1)"
