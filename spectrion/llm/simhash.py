@@ -236,6 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(fps: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """(key, fp, component_id) for each row of (key, fp)."""
+    fps = cut(fps)  # two numbers a row; without it each text would be shingled twice
     distinct = cut(fps.groupBy("fp").agg(F.min(key).alias("least")))
     linked = components(links(distinct.select("fp"), limit))
     rooted = distinct.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
