@@ -67,14 +67,16 @@ def paths(messages: DataFrame) -> DataFrame:
     known = F.col("conv_id").eqNullSafe(F.col("c"))
     jump = nodes.join(own, known & (F.col("parent") == F.col("m")), "left").select("conv_id", "msg", F.col("m").alias("to"))
     leaves = jump.join(jump.select(F.col("conv_id").alias("c"), F.col("to").alias("t")), known & (F.col("msg") == F.col("t")), "left_anti")
-    found, jump = cut(leaves.select("conv_id", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("up"))), cut(jump)
+    found = cut(leaves.select("conv_id", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("up")))
+    jump = cut(jump.where("to IS NOT NULL"))
     longest = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
     for k in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
-        step = jump.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), "to").where("to IS NOT NULL")
+        step = jump.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), "to")
         further = found.join(step, known & (F.col("msg") == F.col("m"))).select("conv_id", "leaf", F.col("to").alias("msg"), (F.col("up") + 2**k).alias("up"))
         found = cut(found.unionByName(further))  # each round names the last one twice: without a cut the plan would double
+        # only messages with an ancestor that far go on
         second = jump.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("to").alias("next"))
-        jump = cut(jump.join(second, known & (F.col("to") == F.col("m")), "left").select("conv_id", "msg", F.col("next").alias("to")))
+        jump = cut(jump.join(second, known & (F.col("to") == F.col("m"))).select("conv_id", "msg", F.col("next").alias("to")))
     return found
 
 
