@@ -428,3 +428,55 @@ def parafac(samples: DataFrame, sample: str, em: str, ex: str, value: str, compo
     lost = long.groupBy(sample).cogroup(scores.groupBy(sample)).applyInPandas(residual, "r double").agg(F.sum("r")).first()[0] or 0.0
     loadings = [(m, float(axes[m][i]), k + 1, float(load[m][i, k])) for m in (em, ex) for i in range(len(axes[m])) for k in range(components)]
     return scores.unpivot([sample], names, "component", "score"), loadings, 1 - lost / total
+
+
+def bounded_fit(x: np.ndarray, y: np.ndarray, centres: list[float], width: float, shift: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Heights, centres and widths of a sum of Gaussian bands by damped least squares, kept within bounds; and R squared."""
+    k = len(centres)
+    low = np.concatenate([np.zeros(k), np.array(centres) - shift, np.full(k, width / 5)])
+    high = np.concatenate([np.full(k, 2 * max(y.max(), 1e-9)), np.array(centres) + shift, np.full(k, width * 5)])
+    p = np.concatenate([np.full(k, max(y.max(), 1e-9) / 2), centres, np.full(k, width)])
+
+    def model(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, c, s = p[:k], p[k : 2 * k], p[2 * k :]
+        u = (x[:, None] - c) / s
+        g = np.exp(-0.5 * u * u)
+        return g @ h, np.hstack([g, h * g * u / s, h * g * u * u / s])
+
+    damping = 1e-2
+    f, j = model(p)
+    cost = ((y - f) ** 2).sum()
+    for _ in range(rounds):
+        a = j.T @ j
+        step = np.linalg.lstsq(a + damping * np.diag(np.diag(a) + 1e-12), j.T @ (y - f), rcond=None)[0]
+        trial = np.clip(p + step, low, high)
+        tf, tj = model(trial)
+        now = ((y - tf) ** 2).sum()
+        if now < cost:
+            done = cost - now < 1e-12 * max(cost, 1e-300)
+            p, f, j, cost, damping = trial, tf, tj, now, damping / 3
+            if done:
+                break
+        else:
+            damping *= 4
+            if damping > 1e12:
+                break
+    total = ((y - y.mean()) ** 2).sum()
+    return p, float(1 - cost / total) if total > 0 else 0.0
+
+
+def fit_bands(points: DataFrame, keys: list[str], x: str, y: str, centres: list[float], width: float, shift: float) -> DataFrame:
+    """(keys, band, height, centre, width, area_percent, r2) of each signal's bands; signals with fewer points than parameters are left out."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(x)
+        names = ["band", "height", "centre", "width", "area_percent", "r2"]
+        if len(part) < 3 * len(centres):
+            return pd.DataFrame(columns=names)
+        p, r2 = bounded_fit(part[x].to_numpy(float), part[y].to_numpy(float), centres, width, shift)
+        h, c, s = np.split(p, 3)
+        area = h * s
+        share = 100 * area / area.sum() if area.sum() > 0 else np.zeros_like(area)
+        return pd.DataFrame(dict(zip(names, (np.arange(1, len(h) + 1), h, c, s, share, r2))))
+
+    return grouped(points, keys, [x, y], "band long, height double, centre double, width double, area_percent double, r2 double", work)

@@ -156,3 +156,17 @@ def isotope_companions(peaks: DataFrame, key: str, mass: str, intensity: str, sh
     pairs = absolute_join(low, high, "_aim", "_cm", tolerance)
     best = best_match(pairs, [key], [F.abs(F.col("_cm") - F.col("_aim")), F.col("_cm"), F.col("companion")])
     return best.select(key, "companion", F.try_divide("_ci", "_i").alias("ratio"))
+
+
+def recalibrated(peaks: DataFrame, calibrants: DataFrame, keys: list[str], mass: str, theoretical: str, ppm: float, least: int = 3) -> DataFrame:
+    """Masses less the linear error that calibrants show: per calibrant and key the nearest peak within ``ppm`` of the theoretical mass, then a regression of the error on the mass.
+
+    Columns ``corrected`` and ``n_calibrants``; with fewer than ``least`` calibrants, masses stay as they are.
+    """
+    pairs = ppm_join(calibrants.select(F.col(theoretical).alias("_t")).distinct(), peaks.select(*keys, mass).distinct(), "_t", mass, ppm)
+    near = best_match(pairs, [*keys, "_t"], [F.abs(F.col(mass) - F.col("_t")), F.col(mass)])
+    error = F.col(mass) - F.col("_t")
+    fit = near.groupBy(*keys).agg(F.regr_slope(error, F.col(mass)).alias("_b"), F.regr_intercept(error, F.col(mass)).alias("_a"), F.count("*").alias("n_calibrants"))
+    out = peaks.join(fit, keys, "left").withColumn("n_calibrants", F.coalesce("n_calibrants", F.lit(0)))
+    good = (F.col("n_calibrants") >= least) & F.col("_b").isNotNull()
+    return out.withColumn("corrected", F.when(good, F.col(mass) - F.col("_a") - F.col("_b") * F.col(mass)).otherwise(F.col(mass))).drop("_a", "_b")

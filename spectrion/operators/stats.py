@@ -159,3 +159,60 @@ def validation_status(q2_percent: Column, p: Column) -> Column:
     return (
         F.when(q2_percent.isNull(), "no_model").when(p.isNull(), "unverified").when((q2_percent <= 0) | (p >= 0.05), "not_validated").when(q2_percent <= 50, "weak").otherwise("validated")
     )
+
+
+def spectrum_similarity(a: DataFrame, b: DataFrame, mass: str, intensity: str, ppm: float) -> DataFrame:
+    """One row: peaks of each spectrum, those of a with a partner, Jaccard index and cosine.
+
+    A peak's partner is the nearest in its window; the norms of the cosine are over all peaks, not the matched ones only.
+    """
+    from .ranges import best_match, ppm_join
+
+    other = b.groupBy(F.col(mass).alias("_m")).agg(F.sum(intensity).alias("_i"))
+    mine = a.groupBy(mass).agg(F.sum(intensity).alias(intensity))
+    hit = best_match(ppm_join(mine, other, mass, "_m", ppm), [mass], [F.abs(F.col("_m") - F.col(mass)), F.col("_m")])
+    norm = lambda df, c: df.agg(F.count("*").alias("n"), F.sum(F.col(c) * F.col(c)).alias("s"))
+    parts = norm(mine, intensity).select(F.lit("a").alias("k"), "n", "s").unionByName(norm(other, "_i").select(F.lit("b").alias("k"), "n", "s"))
+    parts = parts.unionByName(hit.agg(F.count("*").alias("n"), F.sum(F.col(intensity) * F.col("_i")).alias("s")).select(F.lit("c").alias("k"), "n", "s"))
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    one = parts.agg(pick("a", "n").alias("n_a"), pick("b", "n").alias("n_b"), pick("c", "n").alias("common"), (pick("c", "s") / F.sqrt(pick("a", "s") * pick("b", "s"))).alias("cosine"))
+    return one.select("n_a", "n_b", "common", F.try_divide("common", F.col("n_a") + F.col("n_b") - F.col("common")).alias("jaccard"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+
+
+def descriptor_cards(long: DataFrame, block: str = "block", value: str = "value") -> DataFrame:
+    """Mean and sample deviation of each descriptor of each block; the deviation needs two values."""
+    return long.groupBy(block, "descriptor").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+
+
+def cohort_profile(long: DataFrame, value: str = "value") -> DataFrame:
+    """Each value and its descriptor's mean, both scaled to 0..1 by the descriptor's range; null for a constant descriptor."""
+    spread = long.groupBy("descriptor").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_mean"))
+    scale = lambda x: F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    return long.join(spread, "descriptor").withColumn("scaled", scale(F.col(value))).withColumn("cohort", scale(F.col("_mean"))).drop("_lo", "_hi", "_mean")
+
+
+def correlation_edges(pairs: DataFrame, block: dict[str, str], threshold: float = 0.7, cross_only: bool = True) -> DataFrame:
+    """Edges (f1, f2, r, block1, block2) of pairs with |r| at the threshold or above, between blocks only if asked."""
+    known = F.create_map(*[F.lit(x) for kv in block.items() for x in kv])
+    out = pairs.where(F.abs("r") >= threshold).withColumn("block1", F.element_at(known, F.col("f1"))).withColumn("block2", F.element_at(known, F.col("f2")))
+    return out.where("block1 <> block2") if cross_only else out
+
+
+def fused_features(wide: DataFrame, key: str, blocks: dict[str, list[str]]) -> DataFrame:
+    """Descriptors ready for a model: the median for what is missing, population z-scores, and each block weighed by the square root of its number of descriptors.
+
+    The medians and moments are one aggregate; a constant descriptor becomes zero.
+    """
+    features = [f for fs in blocks.values() for f in fs]
+    mid = wide.agg(*[F.median(F.col(f).cast("double")).alias(f) for f in features]).first()
+    filled = wide.select(key, *[F.coalesce(F.col(f).cast("double"), F.lit(mid[f])).alias(f) for f in features])
+    row = filled.agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in features]).first()
+    weight = {f: len(fs) ** -0.5 for fs in blocks.values() for f in fs}
+    scaled = [((F.col(f) - (row[f]["m"] or 0.0)) / (row[f]["s"] if (row[f]["s"] or 0.0) >= 1e-12 else 1.0) * weight[f]).alias(f) for f in features]
+    return filled.select(key, *scaled)
+
+
+def sec_calibration(standards: DataFrame, keys: list[str], volume: str, mass: str) -> DataFrame:
+    """Linear calibration of log10 mass by volume of each key: slope, intercept, r2 and whether mass falls with volume."""
+    x, y = F.when(F.col(mass) > 0, F.col(volume)), F.log10(F.when(F.col(mass) > 0, F.col(mass)))
+    return standards.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2")).withColumn("falling", F.col("slope") < 0)

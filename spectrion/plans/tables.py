@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from spectrion.functions import chem, text
-from spectrion.operators import fusion, kernels, stats
+from spectrion.operators import fusion, kernels, ordered, ranges, stats
 from spectrion.streaming import windows
 
 from .base import query, r, table
@@ -297,3 +297,70 @@ SELECT p_partkey, CASE WHEN regexp_matches(t, 'syring|dimethoxyphenol') THEN 'sy
     WHEN regexp_matches(t, 'furan|furfur|levogluc|pyran|cyclopent') THEN 'carbohydrate' WHEN regexp_matches(t, 'pyrrol|pyrid|indol|nitril|amid|amin') THEN 'nitrogen' WHEN regexp_matches(t, 'alkane|alkene|fatty|acid|decan|decen') THEN 'lipid' ELSE 'other' END AS class FROM x""")
 def pyrolysis_classes(spark, d):
     return table(spark, d, "part").select("p_partkey", text.pyrolysis_class(F.concat_ws(" ", "p_name", "p_type")).alias("class"))
+
+
+@query("""WITH a AS (SELECT l_extendedprice / 100 AS mass, sum(l_quantity) AS i FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_extendedprice / 100 AS mass, sum(l_quantity) AS i FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+h AS (SELECT a.mass, a.i, b.i AS j, row_number() OVER (PARTITION BY a.mass ORDER BY abs(b.mass - a.mass), b.mass) AS k FROM a JOIN b ON b.mass BETWEEN a.mass - a.mass * 1.5e-6 AND a.mass + a.mass * 1.5e-6),
+s AS (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM h WHERE k = 1) AS common, (SELECT sum(i * j) FROM h WHERE k = 1) / sqrt((SELECT sum(i * i) FROM a) * (SELECT sum(i * i) FROM b)) AS cosine)
+SELECT n_a, n_b, common, round(common / (n_a + n_b - common), 8) AS jaccard, round(coalesce(cosine, 0), 8) AS cosine FROM s""")
+def spectrum_comparison(spark, d):
+    p = table(spark, d, "lineitem").select((F.col("l_extendedprice") / 100).alias("mass"), F.col("l_quantity").alias("i"), "l_returnflag")
+    out = stats.spectrum_similarity(p.where("l_returnflag = 'A'"), p.where("l_returnflag = 'R'"), "mass", "i", 1.5)
+    return out.select("n_a", "n_b", "common", r("jaccard", 8).alias("jaccard"), r("cosine", 8).alias("cosine"))
+
+
+_LONG = "SELECT p_brand AS block, 'size' AS descriptor, CAST(p_size AS DOUBLE) AS value, p_partkey FROM part UNION ALL SELECT p_brand, 'price', p_retailprice, p_partkey FROM part"
+
+
+def _long(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("block"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    return fusion.unpivot(p, ["p_partkey", "block"], ["size", "price"])
+
+
+@query(f"SELECT block, descriptor, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation FROM ({_LONG}) GROUP BY 1, 2")
+def descriptor_cards(spark, d):
+    return stats.descriptor_cards(_long(spark, d)).select("block", "descriptor", "n", r("mean").alias("mean"), r("deviation").alias("deviation"))
+
+
+@query(f"SELECT p_partkey, descriptor, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 8) AS scaled, round((avg(value) OVER w - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 8) AS cohort FROM ({_LONG}) WINDOW w AS (PARTITION BY descriptor)")
+def cohort_profile(spark, d):
+    return stats.cohort_profile(_long(spark, d)).select("p_partkey", "descriptor", r("scaled", 8).alias("scaled"), r("cohort", 8).alias("cohort"))
+
+
+@query(f"SELECT f1, f2, round(r, 8) AS r, CASE WHEN f1 IN ('l_quantity', 'l_extendedprice') THEN 'amount' ELSE 'rates' END AS block1, CASE WHEN f2 IN ('l_quantity', 'l_extendedprice') THEN 'amount' ELSE 'rates' END AS block2 FROM ({_CORR}) WHERE abs(r) >= 0.0001")
+def correlation_network(spark, d):
+    pairs = stats.correlations(table(spark, d, "lineitem"), list(_COLS))
+    block = {"l_quantity": "amount", "l_extendedprice": "amount", "l_discount": "rates", "l_tax": "rates"}
+    return stats.correlation_edges(pairs, block, 0.0001, False).select("f1", "f2", r("r", 8).alias("r"), "block1", "block2")
+
+
+@query("""WITH m AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal END AS a, s_nationkey * 1.0::DOUBLE AS b FROM supplier), f AS (SELECT s_suppkey, coalesce(a, (SELECT median(a) FROM m)) AS a, b FROM m)
+SELECT s_suppkey, round((a - avg(a) OVER ()) / stddev_pop(a) OVER () / sqrt(2), 7) AS a, round((b - avg(b) OVER ()) / stddev_pop(b) OVER () / sqrt(2), 7) AS b FROM f""")
+def fused_features(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 > 0, F.col("s_acctbal")).alias("a"), (F.col("s_nationkey") * 1.0).alias("b"))
+    out = stats.fused_features(s, "s_suppkey", {"one": ["a", "b"]})
+    return out.select("s_suppkey", r("a", 7).alias("a"), r("b", 7).alias("b"))
+
+
+@query("SELECT l_suppkey, round(regr_slope(log10(l_extendedprice), l_quantity), 8) AS slope, round(regr_intercept(log10(l_extendedprice), l_quantity), 6) AS intercept, round(regr_r2(log10(l_extendedprice), l_quantity), 6) AS r2, regr_slope(log10(l_extendedprice), l_quantity) < 0 AS falling FROM lineitem GROUP BY 1")
+def sec_calibration(spark, d):
+    out = stats.sec_calibration(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return out.select("l_suppkey", r("slope", 8).alias("slope"), r("intercept").alias("intercept"), r("r2").alias("r2"), "falling")
+
+
+@query("""WITH p AS (SELECT l_suppkey, l_extendedprice / 100 AS mass FROM lineitem), c AS (SELECT DISTINCT l_extendedprice / 100 * 1.000002::DOUBLE AS t FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0),
+k AS (SELECT l_suppkey, t, mass, row_number() OVER (PARTITION BY l_suppkey, t ORDER BY abs(mass - t), mass) AS k FROM c JOIN (SELECT DISTINCT l_suppkey, mass FROM p) p ON mass BETWEEN t - t * 5e-6 AND t + t * 5e-6),
+f AS (SELECT l_suppkey, regr_slope(mass - t, mass) AS b, regr_intercept(mass - t, mass) AS a, count(*) AS n FROM k WHERE k = 1 GROUP BY 1)
+SELECT p.l_suppkey, coalesce(n, 0) AS n_calibrants, count(*) AS n_peaks, round(sum(CASE WHEN n >= 3 AND b IS NOT NULL THEN mass - a - b * mass ELSE mass END), 4) AS total FROM p LEFT JOIN f USING (l_suppkey) GROUP BY 1, 2""")
+def mass_recalibration(spark, d):
+    li = table(spark, d, "lineitem")
+    p = li.select("l_suppkey", (F.col("l_extendedprice") / 100).alias("mass"))
+    c = li.where("l_linenumber = 1 AND l_orderkey % 7 = 0").select((F.col("l_extendedprice") / 100 * 1.000002).alias("t"))
+    out = ranges.recalibrated(p, c, ["l_suppkey"], "mass", "t", 5.0)
+    return out.groupBy("l_suppkey", "n_calibrants").agg(F.count("*").alias("n_peaks"), r(F.sum("corrected"), 4).alias("total"))
+
+
+@query()
+def band_fits(spark, d):
+    e = table(spark, d, "events").select("user_id", (F.col("event_id") * 37 % 40 * 1.0).alias("x"), "value")
+    return kernels.fit_bands(ordered.averaged_duplicates(e, ["user_id"], "x", "value", 3), ["user_id"], "x", "value", [10.0, 30.0], 5.0, 5.0)

@@ -213,3 +213,12 @@ def test_parafac(spark):
     rows = [(i, float(j), float(k), float(cube[i, j, k])) for i in range(6) for j in range(4) for k in range(3)]
     scores, loadings, explained = kernels.parafac(spark.createDataFrame(rows, "s long, em double, ex double, v double"), "s", "em", "ex", "v", 2, rounds=12)
     assert explained > 0.98 and scores.count() == 12 and len(loadings) == 14
+
+
+def test_band_fits(spark):
+    x = np.linspace(0, 40, 81)
+    y = 3 * np.exp(-0.5 * ((x - 11) / 3) ** 2) + 2 * np.exp(-0.5 * ((x - 27) / 4) ** 2)
+    df = spark.createDataFrame([("k", float(a), float(b)) for a, b in zip(x, y)] + [("few", 1.0, 1.0)], "k string, x double, y double")
+    got = kernels.fit_bands(df, ["k"], "x", "y", [10.0, 30.0], 5.0, 5.0).orderBy("band").collect()
+    assert [(round(r["height"], 3), round(r["centre"], 3), round(r["width"], 3)) for r in got] == [(3.0, 11.0, 3.0), (2.0, 27.0, 4.0)]
+    assert got[0]["r2"] > 0.9999 and got[0]["area_percent"] == pytest.approx(100 * 9 / 17, abs=0.01)
