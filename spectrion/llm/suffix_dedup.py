@@ -1,23 +1,29 @@
 """Removal of repeated byte strings across and within documents.
 
 A byte goes if some string of ``LENGTH`` bytes that covers it starts anywhere
-else too. Instead of all suffixes only anchors are compared: of each string's
-``GRAM``-byte substrings the one with the least hash (the first of equals) is
-its anchor, so equal strings have the same anchor at the same place. Strings
-that start next to each other and share an anchor form a run; there are about
-two runs per ``LENGTH - GRAM`` bytes. Level by level, runs are counted by hash:
-
-1. a run whose anchor occurs once has no repeated string; one whose whole
-   content occurs twice is repeated whole;
-2. other runs, at the edges of passages, are cut on a grid around the anchor
-   into cells of ``CELL`` strings and judged the same way by the bytes that all
-   of a cell's strings hold;
-3. cells still open are judged string by string.
-
-Only counts are shuffled, with partial sums before each shuffle, so a passage
-shared by any number of documents is no hot group. Texts are shuffled twice,
-and only those that a filter of fixed size cannot rule out. Strings are
-compared by 128 bits of hash.
+else too. The column-wise construction takes as many rounds as the longest
+text has bytes, each over the whole collection, so it is applied where it
+matters only, after anchors have ruled out the rest:
+
+1. Of each string's ``GRAM``-byte substrings the one with the least hash (the
+   first of equals) is its anchor, so equal strings have the same anchor at
+   the same place. Strings that start next to each other and share an anchor
+   form a run; there are about two runs per ``LENGTH - GRAM`` bytes. A run
+   whose anchor occurs once has no repeated string; one whose whole content
+   occurs twice is repeated whole. Both are found by counts.
+2. What is left, runs that are repeated in part, is a small collection of
+   texts aligned at their anchors. Each round inserts one symbol of every
+   text of the collection and updates the order of the texts by what has been
+   inserted and the common lengths of neighbours; where a text's longest
+   common length reaches ``LENGTH``, a string is repeated.
+3. An anchor with more than ``CROWD`` different contents would make one task
+   too long. Its runs are cut on a grid around the anchor into cells of
+   ``CELL`` strings and counted by the bytes that all of a cell's strings
+   hold; cells still open are counted string by string.
+
+Counts have partial sums before each shuffle, so a passage shared by any
+number of documents is no hot group. Texts are shuffled twice, and only those
+that a filter of fixed size cannot rule out. Hashes compare by 128 bits.
 
 Defined results: a null text is empty; a text shorter than ``LENGTH`` bytes
 loses nothing; each repeated row is a document of its own, so that exact
@@ -42,6 +48,12 @@ LENGTH = 400
 GRAM = 200
 CELL = 16
 
+#: Different contents of one anchor that a task aligns.
+CROWD = 4096
+
+#: Texts that are aligned at once, but for a larger anchor.
+ALIGNED = 4000
+
 #: Bytes of text handled at once, but for a longer text.
 SLICE = 1 << 20
 
@@ -184,10 +196,10 @@ def _count(at: str) -> Column:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """Distinct (coarse, fine) of (doc, at, coarse, fine) whose coarse hash occurs twice or more: the pair's count n, one of its rows, and whether some pair of the same coarse hash occurs once."""
+    """Distinct (coarse, fine) of (doc, at, coarse, fine) whose coarse hash occurs twice or more: the pair's count n and one of its rows, the coarse hash's number of pairs, and whether one of them occurs once."""
     order = F.xxhash64("doc", "at")
     fine = rows.groupBy("coarse", "fine").agg(F.count("*").alias("n"), F.min_by("doc", order).alias("doc"), F.min_by("at", order).alias("at"))
-    coarse = fine.groupBy("coarse").agg(F.sum("n").alias("total"), F.min("n").alias("fewest")).where("total > 1").select("coarse", (F.col("fewest") == 1).alias("open"))
+    coarse = fine.groupBy("coarse").agg(F.sum("n").alias("total"), F.min("n").alias("fewest"), F.count("*").alias("contents")).where("total > 1").select("coarse", "contents", (F.col("fewest") == 1).alias("open"))
     return cut(fine.join(coarse, "coarse"))
 
 
@@ -208,19 +220,103 @@ def _runs_of(docs: DataFrame) -> DataFrame:
 
 
 def _edges(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
-    """(doc, at, text): the bytes of the given runs, checkpointed."""
-    lists = cut(open_runs.groupBy("doc").agg(F.collect_set("at").alias("runs")))
+    """(doc, at, text, coarse, contents): the bytes of the given runs, checkpointed."""
+    lists = cut(open_runs.groupBy("doc").agg(F.collect_set(F.struct("at", "coarse", "contents")).alias("runs")))
     near = maybe_in(docs, fixed_filter(lists)).where("maybe").select("doc", "text").dropDuplicates(["doc"]).join(lists, "doc")
 
     def work(data, ends, rows):
-        of, at, text = [], [], []
+        of, at, text, coarse, contents = [], [], [], [], []
         for i, found in enumerate(rows.column(2).to_pylist()):
             for x in found:
-                a, n = int(ends[i]) + x // LENGTH, x % LENGTH + 1
-                of.append(i), at.append(x), text.append(data[a : a + n - 1 + LENGTH].tobytes())
-        return np.array(of, np.int64), (np.array(at, np.int64), pa.array(text, pa.binary()))
+                a, n = int(ends[i]) + x["at"] // LENGTH, x["at"] % LENGTH + 1
+                of.append(i), at.append(x["at"]), text.append(data[a : a + n - 1 + LENGTH].tobytes())
+                coarse.append(x["coarse"]), contents.append(x["contents"])
+        return np.array(of, np.int64), (np.array(at, np.int64), pa.array(text, pa.binary()), np.array(coarse, np.int64), np.array(contents, np.int64))
+
+    return cut(per_text(near, work, "doc long, at long, text binary, coarse long, contents long", ["doc", "at", "text", "coarse", "contents"]))
+
+
+def _places_of_anchors(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where each run's anchor starts in its bytes, as in runs(): the least gram of its first string."""
+    grams = gram_hashes(data, GRAM)
+    ordered = grams & ~_LOW | np.arange(len(grams), dtype=np.uint64)
+    return (least(ordered, LENGTH - GRAM + 1)[ends[:-1]] & _LOW).astype(np.int64) - ends[:-1]
+
+
+#: Stands for a column in which a text has no symbol; it equals nothing.
+_NOTHING = 256
+
+
+def aligned_repeats(texts: list[bytes], group: np.ndarray, length: int = LENGTH, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of each string of ``length`` bytes that another text of the same group has at the same distance from its anchor.
+
+    Column by column, every text's symbol is inserted: the texts of a group are
+    kept in the order of what has been inserted, read backwards, with the
+    common length of each and the one before it. A stable sort by the new
+    symbol makes the next order. The common length of two texts that come
+    together is one more than the least length between them.
+    """
+    size = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    if places is None:
+        places = _places_of_anchors(data, ends)
+    first = int(places.max())
+    columns = int((size - places).max()) + first
+    symbols = np.full((columns, len(texts)), _NOTHING, np.int16)
+    of = np.repeat(np.arange(len(texts)), size)
+    symbols[np.arange(len(data)) - ends[of] - places[of] + first, of] = data
+    order = np.argsort(group, kind="stable")
+    rank = np.unique(group, return_inverse=True)[1].astype(np.int32) * (_NOTHING + 1)
+    common = np.zeros(len(texts) + 1, np.int32)  # of each text in order and the one before; the last is a stop
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for c in range(columns):
+        key = rank[order] + symbols[c][order]
+        step = np.argsort(key, kind="stable")
+        key = key[step]
+        together = np.nonzero((key[1:] == key[:-1]) & (key[1:] % (_NOTHING + 1) != _NOTHING))[0] + 1
+        new = np.zeros(len(texts) + 1, np.int32)
+        if len(together):
+            between = np.stack([step[together - 1] + 1, step[together] + 1], axis=1).ravel()
+            new[together] = np.minimum.reduceat(common, between)[::2] + 1
+        order, common = order[step], new
+        longest = np.maximum(common[:-1], common[1:])
+        hit = order[longest >= length]
+        if len(hit):
+            found.append((hit, c - first + places[hit] - length + 1))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _stretches(edges: DataFrame) -> DataFrame:
+    """(doc, at) of the repeated strings of runs, neighbours put together; each anchor's runs meet in one task."""
+    placed = edges.repartition("coarse").sortWithinPartitions("coarse").select("doc", "at", "text", "coarse")
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        doc, at, text, coarse = zip(*rows)
+        of, start = aligned_repeats(list(text), np.array(coarse, np.int64))
+        o = np.lexsort((start, of))
+        of, start = of[o], start[o]
+        new = np.nonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)]))[0] if len(of) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(of)))
+        run = of[new]
+        whole = np.array(at, np.int64)[run] // LENGTH + start[new]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(doc, np.int64)[run]), pa.array(places(whole, count))], ["doc", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(*(c.to_pylist() for c in batch.columns))
+            if len(held) >= ALIGNED:
+                last = next(i for i in range(len(held), 0, -1) if i == 1 or held[i - 2][3] != held[-1][3]) - 1  # the group that may go on
+                if last:
+                    yield solve(held[:last])
+                    held = held[last:]
+        if held:
+            yield solve(held)
 
-    return cut(per_text(near, work, "doc long, at long, text binary", ["doc", "at", "text"]))
+    return placed.mapInArrow(run, "doc long, at long")
 
 
 def _cells_of(edges: DataFrame) -> DataFrame:
@@ -229,10 +325,7 @@ def _cells_of(edges: DataFrame) -> DataFrame:
     def work(data, ends, rows):
         at = rows.column(2).to_numpy(zero_copy_only=False)
         base, n = at // LENGTH, at % LENGTH + 1
-        # the anchor's place, as in runs(): the least gram of the run's first string
-        grams = gram_hashes(data, GRAM)
-        ordered = grams & ~_LOW | np.arange(len(grams), dtype=np.uint64)
-        place = (least(ordered, LENGTH - GRAM + 1)[ends[:-1]] & _LOW).astype(np.int64) - ends[:-1]
+        place = _places_of_anchors(data, ends)
         # cells by the start's distance to the anchor
         first, last = -place // CELL, (n - 1 - place) // CELL
         count = last - first + 1
@@ -271,16 +364,18 @@ def _strings_of(edges: DataFrame, cells: DataFrame) -> DataFrame:
     return per_text(both, work, _ROWS, ["doc", "at", "coarse", "fine"])
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc, spans): for each document that loses bytes, arrays of (start, end) that cover them; input (doc, text binary)."""
     runs_ = _runs_of(docs)
     known = counted(runs_)
-    edges = _edges(docs, known.where("open").select("doc", "at"))
-    cells = _cells_of(edges)
+    edges = _edges(docs, known.where("open").select("doc", "at", "coarse", "contents"))
+    crowded = edges.where(F.col("contents") > crowd).select("doc", "at", "text")
+    cells = _cells_of(crowded)
     inner = counted(cells)
-    strings = _strings_of(edges, inner.where("open").select("doc", "at"))
+    strings = _strings_of(crowded, inner.where("open").select("doc", "at"))
     alike = strings.groupBy("coarse", "fine").agg(F.count("*").alias("n"))
-    found = whole(runs_, known).unionByName(_cell_places(whole(cells, inner))).unionByName(whole(strings, alike))
+    found = whole(runs_, known).unionByName(_stretches(edges.where(F.col("contents") <= crowd)))
+    found = found.unionByName(_cell_places(whole(cells, inner))).unionByName(whole(strings, alike))
     return found.groupBy("doc").agg(F.collect_set(F.struct(_start("at").alias("start"), (_start("at") + _count("at") - 1 + LENGTH).alias("end"))).alias("spans"))
 
 
@@ -290,10 +385,10 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.xxhash64(F.col(key), whole).alias("doc"), F.encode(whole, "utf-8").alias("text"), F.col(key))
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = True, crowd: int = CROWD) -> DataFrame:
     """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, unless left out, the kept bytes."""
     mine = keyed(docs, key, text)
-    spans = cut(repeated(mine.select("doc", "text")))
+    spans = cut(repeated(mine.select("doc", "text"), crowd))
     flagged = maybe_in(mine, fixed_filter(spans))
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
     kind = docs.schema[key].dataType.simpleString()

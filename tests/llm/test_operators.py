@@ -236,8 +236,20 @@ def brute_repeats(texts, length):
     return [(int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~c])).hexdigest()) for t, c in zip(texts, covered)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeated_bytes(spark, seed):
+def test_aligned_repeats():
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(10, 40))).encode() for _ in range(60)]
+    places, group = np.array([r.randint(0, 5) for _ in texts]), np.array([r.randint(0, 4) for _ in texts])
+    got = set(zip(*map(np.ndarray.tolist, suffix_dedup.aligned_repeats(texts, group, 6, places))))
+    expected = {
+        (i, s) for i, t in enumerate(texts) for s in range(len(t) - 5) for j, u in enumerate(texts)
+        if i != j and group[i] == group[j] and (k := s - places[i] + places[j]) >= 0 and u[k : k + 6] == t[s : s + 6]
+    }
+    assert got == expected and got
+
+
+@pytest.mark.parametrize(("seed", "crowd"), [(0, 4096), (1, 4096), (2, 0), (3, 3)])
+def test_repeated_bytes(spark, seed, crowd):
     r = random.Random(seed)
     passages = ["".join(r.choice("abcde é") for _ in range(r.randint(380, 1500))) for _ in range(6)]
     texts = []
@@ -249,7 +261,7 @@ def test_repeated_bytes(spark, seed):
             parts += [p[a : a + r.randint(300, 1500)], "".join(r.choice("abcdefgh") for _ in range(r.randint(0, 300)))]
         texts.append("".join(parts))
     texts += ["", "ab" * 700, "c" * 1000, texts[0], texts[0]]
-    rows = suffix_dedup.remove(documents(spark, texts)).orderBy("doc_id").collect()
+    rows = suffix_dedup.remove(documents(spark, texts), crowd=crowd).orderBy("doc_id").collect()
     expected = brute_repeats([t.encode() for t in texts], 400)
     assert [(x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows] == expected
     assert all(x["n_bytes"] == len(t.encode()) and len(x["kept"]) == x["n_bytes"] - x["n_removed"] for x, t in zip(rows, texts))
