@@ -117,10 +117,11 @@ def find_peaks(points: DataFrame, keys: list[str], x: str, y: str, prominence: f
 def aligned(a: DataFrame, b: DataFrame, keys: list[str], mass: str, ppm: float) -> DataFrame:
     """One-to-one greedy alignment of two spectra of each key: in order of mass each peak of a takes the nearest free peak of b in its window."""
 
-    def work(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame(columns=[*keys, "mass_a", "mass_b"])
-        ma, mb = np.sort(x[mass].to_numpy(float)), np.sort(y[mass].to_numpy(float))
+    both = a.select(*keys, mass).withColumn("_side", F.lit(0)).unionByName(b.select(*keys, mass).withColumn("_side", F.lit(1)))
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        side = part["_side"].to_numpy()
+        ma, mb = (np.sort(part[mass].to_numpy(float)[side == k]) for k in (0, 1))
         used = np.zeros(len(mb), bool)
         out = []
         for m in ma:
@@ -129,12 +130,10 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str], mass: str, ppm: float)
             if free:
                 j = min(free, key=lambda i: (abs(mb[i] - m), i))
                 used[j] = True
-                out.append((*key, m, mb[j]))
-        return pd.DataFrame(out, columns=[*keys, "mass_a", "mass_b"])
+                out.append((m, mb[j]))
+        return pd.DataFrame(out, columns=["mass_a", "mass_b"])
 
-    let_workers_import(a.sparkSession)
-    kinds = ", ".join(f"`{k}` {a.schema[k].dataType.simpleString()}" for k in keys)
-    return a.select(*keys, mass).groupBy(*keys).cogroup(b.select(*keys, mass).groupBy(*keys)).applyInPandas(work, f"{kinds}, mass_a double, mass_b double")
+    return grouped(both, keys, [mass, "_side"], "mass_a double, mass_b double", work)
 
 
 # Latent-variable models: the rows of a fold or a permutation meet in one group; a model's table must fit a task, which is stated by ``fan_out``

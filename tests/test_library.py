@@ -222,3 +222,10 @@ def test_band_fits(spark):
     got = kernels.fit_bands(df, ["k"], "x", "y", [10.0, 30.0], 5.0, 5.0).orderBy("band").collect()
     assert [(round(r["height"], 3), round(r["centre"], 3), round(r["width"], 3)) for r in got] == [(3.0, 11.0, 3.0), (2.0, 27.0, 4.0)]
     assert got[0]["r2"] > 0.9999 and got[0]["area_percent"] == pytest.approx(100 * 9 / 17, abs=0.01)
+
+
+def test_greedy_alignment(spark):
+    a = spark.createDataFrame([("k", 100.0), ("k", 100.001), ("k", 200.0), ("only_a", 1.0)], "k string, m double")
+    b = spark.createDataFrame([("k", 100.0009), ("k", 100.002), ("only_b", 1.0)], "k string, m double")
+    got = sorted(tuple(r) for r in kernels.aligned(a, b, ["k"], "m", 20.0).collect())
+    assert got == [("k", 100.0, 100.0009), ("k", 100.001, 100.002)]
