@@ -7,6 +7,13 @@ the benchmark, so a question is found also when its numbers, names or units
 were changed. A match must fill the slots consistently: each value of the
 benchmark's slots stands for one value in the document.
 
+A match is judged by occurrence, that is by where in the document the item
+would begin: windows of one diagonal (place in the document less place in the
+item), or, since copies have words put in or left out, of neighbouring
+diagonals that differ by less than the item's length. Other copies and stray
+windows elsewhere in the document don't count towards it. A run is neighbouring
+windows of one diagonal.
+
 Before the join, windows are tested against a bitmap of the benchmark's hashes
 whose size is fixed (``BITMAP_BITS``); it only saves shuffling windows that
 can't match. Neither side of the join is broadcast.
@@ -19,6 +26,7 @@ id are matched like any other and reported under null.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -151,15 +159,16 @@ def windows(doc: np.ndarray, template: np.ndarray, slot: np.ndarray, n_docs: int
 
 
 def window_table(texts: DataFrame, key: str, prefix: str, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(key, n windows of the text, window number, hash, slots: raw hash of each slot in the window) for windows that the bitmap lets pass."""
+    """(key, text's own number, words and windows of the text, window number, first word, hash, slots: raw hash of each slot in the window) for windows that the bitmap lets pass."""
     small_batches(texts.sparkSession)
-    names = [key, f"{prefix}_n", f"{prefix}_w", "hash", f"{prefix}_slots"]
+    names = [key, f"{prefix}_text", f"{prefix}_words", f"{prefix}_n", f"{prefix}_w", f"{prefix}_at", "hash", f"{prefix}_slots"]
 
     def emit(ids: pa.Array, parts: list[bytes]) -> pa.RecordBatch | None:
         data = np.frombuffer(b"".join(parts), dtype=np.uint8)
         ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         doc, raw, template, slot = templates(data, ends)
         of, start, size, h = windows(doc, template, slot, len(parts))
+        words = np.bincount(doc, minlength=len(parts))
         total = np.bincount(of, minlength=len(parts))
         number = np.arange(len(of)) - (np.cumsum(total) - total)[of]
         if bitmap is not None:
@@ -167,10 +176,14 @@ def window_table(texts: DataFrame, key: str, prefix: str, bitmap: np.ndarray | N
             of, start, size, h, number = of[keep], start[keep], size[keep], h[keep], number[keep]
         if not len(of):
             return None
+        own = np.zeros(len(parts), np.int64)
+        for i in np.unique(of):
+            own[i] = int.from_bytes(hashlib.blake2b(parts[i], digest_size=8).digest(), "little", signed=True)
+        place = start - (np.cumsum(words) - words)[of]
         value = np.where(slot, raw, np.uint64(0)).view(np.int64)
         slots = [[int(v) for v, s in zip(value[a : a + k], slot[a : a + k]) if s] for a, k in zip(start, size)]
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(of)), pa.array(total[of]), pa.array(number), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))], names
+            [ids.take(pa.array(of)), *map(pa.array, (own[of], words[of], total[of], number, place, h.view(np.int64))), pa.array(slots, pa.list_(pa.int64()))], names
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +198,7 @@ def window_table(texts: DataFrame, key: str, prefix: str, bitmap: np.ndarray | N
                     parts, first, held = [], i + 1, 0
 
     kind = texts.schema[key].dataType.simpleString()
-    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, (kind, "long", "long", "long", "array<long>")))
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, (kind, *["long"] * 6, "array<long>")))
     return texts.select(F.col(key), F.col("text")).mapInArrow(run, schema)
 
 
@@ -197,13 +210,15 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
     return flags
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and benchmark item that share a window, with the figures of the match."""
+def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows (doc_id, item_id, figures of the match) for the places in a document that share windows with a benchmark item."""
     items = window_table(benchmark, "item_id", "item").distinct()
     mine = window_table(docs, "doc_id", "doc", bitmap_of(items))
-    both = mine.select("doc_id", "hash", "doc_slots").join(items, "hash")
+    both = mine.select("doc_id", "doc_text", "doc_at", "hash", "doc_slots").join(items, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    found = both.groupBy("doc_id", "item_id").agg(
+    whole = ["doc_id", "doc_text", "item_id", "item_text"]
+    lines = both.groupBy(*whole, (F.col("doc_at") - F.col("item_at")).alias("line")).agg(
+        F.max("item_words").alias("words"),
         F.max("item_n").alias("n_windows"),
         F.sort_array(F.collect_set("item_w")).alias("at"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
@@ -218,17 +233,32 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.greatest(s["most"], F.when(w == s["last"] + 1, s["now"] + 1).otherwise(1)).cast("long").alias("most"),
         ),
     )["most"]
+    # the diagonal by itself and two overlapping bands as wide as the item is long: whole copies never share a band, drifts of up to half the item always do
+    bands = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("line").alias("band")),
+        F.struct(F.lit(1).alias("kind"), F.expr("floor(line / words)").alias("band")),
+        F.struct(F.lit(2).alias("kind"), F.expr("floor(line / words + 0.5)").alias("band")),
+    )
+    found = lines.withColumn("run", run).withColumn("place", F.explode(bands)).groupBy(*whole, "place").agg(
+        F.max("n_windows").alias("n_windows"),
+        F.max("run").alias("longest_run"),
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
+        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
+    )
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     return found.select(
         "doc_id", "item_id", F.size("at").cast("long").alias("n_found"), "n_windows",
-        (F.size("at") / F.col("n_windows")).alias("coverage"), run.alias("longest_run"),
+        (F.size("at") / F.col("n_windows")).alias("coverage"), "longest_run",
         F.coalesce(F.try_divide(values, F.size("slots")), F.lit(1.0)).alias("consistency"),
     )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN, consistent: float = CONSISTENT) -> DataFrame:
-    """The matches that count as contamination."""
-    return matches(docs, benchmark).where(((F.col("coverage") >= coverage) | (F.col("longest_run") >= run)) & (F.col("consistency") >= consistent))
+    """The pairs of document and item of which an occurrence counts as contamination, with the figures of the one that covers most."""
+    figures = ["coverage", "longest_run", "consistency", "n_found", "n_windows"]
+    passed = occurrences(docs, benchmark).where(((F.col("coverage") >= coverage) | (F.col("longest_run") >= run)) & (F.col("consistency") >= consistent))
+    best = passed.groupBy("doc_id", "item_id").agg(F.max(F.struct(*figures)).alias("best"))
+    return best.select("doc_id", "item_id", *[F.col(f"best.{c}") for c in ("n_found", "n_windows", "coverage", "longest_run", "consistency")])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

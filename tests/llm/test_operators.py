@@ -212,6 +212,20 @@ def test_reparameterised_question(spark):
     assert {(0, 0), (1, 0)} <= found and not {d for d, _ in found} & {2, 3, 4, 5}
 
 
+def test_occurrences_are_judged_apart(spark):
+    item = "A train leaves the busy station at 14 km per hour and Anna walks 3 miles to meet it before the evening light fades over the hills"
+    variants = [item.replace("14", str(n)).replace("Anna", who).replace("3 miles", f"{n + 1} miles") for n, who in ((250, "Boris"), (90, "Carl"))]
+    words = item.split()
+    # windows of eight words in any order, each a fragment on its own
+    scattered = " ".join(" ".join(words[i : i + 8]) + f" {prose(i, 40)}" for i in (16, 12, 17, 13, 18, 14, 15, 11))
+    inserted = " ".join([*words[:12], "quite", "slowly", *words[12:]])
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    texts = [f"{item}. {variants[0]}.", f"{prose(1, 40)} {variants[0]}. {prose(2, 90)} {variants[1]}.", scattered, inserted]
+    rows = decontamination.leaks(documents(spark, [*texts, item, variants[0]], [0, 1, 2, 3, None, None]), bench).collect()
+    assert sorted((r["doc_id"] for r in rows), key=str) == [0, 1, 3, None]
+    assert all(r["consistency"] == 1 and r["coverage"] <= 1 for r in rows)
+
+
 def test_decontamination_stage(spark, odd, none, tmp_path):
     bench = spark.createDataFrame([(0, prose(2, 60))], "item_id long, text string")
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
