@@ -3,10 +3,11 @@
 Each text is layer zero of a worklist. A layer is scanned for secrets, then
 the encoded runs in it (percent escapes, \\u and \\x escapes, base64, and
 base64 of zlib or gzip streams) are unwrapped into new layers, until nothing
-new appears; a layer's content already seen in the same text ends a cycle.
-Every layer keeps, for each of its characters, where it starts and ends in the
-original text, so that a secret found at any depth is reported by the span of
-the original characters that encode it.
+new appears. Each distinct content is scanned and unwrapped once, which ends
+cycles; every place where it occurs is kept as an edge from the layer around it
+with a mapping of spans, and the spans of a content are handed up all edges
+until nothing changes. So a secret found at any depth is reported by the spans
+of all original characters that encode it, however often its layers recur.
 
 Decoded layers only count when they are text; a compressed stream is opened up
 to ``MAX_INFLATED`` bytes, a guard against bombs, and what is beyond it is
@@ -20,9 +21,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -42,14 +46,14 @@ MAX_INFLATED = 1 << 24
 
 _URL_RUN = re.compile(r"[A-Za-z0-9_.~+=:/&?%-]+")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-_PERCENT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|.", re.S)
+_PERCENT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _WORD_RUN = re.compile(r"[^ \n\t\r\"']+")
 _ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 Span = tuple[int, int, str]
-#: Text, and the start and end in the original of each of its characters; None for the original itself.
-Layer = tuple[str, list[int] | None, list[int] | None]
+#: From a span in a layer to the span that encodes it in the layer around it.
+Place = Callable[[int, int], tuple[int, int]]
 
 
 def scan(text: str) -> list[Span]:
@@ -73,12 +77,6 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _map(layer: Layer, a: int, b: int) -> tuple[int, int]:
-    """Span of the original that characters a to b of a layer come from."""
-    _, start, end = layer
-    return (a, b) if start is None else (start[a], end[b - 1])
-
-
 def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
     """Bytes of a zlib or gzip stream, if it is one, and whether the guard cut it short."""
     if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
@@ -91,101 +89,117 @@ def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
     return out or None, not stream.eof and bool(stream.unconsumed_tail)
 
 
-def unwrap(layer: Layer) -> tuple[list[Layer], int]:
-    """Layers one decoding deeper, and how many streams were not opened to their end."""
-    text = layer[0]
-    out: list[Layer] = []
-    unopened = 0
+def _stretches(pieces: list[tuple[int, int, int, int]]) -> Place:
+    """Place of pieces (first character here, start and end there, characters there for each here; 0: the whole piece for any)."""
+    at, start, end, step = (list(x) for x in zip(*pieces))
+
+    def place(a: int, b: int) -> tuple[int, int]:
+        p, q = bisect_right(at, a) - 1, bisect_right(at, b - 1) - 1
+        return start[p] + (a - at[p]) * step[p], start[q] + (b - at[q]) * step[q] if step[q] else end[q]
+
+    return place
+
+
+def _unescaped(text: str, lo: int, hi: int, units: re.Pattern, read: Callable[[re.Match], list[tuple[str, int, int, int]]]) -> tuple[str, Place]:
+    """Characters lo to hi with every unit replaced by what it stands for; the others stand for themselves."""
+    out, pieces, n, at = [], [], 0, lo
+    for u in units.finditer(text, lo, hi):
+        for got, a, b, step in [(text[at : u.start()], at, u.start(), 1), *read(u)]:
+            if got:
+                out.append(got), pieces.append((n, a, b, step))
+                n += len(got)
+        at = u.end()
+    if at < hi:
+        out.append(text[at:hi]), pieces.append((n, at, hi, 1))
+    return "".join(out), _stretches(pieces)
+
+
+def _percent(u: re.Match) -> list[tuple[str, int, int, int]]:
+    raw, a = unquote_to_bytes(u[0]), u.start()
+    try:
+        got = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return [(raw.decode("utf-8", "replace"), a, u.end(), 0)]
+    if len(got) == len(raw):
+        return [(got, a, u.end(), 3)]
+    at = list(accumulate((3 * len(c.encode()) for c in got), initial=a))
+    return [(c, at[i], at[i + 1], 0) for i, c in enumerate(got)]
+
+
+def _backslash(u: re.Match) -> list[tuple[str, int, int, int]]:
+    code = int(u[1] or u[2], 16)
+    return [(chr(code) if not 0xD800 <= code < 0xE000 else "\ufffd", u.start(), u.end(), 0)]
+
+
+def _decoded(got: str, first: int, size: int, where: Place) -> Place:
+    """Place of text whose bytes the base64 characters from ``first`` on, of ``size``, encode: a character comes from all characters that hold bits of it."""
+    at = None if got.isascii() else list(accumulate((len(c.encode()) for c in got), initial=0))
+
+    def place(a: int, b: int) -> tuple[int, int]:
+        a, b = (a, b) if at is None else (at[a], at[b])
+        return where(first + a * 4 // 3, min(size, first - (-b * 4 // 3)))
+
+    return place
+
+
+def _base64(token: str, where: Place, stop: int, lost: list[int]) -> Iterator[tuple[str, Place]]:
+    """What a run of base64 characters holds; the encoded stretch ends at ``stop``, after its padding."""
+    if len(token) % 4 == 1 or token.isalpha() and (token.islower() or token.isupper()):
+        return
+    try:
+        raw = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4))
+    except (binascii.Error, ValueError):
+        return
+    inner, cut = _inflate(raw)
+    lost[0] += cut
+    got = _readable(inner if inner is not None else raw)
+    if got is not None:
+        whole = where(0, 1)[0], stop
+        yield got, _decoded(got, 0, len(token), where) if inner is None else lambda a, b: whole
+
+
+def unwrap(text: str, lost: list[int]) -> Iterator[tuple[str, Place]]:
+    """Layers one decoding deeper; adds to ``lost`` how many streams were not opened to their end."""
     if "%" in text:
         for m in _URL_RUN.finditer(text):
-            if not _PERCENT.search(m[0]):
-                continue
-            chars, start, end = [], [], []
-            for u in _PERCENT_UNIT.finditer(m[0]):
-                a, b = _map(layer, m.start() + u.start(), m.start() + u.end())
-                got = unquote_to_bytes(u[0]).decode("utf-8", "replace")
-                if len(got) * 3 == len(u[0]) and u[0][0] == "%":  # single bytes: map each
-                    for i, c in enumerate(got):
-                        x, y = _map(layer, m.start() + u.start() + 3 * i, m.start() + u.start() + 3 * i + 3)
-                        chars.append(c), start.append(x), end.append(y)
-                else:
-                    chars += got
-                    start += [a] * len(got)
-                    end += [b] * len(got)
-            out.append(("".join(chars), start, end))
+            if _PERCENT.search(m[0]):
+                yield _unescaped(text, *m.span(), _PERCENT_UNIT, _percent)
     if "\\" in text:
         for m in _WORD_RUN.finditer(text):  # a secret may be escaped in part only
-            if not _ESCAPE_UNIT.search(m[0]):
-                continue
-            lo, hi = m.span()
-            chars, start, end, at = [], [], [], lo
-            for u in _ESCAPE_UNIT.finditer(text, lo, hi):
-                for i in range(at, u.start()):
-                    a, b = _map(layer, i, i + 1)
-                    chars.append(text[i]), start.append(a), end.append(b)
-                a, b = _map(layer, u.start(), u.end())
-                code = int(u[1] or u[2], 16)
-                chars.append(chr(code) if not 0xD800 <= code < 0xE000 else "�"), start.append(a), end.append(b)
-                at = u.end()
-            for i in range(at, hi):
-                a, b = _map(layer, i, i + 1)
-                chars.append(text[i]), start.append(a), end.append(b)
-            out.append(("".join(chars), start, end))
+            if _ESCAPE_UNIT.search(m[0]):
+                yield _unescaped(text, *m.span(), _ESCAPE_UNIT, _backslash)
     for m in _BASE64.finditer(text):
-        token = m[0].rstrip("=")
-        if len(token) % 4 == 1 or token.isalpha() and (token.islower() or token.isupper()):
-            continue
-        try:
-            raw = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        inner, cut = _inflate(raw)
-        unopened += cut
-        got = _readable(inner if inner is not None else raw)
-        if got is None:
-            continue
-        if inner is None:
-            # character i comes from bytes that four base64 characters in a row encode
-            start, end, at = [], [], 0
-            for c in got:
-                size = len(c.encode())
-                a, b = _map(layer, m.start() + at * 4 // 3, m.start() + min(len(token), -(-(at + size) * 4 // 3)))
-                start.append(a), end.append(b)
-                at += size
-        else:
-            a, b = _map(layer, m.start(), m.end())
-            start, end = [a] * len(got), [b] * len(got)
-        out.append((got, start, end))
-    return out, unopened
+        yield from _base64(m[0].rstrip("="), lambda a, b, at=m.start(): (at + a, at + b), m.end(), lost)
 
 
 def search(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Base spans, all spans, layers opened and streams not opened to their end."""
     base = scan(text)
-    found = dict.fromkeys(base)
-    seen = {text}
-    work: list[Layer] = [(text, None, None)]
-    layers = unopened = 0
+    found: dict[bytes, set[Span]] = {b"": set(base)}  # by content; the text itself is b""
+    edges: list[tuple[bytes, bytes, Place]] = []
+    lost = [0]
+    work = [(b"", unwrap(text, lost))]
     while work:
-        deeper, cut = unwrap(work.pop())
-        unopened += cut
-        for layer in deeper:
-            if layer[0] in seen and not _fresh(layer, found):
-                continue
-            new = layer[0] not in seen
-            seen.add(layer[0])
-            layers += new
-            for a, b, kind in scan(layer[0]):
-                found[(*_map(layer, a, b), kind)] = None
-            if new:
-                work.append(layer)
+        outer, layers = work[-1]
+        layer = next(layers, None)
+        if layer is None:
+            work.pop()
+            continue
+        inner = hashlib.blake2b(layer[0].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        edges.append((outer, inner, layer[1]))
+        if inner not in found:
+            found[inner] = set(scan(layer[0]))
+            work.append((inner, unwrap(layer[0], lost)))
+    edges.reverse()  # inner layers first
+    changed = any(found[inner] for _, inner, _ in edges)
+    while changed:
+        changed = False
+        for outer, inner, place in edges:
+            new = {(*place(a, b), kind) for a, b, kind in found[inner]} - found[outer]
+            found[outer] |= new
+            changed |= bool(new)
     order = {k: i for i, k in enumerate(KINDS)}
-    return base, sorted(found, key=lambda s: (s[0], order[s[2]], s[1])), layers, unopened
-
-
-def _fresh(layer: Layer, found: dict[Span, None]) -> bool:
-    """A layer equal to an earlier one but from elsewhere: its own spans still count."""
-    return bool(layer[0]) and any((*_map(layer, a, b), kind) not in found for a, b, kind in scan(layer[0]))
+    return base, sorted(found[b""], key=lambda s: (s[0], order[s[2]], s[1])), len(found) - 1, lost[0]
 
 
 def written(spans: list[Span]) -> str:

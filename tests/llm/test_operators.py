@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or known answers, and on odd inputs."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -112,6 +113,19 @@ def test_secret_cycles_and_length():
     assert secrets_scan.search(word)[1] == []
 
 
+def test_secret_repeated_layers(spark):
+    inner = b'password = "hunter2hunter2"'
+    once = base64.b64encode(inner)
+    for hidden in (base64.b64encode(once), base64.b64encode(gzip.compress(once, mtime=0)), quote(quote(once, safe=""), safe="").encode() if b"=" in once else base64.b64encode(base64.b64encode(once))):
+        hidden = hidden.decode()
+        text = f"one {hidden} two {hidden} three"
+        spans = secrets_scan.search(text)[1]
+        assert all(any(i <= a < b <= i + len(hidden) for a, b, _ in spans) for i in (4, text.rindex(hidden)))
+        assert secrets_scan.merged(spans)[0][1] < text.rindex(hidden) <= secrets_scan.merged(spans)[1][0]
+    row = secrets_scan.redact(documents(spark, [text])).first()
+    assert row["text"].count("[SECRET]") == 2
+
+
 def test_secret_table(spark, odd):
     rows = secrets_scan.scan_table(odd).collect()
     assert len(rows) == odd.count() and all(r["base"] == [] for r in rows)
