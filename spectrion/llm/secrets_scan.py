@@ -1,8 +1,9 @@
 """Secret scan with a decoding worklist.
 
 Each text is layer zero of a worklist. A layer is scanned for secrets, then
-the encoded runs in it (percent escapes, \\u and \\x escapes, base64, and
-base64 of zlib or gzip streams) are unwrapped into new layers, until nothing
+what is encoded in it (percent escapes and \\u and \\x escapes over the whole
+layer; base64 runs, also behind '=' or a path and over several lines, and
+base64 of zlib or gzip streams) is unwrapped into new layers, until nothing
 new appears. Each distinct content is scanned and unwrapped once, which ends
 cycles; every place where it occurs is kept as an edge from the layer around it
 with a mapping of spans, and the spans of a content are handed up all edges
@@ -44,12 +45,16 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 MAX_INFLATED = 1 << 24
 
-_URL_RUN = re.compile(r"[A-Za-z0-9_.~+=:/&?%-]+")
-_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _PERCENT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_WORD_RUN = re.compile(r"[^ \n\t\r\"']+")
 _ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: Lines of base64 that follow one another; the last may be short.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Signs of base64 that as often part words: a value may begin behind each.
+_PARTS = re.compile(r"[+/_-]")
+#: Bytes of text, enough for the shortest secret.
+_TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}){14,}")
 
 Span = tuple[int, int, str]
 #: From a span in a layer to the span that encodes it in the layer around it.
@@ -77,9 +82,22 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _packed(raw: bytes) -> bool:
+    """Whether bytes begin like a zlib or gzip stream."""
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def _opens(head: bytes) -> bool:
+    """Whether the first bytes of a stream can be inflated."""
+    try:
+        return _packed(head) and zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(head, 1 << 12) is not None
+    except zlib.error:
+        return False
+
+
 def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
     """Bytes of a zlib or gzip stream, if it is one, and whether the guard cut it short."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+    if not _packed(raw):
         return None, False
     stream = zlib.decompressobj(zlib.MAX_WBITS | 32)
     try:
@@ -100,17 +118,17 @@ def _stretches(pieces: list[tuple[int, int, int, int]]) -> Place:
     return place
 
 
-def _unescaped(text: str, lo: int, hi: int, units: re.Pattern, read: Callable[[re.Match], list[tuple[str, int, int, int]]]) -> tuple[str, Place]:
-    """Characters lo to hi with every unit replaced by what it stands for; the others stand for themselves."""
-    out, pieces, n, at = [], [], 0, lo
-    for u in units.finditer(text, lo, hi):
+def _unescaped(text: str, units: re.Pattern, read: Callable[[re.Match], list[tuple[str, int, int, int]]]) -> tuple[str, Place]:
+    """The layer with every unit replaced by what it stands for; other characters stand for themselves."""
+    out, pieces, n, at = [], [], 0, 0
+    for u in units.finditer(text):
         for got, a, b, step in [(text[at : u.start()], at, u.start(), 1), *read(u)]:
             if got:
                 out.append(got), pieces.append((n, a, b, step))
                 n += len(got)
         at = u.end()
-    if at < hi:
-        out.append(text[at:hi]), pieces.append((n, at, hi, 1))
+    if at < len(text):
+        out.append(text[at:]), pieces.append((n, at, len(text), 1))
     return "".join(out), _stretches(pieces)
 
 
@@ -131,45 +149,65 @@ def _backslash(u: re.Match) -> list[tuple[str, int, int, int]]:
     return [(chr(code) if not 0xD800 <= code < 0xE000 else "\ufffd", u.start(), u.end(), 0)]
 
 
-def _decoded(got: str, first: int, size: int, where: Place) -> Place:
-    """Place of text whose bytes the base64 characters from ``first`` on, of ``size``, encode: a character comes from all characters that hold bits of it."""
+def _decoded(got: str, first: int, size: int, where: Place, skip: int = 0) -> Place:
+    """Place of text whose bytes, ``skip`` others before them, the base64 characters from ``first`` on, of ``size``, encode: a character comes from all that hold bits of it."""
     at = None if got.isascii() else list(accumulate((len(c.encode()) for c in got), initial=0))
 
     def place(a: int, b: int) -> tuple[int, int]:
         a, b = (a, b) if at is None else (at[a], at[b])
-        return where(first + a * 4 // 3, min(size, first - (-b * 4 // 3)))
+        return where(first + (skip + a) * 4 // 3, min(size, first - (-(skip + b) * 4 // 3)))
 
     return place
 
 
-def _base64(token: str, where: Place, stop: int, lost: list[int]) -> Iterator[tuple[str, Place]]:
-    """What a run of base64 characters holds; the encoded stretch ends at ``stop``, after its padding."""
-    if len(token) % 4 == 1 or token.isalpha() and (token.islower() or token.isupper()):
-        return
-    try:
-        raw = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4))
-    except (binascii.Error, ValueError):
+def _base64(token: str, where: Place, stop: int, starts: list[int], lost: list[int]) -> Iterator[tuple[str, Place]]:
+    """What a run of base64 characters holds, as a whole and from each of ``starts``; the encoded stretch ends at ``stop``, after its padding."""
+    if token.isalpha() and (token.islower() or token.isupper()):
         return
-    inner, cut = _inflate(raw)
-    lost[0] += cut
-    got = _readable(inner if inner is not None else raw)
-    if got is not None:
-        whole = where(0, 1)[0], stop
-        yield got, _decoded(got, 0, len(token), where) if inner is None else lambda a, b: whole
+    n, plain = len(token), token.replace("-", "+").replace("_", "/")
+
+    def decode(first: int, last: int = n) -> bytes:
+        last -= (last - first) % 4 == 1
+        return base64.b64decode(plain[first:last] + "=" * (-(last - first) % 4))
+
+    def opened(first: int, raw: bytes) -> tuple[bool, str | None]:
+        inner, cut = _inflate(raw)
+        lost[0] += cut
+        return inner is not None, _readable(inner if inner is not None else raw)
+
+    if n % 4 != 1:
+        inflated, got = opened(0, decode(0))
+        if got is not None:
+            whole = where(0, 1)[0], stop
+            yield got, (lambda a, b: whole) if inflated else _decoded(got, 0, n, where)
+    for i in starts:
+        if _packed(decode(i, min(i + 4, n))) and _opens(decode(i, min(i + 256, n))):
+            inflated, got = opened(i, decode(i))
+            if inflated and got is not None:
+                yield got, lambda a, b, span=(where(i, i + 1)[0], stop): span
+    # what begins at a place decodes alike from any place four characters nearer or farther, so at most four decodings find the text behind every start
+    for phase in sorted({i % 4 for i in starts} | {0}) if starts else ():
+        for m in _TEXT.finditer(decode(phase)):
+            got = m[0].decode()
+            yield got, _decoded(got, phase, n, where, m.start())
 
 
 def unwrap(text: str, lost: list[int]) -> Iterator[tuple[str, Place]]:
     """Layers one decoding deeper; adds to ``lost`` how many streams were not opened to their end."""
-    if "%" in text:
-        for m in _URL_RUN.finditer(text):
-            if _PERCENT.search(m[0]):
-                yield _unescaped(text, *m.span(), _PERCENT_UNIT, _percent)
-    if "\\" in text:
-        for m in _WORD_RUN.finditer(text):  # a secret may be escaped in part only
-            if _ESCAPE_UNIT.search(m[0]):
-                yield _unescaped(text, *m.span(), _ESCAPE_UNIT, _backslash)
+    if "%" in text and _PERCENT_UNIT.search(text):
+        yield _unescaped(text, _PERCENT_UNIT, _percent)
+    if "\\" in text and _ESCAPE_UNIT.search(text):
+        yield _unescaped(text, _ESCAPE_UNIT, _backslash)
     for m in _BASE64.finditer(text):
-        yield from _base64(m[0].rstrip("="), lambda a, b, at=m.start(): (at + a, at + b), m.end(), lost)
+        token = m[0].rstrip("=")
+        yield from _base64(token, lambda a, b, at=m.start(): (at + a, at + b), m.end(), [p.end() for p in _PARTS.finditer(token)], lost)
+    if "\n" in text:
+        for m in _LINES.finditer(text):
+            lines = list(_LINE.finditer(text, *m.span()))
+            ends = list(accumulate(len(x[0]) for x in lines))
+            place = _stretches([(e - len(x[0]), x.start(), x.end(), 1) for x, e in zip(lines, ends)])
+            token = "".join(x[0] for x in lines)
+            yield from _base64(token, place, m.end(), sorted({*ends[:-1], *(p.end() for p in _PARTS.finditer(token))}), lost)
 
 
 def search(text: str) -> tuple[list[Span], list[Span], int, int]:

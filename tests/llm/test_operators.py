@@ -126,6 +126,30 @@ def test_secret_repeated_layers(spark):
     assert row["text"].count("[SECRET]") == 2
 
 
+def test_secret_borders_of_runs():
+    def spans(text):
+        return [text[a:b] for a, b in secrets_scan.merged(secrets_scan.search(text)[1])]
+
+    inner = "password=hunter2hunter2"
+    coded = base64.b64encode(inner.encode()).decode()
+    packed = base64.b64encode(zlib.compress(inner.encode())).decode()
+    padded = base64.b64encode(b"token: abcdefgh12345").decode()
+    for hidden in (coded, packed):
+        bare = hidden.rstrip("=")
+        for text in (f"data={hidden}", f"q=1&d={hidden}&e=2", f"https://h.org/x/{hidden}", f"https://h.org/xy/{hidden}?a=1", f"file_name-{hidden}"):
+            (got,) = spans(text)
+            assert got[1:-4] in bare and len(got) >= len(bare) - 1, text
+    assert padded.endswith("=") and len(spans(padded + coded)) >= 1 and "".join(spans(padded + coded)).count("=") <= 2
+    assert [k for _, _, k in secrets_scan.search(padded + coded)[1]] == ["assign", "assign"]
+    for text in ("p%61ssword = hunter2hunter2", "\\u0070assword = hunter2hunter2", "p%61ssword: 'hunter2hunter2'", 'p%61ssword" : "hunter2hunter2'):
+        assert [x.rstrip("'\"") for x in spans(f"so {text}")] == [text.rstrip("'\"")]
+    long = base64.encodebytes((prose(4, 30) + " " + inner + " " + prose(5, 30)).encode()).decode()
+    wrapped = base64.encodebytes(zlib.compress((prose(4, 90) + " " + inner).encode())).decode()
+    for lines in (long, wrapped, long.replace("\n", "\r\n  ")):
+        (got,) = spans(f"a key:\n{lines}\nend")
+        assert got in lines
+
+
 def test_secret_table(spark, odd):
     rows = secrets_scan.scan_table(odd).collect()
     assert len(rows) == odd.count() and all(r["base"] == [] for r in rows)
