@@ -10,9 +10,12 @@ with a mapping of spans, and the spans of a content are handed up all edges
 until nothing changes. So a secret found at any depth is reported by the spans
 of all original characters that encode it, however often its layers recur.
 
-Decoded layers only count when they are text; a compressed stream is opened up
-to ``MAX_INFLATED`` bytes, a guard against bombs, and what is beyond it is
-reported in ``n_unopened`` and not dropped silently.
+Decoded layers only count when they are text. A compressed stream is opened to
+its end, all members, in chunks that are layers of their own; a chunk ends at a
+blank and the next one repeats its last ``OVERLAP`` characters, so memory stays
+bounded. Streams that break off with an error, and those with a stretch without
+a blank of over ``LONGEST`` characters, which must be cut, are counted in
+``n_unopened``.
 
 A map over the rows without a shuffle. Defined results: a null or empty text
 has no secrets; repeated rows are scanned each; other columns are ignored.
@@ -21,7 +24,7 @@ has no secrets; repeated rows are scanned each; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -43,7 +46,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a run of 16 characters or more is matched whole either way
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-MAX_INFLATED = 1 << 24
+#: Bytes put into a compressed stream at once, few since those with an error give nothing, and taken out of it at most.
+FEED = 16
+PIECE = 1 << 20
+#: Characters of a chunk, at least; repeated from one chunk to the next; without a blank, at most.
+CHUNK = 1 << 22
+OVERLAP = 1 << 16
+LONGEST = 1 << 24
 
 _PERCENT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
@@ -78,8 +87,12 @@ def _readable(raw: bytes) -> str | None:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    odd = sum(not (c.isprintable() or c in "\n\r\t") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+    return text if _is_text(text) else None
+
+
+def _is_text(text: str) -> bool:
+    odd = 0 if text.isprintable() else sum(not (c.isprintable() or c in "\n\r\t") for c in text)
+    return bool(text) and odd * 20 <= len(text)
 
 
 def _packed(raw: bytes) -> bool:
@@ -95,16 +108,54 @@ def _opens(head: bytes) -> bool:
         return False
 
 
-def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
-    """Bytes of a zlib or gzip stream, if it is one, and whether the guard cut it short."""
-    if not _packed(raw):
-        return None, False
-    stream = zlib.decompressobj(zlib.MAX_WBITS | 32)
+def _members(raw: bytes) -> Iterator[bytes]:
+    """Bytes of the zlib or gzip streams that stand one behind the other, in pieces."""
+    at = 0
+    while at < len(raw) and _packed(raw[at : at + 3]):
+        stream = zlib.decompressobj(zlib.MAX_WBITS | 32)
+        feed = b""
+        while not stream.eof:
+            if not feed:
+                feed = raw[at : at + FEED]
+                at += len(feed)
+            ended = not feed
+            out = stream.decompress(feed, PIECE)
+            feed = stream.unconsumed_tail
+            if out:
+                yield out
+            elif ended and not stream.eof:  # broken off
+                return
+        at -= len(stream.unused_data)
+
+
+def _inflated(raw: bytes, lost: list[int]) -> Iterator[str]:
+    """Text of the streams in chunks; nothing if the bytes are none."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    held, fresh, size, some, cut_short = "", [], 0, False, False
     try:
-        out = stream.decompress(raw, MAX_INFLATED)
-    except zlib.error:
-        return None, False
-    return out or None, not stream.eof and bool(stream.unconsumed_tail)
+        for piece in _members(raw):
+            some = True
+            fresh.append(decoder.decode(piece))
+            size += len(fresh[-1])
+            if size < PIECE:
+                continue
+            held, fresh, size = held + "".join(fresh), [], 0
+            if len(held) < CHUNK:
+                continue
+            end = max(held.rfind(" "), held.rfind("\t")) + 1
+            if end < len(held) // 2:
+                if len(held) < LONGEST:
+                    continue
+                end, cut_short = len(held), True
+            if _is_text(held[:end]):
+                yield held[:end]
+            held = held[end - OVERLAP :]
+    except (zlib.error, UnicodeDecodeError) as e:
+        cut_short |= some and isinstance(e, zlib.error)
+    lost[0] += cut_short
+    held += "".join(fresh)
+    if _is_text(held):
+        yield held
 
 
 def _stretches(pieces: list[tuple[int, int, int, int]]) -> Place:
@@ -170,20 +221,16 @@ def _base64(token: str, where: Place, stop: int, starts: list[int], lost: list[i
         last -= (last - first) % 4 == 1
         return base64.b64decode(plain[first:last] + "=" * (-(last - first) % 4))
 
-    def opened(first: int, raw: bytes) -> tuple[bool, str | None]:
-        inner, cut = _inflate(raw)
-        lost[0] += cut
-        return inner is not None, _readable(inner if inner is not None else raw)
-
     if n % 4 != 1:
-        inflated, got = opened(0, decode(0))
-        if got is not None:
-            whole = where(0, 1)[0], stop
-            yield got, (lambda a, b: whole) if inflated else _decoded(got, 0, n, where)
+        raw, whole, inflated = decode(0), (where(0, 1)[0], stop), False
+        for got in _inflated(raw, lost):
+            inflated = True
+            yield got, lambda a, b: whole
+        if not inflated and (got := _readable(raw)) is not None:
+            yield got, _decoded(got, 0, n, where)
     for i in starts:
         if _packed(decode(i, min(i + 4, n))) and _opens(decode(i, min(i + 256, n))):
-            inflated, got = opened(i, decode(i))
-            if inflated and got is not None:
+            for got in _inflated(decode(i), lost):
                 yield got, lambda a, b, span=(where(i, i + 1)[0], stop): span
     # what begins at a place decodes alike from any place four characters nearer or farther, so at most four decodings find the text behind every start
     for phase in sorted({i % 4 for i in starts} | {0}) if starts else ():

@@ -150,6 +150,29 @@ def test_secret_borders_of_runs():
         assert got in lines
 
 
+def test_secret_compressed_to_the_end():
+    inner = 'password = "hunter2hunter2"'
+
+    def kinds(raw):
+        hidden = base64.b64encode(raw).decode()
+        _, found, _, unopened = secrets_scan.search(f"x {hidden} y")
+        assert all((a, b) == (2, 2 + len(hidden)) for a, b, _ in found)
+        return [k for _, _, k in found], unopened
+
+    blank = "é lorem ipsum " * 1_300_000
+    assert len(blank.encode()) > 1 << 24 and len(("x" + blank).encode()[: 1 << 24].decode(errors="ignore")) > 0
+    for text in (blank + inner, inner + "x" + blank, inner + blank):
+        assert kinds(zlib.compress(text.encode(), 1)) == (["assign"], 0)
+    # a secret where chunks meet
+    assert kinds(gzip.compress((("a " * (1 << 21))[: -len(inner) // 2] + inner + " b" * (1 << 21)).encode(), 1)) == (["assign"], 0)
+    two = gzip.compress(b"nothing here, ") + gzip.compress(inner.encode()) + zlib.compress(b" AKIA123456789012")
+    assert kinds(two) == (["assign", "access"], 0)
+    assert kinds(zlib.compress(b"q" * (1 << 25) + inner.encode(), 1))[1] == 1
+    broken = bytearray(zlib.compress((inner + prose(1, 9000)).encode()))
+    broken[-1] ^= 255
+    assert kinds(bytes(broken)) == (["assign"], 1)
+
+
 def test_secret_table(spark, odd):
     rows = secrets_scan.scan_table(odd).collect()
     assert len(rows) == odd.count() and all(r["base"] == [] for r in rows)
