@@ -18,8 +18,12 @@ Before the join, windows are tested against a bitmap of the benchmark's hashes
 whose size is fixed (``BITMAP_BITS``); it only saves shuffling windows that
 can't match. Neither side of the join is broadcast.
 
-Defined results: a null text is empty; a text or item shorter than the window
-is one window of its own length; a benchmark item without words matches
+Beside the templates, windows of the raw words, in lower case, are joined, so a
+verbatim copy is found whatever its case and however many slots it has; each of
+the two is judged by itself. An item shorter than the window is one window of
+its own length, and documents have windows of these lengths too.
+
+Defined results: a null text is empty; a benchmark item without words matches
 nothing; repeated rows of a document or an item count once; rows with a null
 id are matched like any other and reported under null.
 """
@@ -140,51 +144,65 @@ def templates(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc, raw, template, slot
 
 
-def windows(doc: np.ndarray, template: np.ndarray, slot: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: text, first word (index in all words), words and hash; windows of too many slots are left out."""
+def windows(doc: np.ndarray, value: np.ndarray, n_docs: int, sizes: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: text, first word (index in all words), words and hash.
+
+    Windows have each of ``sizes`` words; without sizes WINDOW words, or all words of a shorter text.
+    """
     count = np.bincount(doc, minlength=n_docs)
     begin = np.cumsum(count) - count
-    n = np.where(count >= WINDOW, count - WINDOW + 1, (count > 0).astype(np.int64))
-    of = np.repeat(np.arange(n_docs), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[of]
-    size = np.minimum(count[of], WINDOW)
-    padded = np.concatenate([template, np.zeros(WINDOW, np.uint64)])
-    h = np.zeros(len(start), np.uint64)
-    for k in range(WINDOW):
-        h = h * _STEP + np.where(k < size, padded[start + k], np.uint64(0))
-    slots = np.concatenate([[0], np.cumsum(slot)])
-    literal = size - (slots[start + size] - slots[start])
-    keep = literal >= np.minimum(LEAST_LITERAL, size)
-    return of[keep], start[keep], size[keep], _mix(h)[keep]
-
-
-def window_table(texts: DataFrame, key: str, prefix: str, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(key, text's own number, words and windows of the text, window number, first word, hash, slots: raw hash of each slot in the window) for windows that the bitmap lets pass."""
+    padded = np.concatenate([value, np.zeros(WINDOW, np.uint64)])
+    found = []
+    for size in sizes or range(1, WINDOW + 1):
+        chosen = count >= size if sizes or size == WINDOW else count == size
+        n = np.where(chosen, count - size + 1, 0)
+        of = np.repeat(np.arange(n_docs), n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[of]
+        h = np.zeros(len(start), np.uint64)
+        for k in range(size):
+            h = h * _STEP + padded[start + k]
+        found.append((of, start, np.full(len(of), size), _mix(h + np.uint64(size))))
+    found = [np.concatenate(x) for x in zip(*found)]
+    order = slice(None) if sizes else np.argsort(found[0], kind="stable")  # a text's windows together, to be numbered
+    return tuple(x[order] for x in found)
+
+
+def window_table(texts: DataFrame, key: str, prefix: str, bitmap: np.ndarray | None = None, sizes: list[int] | None = None) -> DataFrame:
+    """(key, text's own number, whether raw words or template, words and windows of the text, window number, first word, size, hash, slots: raw hash of each slot in the window).
+
+    Two kinds of windows stand side by side: of the template, if enough of it is literal, and of the raw words, whatever they are.
+    Only those that the bitmap, one row a kind, lets pass are returned.
+    """
     small_batches(texts.sparkSession)
-    names = [key, f"{prefix}_text", f"{prefix}_words", f"{prefix}_n", f"{prefix}_w", f"{prefix}_at", "hash", f"{prefix}_slots"]
+    names = [key, f"{prefix}_text", "is_raw", f"{prefix}_words", f"{prefix}_n", f"{prefix}_w", f"{prefix}_at", "size", "hash", f"{prefix}_slots"]
 
-    def emit(ids: pa.Array, parts: list[bytes]) -> pa.RecordBatch | None:
+    def emit(ids: pa.Array, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(parts), dtype=np.uint8)
         ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         doc, raw, template, slot = templates(data, ends)
-        of, start, size, h = windows(doc, template, slot, len(parts))
         words = np.bincount(doc, minlength=len(parts))
-        total = np.bincount(of, minlength=len(parts))
-        number = np.arange(len(of)) - (np.cumsum(total) - total)[of]
-        if bitmap is not None:
-            keep = np.nonzero(bitmap[(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])[0]
-            of, start, size, h, number = of[keep], start[keep], size[keep], h[keep], number[keep]
-        if not len(of):
-            return None
-        own = np.zeros(len(parts), np.int64)
-        for i in np.unique(of):
-            own[i] = int.from_bytes(hashlib.blake2b(parts[i], digest_size=8).digest(), "little", signed=True)
-        place = start - (np.cumsum(words) - words)[of]
-        value = np.where(slot, raw, np.uint64(0)).view(np.int64)
-        slots = [[int(v) for v, s in zip(value[a : a + k], slot[a : a + k]) if s] for a, k in zip(start, size)]
-        return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(of)), *map(pa.array, (own[of], words[of], total[of], number, place, h.view(np.int64))), pa.array(slots, pa.list_(pa.int64()))], names
-        )
+        begin = np.cumsum(words) - words
+        slots = np.concatenate([[0], np.cumsum(slot)])
+        for kind, values in enumerate((template, raw)):
+            of, start, size, h = windows(doc, values, len(parts), sizes)
+            if not kind:
+                keep = size - (slots[start + size] - slots[start]) >= np.minimum(LEAST_LITERAL, size)
+                of, start, size, h = of[keep], start[keep], size[keep], h[keep]
+            total = np.bincount(of, minlength=len(parts))
+            number = np.arange(len(of)) - (np.cumsum(total) - total)[of] if sizes is None else np.zeros(len(of), np.int64)
+            if bitmap is not None:
+                keep = np.nonzero(bitmap[kind][(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])[0]
+                of, start, size, h, number = of[keep], start[keep], size[keep], h[keep], number[keep]
+            if not len(of):
+                continue
+            own = np.zeros(len(parts), np.int64)
+            for i in np.unique(of):
+                own[i] = int.from_bytes(hashlib.blake2b(parts[i], digest_size=8).digest(), "little", signed=True)
+            # raw windows are equal word by word: no slots to check
+            value = raw.view(np.int64)
+            filled = [[int(value[i]) for i in range(a, a + k) if slot[i]] if not kind else [] for a, k in zip(start, size)]
+            columns = (own[of], np.full(len(of), kind), words[of], total[of], number, start - begin[of], size, h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *map(pa.array, columns), pa.array(filled, pa.list_(pa.int64()))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,30 +211,31 @@ def window_table(texts: DataFrame, key: str, prefix: str, bitmap: np.ndarray | N
                 parts.append((t or "").encode())
                 held += len(parts[-1])
                 if held >= SLICE or i == batch.num_rows - 1:
-                    if held and (out := emit(batch.column(0).slice(first, len(parts)), parts)) is not None:
-                        yield out
+                    if held:
+                        yield from emit(batch.column(0).slice(first, len(parts)), parts)
                     parts, first, held = [], i + 1, 0
 
     kind = texts.schema[key].dataType.simpleString()
-    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, (kind, *["long"] * 6, "array<long>")))
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, (kind, *["long"] * 8, "array<long>")))
     return texts.select(F.col(key), F.col("text")).mapInArrow(run, schema)
 
 
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """Which remainders of the hashes occur: BITMAP_BITS flags, whatever the number of hashes."""
-    bits = hashes.select((F.col("hash").bitwiseAND(BITMAP_BITS - 1)).alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)
-    flags = np.zeros(BITMAP_BITS, dtype=bool)
-    flags[bits] = True
+    """Which remainders of the hashes occur, for templates and raw words: BITMAP_BITS flags each, whatever the number of hashes."""
+    bits = hashes.select("is_raw", (F.col("hash").bitwiseAND(BITMAP_BITS - 1)).alias("bit")).distinct().toPandas().to_numpy(dtype=np.int64)
+    flags = np.zeros((2, BITMAP_BITS), dtype=bool)
+    flags[bits[:, 0], bits[:, 1]] = True
     return flags
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, figures of the match) for the places in a document that share windows with a benchmark item."""
     items = window_table(benchmark, "item_id", "item").distinct()
-    mine = window_table(docs, "doc_id", "doc", bitmap_of(items))
-    both = mine.select("doc_id", "doc_text", "doc_at", "hash", "doc_slots").join(items, "hash")
+    sizes = sorted({WINDOW, *(r["size"] for r in items.select("size").distinct().collect())})
+    mine = window_table(docs, "doc_id", "doc", bitmap_of(items), sizes)
+    both = mine.select("doc_id", "doc_text", "is_raw", "doc_at", "size", "hash", "doc_slots").join(items, ["is_raw", "size", "hash"])
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    whole = ["doc_id", "doc_text", "item_id", "item_text"]
+    whole = ["doc_id", "doc_text", "item_id", "item_text", "is_raw"]
     lines = both.groupBy(*whole, (F.col("doc_at") - F.col("item_at")).alias("line")).agg(
         F.max("item_words").alias("words"),
         F.max("item_n").alias("n_windows"),

@@ -287,6 +287,14 @@ def test_occurrences_are_judged_apart(spark):
     assert all(r["consistency"] == 1 and r["coverage"] <= 1 for r in rows)
 
 
+def test_verbatim_copies_always_match(spark):
+    items = ["What is 12 times 7?", "Anna, Boris, Carl and Dora pay 12 kg, 13 kg, 14 kg and 15 kg to Emil, Fritz, Gustav and Hans in Berlin, Hamburg and Ulm", "In Paris Marie Curie met Albert Einstein and Max Planck while Niels Bohr and Lise Meitner went to Vienna by train"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"{prose(i, 40)}. {t} {prose(9 - i, 40)}" for i, t in enumerate([*items, items[1].lower(), items[2].upper(), "What is 13 times 7?"])]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(documents(spark, [*texts, items[0]]), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 1), (4, 2), (6, 0)}
+
+
 def test_decontamination_stage(spark, odd, none, tmp_path):
     bench = spark.createDataFrame([(0, prose(2, 60))], "item_id long, text string")
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
