@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from spectrion.session import let_workers_import
 #: White space of the word contracts: blank and the controls 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch. Texts may be long, so a batch must stay small.
-BATCH_ROWS = 500
+#: Bytes in one Arrow batch, but for a longer row. Texts may be long, so a batch must stay small.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Bits of a filter of keys: about 2 MB when broadcast.
 FILTER_BITS = 1 << 23
@@ -36,9 +39,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python task holds, and let its worker import this package."""
+    """Bound what a Python task holds, and let its worker import this package.
+
+    Spark reads the bound when a plan runs, so it stays set; it changes no
+    result, and a lower bound of the session's own is left as it is.
+    """
     let_workers_import(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if int(spark.conf.get(_BATCH, str((1 << 31) - 1))) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def fixed_filter(keys: DataFrame) -> DataFrame:
@@ -55,13 +63,49 @@ def maybe_in(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return rows.withColumn("word", word).join(F.broadcast(bits), "word", "left").withColumn("maybe", hit).drop("word", "bits")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the context was given.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a
-    temporary one is set only where the session has none (local tests).
+    A temporary folder is set only where a local session has none; a cluster
+    without one is an error, since a lost machine would take its data along.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spectrion-"))
+        named = sc.getCheckpointDir()
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read again; smaller than a checkpoint and read by column."""
+    path = posixpath.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: A key counts as heavy with more than this share of all rows, so there are at most so many heavy keys.
+HEAVY = 10_000
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or semi join of rows with distinct keys, no key's rows in one task.
+
+    ``weight`` is the number of rows that a key has; the keys with more than a
+    ``HEAVY``th of ``total`` are ``HEAVY`` at most and are broadcast, so that
+    their rows stay where they are; the rest is shuffled.
+    """
+    heavy = F.broadcast(keys.where(F.col(weight) > total // HEAVY + 1))
+    light = keys.where(F.col(weight) <= total // HEAVY + 1)
+    rest = rows.join(heavy.select(*on), on, "left_anti")
+    return rows.join(heavy, on, how).unionByName(rest.join(light, on, how))

@@ -25,6 +25,12 @@ Counts have partial sums before each shuffle, so a passage shared by any
 number of documents is no hot group. Texts are shuffled twice, and only those
 that a filter of fixed size cannot rule out. Hashes compare by 128 bits.
 
+``LENGTH`` bytes are some sixty words. Shorter passages aren't removed, but
+``shares_passage`` tells which documents hold ``PASSAGE`` words or more in a
+row that another document holds too. It is found the same way in words: runs
+by anchors of ``PASSAGE_GRAM`` words, counted by documents, and where an
+anchor's contents differ, counts of each ``PASSAGE`` words around it.
+
 Defined results: a null text is empty; a text shorter than ``LENGTH`` bytes
 loses nothing; each repeated row is a document of its own, so that exact
 copies of ``LENGTH`` bytes or more lose all their bytes; other columns are
@@ -42,12 +48,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fixed_filter, maybe_in, small_batches, table
+from .common import cut, fixed_filter, maybe_in, small_batches, spread_join, stored, table
 
 LENGTH = 400
 GRAM = 200
 CELL = 16
 
+#: Words of a passage, and of its anchor.
+PASSAGE = 50
+PASSAGE_GRAM = 16
+
 #: Different contents of one anchor that a task aligns.
 CROWD = 4096
 
@@ -73,10 +83,15 @@ def _values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _symbols(data: np.ndarray, seed: int) -> np.ndarray:
+    """A random odd number for each byte or, of words, for each word's hash."""
+    return _values(seed)[data] if data.dtype == np.uint8 else _mix(data + _values(seed)[0]) | np.uint64(1)
+
+
 def gram_hashes(data: np.ndarray, size: int, base: int = _A) -> np.ndarray:
-    """Hash of the ``size`` bytes that start at each place, by doubling."""
+    """Hash of the ``size`` symbols that start at each place, by doubling."""
     power, width = np.uint64(base), 1
-    block, out, done = _values(1)[data], None, 0
+    block, out, done = _symbols(data, 1), None, 0
     left = size
     while left:
         if left & 1:
@@ -97,12 +112,12 @@ def gram_hashes(data: np.ndarray, size: int, base: int = _A) -> np.ndarray:
 
 
 class Ranges:
-    """Hashes of arbitrary ranges of bytes, by prefix sums."""
+    """Hashes of arbitrary ranges of symbols, by prefix sums."""
 
     def __init__(self, data: np.ndarray, base: int = _B, seed: int = 2):
         n = len(data) + 1
         self.up, self.down = _powers(base, n)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_values(seed)[data] * self.up[: len(data)], dtype=np.uint64)])
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_symbols(data, seed) * self.up[: len(data)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(_A))
@@ -133,30 +148,43 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of texts laid end to end: text, first start in it, starts, place of the anchor after the first start, hash of the anchor and of the content.
 
     ``ends`` has 0 and the end of each text.
     """
     size = len(data)
-    if size < LENGTH:
+    if size < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
-    grams = gram_hashes(data, GRAM)
+    grams = gram_hashes(data, gram)
     ordered = grams & ~_LOW | np.arange(len(grams), dtype=np.uint64)
-    anchor = (least(ordered, LENGTH - GRAM + 1) & _LOW).astype(np.int64)
+    anchor = (least(ordered, length - gram + 1) & _LOW).astype(np.int64)
     lengths = np.diff(ends)
-    doc = np.repeat(np.arange(len(lengths)), lengths)[: size - LENGTH + 1]
-    at = np.nonzero(np.arange(size - LENGTH + 1) + LENGTH <= ends[1:][doc])[0]
+    doc = np.repeat(np.arange(len(lengths)), lengths)[: size - length + 1]
+    at = np.nonzero(np.arange(size - length + 1) + length <= ends[1:][doc])[0]
     if not len(at):
-        return runs(data[:0], ends[:1])
+        return runs(data[:0], ends[:1], length, gram)
     anchor, doc = anchor[at], doc[at]
     new = np.nonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))[0]
     start, last = at[new], np.concatenate([at[new[1:] - 1], at[-1:]])
     place = anchor[new] - start
-    content = Ranges(data).of(start, last + LENGTH) ^ _mix(place.astype(np.uint64))
+    content = Ranges(data).of(start, last + length) ^ _mix(place.astype(np.uint64))
     return doc[new], start - ends[doc[new]], last - start + 1, place, grams[anchor[new]], content
 
 
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of texts laid end to end, and 0 and the number of words up to each text's end."""
+    full = ~_BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    begin = np.nonzero(full & (edge[:-1] | ~np.concatenate([[False], full[:-1]])))[0]
+    stop = np.nonzero(full & (edge[1:] | ~np.concatenate([full[1:], [False]])))[0] + 1
+    return Ranges(data).of(begin, stop), np.searchsorted(begin, ends)
+
+
 def per_text(docs: DataFrame, work: Callable, schema: str, names: list[str]) -> DataFrame:
     """Hand the texts of (doc, text, ...) to ``work(bytes of texts, ends, batch rows)`` in slices; it returns (row numbers, arrays)."""
     small_batches(docs.sparkSession)
@@ -196,42 +224,75 @@ def _count(at: str) -> Column:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """Distinct (coarse, fine) of (doc, at, coarse, fine) whose coarse hash occurs twice or more: the pair's count n and one of its rows, the coarse hash's number of pairs, and whether one of them occurs once."""
-    order = F.xxhash64("doc", "at")
-    fine = rows.groupBy("coarse", "fine").agg(F.count("*").alias("n"), F.min_by("doc", order).alias("doc"), F.min_by("at", order).alias("at"))
-    coarse = fine.groupBy("coarse").agg(F.sum("n").alias("total"), F.min("n").alias("fewest"), F.count("*").alias("contents")).where("total > 1").select("coarse", "contents", (F.col("fewest") == 1).alias("open"))
-    return cut(fine.join(coarse, "coarse"))
+    """Distinct (coarse, fine) of (doc, at, coarse, fine) whose coarse hash occurs twice or more.
+
+    With the pair's count n, its least and last doc and a place in the least
+    one; and of the coarse hash the number of its pairs, its least and last doc
+    (low, high) and whether one of the pairs occurs once (open) or in one
+    document only (apart).
+    """
+    fine = rows.groupBy("coarse", "fine").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.max("doc").alias("last"), F.min_by("at", "doc").alias("at"))
+    coarse = fine.groupBy("coarse").agg(
+        F.sum("n").alias("total"), F.count("*").alias("contents"), F.min("doc").alias("low"), F.max("last").alias("high"),
+        (F.min("n") == 1).alias("open"), F.max(F.col("doc") == F.col("last")).alias("apart"),
+    ).where("total > 1").drop("total")
+    fine, coarse = stored(fine), stored(coarse)
+    return stored(spread_join(fine, coarse, ["coarse"], "contents", fine.count()))
 
 
 def whole(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc, at) of the rows whose content occurs twice or more."""
-    return rows.join(known.where("n > 1").select("coarse", "fine"), ["coarse", "fine"], "left_semi").select("doc", "at")
+    """(doc, at) of the rows whose content is known."""
+    return spread_join(rows, known.select("coarse", "fine", "n"), ["coarse", "fine"], "n", rows.count(), "left_semi").select("doc", "at")
 
 
 _ROWS = "doc long, at long, coarse long, fine long"
 
 
 def _runs_of(docs: DataFrame) -> DataFrame:
-    def work(data, ends, rows):
-        doc, start, n, _, coarse, fine = runs(data, ends)
-        return doc, (places(start, n), _signed(coarse), _signed(fine))
+    """Rows of the runs whose anchor occurs twice or more, in the shared folder; the lowest bit of ``coarse`` tells runs of words from those of bytes."""
 
-    return per_text(docs, work, _ROWS, ["doc", "at", "coarse", "fine"])
-
-
-def _edges(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
-    """(doc, at, text, coarse, contents): the bytes of the given runs, checkpointed."""
-    lists = cut(open_runs.groupBy("doc").agg(F.collect_set(F.struct("at", "coarse", "contents")).alias("runs")))
+    def work(data, ends, rows):
+        found = []
+        for kind, (symbols, bounds, size, gram) in enumerate(((data, ends, LENGTH, GRAM), (*words(data, ends), PASSAGE, PASSAGE_GRAM))):
+            doc, start, n, _, coarse, fine = runs(symbols, bounds, size, gram)
+            found.append((doc, places(start, n), _signed(coarse & ~np.uint64(1) | np.uint64(kind)), _signed(fine)))
+        doc, *columns = (np.concatenate(x) for x in zip(*found))
+        return doc, columns
+
+    every = stored(per_text(docs, work, _ROWS, ["doc", "at", "coarse", "fine"]))
+    again = stored(every.groupBy("coarse").count().where("count > 1"))
+    return stored(spread_join(every, again, ["coarse"], "count", every.count(), "left_semi"))
+
+
+def _edges(docs: DataFrame, open_runs: DataFrame, open_words: DataFrame) -> DataFrame:
+    """The bytes of the given runs, as (doc, at, text, coarse, contents), and the windows of the given runs of words, as (doc, coarse: hash, contents: 0); checkpointed."""
+    both = open_runs.select("doc", "at", "coarse", "contents").unionByName(open_words.select("doc", "at", F.lit(0).cast("long").alias("coarse"), F.lit(0).cast("long").alias("contents")))
+    lists = cut(both.groupBy("doc").agg(F.collect_set(F.struct("at", "coarse", "contents")).alias("runs")))
     near = maybe_in(docs, fixed_filter(lists)).where("maybe").select("doc", "text").dropDuplicates(["doc"]).join(lists, "doc")
 
     def work(data, ends, rows):
         of, at, text, coarse, contents = [], [], [], [], []
+        begin, count = [], []
+        value, bounds = words(data, ends)
         for i, found in enumerate(rows.column(2).to_pylist()):
             for x in found:
-                a, n = int(ends[i]) + x["at"] // LENGTH, x["at"] % LENGTH + 1
-                of.append(i), at.append(x["at"]), text.append(data[a : a + n - 1 + LENGTH].tobytes())
-                coarse.append(x["coarse"]), contents.append(x["contents"])
-        return np.array(of, np.int64), (np.array(at, np.int64), pa.array(text, pa.binary()), np.array(coarse, np.int64), np.array(contents, np.int64))
+                a, n = x["at"] // LENGTH, x["at"] % LENGTH + 1
+                if x["contents"]:
+                    a += int(ends[i])
+                    of.append(i), at.append(x["at"]), text.append(data[a : a + n - 1 + LENGTH].tobytes())
+                    coarse.append(x["coarse"]), contents.append(x["contents"])
+                else:
+                    begin.append((i, a + int(bounds[i]))), count.append(n)
+        n_runs = len(of)
+        if begin:
+            which, start = np.array(begin).T
+            n = np.array(count)
+            start = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            windows, first = np.unique(np.stack([np.repeat(which, n).view(np.uint64), Ranges(value).of(start, start + PASSAGE)]), axis=1, return_index=True)
+            of, coarse = [*of, *np.repeat(which, n)[first]], [*coarse, *_signed(windows[1])]
+        rest = len(of) - n_runs
+        columns = (pa.array([*at, *[0] * rest], pa.int64()), pa.array([*text, *[None] * rest], pa.binary()), np.array(coarse, np.int64), np.array([*contents, *[0] * rest], np.int64))
+        return np.array(of, np.int64), columns
 
     return cut(per_text(near, work, "doc long, at long, text binary, coarse long, contents long", ["doc", "at", "text", "coarse", "contents"]))
 
@@ -365,18 +426,27 @@ def _strings_of(edges: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(doc, spans): for each document that loses bytes, arrays of (start, end) that cover them; input (doc, text binary)."""
-    runs_ = _runs_of(docs)
-    known = counted(runs_)
-    edges = _edges(docs, known.where("open").select("doc", "at", "coarse", "contents"))
+    """(doc, spans, shares_passage): for each document that loses bytes, arrays of (start, end) that cover them, and the documents that share a passage; input (doc, text binary)."""
+    every = _runs_of(docs)
+    known = counted(every)
+    in_words = F.col("coarse").bitwiseAND(1) == 1
+    contents = known.where(in_words & (F.col("low") != F.col("high")))
+    near = _edges(docs, known.where(~in_words & F.col("open")), contents.where("apart"))
+    edges, windows = near.where("contents > 0"), near.where("contents = 0").select("doc", "coarse")
     crowded = edges.where(F.col("contents") > crowd).select("doc", "at", "text")
-    cells = _cells_of(crowded)
+    cells = cut(_cells_of(crowded))
     inner = counted(cells)
-    strings = _strings_of(crowded, inner.where("open").select("doc", "at"))
-    alike = strings.groupBy("coarse", "fine").agg(F.count("*").alias("n"))
-    found = whole(runs_, known).unionByName(_stretches(edges.where(F.col("contents") <= crowd)))
-    found = found.unionByName(_cell_places(whole(cells, inner))).unionByName(whole(strings, alike))
-    return found.groupBy("doc").agg(F.collect_set(F.struct(_start("at").alias("start"), (_start("at") + _count("at") - 1 + LENGTH).alias("end"))).alias("spans"))
+    strings = cut(_strings_of(crowded, inner.where("open").select("doc", "at")))
+    alike = strings.groupBy("coarse", "fine").agg(F.count("*").alias("n")).where("n > 1")
+    found = whole(every.where(~in_words), known.where(~in_words & (F.col("n") > 1))).unionByName(_stretches(edges.where(F.col("contents") <= crowd)))
+    found = found.unionByName(_cell_places(whole(cells, inner.where("n > 1")))).unionByName(whole(strings, alike))
+    # a window of words counts where another document has it, be it in a run that others share whole or not
+    common = windows.groupBy("coarse").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first <> last").select("coarse", "n")
+    sharing = whole(every.where(in_words), contents.where("doc <> last")).select("doc")
+    sharing = sharing.unionByName(spread_join(windows, common, ["coarse"], "n", windows.count(), "left_semi").select("doc"))
+    span = F.struct(_start("at").alias("start"), (_start("at") + _count("at") - 1 + LENGTH).alias("end"))
+    marks = found.select("doc", span.alias("span"), F.lit(False).alias("shares")).unionByName(sharing.select("doc", F.lit(None).cast("struct<start:bigint,end:bigint>").alias("span"), F.lit(True).alias("shares")).distinct())
+    return marks.groupBy("doc").agg(F.collect_set("span").alias("spans"), F.max("shares").alias("shares_passage"))
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -386,13 +456,13 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = True, crowd: int = CROWD) -> DataFrame:
-    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, unless left out, the kept bytes."""
+    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256, shares_passage and, unless left out, the kept bytes."""
     mine = keyed(docs, key, text)
-    spans = cut(repeated(mine.select("doc", "text"), crowd))
-    flagged = maybe_in(mine, fixed_filter(spans))
-    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
+    marks = cut(repeated(mine.select("doc", "text"), crowd))
+    flagged = maybe_in(mine, fixed_filter(marks))
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage"] + ["kept"] * with_bytes
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean" + ", kept binary" * with_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,12 +475,12 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes:
                 left = b"".join([*kept, whole[at:]])
                 rows.append((len(whole), len(whole) - len(left), n, hashlib.sha256(left).hexdigest(), left))
             a, b, n, h, left = zip(*rows) if rows else ((),) * 5
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (a, b, n)), pa.array(h, pa.string())]
+            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (a, b, n)), pa.array(h, pa.string()), batch.column(3)]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(left, pa.binary())] * with_bytes, names)
 
     small_batches(docs.sparkSession)
-    clean = flagged.where("NOT maybe").select(key, "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    dirty = flagged.where("maybe").select("doc", key, "text").join(spans, "doc", "left").select(key, "text", "spans")
+    clean = flagged.where("NOT maybe").select(key, "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(False).alias("shares_passage"))
+    dirty = flagged.where("maybe").select("doc", key, "text").join(marks, "doc", "left").select(key, "text", "spans", F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"))
     return clean.mapInArrow(run, schema).unionByName(dirty.mapInArrow(run, schema))
 
 

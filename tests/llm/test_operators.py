@@ -228,6 +228,31 @@ def test_components_with_crowded_roots(spark, part, monkeypatch):
     assert [got[i] for i in range(len(codes))] == brute_components(codes)
 
 
+@pytest.mark.parametrize("split", [5, 6, 8])
+def test_masks_lose_no_link(split):
+    r = random.Random(split)
+    masks = simhash.masks(split)
+    assert len(masks) == {5: 5, 6: 15, 8: 70}[split]
+    for _ in range(500):
+        differ = sum(1 << b for b in r.sample(range(64), 4))
+        assert any(not m & differ for m in masks)
+
+
+def test_components_with_more_roots(spark):
+    r = random.Random(3)
+    centres = [r.getrandbits(64) for _ in range(20)]
+    codes = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for c in centres for _ in range(6)})
+    df = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
+    few, many = ({(x["u"], x["root"]) for x in simhash.components(simhash.links(df, split=n)).collect()} for n in (5, 8))
+    assert few == many and few
+
+
+def test_simhash_stage_judges_texts_apart(spark):
+    a, b = prose(1, 200), prose(2, 200)
+    docs = documents(spark, [a, a, b, b, b], [1, 5, 5, 7, 5])
+    assert sorted((r["doc_id"], r["text"] == a) for r in simhash.stage(spark, docs, "").collect()) == [(1, True), (5, False)]
+
+
 def test_simhash_stage(spark, odd):
     out = simhash.stage(spark, odd, "").collect()
     ids = [r["doc_id"] for r in out]
@@ -350,6 +375,30 @@ def test_repeated_bytes(spark, seed, crowd):
     assert all(x["n_bytes"] == len(t.encode()) and len(x["kept"]) == x["n_bytes"] - x["n_removed"] for x, t in zip(rows, texts))
 
 
+def brute_passages(texts, size=50):
+    seen = {}
+    for d, t in enumerate(texts):
+        w = (t or "").encode().split()
+        for i in range(len(w) - size + 1):
+            seen.setdefault(b" ".join(w[i : i + size]), set()).add(d)
+    return {d for docs in seen.values() if len(docs) > 1 for d in docs}
+
+
+def test_shared_passages(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (49, 50, 51, 60, 75, 140)]
+    texts = [f"{text(r.randint(0, 90))} {p}\n{text(r.randint(0, 90))}" for p in passages for _ in range(2)]
+    twice = text(70)
+    texts += [f"{twice} {text(9)} {twice}", text(300), "", None, "a " * 400, "b " * 400, "\t".join(passages[4].split()), f"{passages[2]} {passages[3]}"]
+    # one anchor, many contents: parts of a passage in other surroundings
+    long = text(120).split()
+    texts += [" ".join([text(30), *long[a : a + n], text(30)]) for a, n in ((0, 55), (3, 52), (20, 49), (30, 60), (60, 48), (35, 50))]
+    rows = suffix_dedup.remove(documents(spark, texts)).collect()
+    assert {x["doc_id"] for x in rows if x["shares_passage"]} == brute_passages(texts)
+
+
 def test_repeated_bytes_odd(spark, odd, none):
     assert suffix_dedup.remove(none).count() == 0
     got = [(r["doc_id"], r["n_bytes"] - r["n_removed"]) for r in suffix_dedup.remove(odd).collect()]
