@@ -1,10 +1,14 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Fingerprints are computed in a map over the documents. The distinct ones are
-dealt to index roots: a root is a mask of shared bits (one of five blocks of
+dealt to index roots: a root is a mask of shared bits (some of the blocks of
 the 64) and their pattern. Two fingerprints that differ in at most four bits
-agree on one block at least, so each link meets under some root, and a row
-per root and fingerprint is all that is shuffled.
+agree on all blocks but four at least, so each link meets under some root, and
+a row per root and fingerprint is all that is shuffled. The number of blocks
+follows the number of fingerprints, so that a root of random ones stays small
+at any size: five blocks (5 roots of 12 or 13 bits) up to ``FEW`` of them, six
+(15 roots of 21 or 22 bits) up to a thousand times as many, eight (70 roots of
+32 bits) beyond. Every choice finds every link.
 
 Under a root, fingerprints lie in Gray order (neighbours differ in few bits)
 and are packed into nodes of ``FANOUT``, level by level. A node holds the mask
@@ -25,13 +29,14 @@ their component's smallest known doc_id, or null where there is none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small_batches, table
+from .common import cut, fixed_filter, maybe_in, small_batches, spread_join, table
 
 SHINGLE = 4
 SEED = 42
@@ -43,6 +48,9 @@ FANOUT = 32
 #: Fingerprints in one part of a crowded root.
 PART = 8192
 
+#: Fingerprints up to which a root needs few bits: about PART in a root of five blocks.
+FEW = 1 << 25
+
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """64-bit SimHash of the text's word shingles; ASCII letters in lower case."""
@@ -79,11 +87,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, fp long")
 
 
-def blocks(limit: int = LIMIT) -> list[tuple[int, int]]:
-    """(shift, width) of limit + 1 blocks that make up the 64 bits."""
-    n = limit + 1
-    widths = [64 // n + (i < 64 % n) for i in range(n)]
-    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+def masks(n_blocks: int, limit: int = LIMIT) -> list[int]:
+    """Masks of the bits that a root shares: all blocks but ``limit`` of ``n_blocks`` that make up the 64 bits."""
+    widths = [64 // n_blocks + (i < 64 % n_blocks) for i in range(n_blocks)]
+    block = [((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)]
+    return [sum(chosen) for chosen in combinations(block, n_blocks - limit)]
+
+
+def n_blocks(codes: int, limit: int = LIMIT) -> int:
+    """Blocks for so many fingerprints."""
+    return limit + (1 if codes <= FEW else 2 if codes <= 1000 * FEW else 4)
 
 
 def gray_rank(code: Column) -> Column:
@@ -173,17 +186,18 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
 
 
-def links(codes: DataFrame, limit: int = LIMIT, part: int = PART) -> DataFrame:
+def links(codes: DataFrame, limit: int = LIMIT, part: int = PART, *, split: int | None = None) -> DataFrame:
     """Edges (u, v) whose components are those of all links among the distinct codes in column ``fp``."""
     spark = codes.sparkSession
     small_batches(spark)
-    roots = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).alias("value")) for i, (s, w) in enumerate(blocks(limit))]
+    total = codes.count()
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(split or n_blocks(total, limit), limit)]
+    roots = [F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(signed)]
     dealt = codes.select("fp", F.explode(F.array(*roots)).alias("r")).select("fp", "r.block", "r.value")
-    # at most a row for each block and value, 36,864 of them for limit 4
-    crowd = dealt.groupBy("block", "value").count().where(F.col("count") > 1).select("block", "value", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    crowd = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
     own = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.col("parts")).cast("int")
     tasks = (
-        dealt.join(F.broadcast(crowd), ["block", "value"])
+        spread_join(dealt, cut(crowd), ["block", "value"], "n", total * len(signed))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("fp", "block", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
@@ -237,11 +251,12 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(fps: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """(key, fp, component_id) for each row of (key, fp)."""
     fps = cut(fps)  # two numbers a row; without it each text would be shingled twice
-    distinct = cut(fps.groupBy("fp").agg(F.min(key).alias("least")))
+    distinct = cut(fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     linked = components(links(distinct.select("fp"), limit))
-    rooted = distinct.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    rooted = cut(distinct.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    found = spread_join(rooted, cut(smallest), ["root"], "members", distinct.count()).select("fp", "n", "component_id")
+    return spread_join(fps, cut(found), ["fp"], "n", fps.count()).select(key, "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,10 +265,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays, once; rows without doc_id stay."""
-    kept = classes(fingerprints(docs)).where("doc_id = component_id").select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    place = fresh(docs, "_rank")
-    known = docs.join(kept, "doc_id", "left_semi").withColumn(place, rank).where(F.col(place) == 1).drop(place)
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
-
+    """Pipeline stage: of each component one document stays, that with the smallest doc_id; rows without doc_id stay.
+
+    Rows count by doc_id and text, so different texts under one doc_id are
+    judged apart; of the smallest doc_id's texts the one with the least hash
+    stays, and of repeated rows one. Only rows that may go are shuffled.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    own = F.xxhash64("doc_id", "text")
+    found = classes(fingerprints(known.select(F.struct("doc_id", own.alias("doc")).alias("key"), "text"), "key"), "key")
+    state = found.groupBy(F.col("key.doc").alias("doc")).agg(F.max(F.col("key") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    doubtful = cut(state.where("NOT stays OR n > 1").select("doc", "stays"))
+    rows = maybe_in(known.select(F.struct(*docs.columns).alias("row"), own.alias("doc")), fixed_filter(doubtful))
+    judged = rows.where("maybe").select("row", "doc").join(doubtful, "doc", "left")
+    repeated = judged.where("stays").groupBy("doc").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in docs.columns])).alias("row"))
+    out = rows.where("NOT maybe").select("row").unionByName(judged.where("stays IS NULL").select("row")).unionByName(repeated.select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
