@@ -453,6 +453,18 @@ def test_pii(spark, odd):
     assert [(s["kind"], s["start"], s["score"]) for s in found] == [("iban", 8, 1.1)]
 
 
+def test_pii_context(spark):
+    texts = ["shipping 1.2.3.4 now", "host 1.2.3.4", "1.2.3.4 is the server", "version 1.2.3.4", "account DE89 3704 0044 0532 0130 00", "konto: DE89 3704 0044 0532 0130 01"]
+    rows = pii.scan(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [[(s["kind"], s["start"], s["score"]) for s in r["pii"]] for r in rows] == [[("ip", 9, 0.6)], [("ip", 5, 0.8)], [("ip", 0, 0.8)], [("ip", 8, 0.4)], [("iban", 8, 1.1)], []]
+
+
+def test_pii_in_long_texts(spark):
+    n = 40_000
+    row = pii.scan(documents(spark, [" ".join(f"é{i}.x@mail.org" for i in range(n))])).select(F.size("pii").alias("n"), F.col("pii")[n - 1]["end"].alias("end"), F.length("text").alias("size")).first()
+    assert (row["n"], row["end"]) == (n, row["size"])
+
+
 # URL filters
 
 
