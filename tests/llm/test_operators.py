@@ -494,6 +494,50 @@ def test_html_rules():
     assert html_extract.Page("<b>" * 5000 + "deep").text() == "deep"
 
 
+@pytest.mark.parametrize("around", ['<div class="article-search-results">', '<div class="social-history">', '<div id="alert-story">', '<section class="form-and-function">', '<div class="modal">', '<div class="ad"><article>'])
+def test_html_names_around_main_text(around):
+    assert html_extract.Page(f"<body><nav>n</nav>{around}<p>body text</p></div></body>").text() == "body text"
+
+
+def test_html_structure():
+    text = lambda html: html_extract.Page(html).text()
+    assert text("<main><p>a</p></main><article>teaser</article>") == "a"
+    assert text("<main><div>before</div><article><ul><li>x<li>y</ul></article></main>") == "x\ny"
+    assert text('<article>a<article class="comment">c</article><div class="comments-list">d</div><div class="listing">e</div></article>') == "a\ne"
+    for raw in ("noscript", "template", "textarea", "title", "iframe"):
+        assert text(f"<div><{raw}>one</div><p>two") == "one\ntwo"
+    assert text("<div><script>var x = 1;</div><p>two") == "two"
+    assert text('<div class="cookie-notice">c</div><div class="site-header">h</div><p>t') == "t"
+
+
+def test_html_articles_keep_lists(spark):
+    page = "<body><article><h1>story {0}</h1><ul><li>one</li></ul><p>again</p></article></body>"
+    df = spark.createDataFrame([(i, "http://h.org/", page.format(i)) for i in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_extract.extract(df).collect()} == {f"story {i}\none\nagain" for i in range(9)}
+
+
+def brute_templates(pages, least=5, share=0.1):
+    """Paragraphs, one element each, of pages given as (host, paragraphs): those on many different pages of the host go."""
+    seen, every = {}, {}
+    for host, parts in pages:
+        every.setdefault(host, set()).add("\n".join(parts))
+        for p in parts:
+            seen.setdefault((host, p), set()).add("\n".join(parts))
+    gone = {k for k, v in seen.items() if len(v) >= max(least, share * len(every[k[0]]))}
+    return ["\n".join(p for p in parts if (host, p) not in gone) for host, parts in pages]
+
+
+def test_html_templates_by_share(spark):
+    r = random.Random(2)
+    tags = ("p", "h2", "div", "blockquote", "section")
+    common = [prose(i, 6) for i in range(30)]
+    pages = [(f"h{min(i % 4, 2)}.org", [r.choice(common) if r.random() < 0.5 else prose(1000 + 10 * i + k, 9) for k in range(r.randint(1, 6))]) for i in range(160)]
+    html = ["<body>" + "".join(f"<{t}>{p}</{t}>" for p in parts for t in [tags[len(p) % 5]]) + "</body>" for _, parts in pages]
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, ((h, _), x) in enumerate(zip(pages, html))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert [got[i] for i in range(len(pages))] == brute_templates(pages) and brute_templates(pages) != ["\n".join(p) for _, p in pages]
+
+
 def test_html_templates(spark):
     box = "<div><p>Subscribe now</p></div>"
     pages = [(i, f"http://h.org/{i}", f"<body>{box}<div><p>story number {i} {prose(i, 30)}</p></div></body>") for i in range(8)]
