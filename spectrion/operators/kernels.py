@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,86 +137,6 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str], mass: str, ppm: float)
     return grouped(both, keys, [mass, "_side"], "mass_a double, mass_b double", work)
 
 
-# Latent-variable models: the rows of a fold or a permutation meet in one group; a model's table must fit a task, which is stated by ``fan_out``
-
-
-def fan_out(samples: DataFrame, repeats: int, name: str, bound: int = 1_000_000) -> DataFrame:
-    """The samples once for each repeat; refused beyond ``bound`` samples, as a model's samples meet in one task."""
-    if samples.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} samples for one model")
-    return samples.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-
-
-def pls1(x: np.ndarray, y: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """NIPALS PLS of one response on centred data: weights, scores, loadings, response loadings and coefficients."""
-    e, f = x.copy(), y.copy()
-    ws, ts, ps, qs = [], [], [], []
-    for _ in range(components):
-        w = e.T @ f
-        norm = np.linalg.norm(w)
-        if norm < 1e-12:
-            break
-        w /= norm
-        t = e @ w
-        tt = t @ t
-        p, q = e.T @ t / tt, f @ t / tt
-        e, f = e - np.outer(t, p), f - q * t
-        ws.append(w), ts.append(t), ps.append(p), qs.append(q)
-    if not ws:
-        return np.zeros((x.shape[1], 0)), np.zeros((len(x), 0)), np.zeros((x.shape[1], 0)), np.zeros(0), np.zeros(x.shape[1])
-    w, t, p, q = np.array(ws).T, np.array(ts).T, np.array(ps).T, np.array(qs)
-    return w, t, p, q, w @ np.linalg.pinv(p.T @ w) @ q
-
-
-def vip(w: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Importance of each variable in the projection."""
-    ssy = (t * t).sum(axis=0) * q * q
-    return np.sqrt(len(w) * (w * w @ ssy) / ssy.sum()) if ssy.sum() > 0 else np.zeros(len(w))
-
-
-def _fit_predict(train: np.ndarray, response: np.ndarray, test: np.ndarray, components: int) -> np.ndarray:
-    mean, scale = train.mean(axis=0), train.std(axis=0)
-    scale[scale == 0] = 1.0
-    x, y = (train - mean) / scale, response - response.mean()
-    return (test - mean) / scale @ pls1(x, y, components)[4] + response.mean()
-
-
-def cross_validated(samples: DataFrame, key: str, features: list[str], response: str, folds: int, components: int = 2, permutations: int = 0, seed: int = 42) -> DataFrame:
-    """(permutation, key, truth, predicted) of a PLS discriminant model: every fold of every permutation is one Spark group.
-
-    Permutation 0 has the true labels; the others shuffle them by a seed of their own.
-    """
-    runs = fan_out(fan_out(samples.select(key, response, *features), permutations + 1, "permutation"), folds, "fold")
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key).reset_index(drop=True)
-        k, fold = int(part["permutation"].iloc[0]), int(part["fold"].iloc[0])
-        x, y = part[features].to_numpy(float), part[response].to_numpy(float)
-        if k:
-            y = np.random.default_rng(seed + k).permutation(y)
-        out = np.arange(len(part)) % folds == fold
-        guess = _fit_predict(x[~out], y[~out], x[out], min(components, max(1, (~out).sum() - 1), len(features)))
-        return pd.DataFrame({key: part[key][out], "truth": y[out], "predicted": guess})
-
-    kind = samples.schema[key].dataType.simpleString()
-    return grouped(runs, ["permutation", "fold"], [key, response, *features], f"`{key}` {kind}, truth double, predicted double", work).drop("fold")
-
-
-def variable_importance(samples: DataFrame, key: str, features: list[str], response: str, components: int = 2) -> DataFrame:
-    """(descriptor, vip, coefficient) of a PLS model on all samples."""
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key)
-        x, y = part[features].to_numpy(float), part[response].to_numpy(float)
-        scale = x.std(axis=0)
-        x = (x - x.mean(axis=0)) / np.where(scale == 0, 1.0, scale)
-        w, t, _, q, b = pls1(x, y - y.mean(), min(components, len(features), len(x) - 1))
-        return pd.DataFrame({"descriptor": features, "vip": vip(w, t, q) if t.shape[1] else 0.0, "coefficient": b})
-
-    one = fan_out(samples.select(key, response, *features), 1, "model")
-    return grouped(one, ["model"], [key, response, *features], "descriptor string, vip double, coefficient double", work).drop("model")
-
-
 def principal_axes(samples: DataFrame, key: str, features: list[str], components: int = 2) -> DataFrame:
     """(component, descriptor, loading, explained) from the covariance of standardised descriptors.
 
@@ -260,34 +181,6 @@ def student_p(r: float, n: int) -> float:
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
 
-# Further latent-variable models. Each takes one table of samples, which meets in one Spark group per model (see fan_out)
-
-
-def standardised(x: np.ndarray) -> np.ndarray:
-    scale = x.std(axis=0)
-    return (x - x.mean(axis=0)) / np.where(scale == 0, 1.0, scale)
-
-
-def opls(x: np.ndarray, y: np.ndarray, orthogonal: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Orthogonal PLS of centred data: predictive scores, orthogonal scores and predictive weights."""
-    e = x.copy()
-    w = e.T @ y
-    w /= np.linalg.norm(w) or 1.0
-    outs = []
-    for _ in range(orthogonal):
-        t = e @ w
-        p = e.T @ t / (t @ t or 1.0)
-        wo = p - (w @ p) * w
-        norm = np.linalg.norm(wo)
-        if norm < 1e-12:
-            break
-        wo /= norm
-        to = e @ wo
-        e = e - np.outer(to, e.T @ to / (to @ to))
-        outs.append(to)
-    return e @ w, np.array(outs).T if outs else np.zeros((len(x), 0)), w
-
-
 def sparse_weights(w: np.ndarray, keep: int) -> np.ndarray:
     """Soft threshold that leaves ``keep`` weights, scaled to length one."""
     if keep >= len(w):
@@ -297,61 +190,6 @@ def sparse_weights(w: np.ndarray, keep: int) -> np.ndarray:
     return out / (np.linalg.norm(out) or 1.0)
 
 
-def multiblock_scores(blocks: list[np.ndarray], y: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
-    """Super scores of a multiblock PLS and each block's share of the explained response, blocks weighed by their number of variables."""
-    scaled = [b / np.sqrt(b.shape[1]) for b in blocks]
-    joint = np.hstack(scaled)
-    w, t, _, q, _ = pls1(joint, y, components)
-    edges = np.cumsum([0, *[b.shape[1] for b in blocks]])
-    ssy = (t * t).sum(axis=0) * q * q
-    share = np.array([(w[a:b] ** 2 @ ssy).sum() for a, b in zip(edges, edges[1:])])
-    return t, share / (share.sum() or 1.0)
-
-
-def sequential_blocks(blocks: list[np.ndarray], y: np.ndarray, components: int) -> np.ndarray:
-    """Share of the response that each block adds to those before it: every block is made orthogonal to the scores so far."""
-    total = y @ y or 1.0
-    left, scores, shares = y.copy(), np.zeros((len(y), 0)), []
-    for b in blocks:
-        x = b - scores @ np.linalg.lstsq(scores, b, rcond=None)[0] if scores.shape[1] else b
-        t = pls1(x, left, components)[1]
-        fitted = t @ np.linalg.lstsq(t, left, rcond=None)[0] if t.shape[1] else np.zeros_like(left)
-        shares.append(float(fitted @ fitted / total))
-        left, scores = left - fitted, np.hstack([scores, t])
-    return np.array(shares)
-
-
-def block_models(samples: DataFrame, key: str, blocks: dict[str, list[str]], response: str, components: int = 2) -> DataFrame:
-    """(block, multiblock_share, sequential_share) of one response by two models of all blocks."""
-    features = [f for fs in blocks.values() for f in fs]
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key)
-        y = part[response].to_numpy(float)
-        parts = [standardised(part[fs].to_numpy(float)) for fs in blocks.values()]
-        shares = multiblock_scores(parts, y - y.mean(), min(components, len(features)))[1]
-        added = sequential_blocks(parts, y - y.mean(), 1)
-        return pd.DataFrame({"block": list(blocks), "multiblock_share": shares, "sequential_share": added})
-
-    one = fan_out(samples.select(key, response, *features), 1, "model")
-    return grouped(one, ["model"], [key, response, *features], "block string, multiblock_share double, sequential_share double", work).drop("model")
-
-
-def orthogonal_scores(samples: DataFrame, key: str, features: list[str], response: str, orthogonal: int = 1) -> DataFrame:
-    """(key, predictive, orthogonal) scores of each sample; the sign makes the largest weight positive."""
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key)
-        y = part[response].to_numpy(float)
-        t, to, w = opls(standardised(part[features].to_numpy(float)), y - y.mean(), orthogonal)
-        sign = 1.0 if w[np.argmax(np.abs(w))] >= 0 else -1.0
-        return pd.DataFrame({key: part[key], "predictive": sign * t, "orthogonal": to[:, 0] if to.shape[1] else 0.0})
-
-    one = fan_out(samples.select(key, response, *features), 1, "model")
-    kind = samples.schema[key].dataType.simpleString()
-    return grouped(one, ["model"], [key, response, *features], f"`{key}` {kind}, predictive double, orthogonal double", work).drop("model")
-
-
 def sparse_selection(samples: DataFrame, key: str, features: list[str], response: str, keep: int) -> DataFrame:
     """(descriptor, weight) of the descriptors that a sparse PLS component keeps.
 
@@ -364,69 +202,89 @@ def sparse_selection(samples: DataFrame, key: str, features: list[str], response
     return samples.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, out) if v], "descriptor string, weight double")
 
 
+def parafac(samples: DataFrame, sample: str, em: str, ex: str, value: str, components: int, rounds: int = 300, tolerance: float = 1e-6, starts: int = 1, ridge: float = 1e-9, seed: int = 42) -> tuple[DataFrame, list[tuple[str, float, int, float]], float]:
+    """Trilinear decomposition of long excitation-emission data by alternating least squares over the cells that are there.
 
-def parafac(samples: DataFrame, sample: str, em: str, ex: str, value: str, components: int, rounds: int = 50, ridge: float = 1e-9, seed: int = 42) -> tuple[DataFrame, list[tuple[str, float, int, float]], float]:
-    """Trilinear decomposition of long excitation-emission data by alternating least squares.
-
-    The sample mode, which grows, stays distributed: in each round every
-    sample's scores are solved from its own rows, and the two spectral modes
-    from sums over samples that Spark aggregates. The driver holds the two
-    axes' loadings only. Cells that are missing count as zero. Returns the
-    scores (sample, component, score), the loadings (mode, position,
-    component, loading) and the share of explained variation.
+    The sample mode, which grows, stays distributed: each sample is one row
+    with its cells. A round is one pass: every sample's scores are solved from
+    its own cells, each task adds up the products of scores by cell, and Spark
+    adds the tasks' sums, from which both spectral modes follow. The driver
+    holds numbers of the grid only. Of ``starts`` random starts the best is
+    kept; each stops when the explained share changes by less than
+    ``tolerance``. Returns the scores (sample, component, score), the loadings
+    (mode, position, component, loading) and the share of explained variation.
     """
     long = samples.groupBy(sample, em, ex).agg(F.avg(value).alias("v")).where("v IS NOT NULL")
     axes = {m: sorted(r[0] for r in long.select(m).distinct().collect()) for m in (em, ex)}  # two wavelength axes
-    if max(map(len, axes.values())) > 5000:
-        raise ValueError("an axis has more than 5000 wavelengths")
-    place = {m: {v: i for i, v in enumerate(a)} for m, a in axes.items()}
-    rng = np.random.default_rng(seed)
-    load = {m: rng.uniform(0.1, 1, (len(a), components)) for m, a in axes.items()}
-    names = [f"s{k}" for k in range(components)]
-
-    def project(b: np.ndarray, c: np.ndarray) -> DataFrame:
-        """Scores of each sample given the spectral modes."""
-        solve = np.linalg.inv((b.T @ b) * (c.T @ c) + ridge * np.eye(components))
-
-        def work(part: pd.DataFrame) -> pd.DataFrame:
-            i, j = part[em].map(place[em]).to_numpy(), part[ex].map(place[ex]).to_numpy()
-            return pd.DataFrame([np.maximum(solve @ ((b[i] * c[j]).T @ part["v"].to_numpy(float)), 0)], columns=names)
-
-        return grouped(long, [sample], [em, ex, "v"], ", ".join(f"{n} double" for n in names), work)
-
-    def mode(scores: DataFrame, one: str, other: str, fixed: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        """Loadings of one spectral mode: a sum over samples for each pair of wavelengths, then a small solve."""
-        sums = long.join(scores, sample).groupBy(one, other).agg(*[F.sum(F.col("v") * F.col(n)).alias(n) for n in names])
-        right = np.zeros((len(axes[one]), components))
-        for r in sums.collect():  # at most the grid's cells
-            right[place[one][r[one]]] += np.array([r[n] for n in names]) * fixed[place[other][r[other]]]
-        out = np.maximum(right @ np.linalg.inv(gram * (fixed.T @ fixed) + ridge * np.eye(components)), 0)
+    n, k = len(axes[em]) * len(axes[ex]), components
+    if n * k * k > 20_000_000:
+        raise ValueError("the grid is too large")
+    at = {m: F.array_position(F.array(*map(F.lit, axes[m])), F.col(m)) - 1 for m in (em, ex)}
+    cells = long.select(sample, F.struct((at[em] * len(axes[ex]) + at[ex]).cast("int").alias("cell"), "v").alias("c"))
+    packed = cells.groupBy(sample).agg(F.collect_list("c").alias("c")).select(sample, F.col("c.cell").alias("cell"), F.col("c.v").alias("v")).cache()
+    let_workers_import(samples.sparkSession)
+    kind = long.schema[sample].dataType.simpleString()
+
+    def solved(b: np.ndarray, c: np.ndarray, cell: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, float]:
+        """Scores of one sample, none below zero, and what they leave unexplained."""
+        z = b[cell // len(c)] * c[cell % len(c)]
+        a = np.maximum(np.linalg.solve(z.T @ z + ridge * np.eye(k), z.T @ v), 0)
+        return a, float(((v - z @ a) ** 2).sum())
+
+    def one_pass(b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """By cell the sums of value times scores and of scores times scores; the squares left and in all."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            right, gram, ends = np.zeros((n, k)), np.zeros((n, k, k)), np.zeros(2)
+            for batch in batches:
+                for cell, v in zip(batch.column(0), batch.column(1)):
+                    cell, v = cell.values.to_numpy(), v.values.to_numpy()
+                    a, lost = solved(b, c, cell, v)
+                    right[cell] += v[:, None] * a
+                    gram[cell] += np.outer(a, a)
+                    ends += lost, float(v @ v)
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([right.ravel(), gram.ravel(), ends])], pa.list_(pa.float64()))], ["sums"])
+
+        parts = packed.select("cell", "v").mapInArrow(work, "sums array<double>")
+        total = parts.select(F.posexplode("sums").alias("place", "x")).groupBy("place").agg(F.sum("x").alias("x")).toPandas()
+        flat = np.zeros(n * k + n * k * k + 2)
+        flat[total["place"].to_numpy(int)] = total["x"].to_numpy(float)
+        shape = (len(axes[em]), len(axes[ex]))
+        return flat[: n * k].reshape(*shape, k), flat[n * k : -2].reshape(*shape, k, k), flat[-2], flat[-1]
+
+    def mode(right: np.ndarray, gram: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+        """Loadings of the first axis given those of the second."""
+        normal = np.einsum("ijkl,jk,jl->ikl", gram, fixed, fixed) + ridge * np.eye(k)
+        out = np.maximum(np.linalg.solve(normal, np.einsum("ijk,jk->ik", right, fixed)[:, :, None])[:, :, 0], 0)
         return out / np.maximum(np.linalg.norm(out, axis=0), 1e-12)
 
-    for _ in range(rounds):
-        scores = project(load[em], load[ex]).cache()
-        pairs = [(i, j) for i in range(components) for j in range(components)]
-        row = scores.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
-        gram = np.array([v or 0.0 for v in row]).reshape(components, components)
-        before = load[em], load[ex]
-        load[em] = mode(scores, em, ex, load[ex], gram)
-        load[ex] = mode(scores, ex, em, load[em], gram)
-        scores.unpersist()
-        if max(np.abs(load[m] - b).max() for m, b in zip((em, ex), before)) < 1e-6:
-            break
-    scores = project(load[em], load[ex])
-    b, c = load[em], load[ex]
-    total = long.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 1.0
-
-    def residual(key: tuple, part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        model = (b * own[names].to_numpy(float)[0]) @ c.T
-        seen = np.zeros_like(model)
-        seen[part[em].map(place[em]).to_numpy(), part[ex].map(place[ex]).to_numpy()] = part["v"].to_numpy(float)
-        return pd.DataFrame({"r": [float(((seen - model) ** 2).sum())]})
-
-    lost = long.groupBy(sample).cogroup(scores.groupBy(sample)).applyInPandas(residual, "r double").agg(F.sum("r")).first()[0] or 0.0
-    loadings = [(m, float(axes[m][i]), k + 1, float(load[m][i, k])) for m in (em, ex) for i in range(len(axes[m])) for k in range(components)]
-    return scores.unpivot([sample], names, "component", "score"), loadings, 1 - lost / total
+    best: tuple[float, np.ndarray, np.ndarray] | None = None
+    for start in range(starts):
+        rng = np.random.default_rng(seed + start)
+        b, c = (rng.uniform(0.1, 1, (len(axes[m]), k)) for m in (em, ex))
+        b, c = (x / np.linalg.norm(x, axis=0) for x in (b, c))
+        before = -np.inf
+        for _ in range(rounds + 1):
+            right, gram, lost, every = one_pass(b, c)
+            explained = 1 - lost / (every or 1.0)
+            if best is None or explained > best[0]:
+                best = explained, b, c
+            if abs(explained - before) < tolerance:
+                break
+            before = explained
+            b = mode(right, gram, c)
+            c = mode(right.transpose(1, 0, 2), gram.transpose(1, 0, 2, 3), b)
+    explained, b, c = best
+    names = [str(i + 1) for i in range(k)]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = [solved(b, c, cell.values.to_numpy(), v.values.to_numpy())[0] for cell, v in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in np.array(a).reshape(-1, k).T)], [sample, *(f"s{i}" for i in names)])
+
+    scores = packed.select(sample, "cell", "v").mapInArrow(score, f"`{sample}` {kind}, " + ", ".join(f"s{i} double" for i in names))
+    loadings = [(m, float(axes[m][i]), j + 1, float(x[i, j])) for m, x in ((em, b), (ex, c)) for i in range(len(axes[m])) for j in range(k)]
+    return scores.unpivot([sample], [f"s{i}" for i in names], "component", "score"), loadings, explained
 
 
 def bounded_fit(x: np.ndarray, y: np.ndarray, centres: list[float], width: float, shift: float, rounds: int = 60) -> tuple[np.ndarray, float]:

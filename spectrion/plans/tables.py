@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from spectrion.functions import chem, text
-from spectrion.operators import fusion, kernels, ordered, ranges, stats
+from spectrion.operators import fusion, kernels, models, ordered, ranges, stats
 from spectrion.streaming import windows
 
 from .base import query, r, table
@@ -199,7 +199,7 @@ def session_counts(spark, d):
     return windows.sessions(table(spark, d, "events"), "ts", "30 minutes", ["user_id"], "value").select("user_id", "start", "n", r("total", 4).alias("total"))
 
 
-# Models: no SQL form; tests hold the kernels against closed forms
+# Models: tests hold them against plain numpy; what SQL can say of them has its own query
 
 
 def _samples(spark, d):
@@ -207,22 +207,49 @@ def _samples(spark, d):
     return li.withColumn("label", (F.col("returned") > 1 / 3).cast("double"))
 
 
+_SAMPLES = f"SELECT l_suppkey, {', '.join(f'avg({c}) AS {c}' for c in _COLS)}, CASE WHEN avg(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END) > 1 / 3.0::DOUBLE THEN 1.0::DOUBLE ELSE 0 END AS label FROM lineitem GROUP BY 1"
+_PLACES = ["1", *_COLS, "label"]
+
+
+@query(f"WITH s AS ({_SAMPLES}) " + " UNION ALL ".join(f"SELECT CAST(l_suppkey % 5 AS INTEGER) AS fold, {i * len(_PLACES) + j} AS place, round(sum({a} * 1.0::DOUBLE * {b}) / count(*), 4) AS mean_product FROM s GROUP BY 1" for i, a in enumerate(_PLACES) for j, b in enumerate(_PLACES)))
+def fold_moments(spark, d):
+    """Sums of products by fold, from which the latent-variable models are made, over the folds' rows."""
+    fold = F.col("l_suppkey") % 5
+    sums = models.sums_by_fold(_samples(spark, d), {c: F.col(c) for c in (*_COLS, "label")}, fold)
+    rows = sums.where("place = 0").select("fold", F.col("total").alias("n"))
+    return sums.join(rows, "fold").select("fold", "place", r(F.col("total") / F.col("n"), 4).alias("mean_product"))
+
+
+_WEIGHTS = ", ".join(f"corr({c}, label) AS {c}" for c in _COLS)
+_NORM = " + ".join(f"{c} * {c}" for c in _COLS)
+
+
+@query(f"WITH s AS ({_SAMPLES}), c AS (SELECT {_WEIGHTS} FROM s) " + " UNION ALL ".join(f"SELECT '{c}' AS descriptor, round({c} / sqrt({_NORM}), 6) AS weight, round(abs({c}) * sqrt({len(_COLS)}) / sqrt({_NORM}), 6) AS vip FROM c" for c in _COLS))
+def first_component_weights(spark, d):
+    out = models.variable_importance(_samples(spark, d), "l_suppkey", list(_COLS), "label", 1)
+    return out.select("descriptor", r("weight").alias("weight"), r("vip").alias("vip"))
+
+
 @query()
 def plsda_cross_validation(spark, d):
-    return kernels.cross_validated(_samples(spark, d), "l_suppkey", list(_COLS), "label", 5)
+    return models.cross_validated(_samples(spark, d), "l_suppkey", list(_COLS), "label", 5)
 
 
 @query()
 def plsda_permutation(spark, d):
-    runs = kernels.cross_validated(_samples(spark, d), "l_suppkey", list(_COLS), "label", 5, permutations=10)
-    scores = runs.groupBy("permutation").agg(stats.q_squared(runs, "truth", "predicted").alias("q2"))
+    scores = models.permutation_test(_samples(spark, d), "l_suppkey", list(_COLS), "label", 5, 50)
     observed = scores.where("permutation = 0").select(F.col("q2").alias("observed"))
     return scores.where("permutation > 0").crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("q2"), stats.permutation_p(scores, "observed", "q2").alias("p"))
 
 
+@query()
+def model_quality(spark, d):
+    return models.quality(_samples(spark, d), "l_suppkey", list(_COLS), "label", 5, 3)
+
+
 @query()
 def variable_importance(spark, d):
-    return kernels.variable_importance(_samples(spark, d), "l_suppkey", list(_COLS), "label")
+    return models.variable_importance(_samples(spark, d), "l_suppkey", list(_COLS), "label")
 
 
 @query()
@@ -232,7 +259,7 @@ def pca_block(spark, d):
 
 @query()
 def opls_scores(spark, d):
-    return kernels.orthogonal_scores(_samples(spark, d), "l_suppkey", list(_COLS), "label")
+    return models.orthogonal_scores(_samples(spark, d), "l_suppkey", list(_COLS), "label")
 
 
 @query()
@@ -242,13 +269,13 @@ def spls_selection(spark, d):
 
 @query()
 def multiblock_shares(spark, d):
-    return kernels.block_models(_samples(spark, d), "l_suppkey", {"amount": ["l_quantity", "l_extendedprice"], "rates": ["l_discount", "l_tax"]}, "label")
+    return models.block_models(_samples(spark, d), "l_suppkey", {"amount": ["l_quantity", "l_extendedprice"], "rates": ["l_discount", "l_tax"]}, "label")
 
 
 @query()
 def parafac_scores(spark, d):
     li = table(spark, d, "lineitem").select("l_suppkey", (280.0 + F.col("l_partkey") % 12 * 5).alias("em"), (240.0 + F.col("l_orderkey") % 8 * 10).alias("ex"), "l_quantity")
-    return kernels.parafac(li, "l_suppkey", "em", "ex", "l_quantity", 2, rounds=3)[0]
+    return kernels.parafac(li, "l_suppkey", "em", "ex", "l_quantity", 2)[0]
 
 
 @query("""WITH v AS (SELECT l_suppkey, 240.0::DOUBLE + l_orderkey * 7 % 22 * 10 AS ex, 280.0::DOUBLE + l_partkey * 3 % 65 * 5 AS em, l_quantity AS f FROM lineitem),
@@ -348,14 +375,14 @@ def sec_calibration(spark, d):
     return out.select("l_suppkey", r("slope", 8).alias("slope"), r("intercept").alias("intercept"), r("r2").alias("r2"), "falling")
 
 
-@query("""WITH p AS (SELECT l_suppkey, l_extendedprice / 100 AS mass FROM lineitem), c AS (SELECT DISTINCT l_extendedprice / 100 * 1.000002::DOUBLE AS t FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0),
+@query("""WITH p AS (SELECT l_suppkey, l_extendedprice / 100 AS mass FROM lineitem), c AS (SELECT DISTINCT l_extendedprice / 100 * 1.000002::DOUBLE AS t FROM lineitem WHERE l_returnflag = 'N' AND l_discount = 0.1),
 k AS (SELECT l_suppkey, t, mass, row_number() OVER (PARTITION BY l_suppkey, t ORDER BY abs(mass - t), mass) AS k FROM c JOIN (SELECT DISTINCT l_suppkey, mass FROM p) p ON mass BETWEEN t - t * 5e-6 AND t + t * 5e-6),
 f AS (SELECT l_suppkey, regr_slope(mass - t, mass) AS b, regr_intercept(mass - t, mass) AS a, count(*) AS n FROM k WHERE k = 1 GROUP BY 1)
 SELECT p.l_suppkey, coalesce(n, 0) AS n_calibrants, count(*) AS n_peaks, round(sum(CASE WHEN n >= 3 AND b IS NOT NULL THEN mass - a - b * mass ELSE mass END), 4) AS total FROM p LEFT JOIN f USING (l_suppkey) GROUP BY 1, 2""")
 def mass_recalibration(spark, d):
     li = table(spark, d, "lineitem")
     p = li.select("l_suppkey", (F.col("l_extendedprice") / 100).alias("mass"))
-    c = li.where("l_linenumber = 1 AND l_orderkey % 7 = 0").select((F.col("l_extendedprice") / 100 * 1.000002).alias("t"))
+    c = li.where("l_returnflag = 'N' AND l_discount = 0.1").select((F.col("l_extendedprice") / 100 * 1.000002).alias("t"))
     out = ranges.recalibrated(p, c, ["l_suppkey"], "mass", "t", 5.0)
     return out.groupBy("l_suppkey", "n_calibrants").agg(F.count("*").alias("n_peaks"), r(F.sum("corrected"), 4).alias("total"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectrion.functions import chem, text
-from spectrion.operators import assign, fusion, kernels, ordered, ranges, relational, stats
+from spectrion.operators import assign, fusion, kernels, models, ordered, ranges, relational, stats
 from spectrion.streaming import windows
 
 
@@ -155,10 +155,10 @@ def test_pls_separates(spark):
     x = r.normal(size=(40, 4))
     y = (x[:, 0] + 0.1 * r.normal(size=40) > 0).astype(float)
     df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(40)], "id long, a double, b double, c double, d double, y double")
-    runs = kernels.cross_validated(df, "id", list("abcd"), "y", 5)
+    runs = models.cross_validated(df, "id", list("abcd"), "y", 5)
     q2 = runs.agg(stats.q_squared(runs, "truth", "predicted").alias("q")).first()["q"]
     assert runs.count() == 40 and q2 > 0.4
-    top = kernels.variable_importance(df, "id", list("abcd"), "y").orderBy(F.desc("vip")).first()
+    top = models.variable_importance(df, "id", list("abcd"), "y").orderBy(F.desc("vip")).first()
     assert top["descriptor"] == "a" and top["vip"] > 1
     axes = kernels.principal_axes(df, "id", list("abcd"), 4).collect()
     assert sum({x["component"]: x["explained"] for x in axes}.values()) == pytest.approx(100)
@@ -197,11 +197,9 @@ def test_models(spark):
     r = np.random.default_rng(5)
     x, y = r.normal(size=(30, 4)), r.normal(size=30)
     y = x[:, 0] * 2 + 0.01 * y
-    t, to, w = kernels.opls(x - x.mean(0), y - y.mean(), 2)
-    assert np.allclose(t @ to, 0, atol=1e-8) and np.argmax(np.abs(w)) == 0
     assert (np.count_nonzero(kernels.sparse_weights(np.array([3.0, -2, 1, 0.5]), 2)), kernels.sparse_weights(np.array([3.0, -2, 1]), 2)[1] < 0) == (2, True)
     df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(30)], "id long, a double, b double, c double, d double, y double")
-    got = {z["block"]: z for z in kernels.block_models(df, "id", {"one": ["a", "b"], "two": ["c", "d"]}, "y").collect()}
+    got = {z["block"]: z for z in models.block_models(df, "id", {"one": ["a", "b"], "two": ["c", "d"]}, "y").collect()}
     assert got["one"]["multiblock_share"] > 0.8 and got["one"]["sequential_share"] > 0.9 > got["two"]["sequential_share"]
     assert [z["descriptor"] for z in kernels.sparse_selection(df, "id", list("abcd"), "y", 1).collect()] == ["a"]
 
@@ -229,3 +227,102 @@ def test_greedy_alignment(spark):
     b = spark.createDataFrame([("k", 100.0009), ("k", 100.002), ("only_b", 1.0)], "k string, m double")
     got = sorted(tuple(r) for r in kernels.aligned(a, b, ["k"], "m", 20.0).collect())
     assert got == [("k", 100.0, 100.0009), ("k", 100.001, 100.002)]
+
+
+# Models against plain numpy over the samples themselves
+
+
+def nipals(x, y, components):
+    e, f, w, t, p, q = x.copy(), y.copy(), [], [], [], []
+    for _ in range(components):
+        w.append(e.T @ f / np.linalg.norm(e.T @ f))
+        t.append(e @ w[-1])
+        p.append(e.T @ t[-1] / (t[-1] @ t[-1]))
+        q.append(f @ t[-1] / (t[-1] @ t[-1]))
+        e, f = e - np.outer(t[-1], p[-1]), f - q[-1] * t[-1]
+    w, t, p, q = (np.array(v).T for v in (w, t, p, q))
+    return w, t, p, q, w @ np.linalg.inv(p.T @ w) @ q
+
+
+def centred(x):
+    return (x - x.mean(0)) / x.std(0)
+
+
+@pytest.fixture(scope="module")
+def cohort(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(60, 5)) @ r.normal(size=(5, 5)) + 1000
+    y = x[:, 0] - 0.5 * x[:, 3] + 0.3 * r.normal(size=60)
+    label = (y > np.median(y)).astype(float)
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i]), float(label[i])) for i in range(60)], "id long, a double, b double, c double, d double, e double, y double, label double")
+    return df, x, y, label
+
+
+def test_importance_and_quality_by_sums(cohort):
+    df, x, y, _ = cohort
+    w, t, p, q, b = nipals(centred(x), y - y.mean(), 3)
+    ssy = (t * t).sum(0) * q * q
+    got = {z["descriptor"]: z for z in models.variable_importance(df, "id", list("abcde"), "y", 3).collect()}
+    assert np.allclose([got[f]["vip"] for f in "abcde"], np.sqrt(5 * (w * w @ ssy) / ssy.sum()), rtol=1e-6)
+    assert np.allclose([got[f]["coefficient"] for f in "abcde"], b, rtol=1e-6)
+    rows = models.quality(df, "id", list("abcde"), "y", 5, 3).collect()
+    assert np.allclose([z["r2y"] for z in rows], np.cumsum(ssy) / ((y - y.mean()) ** 2).sum(), rtol=1e-6)
+    assert np.allclose([z["r2x"] for z in rows], np.cumsum((t * t).sum(0) * (p * p).sum(0)) / (centred(x) ** 2).sum(), rtol=1e-6)
+
+
+def test_cross_validation_by_sums(cohort):
+    df, x, y, label = cohort
+    expected = np.zeros(60)
+    for f in range(4):
+        out = np.arange(60) % 4 == f
+        mean, scale = x[~out].mean(0), x[~out].std(0)
+        b = nipals((x[~out] - mean) / scale, y[~out] - y[~out].mean(), 2)[4]
+        expected[out] = (x[out] - mean) / scale @ b + y[~out].mean()
+    fold = F.col("id") % 4
+    rows = models.cross_validated(df, "id", list("abcde"), "y", 4, 2, fold).orderBy("id").collect()
+    assert np.allclose([z["predicted"] for z in rows], expected, rtol=1e-6)
+    scores = {z["permutation"]: z["q2"] for z in models.permutation_test(df, "id", list("abcde"), "label", 4, 20, fold=fold).collect()}
+    runs = models.cross_validated(df, "id", list("abcde"), "label", 4, 2, fold)
+    assert scores[0] == pytest.approx(runs.agg(stats.q_squared(runs, "truth", "predicted").alias("q")).first()["q"], rel=1e-6)
+    assert len(scores) == 21 and sum(v >= scores[0] for k, v in scores.items() if k) <= 1
+    with pytest.raises(ValueError):
+        models.permutation_test(df, "id", list("abcde"), "y", 4, 2)
+
+
+def test_orthogonal_scores_by_sums(cohort):
+    df, x, y, _ = cohort
+    e, f = centred(x), y - y.mean()
+    w = e.T @ f / np.linalg.norm(e.T @ f)
+    t = e @ w
+    p = e.T @ t / (t @ t)
+    wo = p - (w @ p) * w
+    to = e @ (wo / np.linalg.norm(wo))
+    e = e - np.outer(to, e.T @ to / (to @ to))
+    sign = 1 if w[np.argmax(np.abs(w))] >= 0 else -1
+    rows = models.orthogonal_scores(df, "id", list("abcde"), "y").orderBy("id").collect()
+    assert np.allclose([z["predictive"] for z in rows], sign * (e @ w), atol=1e-6)
+    assert np.allclose([z["orthogonal"] for z in rows], to, atol=1e-6)
+
+
+def test_block_models_by_sums(cohort):
+    df, x, y, _ = cohort
+    e, f = centred(x), y - y.mean()
+    w, t, _, q, _ = nipals(np.hstack([e[:, :2] / np.sqrt(2), e[:, 2:] / np.sqrt(3)]), f, 2)
+    ssy = (t * t).sum(0) * q * q
+    share = np.array([(w[a:b] ** 2 @ ssy).sum() for a, b in ((0, 2), (2, 5))])
+    first = nipals(e[:, :2], f, 1)[1]
+    left = f - first @ np.linalg.lstsq(first, f, rcond=None)[0]
+    second = e[:, 2:] - first @ np.linalg.lstsq(first, e[:, 2:], rcond=None)[0]
+    second = nipals(second, left, 1)[1]
+    added = [((f - left) ** 2).sum(), ((second @ np.linalg.lstsq(second, left, rcond=None)[0]) ** 2).sum()] / (f @ f)
+    rows = models.block_models(df, "id", {"one": ["a", "b"], "two": ["c", "d", "e"]}, "y").collect()
+    assert np.allclose([z["multiblock_share"] for z in rows], share / share.sum(), rtol=1e-6)
+    assert np.allclose([z["sequential_share"] for z in rows], added, rtol=1e-6)
+
+
+def test_models_leave_out_incomplete_rows(cohort, spark):
+    df, *_ = cohort
+    odd = df.unionByName(spark.createDataFrame([(90, None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), (91, float("nan"), 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)], df.schema))
+    got, whole = ({z["descriptor"]: z["vip"] for z in models.variable_importance(x, "id", list("abcde"), "y").collect()} for x in (odd, df))
+    assert got == pytest.approx(whole)
+    assert models.variable_importance(df.limit(0), "id", list("abcde"), "y").count() == 5
