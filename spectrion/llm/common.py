@@ -14,9 +14,8 @@ from spectrion.session import let_workers_import
 #: White space of the word contracts: blank and the controls 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Bytes in one Arrow batch, but for a longer row. Texts may be long, so a batch must stay small.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows and bytes in one Arrow batch, but for a longer row. Texts may be long, so a batch must stay small.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
 
 #: Bits of a filter of keys: about 2 MB when broadcast.
 FILTER_BITS = 1 << 23
@@ -41,12 +40,14 @@ def fresh(df: DataFrame, name: str) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python task holds, and let its worker import this package.
 
-    Spark reads the bound when a plan runs, so it stays set; it changes no
-    result, and a lower bound of the session's own is left as it is.
+    Spark reads the bounds when a plan runs, so they stay set; they change no
+    result, and lower bounds of the session's own are left as they are.
     """
     let_workers_import(spark)
-    if int(spark.conf.get(_BATCH, str((1 << 31) - 1))) > BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    for name, most in BATCH.items():
+        known = spark.conf.get(name).lower().removesuffix("b")
+        if not known.isdigit() or not 0 < int(known) <= most:
+            spark.conf.set(name, str(most))
 
 
 def fixed_filter(keys: DataFrame) -> DataFrame:
