@@ -9,13 +9,13 @@ never fails the job.
 from __future__ import annotations
 
 import base64
-import gzip
 import io
 import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -93,25 +93,28 @@ _DUP = {c: i for i, c in enumerate("STUVWXYZs", 1)}
 _ITEM = re.compile(r"([@A-Ia-i%J-Rj-rS-Zs]|[+-]?)(\d*\.?\d*(?:[eE][+-]?\d+(?![0-9]*[A-Za-z@%]))?|\?)")
 
 
-def ordinates(line: str, last: float | None) -> tuple[float, list[float], bool]:
-    """Abscissa, ordinates and whether the line ends in difference form; ``last`` checks the first ordinate of the next line."""
+def ordinates(line: str, last: float | None) -> tuple[float, list[float | None], bool]:
+    """Abscissa, ordinates (None where one is missing) and whether the line ends in difference form; ``last`` checks the first ordinate of the next line."""
     items = [(m[1], m[2]) for m in _ITEM.finditer(line.strip()) if m[0]]
     x = float(items[0][0].strip("+") + items[0][1] if items[0][0] in "+-" else items[0][1])
-    out: list[float] = []
+    out: list[float | None] = []
     step: float | None = None
     for mark, digits in items[1:]:
-        if mark in _DUP:
+        if digits == "?":  # a missing ordinate keeps its place
+            step = None
+            out.append(None)
+        elif mark in _DUP:
             for _ in range(int(f"{_DUP[mark]}{digits}") - 1):
-                out.append(out[-1] + step if step is not None else out[-1])
+                out.append(out[-1] + step if step is not None and out[-1] is not None else out[-1])
         elif mark in _DIF:
             d, sign = _DIF[mark]
             step = sign * float(f"{d}{digits}")
-            out.append((out[-1] if out else last or 0.0) + step)
+            out.append(((out[-1] if out else last) or 0.0) + step)
         elif mark in _SQZ:
             d, sign = _SQZ[mark]
             step = None
             out.append(sign * float(f"{d}{digits}"))
-        elif digits and digits != "?":
+        elif digits:
             step = None
             out.append(float(mark + digits) if mark == "-" else float(digits))
     return x, out, step is not None
@@ -144,25 +147,41 @@ def jcamp(text: str) -> Iterator[tuple[str, float, float]]:
                 if len(parts) >= 2:
                     yield series, float(parts[0]) * fx, float(parts[1]) * fy
         return
-    ys: list[float] = []
+    ys: list[float | None] = []
+    places: list[tuple[int, float]] = []  # the lines' abscissas and the ordinates that stand at them
     checked = False
     for line in table or []:
-        _, got, differs = ordinates(line, ys[-1] if ys else None)
-        if checked and ys and got:
-            got = got[1:]  # the line repeats the last ordinate as a check
-        ys += got
+        x, got, differs = ordinates(line, ys[-1] if ys else None)
+        repeats = bool(checked and ys and got)
+        if got:
+            places.append((len(ys) - repeats, x * fx))
+        ys += got[1:] if repeats else got  # after differences a line repeats the last ordinate as a check
         checked = differs
-    first, last = number("FIRSTX", 0.0), number("LASTX", float(len(ys) - 1))
-    step = (last - first) / (len(ys) - 1) if len(ys) > 1 else 0.0
+    if not ys:
+        return
+    first = number("FIRSTX", places[0][1])
+    if labels.get("LASTX"):
+        step = (number("LASTX", 0.0) - first) / max(len(ys) - 1, 1)
+    elif len(places) > 1 and places[-1][0] > places[0][0]:
+        step = (places[-1][1] - places[0][1]) / (places[-1][0] - places[0][0])
+    else:
+        step = number("DELTAX", 1.0)
     for i, y in enumerate(ys):
-        yield series, first + i * step, y * fy
-
-
-def inflated(raw: bytes) -> bytes:
-    d = zlib.decompressobj()
-    out = d.decompress(raw, MAX_INFLATED)
-    if d.unconsumed_tail:
-        raise ValueError("array too large")
+        if y is not None:
+            yield series, first + i * step, y * fy
+
+
+def inflated(raw: bytes, form: int = zlib.MAX_WBITS) -> bytes:
+    """All streams that stand one behind the other."""
+    out = b""
+    while raw:
+        d = zlib.decompressobj(form)
+        out += d.decompress(raw, MAX_INFLATED - len(out) + 1)
+        if len(out) > MAX_INFLATED:
+            raise ValueError("too large when inflated")
+        if not d.eof:
+            raise ValueError("the stream breaks off")
+        raw = d.unused_data.lstrip(b"\0")
     return out
 
 
@@ -206,54 +225,77 @@ def mass_spectrum(raw: bytes) -> Iterator[tuple[str, float, float]]:
             e.clear()
 
 
-def members(path: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
-    """A file, or the members of a ZIP archive that pass the guards."""
+def members(path: str, raw: bytes) -> Iterator[tuple[str, bytes | Exception]]:
+    """A file, or the members of a ZIP archive; those that can't be read or don't pass the guards come as an error."""
     if not raw.startswith(b"PK\x03\x04"):
-        yield path, gzip.decompress(raw) if raw.startswith(b"\x1f\x8b") else raw
+        yield path, inflated(raw, zlib.MAX_WBITS | 16) if raw.startswith(b"\x1f\x8b") else raw
         return
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         infos = [i for i in z.infolist() if not i.is_dir()]
         if len(infos) > MAX_MEMBERS or sum(i.file_size for i in infos) > MAX_INFLATED:
             raise ValueError("archive too large")
         for i in infos:
+            name = f"{path}!{i.filename}"
             if i.filename.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", i.filename) or i.file_size > 1e6 and i.file_size > MAX_RATIO * max(i.compress_size, 1):
-                raise ValueError(f"unsafe member {i.filename}")
-            yield f"{path}!{i.filename}", z.read(i)
+                yield name, ValueError(f"unsafe member {i.filename}")
+                continue
+            try:
+                data: bytes | Exception = z.read(i)
+            except Exception as e:  # a broken member leaves the others
+                data = e
+            yield name, data
 
 
-def points_of(path: str, raw: bytes) -> Iterator[tuple[str, str, float, float]]:
-    """(file, series, x, y) of a file in any of the forms."""
-    for name, data in members(path, raw):
-        head = data[:2000].lstrip()
-        if head.startswith(b"<") and (b"mzML" in head or b"mzXML" in head or b"<indexedmzML" in head):
-            rows: Iterator[tuple[str, float, float]] = mass_spectrum(data)
-        else:
-            text = decoded(data)
-            rows = jcamp(text) if text.lstrip().startswith("##") else delimited(text)
-        for series, x, y in rows:
-            yield name, series, x, y
+def points_of(data: bytes) -> Iterator[tuple[str, float, float]]:
+    """(series, x, y) of a file in any of the forms."""
+    head = data[:2000].lstrip()
+    if head.startswith(b"<") and (b"mzML" in head or b"mzXML" in head or b"<indexedmzML" in head):
+        return mass_spectrum(data)
+    text = decoded(data)
+    return jcamp(text) if text.lstrip().startswith("##") else delimited(text)
+
+
+#: Points in one batch of a task's result.
+POINTS_AT_ONCE = 100_000
+
+
+def _rows(path: str, raw: bytes) -> Iterator[tuple[str, str | None, float | None, float | None, str | None]]:
+    """(path, series, x, y, error) of a file or an archive's members; what can't be read gives a row with its error after the points before it."""
+    try:
+        for name, data in members(path, raw):
+            some = False
+            try:
+                if isinstance(data, Exception):
+                    raise data
+                for series, x, y in points_of(data):
+                    some = True
+                    yield name, series, x, y, None
+                if not some:
+                    yield name, None, None, None, "no points"
+            except Exception as e:
+                yield name, None, None, None, f"{type(e).__name__}: {e}"
+    except Exception as e:  # any broken file is reported as a row
+        yield path, None, None, None, f"{type(e).__name__}: {e}"
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, raw in zip(batch["path"], batch["content"]):
-            try:
-                rows = list(points_of(path, bytes(raw)))
-                out = pd.DataFrame(rows, columns=["path", "series", "x", "y"])
-                out["error"] = None
-                if not rows:
-                    out = pd.DataFrame([(path, None, None, None, "no points")], columns=["path", "series", "x", "y", "error"])
-            except Exception as e:  # any broken file is reported as a row
-                out = pd.DataFrame([(path, None, None, None, f"{type(e).__name__}: {e}")], columns=["path", "series", "x", "y", "error"])
-            out.insert(1, "sample_id", None)
-            yield out
+            rows = _rows(path, bytes(raw))
+            while some := list(islice(rows, POINTS_AT_ONCE)):
+                out = pd.DataFrame(some, columns=["path", "series", "x", "y", "error"]).astype({"x": float, "y": float})
+                out.insert(1, "sample_id", None)
+                yield out
 
 
 def read_points(spark: SparkSession, path: str, pattern: str = "*", largest: int = 50_000_000) -> DataFrame:
-    """(path, sample_id, series, x, y, error) of all files below a path, found and read by Spark."""
+    """(path, sample_id, series, x, y, error) of all files below a path, found and read by Spark; a file of over ``largest`` bytes gives a row with its error."""
     let_workers_import(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).where(F.col("length") <= largest)
-    return files.select("path", "content").mapInPandas(_parse, POINTS).withColumn("sample_id", sample_id(F.col("path")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    points = files.where(F.col("length") <= largest).select("path", "content").mapInPandas(_parse, POINTS)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    refused = files.where(F.col("length") > largest).select("path", nothing("string").alias("sample_id"), nothing("string").alias("series"), nothing("double").alias("x"), nothing("double").alias("y"), F.lit(f"larger than {largest} bytes").alias("error"))
+    return points.unionByName(refused).withColumn("sample_id", sample_id(F.col("path")))
 
 
 def screened(points: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:

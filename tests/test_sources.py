@@ -1,4 +1,5 @@
 import base64
+import gzip
 import io
 import struct
 import zipfile
@@ -20,6 +21,32 @@ def test_jcamp_forms_agree():
         assert [(x, y) for _, x, y in formats.jcamp(text)] == expected, text
 
 
+def test_jcamp_missing_ordinates_and_abscissas():
+    head = "##TITLE=t\n##XFACTOR=1\n##YFACTOR=1\n##FIRSTX=100\n##LASTX=105\n"
+    assert [(x, y) for _, x, y in formats.jcamp(head + "##XYDATA=(X++(Y..Y))\n100 1 2 ? 4 5 6\n##END=\n")] == [(100, 1), (101, 2), (103, 4), (104, 5), (105, 6)]
+    bare = "##TITLE=t\n##XFACTOR=2\n##YFACTOR=1\n"
+    assert [(x, y) for _, x, y in formats.jcamp(bare + "##XYDATA=(X++(Y..Y))\n200 1 2\n202 3 4\n##END=\n")] == [(400, 1), (402, 2), (404, 3), (406, 4)]
+    assert [(x, y) for _, x, y in formats.jcamp(bare + "##DELTAX=0.5\n##XYDATA=(X++(Y..Y))\n200 1 2\n##END=\n")] == [(400, 1), (400.5, 2)]
+
+
+def test_broken_files_leave_the_others(spark, tmp_path):
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("good_nmr.csv", "1,2\n")
+        f.writestr("bad_nmr.csv", "5,6 7,8 this member is broken later on\n")
+        f.writestr("../up.csv", "1,2\n")
+    raw = bytearray(z.getvalue())
+    raw[raw.index(b"5,6 7,8")] ^= 1
+    (tmp_path / "all.zip").write_bytes(bytes(raw))
+    (tmp_path / "two.csv.gz").write_bytes(gzip.compress(b"1,2\n") + gzip.compress(b"3,4\n"))
+    (tmp_path / "cut.csv.gz").write_bytes(gzip.compress(b"1,2\n" * 99)[:-9])
+    (tmp_path / "large.csv").write_text("1,2\n" * 400)
+    rows = formats.read_points(spark, str(tmp_path), largest=1000).collect()
+    state = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in rows if r["error"]}
+    assert len(state) == 4 and "1000 bytes" in state["large.csv"] and state.keys() == {"all.zip!bad_nmr.csv", "up.csv", "cut.csv.gz", "large.csv"}
+    assert sorted((r["x"], r["y"]) for r in rows if r["error"] is None) == [(1, 2), (1, 2), (3, 4)]
+
+
 def test_mass_spectra():
     pack = lambda v, z=False: base64.b64encode(zlib.compress(struct.pack(f"<{len(v)}d", *v)) if z else struct.pack(f"<{len(v)}d", *v)).decode()
     array = lambda v, name, z: f'<binaryDataArray><cvParam name="64-bit float"/><cvParam name="{"zlib compression" if z else "no compression"}"/><cvParam name="{name}"/><binary>{pack(v, z)}</binary></binaryDataArray>'
