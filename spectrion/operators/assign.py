@@ -42,13 +42,14 @@ def assigned(peaks: DataFrame, key: str, mass: str, bounds: dict[str, tuple[int,
     return best_match(pairs, [key], [F.abs("error_ppm"), F.col("z"), F.col("theor")])
 
 
-def confirmed_by_carbon13(found: DataFrame, peaks: DataFrame, key: str, mass: str, intensity: str, ppm: float = 2.0, low: float = 0.4, high: float = 2.2) -> DataFrame:
-    """Column ``confirmed``: whether the nearest peak one 13C above has an intensity that the number of carbons explains."""
+def confirmed_by_carbon13(found: DataFrame, peaks: DataFrame, key: str, mass: str, intensity: str, ppm: float = 2.0, low: float = 0.4, high: float = 2.2, keys: list[str] | None = None) -> DataFrame:
+    """Column ``confirmed``: whether the nearest peak one 13C above, of the same ``keys`` (the sample), has an intensity that the number of carbons explains."""
+    keys = keys or []
     tolerance = 1000.0 * ppm * 1e-6
-    aim = found.select(F.col(key).alias("_k"), "c", (F.col(mass) + CARBON13 / F.col("z")).alias("_aim"), F.col(intensity).alias("_i"))
-    other = peaks.select(F.col(mass).alias("_m"), F.col(intensity).alias("_ci"))
-    near = absolute_join(aim, other, "_aim", "_m", tolerance).where(F.abs(F.col("_m") - F.col("_aim")) <= F.col("_aim") * ppm * 1e-6)
-    best = best_match(near, ["_k"], [F.abs(F.col("_m") - F.col("_aim")), F.col("_m")])
+    aim = found.select(*keys, F.col(key).alias("_k"), "c", (F.col(mass) + CARBON13 / F.col("z")).alias("_aim"), F.col(intensity).alias("_i"))
+    other = peaks.select(*keys, F.col(mass).alias("_m"), F.col(intensity).alias("_ci"))
+    near = absolute_join(aim, other, "_aim", "_m", tolerance, keys).where(F.abs(F.col("_m") - F.col("_aim")) <= F.col("_aim") * ppm * 1e-6)
+    best = best_match(near, [*keys, "_k"], [F.abs(F.col("_m") - F.col("_aim")), F.col("_m")])
     share = F.try_divide("_ci", "_i") / (0.0108 * F.col("c"))
-    flagged = best.select(F.col("_k").alias(key), share.between(low, high).alias("confirmed"))
-    return found.join(flagged, key, "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+    flagged = best.select(*keys, F.col("_k").alias(key), share.between(low, high).alias("confirmed"))
+    return found.join(flagged, [*keys, key], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))

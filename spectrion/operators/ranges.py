@@ -4,6 +4,10 @@ A tolerance join becomes an equi-join on bins: one side has its own bin, the
 other is repeated into the neighbouring ones, and the exact predicate follows.
 Spark can then hash, sort and split skewed bins as in any equi-join. No side
 is broadcast unless its size is bounded by construction.
+
+``keys`` name columns that both sides must agree in, such as the sample; they
+join together with the bin, so peaks of different samples never meet and the
+work grows with the samples and not with their square.
 """
 
 from __future__ import annotations
@@ -14,21 +18,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ppm_join(peaks: DataFrame, candidates: DataFrame, mass: str, theoretical: str, ppm: float) -> DataFrame:
+def ppm_join(peaks: DataFrame, candidates: DataFrame, mass: str, theoretical: str, ppm: float, keys: list[str] | None = None) -> DataFrame:
     """All pairs with the theoretical mass within ``ppm`` of the measured one, borders included. Bins are logarithmic, as the tolerance grows with mass."""
     tol = ppm * 1e-6
     width = math.log1p(tol)
     m, t = F.col(mass), F.col(theoretical)
     left = peaks.where(m > 0).withColumn("_bin", F.floor(F.log(m) / width))
     right = candidates.where(t > 0).withColumn("_own", F.floor(F.log(t) / width)).withColumn("_bin", F.explode(F.sequence(F.col("_own") - 2, F.col("_own") + 2))).drop("_own")
-    return left.join(right, "_bin").where(t.between(m - m * tol, m + m * tol)).drop("_bin")
+    return left.join(right, ["_bin", *(keys or [])]).where(t.between(m - m * tol, m + m * tol)).drop("_bin")
 
 
-def absolute_join(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float) -> DataFrame:
+def absolute_join(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float, keys: list[str] | None = None) -> DataFrame:
     """All pairs with |a - b| <= tolerance."""
     x = left.withColumn("_bin", F.floor(F.col(a) / tolerance))
     y = right.withColumn("_bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(b) / tolerance) + d)))
-    return x.join(y, "_bin").where(F.abs(F.col(a) - F.col(b)) <= tolerance).drop("_bin")
+    return x.join(y, ["_bin", *(keys or [])]).where(F.abs(F.col(a) - F.col(b)) <= tolerance).drop("_bin")
 
 
 def best_match(pairs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -76,17 +80,18 @@ def interpolated(rows: DataFrame, curve: DataFrame, keys: list[str], x: str, cx:
     return rows.join(found, [*keys, x], "left")
 
 
-def mass_differences(peaks: DataFrame, key: str, mass: str, deltas: dict[str, float], tolerance: float) -> DataFrame:
-    """Pairs of peaks (a below b) whose difference is one of ``deltas`` within the tolerance: (source, target, code, difference).
+def mass_differences(peaks: DataFrame, key: str, mass: str, deltas: dict[str, float], tolerance: float, keys: list[str] | None = None) -> DataFrame:
+    """Pairs of peaks (a below b) whose difference is one of ``deltas`` within the tolerance: (keys, source, target, code, difference).
 
     Each peak is repeated once for each delta, not paired with every other.
     """
+    keys = keys or []
     steps = F.explode(F.array(*[F.struct(F.lit(n).alias("code"), F.lit(d).alias("delta")) for n, d in deltas.items()]))
-    low = peaks.select(F.col(key).alias("source"), F.col(mass).alias("m1"), steps.alias("s")).select("source", "m1", "s.code", "s.delta", (F.col("m1") + F.col("s.delta")).alias("aim"))
-    high = peaks.select(F.col(key).alias("target"), F.col(mass).alias("m2"))
+    low = peaks.select(*keys, F.col(key).alias("source"), F.col(mass).alias("m1"), steps.alias("s")).select(*keys, "source", "m1", "s.code", "s.delta", (F.col("m1") + F.col("s.delta")).alias("aim"))
+    high = peaks.select(*keys, F.col(key).alias("target"), F.col(mass).alias("m2"))
     # a looser join on the sum, then the predicate on the difference
-    pairs = absolute_join(low, high, "aim", "m2", tolerance * 1.000001)
-    return pairs.where(F.abs(F.col("m2") - F.col("m1") - F.col("delta")) <= tolerance).select("source", "target", "code", (F.col("m2") - F.col("m1")).alias("difference"))
+    pairs = absolute_join(low, high, "aim", "m2", tolerance * 1.000001, keys)
+    return pairs.where(F.abs(F.col("m2") - F.col("m1") - F.col("delta")) <= tolerance).select(*keys, "source", "target", "code", (F.col("m2") - F.col("m1")).alias("difference"))
 
 
 def degrees(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -110,52 +115,56 @@ def paths(edges: DataFrame, starts: DataFrame, source: str, target: str, depth:
 # Set algebra over masses that agree within a tolerance
 
 
-def _matched(a: DataFrame, b: DataFrame, mass: str, ppm: float) -> DataFrame:
-    other = b.select(F.col(mass).alias("_other")).distinct()
-    return ppm_join(a.select(mass).distinct(), other, mass, "_other", ppm).select(mass).distinct()
+def _matched(a: DataFrame, b: DataFrame, mass: str, ppm: float, keys: list[str]) -> DataFrame:
+    other = b.select(*keys, F.col(mass).alias("_other")).distinct()
+    return ppm_join(a.select(*keys, mass).distinct(), other, mass, "_other", ppm, keys).select(*keys, mass).distinct()
 
 
-def spectral_difference(a: DataFrame, b: DataFrame, mass: str, ppm: float) -> DataFrame:
+def spectral_difference(a: DataFrame, b: DataFrame, mass: str, ppm: float, keys: list[str] | None = None) -> DataFrame:
     """Rows of a without a partner in b."""
-    return a.join(_matched(a, b, mass, ppm), mass, "left_anti")
+    keys = keys or []
+    return a.join(_matched(a, b, mass, ppm, keys), [*keys, mass], "left_anti")
 
 
-def spectral_intersection(a: DataFrame, b: DataFrame, mass: str, ppm: float) -> DataFrame:
+def spectral_intersection(a: DataFrame, b: DataFrame, mass: str, ppm: float, keys: list[str] | None = None) -> DataFrame:
     """Rows of a with a partner in b."""
-    return a.join(_matched(a, b, mass, ppm), mass, "left_semi")
+    keys = keys or []
+    return a.join(_matched(a, b, mass, ppm, keys), [*keys, mass], "left_semi")
 
 
-def _unmatched_right(a: DataFrame, b: DataFrame, mass: str, ppm: float) -> DataFrame:
-    mine = b.select(mass).distinct()
-    hit = ppm_join(a.select(F.col(mass).alias("_a")).distinct(), mine, "_a", mass, ppm).select(mass).distinct()
-    return b.join(hit, mass, "left_anti")
+def _unmatched_right(a: DataFrame, b: DataFrame, mass: str, ppm: float, keys: list[str]) -> DataFrame:
+    mine = b.select(*keys, mass).distinct()
+    hit = ppm_join(a.select(*keys, F.col(mass).alias("_a")).distinct(), mine, "_a", mass, ppm, keys).select(*keys, mass).distinct()
+    return b.join(hit, [*keys, mass], "left_anti")
 
 
-def spectral_union(a: DataFrame, b: DataFrame, mass: str, ppm: float) -> DataFrame:
+def spectral_union(a: DataFrame, b: DataFrame, mass: str, ppm: float, keys: list[str] | None = None) -> DataFrame:
     """All of a and the rows of b without a partner in a."""
-    return a.unionByName(_unmatched_right(a, b, mass, ppm), allowMissingColumns=True)
+    return a.unionByName(_unmatched_right(a, b, mass, ppm, keys or []), allowMissingColumns=True)
 
 
-def spectral_symmetric(a: DataFrame, b: DataFrame, mass: str, ppm: float) -> DataFrame:
+def spectral_symmetric(a: DataFrame, b: DataFrame, mass: str, ppm: float, keys: list[str] | None = None) -> DataFrame:
     """Rows of either side without a partner on the other."""
-    return spectral_difference(a, b, mass, ppm).unionByName(_unmatched_right(a, b, mass, ppm), allowMissingColumns=True)
+    return spectral_difference(a, b, mass, ppm, keys).unionByName(_unmatched_right(a, b, mass, ppm, keys or []), allowMissingColumns=True)
 
 
-def blank_subtracted(sample: DataFrame, blank: DataFrame, mass: str, intensity: str, ppm: float, factor: float = 1.0) -> DataFrame:
+def blank_subtracted(sample: DataFrame, blank: DataFrame, mass: str, intensity: str, ppm: float, factor: float = 1.0, keys: list[str] | None = None) -> DataFrame:
     """Sample peaks less ``factor`` times the strongest matching blank peak; what is left stays if positive."""
-    other = blank.groupBy(F.col(mass).alias("_other")).agg(F.max(intensity).alias("_blank"))
-    hit = ppm_join(sample.select(mass).distinct(), other, mass, "_other", ppm).groupBy(mass).agg(F.max("_blank").alias("_blank"))
+    keys = keys or []
+    other = blank.groupBy(*keys, F.col(mass).alias("_other")).agg(F.max(intensity).alias("_blank"))
+    hit = ppm_join(sample.select(*keys, mass).distinct(), other, mass, "_other", ppm, keys).groupBy(*keys, mass).agg(F.max("_blank").alias("_blank"))
     left = F.col(intensity) - factor * F.coalesce("_blank", F.lit(0.0))
-    return sample.join(hit, mass, "left").withColumn(intensity, F.greatest(left, F.lit(0.0))).where(F.col(intensity) > 0).drop("_blank")
+    return sample.join(hit, [*keys, mass], "left").withColumn(intensity, F.greatest(left, F.lit(0.0))).where(F.col(intensity) > 0).drop("_blank")
 
 
-def isotope_companions(peaks: DataFrame, key: str, mass: str, intensity: str, shift: float, tolerance: float) -> DataFrame:
-    """For each peak the nearest peak one isotope step above: (key, companion, ratio of intensities)."""
-    low = peaks.select(F.col(key), F.col(mass).alias("_m"), F.col(intensity).alias("_i"), (F.col(mass) + shift).alias("_aim"))
-    high = peaks.select(F.col(key).alias("companion"), F.col(mass).alias("_cm"), F.col(intensity).alias("_ci"))
-    pairs = absolute_join(low, high, "_aim", "_cm", tolerance)
-    best = best_match(pairs, [key], [F.abs(F.col("_cm") - F.col("_aim")), F.col("_cm"), F.col("companion")])
-    return best.select(key, "companion", F.try_divide("_ci", "_i").alias("ratio"))
+def isotope_companions(peaks: DataFrame, key: str, mass: str, intensity: str, shift: float, tolerance: float, keys: list[str] | None = None) -> DataFrame:
+    """For each peak the nearest peak one isotope step above: (keys, key, companion, ratio of intensities)."""
+    keys = keys or []
+    low = peaks.select(*keys, F.col(key), F.col(mass).alias("_m"), F.col(intensity).alias("_i"), (F.col(mass) + shift).alias("_aim"))
+    high = peaks.select(*keys, F.col(key).alias("companion"), F.col(mass).alias("_cm"), F.col(intensity).alias("_ci"))
+    pairs = absolute_join(low, high, "_aim", "_cm", tolerance, keys)
+    best = best_match(pairs, [*keys, key], [F.abs(F.col("_cm") - F.col("_aim")), F.col("_cm"), F.col("companion")])
+    return best.select(*keys, key, "companion", F.try_divide("_ci", "_i").alias("ratio"))
 
 
 def recalibrated(peaks: DataFrame, calibrants: DataFrame, keys: list[str], mass: str, theoretical: str, ppm: float, least: int = 3) -> DataFrame:

@@ -221,36 +221,37 @@ def interval_band_lookup(spark, d):
 
 
 _DELTAS = ", ".join(f"('{n}', {v!r}::DOUBLE)" for n, v in chem.TRANSFORMATIONS.items())
-_PAIRS = f"SELECT a.p_partkey AS source, b.p_partkey AS target, code FROM part a JOIN part b ON b.p_retailprice > a.p_retailprice JOIN (VALUES {_DELTAS}) t(code, delta) ON abs(b.p_retailprice - a.p_retailprice - delta) <= 0.02"
+_PAIRS = f"SELECT a.p_partkey AS source, b.p_partkey AS target, code FROM part a JOIN part b ON a.p_size % 5 = b.p_size % 5 AND b.p_retailprice > a.p_retailprice JOIN (VALUES {_DELTAS}) t(code, delta) ON abs(b.p_retailprice - a.p_retailprice - delta) <= 0.02"
 
 
 @query(f"SELECT code, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM ({_PAIRS}) GROUP BY code")
 def mass_difference_network(spark, d):
-    edges = ranges.mass_differences(table(spark, d, "part"), "p_partkey", "p_retailprice", chem.TRANSFORMATIONS, 0.02)
+    edges = ranges.mass_differences(table(spark, d, "part").withColumn("sample", F.col("p_size") % 5), "p_partkey", "p_retailprice", chem.TRANSFORMATIONS, 0.02, ["sample"])
     return relational.distribution(edges, "code").select("code", "n", r("percent").alias("percent"))
 
 
 @query(f"SELECT node, count(*) AS degree FROM (SELECT source AS node FROM ({_PAIRS}) UNION ALL SELECT target FROM ({_PAIRS})) GROUP BY node")
 def degree_hubs(spark, d):
-    return ranges.degrees(ranges.mass_differences(table(spark, d, "part"), "p_partkey", "p_retailprice", chem.TRANSFORMATIONS, 0.02))
+    return ranges.degrees(ranges.mass_differences(table(spark, d, "part").withColumn("sample", F.col("p_size") % 5), "p_partkey", "p_retailprice", chem.TRANSFORMATIONS, 0.02, ["sample"]))
 
 
 @query("""WITH x AS (SELECT a.p_partkey, b.p_partkey AS companion, CAST(b.p_size AS DOUBLE) / a.p_size AS ratio, row_number() OVER (PARTITION BY a.p_partkey ORDER BY abs(b.p_retailprice - (a.p_retailprice + 1.003355)), b.p_retailprice, b.p_partkey) AS k
-    FROM part a JOIN part b ON abs(a.p_retailprice + 1.003355::DOUBLE - b.p_retailprice) <= 0.005) SELECT p_partkey, companion, round(ratio, 6) AS ratio FROM x WHERE k = 1""")
+    FROM part a JOIN part b ON a.p_size % 5 = b.p_size % 5 AND abs(a.p_retailprice + 1.003355::DOUBLE - b.p_retailprice) <= 0.005) SELECT p_partkey, companion, round(ratio, 6) AS ratio FROM x WHERE k = 1""")
 def isotope_companion(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
-    return ranges.isotope_companions(p, "p_partkey", "p_retailprice", "p_size", chem.CARBON13, 0.005).select("p_partkey", "companion", r("ratio").alias("ratio"))
+    p = table(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"), (F.col("p_size") % 5).alias("sample"))
+    return ranges.isotope_companions(p, "p_partkey", "p_retailprice", "p_size", chem.CARBON13, 0.005, ["sample"]).select("p_partkey", "companion", r("ratio").alias("ratio"))
 
 
-_A = "SELECT l_extendedprice / 100 AS mass, l_quantity AS intensity FROM lineitem WHERE l_returnflag = 'A'"
-_B = "SELECT l_extendedprice / 100 AS mass, l_quantity AS intensity FROM lineitem WHERE l_returnflag = 'R'"
-_NEAR = "o.mass BETWEEN x.mass - x.mass * 1.5e-6 AND x.mass + x.mass * 1.5e-6"
-_FAR = "x.mass BETWEEN o.mass - o.mass * 1.5e-6 AND o.mass + o.mass * 1.5e-6"
+_A = "SELECT l_linenumber AS sample, l_extendedprice / 100 AS mass, l_quantity AS intensity FROM lineitem WHERE l_returnflag = 'A'"
+_B = "SELECT l_linenumber AS sample, l_extendedprice / 100 AS mass, l_quantity AS intensity FROM lineitem WHERE l_returnflag = 'R'"
+_NEAR = "o.sample = x.sample AND o.mass BETWEEN x.mass - x.mass * 1.5e-6 AND x.mass + x.mass * 1.5e-6"
+_FAR = "o.sample = x.sample AND x.mass BETWEEN o.mass - o.mass * 1.5e-6 AND o.mass + o.mass * 1.5e-6"
 
 
 def _halves(spark, d):
-    p = peaks(spark, d)
-    return p.where("l_returnflag = 'A'").select("mass", "intensity"), p.where("l_returnflag = 'R'").select("mass", "intensity")
+    """Spectra of samples by line number, in two states."""
+    p = peaks(spark, d).withColumn("sample", F.col("peak_id") % 10)
+    return p.where("l_returnflag = 'A'").select("sample", "mass", "intensity"), p.where("l_returnflag = 'R'").select("sample", "mass", "intensity")
 
 
 def _summed(df):
@@ -262,29 +263,29 @@ def _summed_sql(q: str) -> str:
     return f"SELECT round(mass, 4) AS mass, count(*) AS n, round(sum(intensity), 4) AS intensity FROM ({q}) GROUP BY 1"
 
 
-@query(_summed_sql(f"SELECT * FROM ({_A}) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT mass FROM ({_B})) o WHERE {_NEAR})"))
+@query(_summed_sql(f"SELECT * FROM ({_A}) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT sample, mass FROM ({_B})) o WHERE {_NEAR})"))
 def spectral_difference(spark, d):
-    return _summed(ranges.spectral_difference(*_halves(spark, d), "mass", 1.5))
+    return _summed(ranges.spectral_difference(*_halves(spark, d), "mass", 1.5, ["sample"]))
 
 
-@query(_summed_sql(f"SELECT * FROM ({_A}) x WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT mass FROM ({_B})) o WHERE {_NEAR})"))
+@query(_summed_sql(f"SELECT * FROM ({_A}) x WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT sample, mass FROM ({_B})) o WHERE {_NEAR})"))
 def spectral_intersection(spark, d):
-    return _summed(ranges.spectral_intersection(*_halves(spark, d), "mass", 1.5))
+    return _summed(ranges.spectral_intersection(*_halves(spark, d), "mass", 1.5, ["sample"]))
 
 
-@query(_summed_sql(f"{_A} UNION ALL SELECT * FROM ({_B}) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT mass FROM ({_A})) o WHERE {_FAR})"))
+@query(_summed_sql(f"{_A} UNION ALL SELECT * FROM ({_B}) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT sample, mass FROM ({_A})) o WHERE {_FAR})"))
 def spectral_union(spark, d):
-    return _summed(ranges.spectral_union(*_halves(spark, d), "mass", 1.5))
+    return _summed(ranges.spectral_union(*_halves(spark, d), "mass", 1.5, ["sample"]))
 
 
-@query(_summed_sql(f"SELECT * FROM ({_A}) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT mass FROM ({_B})) o WHERE {_NEAR}) UNION ALL SELECT * FROM ({_B}) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT mass FROM ({_A})) o WHERE {_FAR})"))
+@query(_summed_sql(f"SELECT * FROM ({_A}) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT sample, mass FROM ({_B})) o WHERE {_NEAR}) UNION ALL SELECT * FROM ({_B}) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT sample, mass FROM ({_A})) o WHERE {_FAR})"))
 def spectral_symmetric(spark, d):
-    return _summed(ranges.spectral_symmetric(*_halves(spark, d), "mass", 1.5))
+    return _summed(ranges.spectral_symmetric(*_halves(spark, d), "mass", 1.5, ["sample"]))
 
 
-@query(_summed_sql(f"SELECT mass, i AS intensity FROM (SELECT x.mass, greatest(x.intensity - 0.5 * coalesce((SELECT max(o.intensity) FROM ({_B}) o WHERE {_NEAR}), 0), 0) AS i FROM ({_A}) x) WHERE i > 0"))
+@query(_summed_sql(f"SELECT sample, mass, i AS intensity FROM (SELECT x.sample, x.mass, greatest(x.intensity - 0.5 * coalesce((SELECT max(o.intensity) FROM ({_B}) o WHERE {_NEAR}), 0), 0) AS i FROM ({_A}) x) WHERE i > 0"))
 def blank_subtraction(spark, d):
-    return _summed(ranges.blank_subtracted(*_halves(spark, d), "mass", "intensity", 1.5, 0.5))
+    return _summed(ranges.blank_subtracted(*_halves(spark, d), "mass", "intensity", 1.5, 0.5, ["sample"]))
 
 
 @query("""WITH e AS (SELECT DISTINCT c_nationkey AS s, s_nationkey AS t FROM customer JOIN supplier ON c_nationkey + 3 = s_nationkey OR c_nationkey = s_nationkey + 2),

@@ -326,3 +326,16 @@ def test_models_leave_out_incomplete_rows(cohort, spark):
     got, whole = ({z["descriptor"]: z["vip"] for z in models.variable_importance(x, "id", list("abcde"), "y").collect()} for x in (odd, df))
     assert got == pytest.approx(whole)
     assert models.variable_importance(df.limit(0), "id", list("abcde"), "y").count() == 5
+
+
+def test_samples_never_meet(spark):
+    rows = [("s1", 1, 100.0, 9.0), ("s2", 2, 101.003355, 1.0), ("s1", 3, 300.0, 5.0), ("s2", 4, 300.0, 2.0), ("s1", 5, 114.01565, 1.0)]
+    p = spark.createDataFrame(rows, "sample string, id long, m double, i double")
+    assert ranges.isotope_companions(p, "id", "m", "i", chem.CARBON13, 0.01).count() == 1
+    assert ranges.isotope_companions(p, "id", "m", "i", chem.CARBON13, 0.01, ["sample"]).count() == 0
+    assert [tuple(r)[:4] for r in ranges.mass_differences(p, "id", "m", {"CH2": 14.01565}, 0.001, ["sample"]).collect()] == [("s1", 1, 5, "CH2")]
+    a, b = p.where("id < 4"), spark.createDataFrame([("s2", 7, 100.0, 1.0), ("s1", 8, 300.0, 4.0)], p.schema)
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(ranges.spectral_intersection(a, b, "m", 1.0, ["sample"])) == [3]
+    assert ids(ranges.spectral_union(a, b, "m", 1.0, ["sample"])) == [1, 2, 3, 7]
+    assert {r["id"]: r["i"] for r in ranges.blank_subtracted(a, b, "m", "i", 1.0, keys=["sample"]).collect()} == {1: 9.0, 2: 1.0, 3: 1.0}
