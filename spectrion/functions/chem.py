@@ -198,3 +198,36 @@ IONS = {
     "lactate": (89.07, 1, -1), "succinate": (116.07, 2, -1), "malate": (132.07, 2, -1), "citrate": (189.10, 3, -1),
     "sodium": (22.990, 1, 1), "ammonium": (18.039, 1, 1), "potassium": (39.098, 1, 1), "magnesium": (24.305, 2, 1), "calcium": (40.078, 2, 1),
 }
+
+# Acid constants at 25 degrees (negative logarithms) of phosphoric acid, of bicarbonate and of water.
+PHOSPHATE_PK = (2.15, 7.20, 12.35)
+BICARBONATE_PK = 10.33
+WATER_PK = 14.0
+
+
+def phosphate_charge(ph: Column) -> tuple[Column, Column]:
+    """Mean charge number of dissolved phosphate and mean of its square; null without pH."""
+    total, weights = 0.0, []
+    for pk in PHOSPHATE_PK:
+        total += pk
+        weights.append(F.pow(F.lit(10.0), (len(weights) + 1) * ph - total))  # against the undissociated acid
+    every = 1.0 + sum(weights[1:], weights[0])
+    first = sum(((k + 1) * w for k, w in enumerate(weights)), F.lit(0.0))
+    second = sum(((k + 1) ** 2 * w for k, w in enumerate(weights)), F.lit(0.0))
+    return first / every, second / every
+
+
+def alkalinity_split(alkalinity: Column, ph: Column) -> tuple[Column, Column]:
+    """Bicarbonate and carbonate (mmol/l) of an alkalinity (meq/l); without pH all is bicarbonate, and nothing is negative."""
+    power = lambda x: F.pow(F.lit(10.0), x)
+    left = F.greatest(alkalinity - 1000.0 * power(ph - WATER_PK) + 1000.0 * power(-ph), F.lit(0.0))
+    share = power(ph - BICARBONATE_PK)
+    bicarbonate = left / (1.0 + 2.0 * share)
+    return F.when(ph.isNull(), F.greatest(alkalinity, F.lit(0.0))).otherwise(bicarbonate), F.when(ph.isNull(), 0.0).otherwise(share * bicarbonate)
+
+
+def pyrolysis_ratios(area: dict[str, Column]) -> dict[str, Column]:
+    """Ratios of summed areas by class; null where a denominator isn't positive."""
+    lignin = area["hydroxyphenyl"] + area["guaiacyl"] + area["syringyl"]
+    percent = {f"{n}_percent": ratio(100.0 * area[n], lignin) for n in ("hydroxyphenyl", "guaiacyl", "syringyl")}
+    return percent | {"s_g": ratio(area["syringyl"], area["guaiacyl"]), "h_g": ratio(area["hydroxyphenyl"], area["guaiacyl"]), "lignin_carbohydrate": ratio(lignin, area["carbohydrate"])}

@@ -391,3 +391,42 @@ def mass_recalibration(spark, d):
 def band_fits(spark, d):
     e = table(spark, d, "events").select("user_id", (F.col("event_id") * 37 % 40 * 1.0).alias("x"), "value")
     return kernels.fit_bands(ordered.averaged_duplicates(e, ["user_id"], "x", "value", 3), ["user_id"], "x", "value", [10.0, 30.0], 5.0, 5.0)
+
+
+_PH = "CASE WHEN c_mktsegment <> 'MACHINERY' THEN 2.0::DOUBLE + abs(c_acctbal) / 1000 END"
+
+
+def _ph():
+    return F.when(F.col("c_mktsegment") != "MACHINERY", 2.0 + F.abs("c_acctbal") / 1000)
+
+
+@query(f"""WITH p AS (SELECT c_custkey, {_PH} AS ph FROM customer), h AS (SELECT c_custkey, pow(10.0::DOUBLE, -ph) AS h FROM p),
+t AS (SELECT c_custkey, h * h * h AS a0, pow(10.0::DOUBLE, -2.15::DOUBLE) * h * h AS a1, pow(10.0::DOUBLE, -9.35::DOUBLE) * h AS a2, pow(10.0::DOUBLE, -21.7::DOUBLE) AS a3 FROM h)
+SELECT c_custkey, round((a1 + 2 * a2 + 3 * a3) / (a0 + a1 + a2 + a3), 6) AS charge, round((a1 + 4 * a2 + 9 * a3) / (a0 + a1 + a2 + a3), 6) AS charge_squared FROM t""")
+def phosphate_charge(spark, d):
+    one, two = chem.phosphate_charge(_ph())
+    return table(spark, d, "customer").select("c_custkey", r(one).alias("charge"), r(two).alias("charge_squared"))
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_nationkey / 5.0::DOUBLE AS alk, {_PH} AS ph FROM customer), x AS (SELECT *, greatest(alk - 1000 * pow(10.0::DOUBLE, ph - 14) + 1000 * pow(10.0::DOUBLE, -ph), 0) AS carb, pow(10.0::DOUBLE, ph - 10.33::DOUBLE) AS r FROM p)
+SELECT c_custkey, round(CASE WHEN ph IS NULL THEN alk ELSE carb / (1 + 2 * r) END, 6) AS bicarbonate, round(CASE WHEN ph IS NULL THEN 0 ELSE r * carb / (1 + 2 * r) END, 6) AS carbonate FROM x""")
+def alkalinity_split(spark, d):
+    one, two = chem.alkalinity_split(F.col("c_nationkey") / 5.0, _ph())
+    return table(spark, d, "customer").select("c_custkey", r(one).alias("bicarbonate"), r(two).alias("carbonate"))
+
+
+#: Parts as compounds: the class goes by the material.
+_COMPOUNDS = {"hydroxyphenyl": "cresol", "guaiacyl": "vanillin", "syringyl": "syringol", "carbohydrate": "furfural", "other": "benzene"}
+_NAMED = " ".join(f"WHEN p_size % 5 = {i} THEN '{n}'" for i, n in enumerate(_COMPOUNDS))
+_AREAS = ", ".join(f"sum(CASE WHEN class = '{n}' THEN p_retailprice ELSE 0 END) AS {n}" for n in list(_COMPOUNDS)[:4])
+
+
+@query(f"""WITH c AS (SELECT p_brand, p_retailprice, CASE {_NAMED} END AS class FROM part), s AS (SELECT p_brand, {_AREAS} FROM c GROUP BY 1), t AS (SELECT *, hydroxyphenyl + guaiacyl + syringyl AS lignin FROM s)
+SELECT p_brand, round(100 * hydroxyphenyl / nullif(lignin, 0), 4) AS hydroxyphenyl_percent, round(100 * guaiacyl / nullif(lignin, 0), 4) AS guaiacyl_percent, round(100 * syringyl / nullif(lignin, 0), 4) AS syringyl_percent,
+    round(syringyl / nullif(guaiacyl, 0), 6) AS s_g, round(hydroxyphenyl / nullif(guaiacyl, 0), 6) AS h_g, round(lignin / nullif(carbohydrate, 0), 6) AS lignin_carbohydrate FROM t""")
+def pyrolysis_indices(spark, d):
+    place = F.col("p_size") % len(_COMPOUNDS) + 1
+    rows = table(spark, d, "part").select("p_brand", "p_retailprice", text.pyrolysis_class(F.element_at(F.array(*map(F.lit, _COMPOUNDS.values())), place.cast("int"))).alias("class"))
+    areas = rows.groupBy("p_brand").agg(*[F.sum(F.when(F.col("class") == n, F.col("p_retailprice")).otherwise(0.0)).alias(n) for n in list(_COMPOUNDS)[:4]])
+    found = chem.pyrolysis_ratios({n: F.col(n) for n in list(_COMPOUNDS)[:4]})
+    return areas.select("p_brand", *[r(c, 4 if n.endswith("percent") else 6).alias(n) for n, c in found.items()])

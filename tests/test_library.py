@@ -339,3 +339,11 @@ def test_samples_never_meet(spark):
     assert ids(ranges.spectral_intersection(a, b, "m", 1.0, ["sample"])) == [3]
     assert ids(ranges.spectral_union(a, b, "m", 1.0, ["sample"])) == [1, 2, 3, 7]
     assert {r["id"]: r["i"] for r in ranges.blank_subtracted(a, b, "m", "i", 1.0, keys=["sample"]).collect()} == {1: 9.0, 2: 1.0, 3: 1.0}
+
+
+def test_ions_by_ph(spark):
+    charge = lambda ph: col(spark, ph, chem.phosphate_charge(F.col("v").cast("double"))[0])
+    assert charge(2.15) == pytest.approx(0.5, abs=1e-4) and charge(7.2) == pytest.approx(1.5, abs=1e-4) and charge(12.35) == pytest.approx(2.5, abs=1e-4)
+    bicarbonate, carbonate = (col(spark, 10.33, x) for x in chem.alkalinity_split(F.lit(3.0), F.col("v").cast("double")))
+    assert bicarbonate == pytest.approx(carbonate) and bicarbonate * 3 == pytest.approx(3.0 - 1000 * 10 ** (10.33 - 14), abs=1e-6)
+    assert col(spark, 13.0, chem.alkalinity_split(F.lit(1.0), F.col("v").cast("double"))[0]) == 0
