@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Monoisotopic masses and atomic weights of the elements, and derived mass constants.
 EXACT_MASS = {"C": 12.0, "H": 1.007825, "O": 15.994915, "N": 14.003074, "S": 31.972071}
 ATOMIC_WEIGHT = {"C": 12.011, "H": 1.008, "O": 15.999, "N": 14.007, "S": 32.065}
+# Element symbols by atomic number.
+SYMBOLS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
+    "Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu"
+).split()
+# Absolute isotope ratios of the reference scales (VPDB, AIR, VSMOW, VSMOW, VCDT).
+STANDARD_RATIOS = {"13C": 0.011180, "15N": 0.0036765, "2H": 155.76e-6, "18O": 2005.20e-6, "34S": 0.0441626}
 PROTON = 1.007276
 CARBON13 = 1.003355
 KENDRICK = {"CH2": (14, 14.015650), "COO": (44, 43.989829), "O": (16, 15.994915), "H2": (2, 2.015650)}
@@ -113,6 +122,24 @@ def class_laszakovits(hc: Column, oc: Column, ai: Column, n: Column) -> Column:
     )
 
 
+def class_classical(hc: Column, oc: Column) -> Column:
+    """Seven broad classes by the regions of a grid of twenty cells."""
+    poor, rich = oc.between(0.00, 0.50), (oc > 0.50) & (oc <= 1.00)
+    return ladder(
+        [
+            (poor & (hc >= 0.2) & (hc < 1.0), "condensed_tannins"),
+            (poor & (hc >= 1.0) & (hc < 1.4), "lignins"),
+            (poor & (hc >= 1.4) & (hc < 1.8), "terpenoids"),
+            (poor & hc.between(1.8, 2.2) & (oc <= 0.25), "lipids"),
+            (poor & hc.between(1.8, 2.2), "peptides"),
+            (rich & (hc >= 0.2) & (hc < 1.4), "hydrolysable_tannins"),
+            (rich & hc.between(1.4, 2.2), "carbohydrates"),
+        ],
+        "other",
+        hc.isNull() | oc.isNull(),
+    )
+
+
 def kendrick(mass: Column, base: str = "CH2") -> tuple[Column, Column, Column]:
     """Kendrick mass, nominal Kendrick mass (half to even) and mass defect."""
     nominal, exact = KENDRICK[base]
@@ -139,6 +166,20 @@ def formula_mass(formula: Column, masses: dict[str, float] = EXACT_MASS) -> Colu
     return F.aggregate(F.map_entries(formula_counts(formula)), F.lit(0.0), lambda acc, e: acc + e["value"] * F.element_at(known, e["key"]))
 
 
+def valid_formula(formula: Column, longest: int = 64) -> Column:
+    """Whether a text is nothing but real element symbols, each with a whole number or none."""
+    symbols = F.array(*map(F.lit, SYMBOLS))
+    used = F.regexp_extract_all(formula, F.lit("([A-Z][a-z]?)"), F.lit(1))
+    shape = formula.rlike("^([A-Z][a-z]?[0-9]*)+$") & (F.length(formula) <= longest)
+    return F.coalesce(shape & F.forall(used, lambda e: F.array_contains(symbols, e)), F.lit(False))
+
+
+def isotope_standard(isotope: str) -> float:
+    """Absolute ratio of an isotope's reference scale, by its name or a common alias."""
+    name = isotope.strip().upper()
+    return STANDARD_RATIOS[{"D": "2H", "H2": "2H", "DELTAD": "2H"}.get(name, name)]
+
+
 def delta_from_ratio(r: Column, standard: Column) -> Column:
     return (r / standard - 1.0) * 1000.0
 
@@ -157,6 +198,14 @@ def two_source_share(sample: Column, a: Column, b: Column) -> Column:
     return F.when(a != b, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (sample - b) / (a - b))))
 
 
+def mixing_table(sample: Column, a: Column, b: Column) -> dict[str, Column]:
+    """Percentages of two sources, whether the sample lies outside them, and a label; all null where the sources are equal."""
+    share = two_source_share(sample, a, b)
+    outside = (sample < F.least(a, b)) | (sample > F.greatest(a, b))
+    label = F.when(share > 0.5, "source").when(share > 0.15, "mixed").when(share.isNotNull(), "background")
+    return {"source_percent": 100.0 * share, "background_percent": 100.0 * (1.0 - share), "outside": F.when(a != b, outside), "label": label}
+
+
 def gaussian(x: Column, height: Column, center: Column, sigma: Column) -> Column:
     return height * F.exp(-0.5 * F.pow((x - center) / sigma, F.lit(2.0)))
 
@@ -165,6 +214,22 @@ def lorentzian(x: Column, height: Column, center: Column, width: Column) -> Colu
     return height / (1.0 + 4.0 * F.pow((x - center) / width, F.lit(2.0)))
 
 
+def band_area(shape: str, height: Column, fwhm: Column) -> Column:
+    """Area of a Lorentzian or Gaussian band."""
+    if shape == "lorentzian":
+        return math.pi * height * fwhm / 2.0
+    return height * fwhm * math.sqrt(math.pi / (4.0 * math.log(2.0)))
+
+
+def crystallite_size(height_ratio: Column, area_ratio: Column, laser_nm: Column) -> dict[str, Column]:
+    """In-plane crystallite size in nm from D over G: by areas (Tuinstra-Koenig form) where that gives 2 nm or more, else by heights (Ferrari-Robertson form)."""
+    fourth = F.pow(laser_nm, F.lit(4.0))
+    ordered = F.when(area_ratio > 0, 2.4e-10 * fourth / area_ratio)
+    amorphous = F.when(height_ratio > 0, F.sqrt(height_ratio / (0.0055 * fourth / 514.5**4)) / 10.0)
+    size = F.when(ordered >= 2.0, ordered).otherwise(amorphous)
+    return {"size_areas": ordered, "size_heights": amorphous, "size": size, "regime": F.when(ordered >= 2.0, "ordered").when(amorphous.isNotNull(), "amorphous")}
+
+
 def raman_emission(excitation: Column, shift: float = 3.4e-4) -> Column:
     """Emission wavelength of the water Raman band; null where it isn't finite."""
     return F.when(1.0 / excitation - shift > 0, 1.0 / (1.0 / excitation - shift))
@@ -199,6 +264,21 @@ IONS = {
     "sodium": (22.990, 1, 1), "ammonium": (18.039, 1, 1), "potassium": (39.098, 1, 1), "magnesium": (24.305, 2, 1), "calcium": (40.078, 2, 1),
 }
 
+#: Milligrams of calcium carbonate in one milliequivalent.
+CARBONATE_EQUIVALENT = 50.04
+
+
+def ion_mg_l(value: Column, ion: str, unit: str | None) -> Column:
+    """A concentration in mg/l; without a unit it already is."""
+    mass, charge, _ = IONS[ion]
+    per_unit = {None: 1.0, "mg/l": 1.0, "ug/l": 1e-3, "mmol/l": mass, "meq/l": mass / charge, "ueq/l": mass / charge / 1000.0, "mg/l caco3": mass / charge / CARBONATE_EQUIVALENT}
+    return value * per_unit[unit]
+
+
+def alkalinity_meq_l(value: Column, unit: str) -> Column:
+    return value * {"meq/l": 1.0, "mmol/l": 1.0, "ueq/l": 1e-3, "mg/l caco3": 1 / CARBONATE_EQUIVALENT}[unit]
+
+
 # Acid constants at 25 degrees (negative logarithms) of phosphoric acid, of bicarbonate and of water.
 PHOSPHATE_PK = (2.15, 7.20, 12.35)
 BICARBONATE_PK = 10.33

@@ -287,25 +287,17 @@ def parafac(samples: DataFrame, sample: str, em: str, ex: str, value: str, compo
     return scores.unpivot([sample], [f"s{i}" for i in names], "component", "score"), loadings, explained
 
 
-def bounded_fit(x: np.ndarray, y: np.ndarray, centres: list[float], width: float, shift: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Heights, centres and widths of a sum of Gaussian bands by damped least squares, kept within bounds; and R squared."""
-    k = len(centres)
-    low = np.concatenate([np.zeros(k), np.array(centres) - shift, np.full(k, width / 5)])
-    high = np.concatenate([np.full(k, 2 * max(y.max(), 1e-9)), np.array(centres) + shift, np.full(k, width * 5)])
-    p = np.concatenate([np.full(k, max(y.max(), 1e-9) / 2), centres, np.full(k, width)])
-
-    def model(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h, c, s = p[:k], p[k : 2 * k], p[2 * k :]
-        u = (x[:, None] - c) / s
-        g = np.exp(-0.5 * u * u)
-        return g @ h, np.hstack([g, h * g * u / s, h * g * u * u / s])
-
+def damped_fit(y: np.ndarray, model: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], p: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Parameters within bounds by damped least squares, and R squared; ``model`` gives values and their derivatives."""
     damping = 1e-2
     f, j = model(p)
     cost = ((y - f) ** 2).sum()
     for _ in range(rounds):
-        a = j.T @ j
-        step = np.linalg.lstsq(a + damping * np.diag(np.diag(a) + 1e-12), j.T @ (y - f), rcond=None)[0]
+        free = ~((p <= low) & (j.T @ (y - f) < 0) | (p >= high) & (j.T @ (y - f) > 0))  # a bound that the slope points beyond holds its parameter
+        jf = j[:, free]
+        a = jf.T @ jf
+        step = np.zeros(len(p))
+        step[free] = np.linalg.lstsq(a + damping * np.diag(np.diag(a) + 1e-12), jf.T @ (y - f), rcond=None)[0]
         trial = np.clip(p + step, low, high)
         tf, tj = model(trial)
         now = ((y - tf) ** 2).sum()
@@ -322,6 +314,150 @@ def bounded_fit(x: np.ndarray, y: np.ndarray, centres: list[float], width: float
     return p, float(1 - cost / total) if total > 0 else 0.0
 
 
+def bounded_fit(x: np.ndarray, y: np.ndarray, centres: list[float], width: float, shift: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Heights, centres and widths of a sum of Gaussian bands by damped least squares, kept within bounds; and R squared."""
+    k = len(centres)
+    low = np.concatenate([np.zeros(k), np.array(centres) - shift, np.full(k, width / 5)])
+    high = np.concatenate([np.full(k, 2 * max(y.max(), 1e-9)), np.array(centres) + shift, np.full(k, width * 5)])
+    p = np.concatenate([np.full(k, max(y.max(), 1e-9) / 2), centres, np.full(k, width)])
+
+    def model(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, c, s = p[:k], p[k : 2 * k], p[2 * k :]
+        u = (x[:, None] - c) / s
+        g = np.exp(-0.5 * u * u)
+        return g @ h, np.hstack([g, h * g * u / s, h * g * u * u / s])
+
+    return damped_fit(y, model, p, low, high, rounds)
+
+
+# Bands of disordered carbon: shape, centre, its bounds, full width at half height, its bounds.
+CARBON_BANDS = {
+    "D4": ("lorentzian", 1200.0, (1150.0, 1260.0), 150.0, (40.0, 300.0)),
+    "D1": ("lorentzian", 1350.0, (1300.0, 1390.0), 120.0, (30.0, 300.0)),
+    "D3": ("gaussian", 1500.0, (1450.0, 1545.0), 120.0, (30.0, 250.0)),
+    "G": ("lorentzian", 1585.0, (1550.0, 1605.0), 60.0, (12.0, 150.0)),
+    "D2": ("lorentzian", 1620.0, (1605.0, 1640.0), 40.0, (10.0, 80.0)),
+}
+
+
+def carbon_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Heights, centres, widths (5 x 3) of the carbon bands over a straight background, the background, R squared and the parameters' covariance.
+
+    Parameters at a bound and those of bands without height count as fixed in
+    the covariance, since their derivatives say nothing.
+    """
+    bands = list(CARBON_BANDS.values())
+    k = len(bands)
+    bell = np.array([b[0] == "gaussian" for b in bands])
+    top = max(float(y.max()), 1e-9)
+    p = np.concatenate([np.full(k, top / 2), [b[1] for b in bands], [b[3] for b in bands], [0.0, 0.0]])
+    low = np.concatenate([np.zeros(k), [b[2][0] for b in bands], [b[4][0] for b in bands], [-top, -top]])
+    high = np.concatenate([np.full(k, 2 * top), [b[2][1] for b in bands], [b[4][1] for b in bands], [top, top]])
+    t = (x - 1400.0) / 400.0
+
+    def model(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, c, w = p[:k], p[k : 2 * k], p[2 * k : 3 * k]
+        u = (x[:, None] - c) / w
+        peak, round_ = 1 / (1 + 4 * u * u), np.exp(-4 * np.log(2) * u * u)
+        g = np.where(bell, round_, peak)
+        slope = np.where(bell, -8 * np.log(2) * u * round_, -8 * u * peak * peak)  # by u
+        return g @ h + p[-2] + p[-1] * t, np.hstack([g, -h * slope / w, -h * slope * u / w, np.ones((len(x), 1)), t[:, None]])
+
+    p, r2 = damped_fit(y, model, p, low, high, 400)
+    f, j = model(p)
+    free = (p - low > 1e-3 * (high - low)) & (high - p > 1e-3 * (high - low))
+    free[: 3 * k] &= np.tile(p[:k] > 1e-3 * top, 3)
+    cov = np.zeros((len(p), len(p)))
+    left = len(x) - int(free.sum())
+    cov[np.ix_(free, free)] = ((y - f) ** 2).sum() / left * np.linalg.pinv(j[:, free].T @ j[:, free]) if left > 0 and free.any() else np.nan
+    return p[: 3 * k].reshape(3, k).T, p[-2:], r2, cov
+
+
+def raman_carbon(points: DataFrame, keys: list[str], x: str, y: str, window: tuple[float, float] = (1000.0, 1800.0), smooth: float = 1e7, asymmetry: float = 0.001, least: int = 30) -> DataFrame:
+    """Carbon bands of each Raman spectrum in ``window``: baseline off, highest point at 100, five bands fitted.
+
+    (keys, heights, centres and widths of D1 and G, ratios of D1 over G by
+    height and area with their relative errors, order from 0 to 1 by the width
+    of G, r2, state). Spectra with fewer than ``least`` points, or flat ones,
+    get nulls and say so in ``state``; a fit below 0.95 of R squared, or with
+    D1 or G at a bound of its centre or width, is "poor". The baseline's
+    stiffness is stated for steps of 2 and follows the step.
+    """
+    numbers = ["d_height", "d_centre", "d_width", "g_height", "g_centre", "g_width", "height_ratio", "area_ratio", "height_error", "area_error", "carbon_order", "r2"]
+    names = list(CARBON_BANDS)
+    d, g, k = names.index("D1"), names.index("G"), len(names)
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part[part[x].between(*window)].dropna().groupby(x, as_index=False)[y].mean().sort_values(x)
+        at, v = part[x].to_numpy(float), part[y].to_numpy(float)
+        empty = lambda state: pd.DataFrame([[None] * len(numbers) + [state]], columns=[*numbers, "state"]).astype({n: float for n in numbers})
+        if len(at) < least:
+            return empty("too few points")
+        v = v - asls(v, smooth * (2.0 / max(float(np.median(np.diff(at))), 1e-6)) ** 4, asymmetry, 15)
+        v = np.maximum(v, 0)
+        if v.max() <= 1e-12:
+            return empty("flat")
+        p, _, r2, cov = carbon_fit(at, 100 * v / v.max())
+        (dh, dc, dw), (gh, gc, gw) = p[d], p[g]
+        both = dh > 0 and gh > 0
+        place = [d, g, 2 * k + d, 2 * k + g]
+        c = cov[np.ix_(place, place)]
+        error = lambda by: float(np.sqrt(max(by @ c @ by, 0))) if both else np.nan
+        heights = np.array([1 / dh, -1 / gh, 0, 0]) if both else np.zeros(4)
+        widths = np.array([0, 0, 1 / dw, -1 / gw])
+        tight = any(min(v - b[0], b[1] - v) < 1e-3 * (b[1] - b[0]) for v, b in ((dc, CARBON_BANDS["D1"][2]), (dw, CARBON_BANDS["D1"][4]), (gc, CARBON_BANDS["G"][2]), (gw, CARBON_BANDS["G"][4])))
+        order = float(np.clip((150.0 - gw) / 135.0, 0, 1))
+        row = [dh, dc, dw, gh, gc, gw, dh / gh if gh > 0 else np.nan, dh * dw / (gh * gw) if gh > 0 else np.nan, error(heights), error(heights + widths), order, r2]
+        return pd.DataFrame([[*row, "poor" if r2 < 0.95 or tight or not both else "good"]], columns=[*numbers, "state"])
+
+    return grouped(points, keys, [x, y], ", ".join(f"{n} double" for n in numbers) + ", state string", work)
+
+
+def core_consistency(samples: DataFrame, sample: str, em: str, ex: str, value: str, scores: DataFrame, loadings: list[tuple[str, float, int, float]]) -> float:
+    """Core consistency of a trilinear model in percent, at most 100; for complete grids.
+
+    The core needs the samples only through sums of value times score by cell
+    and of score times score, so they stay distributed.
+    """
+    axes = {m: sorted({p for n, p, _, _ in loadings if n == m}) for m in (em, ex)}
+    k = max(c for _, _, c, _ in loadings)
+    modes = {m: np.zeros((len(axes[m]), k)) for m in (em, ex)}
+    for m, p, c, v in loadings:
+        modes[m][axes[m].index(p), c - 1] = v
+    long = samples.groupBy(sample, em, ex).agg(F.avg(value).alias("_v"))
+    number = scores.select(sample, F.regexp_extract("component", "([0-9]+)", 1).cast("int").alias("_c"), "score")
+    right = np.zeros((k, len(axes[em]), len(axes[ex])))
+    for r in long.join(number, sample).groupBy(em, ex, "_c").agg(F.sum(F.col("_v") * F.col("score")).alias("s")).toLocalIterator():
+        right[r["_c"] - 1, axes[em].index(r[em]), axes[ex].index(r[ex])] = r["s"]
+    other = number.select(sample, F.col("_c").alias("_d"), F.col("score").alias("_t"))
+    gram = np.zeros((k, k))
+    for r in number.join(other, sample).groupBy("_c", "_d").agg(F.sum(F.col("score") * F.col("_t")).alias("s")).collect():
+        gram[r["_c"] - 1, r["_d"] - 1] = r["s"]
+    core = np.einsum("rs,sjk,aj,bk->rab", np.linalg.pinv(gram), right, np.linalg.pinv(modes[em]), np.linalg.pinv(modes[ex]))
+    ideal = np.zeros((k, k, k))
+    ideal[range(k), range(k), range(k)] = 1.0
+    return float(100 * (1 - ((core - ideal) ** 2).sum() / k))
+
+
+def split_half(samples: DataFrame, sample: str, em: str, ex: str, value: str, components: int, **options) -> list[float]:
+    """For each component of one half's model the congruence with its partner in the other half's, the lesser of both spectral modes, best pairing of all; halves by a hash of the sample."""
+    from itertools import permutations
+
+    half = F.pmod(F.xxhash64(F.col(sample).cast("string")), F.lit(2))
+    sides = []
+    for h in (0, 1):
+        _, loadings, _ = parafac(samples.where(half == h), sample, em, ex, value, components, **options)
+        sides.append({(m, c): {p: v for n, p, k, v in loadings if n == m and k == c} for m in (em, ex) for c in range(1, components + 1)})
+
+    def congruence(a: dict[float, float], b: dict[float, float]) -> float:
+        size = np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        return float(sum(v * b.get(p, 0.0) for p, v in a.items()) / size) if size > 0 else 0.0
+
+    table = [[min(congruence(sides[0][m, i], sides[1][m, j]) for m in (em, ex)) for j in range(1, components + 1)] for i in range(1, components + 1)]
+    best = max(permutations(range(components)), key=lambda order: sum(table[i][j] for i, j in enumerate(order)))
+    return [table[i][j] for i, j in enumerate(best)]
+
+
 def fit_bands(points: DataFrame, keys: list[str], x: str, y: str, centres: list[float], width: float, shift: float) -> DataFrame:
     """(keys, band, height, centre, width, area_percent, r2) of each signal's bands; signals with fewer points than parameters are left out."""
 

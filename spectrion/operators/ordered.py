@@ -49,6 +49,18 @@ def cumulative(points: DataFrame, keys: list[str], order: list[str], y: str, out
     return points.withColumn(out, 100.0 * F.try_divide(run, F.sum(y).over(Window.partitionBy(*keys))))
 
 
+def running_maximum(points: DataFrame, keys: list[str], order: list[str], y: str, out: str = "highest") -> DataFrame:
+    """Highest value of a signal up to each point."""
+    return points.withColumn(out, F.max(y).over(_order(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def cropped(points: DataFrame, keys: list[str], x: str, low: float, high: float) -> DataFrame:
+    """Points of each signal with x in [low, high]; a signal without any there stays whole."""
+    inside = F.col(x).between(low, high)
+    some = points.groupBy(*keys).agg(F.bool_or(inside).alias("_some"))
+    return points.join(some, keys).where(inside | ~F.coalesce("_some", F.lit(False))).drop("_some")
+
+
 def gradient(points: DataFrame, keys: list[str], x: str, y: str, out: str = "gradient") -> DataFrame:
     """Second-order derivative estimate for uneven steps, one-sided at the ends; null for a single point."""
     w = _order(keys, [x])

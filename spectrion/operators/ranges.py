@@ -148,6 +148,20 @@ def spectral_symmetric(a: DataFrame, b: DataFrame, mass: str, ppm: float, keys:
     return spectral_difference(a, b, mass, ppm, keys).unionByName(_unmatched_right(a, b, mass, ppm, keys or []), allowMissingColumns=True)
 
 
+def membership(a: DataFrame, b: DataFrame, mass: str, digits: int = 4, keys: list[str] | None = None) -> DataFrame:
+    """(keys, mass, side) of all masses rounded to ``digits``: in both tables or in one only. One shuffle of rounded masses."""
+    keys = keys or []
+    part = lambda df, first: df.where(F.col(mass).isNotNull()).select(*keys, F.round(mass, digits).alias(mass), F.lit(first).alias("_a"))
+    seen = part(a, True).unionByName(part(b, False)).groupBy(*keys, mass).agg(F.bool_or("_a").alias("_in_a"), F.bool_or(~F.col("_a")).alias("_in_b"))
+    return seen.select(*keys, mass, F.when(F.col("_in_a") & F.col("_in_b"), "common").when(F.col("_in_a"), "first_only").otherwise("second_only").alias("side"))
+
+
+def renormalized(peaks: DataFrame, keys: list[str], intensity: str, top: float = 100.0) -> DataFrame:
+    """Intensities over each sample's highest one, times ``top``, as after any algebra of spectra."""
+    highest = peaks.groupBy(*keys).agg(F.max(intensity).alias("_top"))
+    return peaks.join(highest, keys).withColumn(intensity, F.when(F.col("_top") > 0, F.col(intensity) * top / F.col("_top"))).drop("_top")
+
+
 def blank_subtracted(sample: DataFrame, blank: DataFrame, mass: str, intensity: str, ppm: float, factor: float = 1.0, keys: list[str] | None = None) -> DataFrame:
     """Sample peaks less ``factor`` times the strongest matching blank peak; what is left stays if positive."""
     keys = keys or []

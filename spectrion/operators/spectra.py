@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrion.functions.chem import ATOMIC_WEIGHT, heating_value
@@ -20,6 +20,8 @@ FTIR_BANDS = {
     "i1510": (1510.0, 10.0), "i1450": (1450.0, 12.0), "i1330": (1330.0, 10.0), "i1270": (1270.0, 10.0), "i1220": (1220.0, 12.0), "i1030": (1030.0, 15.0),
 }
 FTIR_RATIOS = {"aromaticity": ("i1600", "i2920"), "oxidation": ("i1720", "i1600"), "branching": ("i2960", "i2920"), "lignin": ("i1510", "i1600"), "guaiacyl_syringyl": ("i1270", "i1330"), "polysaccharide": ("i1030", "i1600"), "phenolic": ("i1220", "i1600")}
+# The eight carbon bins rolled up to six zones.
+NMR_ZONES = {"alkyl": ["alkyl"], "o_alkyl": ["methoxy", "o_alkyl"], "acetal": ["acetal"], "aromatic": ["aromatic"], "phenolic": ["phenolic"], "carboxyl_carbonyl": ["carboxyl", "carbonyl"]}
 # Mass limits of size fractions.
 SEC_LIMITS = (20_000.0, 5_000.0, 1_000.0)
 # Temperatures between which mass is lost in a thermogram's zones.
@@ -50,6 +52,12 @@ def nmr_descriptors(points: DataFrame, keys: list[str], x: str, y: str) -> DataF
     )
 
 
+def nmr_zones(shares: DataFrame) -> DataFrame:
+    """The eight bins of ``nmr_descriptors`` as six zones; other columns stay."""
+    keep = [c for c in shares.columns if c not in NMR_BINS]
+    return shares.select(*keep, *[sum((F.col(b) for b in parts[1:]), F.col(parts[0])).alias(f"zone_{n}") for n, parts in NMR_ZONES.items()])
+
+
 def uv_descriptors(points: DataFrame, keys: list[str], x: str, y: str, doc: Column | None = None, path_cm: float = 1.0, tolerance: float = 5.0) -> DataFrame:
     """Absorbances, their ratios, logarithmic slopes and what is estimated from them."""
     wl, a = F.col(x), F.col(y)
@@ -79,6 +87,21 @@ def eem_descriptors(grid: DataFrame, keys: list[str], ex: str, em: str, value: s
     return both.select(*keys, F.when(F.col("_b") > 0, F.col("_a") / F.col("_b")).alias("fi"), F.when(F.col("_d") > 0, F.col("_c") / F.col("_d")).alias("bix"), F.when(F.col("_low") > 0, F.col("_high") / F.col("_low")).alias("hix"))
 
 
+def raman_units(grid: DataFrame, blank: DataFrame, keys: list[str], ex: str, em: str, value: str, line: float = 350.0, tolerance: float = 2.5, window: tuple[float, float] = (381.0, 426.0)) -> DataFrame:
+    """Matrices over the area of the water blank's Raman band, with the area as ``raman_area``.
+
+    The area is Simpson's along the emission window at the blank's excitation
+    nearest to ``line``. Without three points there, or with an area that isn't
+    positive, values stay as they are and ``raman_area`` is null.
+    """
+    near = blank.where(F.abs(F.col(ex) - line) <= tolerance)
+    chosen = near.groupBy(*keys).agg(F.min_by(ex, F.struct(F.abs(F.col(ex) - line), F.col(ex))).alias("_ex"))
+    points = near.join(chosen, keys).where((F.col(ex) == F.col("_ex")) & F.col(em).between(*window) & F.col(value).isNotNull())
+    enough = points.groupBy(*keys).agg((F.count("*") >= 3).alias("_enough"))
+    area = simpson(points, keys, em, value).join(enough, keys).where((F.col("area") > 0) & F.col("_enough")).select(*keys, F.col("area").alias("raman_area"))
+    return grid.join(area, keys, "left").withColumn(value, F.when(F.col("raman_area").isNotNull(), F.col(value) / F.col("raman_area")).otherwise(F.col(value)))
+
+
 def ftir_descriptors(points: DataFrame, keys: list[str], x: str, y: str, snr: float = 3.0, least: float = 0.01) -> DataFrame:
     """Band maxima and their ratios; a ratio needs a denominator above noise."""
     bands = band_maximum(points, keys, x, y, FTIR_BANDS)
@@ -164,6 +187,26 @@ def kraft_water_score(sulfate: Column, chloride: Column, acids: Column, sodium:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
 
 
+def identified(peaks: DataFrame, library: DataFrame, key: str, name: str, entry: str) -> DataFrame:
+    """Peaks with the library's entry of their name: the whole name, the name without what stands in brackets, or one of the synonyms in brackets, in any case.
+
+    A name that several entries have takes the first by ``entry``; peaks without one keep nulls.
+    """
+    low = lambda c: F.trim(F.translate(F.lower(c), "ё", "е"))
+    whole = low(F.col(entry))
+    bare = F.trim(F.regexp_replace(whole, r"\s*\(.*?\)\s*", " "))
+    names = F.explode(F.array_distinct(F.concat(F.array(whole, bare), F.transform(F.regexp_extract_all(whole, F.lit(r"\((.*?)\)"), F.lit(1)), F.trim))))
+    known = library.select(names.alias("_name"), F.struct(entry, *[c for c in library.columns if c != entry]).alias("_entry")).where("_name <> ''")
+    one = known.groupBy("_name").agg(F.min("_entry").alias("_entry"))
+    return peaks.withColumn("_name", low(F.col(name))).join(one, "_name", "left").drop("_name").select(*peaks.columns, "_entry.*")
+
+
+def unique_matches(peaks: DataFrame, keys: list[str], compound: str, distance: str, area: str, ident: str, out: str = "matched") -> DataFrame:
+    """A compound of a sample stays with one peak, the nearest in retention and of equals the larger one; for others ``out`` is null."""
+    order = Window.partitionBy(*keys, compound).orderBy(distance, F.desc(area), ident)
+    return peaks.withColumn(out, F.when(F.col(compound).isNotNull() & (F.row_number().over(order) == 1), F.col(compound)))
+
+
 def weighted_score(parts: list[tuple[Column, float]]) -> Column:
     """Mean of the scores that are known, by weight; null if none is."""
     total = sum((F.when(x.isNotNull(), x * w).otherwise(0.0) for x, w in parts), F.lit(0.0))

@@ -46,11 +46,26 @@ def correlations(wide: DataFrame, columns: list[str], least: int = 3) -> DataFra
     return wide.agg(F.array(*aggs).alias("_p")).select(F.explode("_p").alias("p")).select("p.f1", "p.f2", "p.n", "p.r")
 
 
-def ranked_columns(long: DataFrame, key: str = "descriptor", value: str = "value", out: str = "rank") -> DataFrame:
-    """Average rank of each value among its descriptor's, for Spearman correlation."""
-    w = Window.partitionBy(key).orderBy(value)
-    ties = Window.partitionBy(key, value)
-    return long.withColumn(out, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
+def ranked_columns(long: DataFrame, key: str = "descriptor", value: str = "value", out: str = "rank", pieces: int = 200) -> DataFrame:
+    """Average rank of each value among its descriptor's, for Spearman correlation; a null value has none.
+
+    Equal values are counted first. Each descriptor's values are then cut into
+    ``pieces`` ranges, which are ranked apart and set off by the counts of the
+    ranges below, so no task sorts a whole descriptor. The cuts (numbers of
+    descriptors times pieces) pass through the driver and decide only how even
+    the ranges are; ranks are exact for any cuts.
+    """
+    known = long.where(F.col(value).isNotNull())
+    counts = known.groupBy(key, value).agg(F.count("*").alias("_n"))
+    edges = counts.groupBy(key).agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("_cuts"))
+    cuts = long.sparkSession.createDataFrame(edges.collect(), edges.schema)
+    piece = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    cut = counts.join(F.broadcast(cuts), key).select(key, value, "_n", piece.alias("_piece"))
+    below = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offset = cut.groupBy(key, "_piece").agg(F.sum("_n").alias("_m")).select(key, "_piece", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_off"))
+    before = Window.partitionBy(key, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = cut.join(offset, [key, "_piece"]).select(key, value, (F.col("_off") + F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
+    return long.join(ranks, [key, value], "left")
 
 
 def normal_p(r: Column, n: Column) -> Column:
@@ -71,6 +86,32 @@ def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str, ident: str, ou
     return q.unionByName(tests.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
+def hotelling_ellipse(scores: DataFrame, keys: list[str], x: str, y: str, confidence: float = 0.95) -> DataFrame:
+    """Centre and half axes of the T-squared ellipse of two scores; null with fewer than four points.
+
+    With two numerator degrees of freedom the quantile of F has a closed form.
+    """
+    known = scores.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    n = F.count("*").cast("double")
+    quantile = (n - 2.0) / 2.0 * (F.pow(F.lit(1.0 - confidence), -2.0 / (n - 2.0)) - 1.0)
+    scale = F.when(n >= 4, F.sqrt(2.0 * (n - 1.0) / (n - 2.0) * quantile))
+    return known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("centre_x"), F.avg(y).alias("centre_y"), (F.stddev_samp(x) * scale).alias("radius_x"), (F.stddev_samp(y) * scale).alias("radius_y"))
+
+
+def marker_directions(long: DataFrame, descriptor: str, label: str, value: str) -> DataFrame:
+    """For each descriptor the classes with the highest and lowest mean, and these means; of equals the first class."""
+    means = long.where(F.col(label).isNotNull()).groupBy(descriptor, label).agg(F.avg(value).alias("_m")).where("_m IS NOT NULL")
+    low, high = F.min(F.struct(F.col("_m"), F.col(label))), F.min(F.struct((-F.col("_m")).alias("_m"), F.col(label)))
+    return means.groupBy(descriptor).agg(high[label].alias("highest_class"), (-high["_m"]).alias("highest_mean"), low[label].alias("lowest_class"), low["_m"].alias("lowest_mean"))
+
+
+def predicted_class(scores: Column, classes: list) -> Column:
+    """Class of the highest of the scores, the first of equals; a single score tells the second of two classes from 0.5 on."""
+    names = F.array(*map(F.lit, classes))
+    many = F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
+    return F.when(F.size(scores) == 1, F.when(scores[0] >= 0.5, names[1]).when(scores[0].isNotNull(), names[0])).when(F.array_max(scores).isNotNull(), many)
+
+
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return df.groupBy(truth, guess).agg(F.count("*").alias("n"))
 
