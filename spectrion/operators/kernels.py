@@ -46,22 +46,27 @@ def asls(y: np.ndarray, smooth: float = 1e5, asymmetry: float = 0.01, rounds: in
     return z
 
 
-def _pentadiagonal(d: np.ndarray, e: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Solve a symmetric pentadiagonal system by LDL'."""
-    n = len(d)
-    dd, l1, l2 = np.zeros(n), np.zeros(n), np.zeros(n)
-    x = b.astype(float).copy()
+def _pentadiagonal(main: np.ndarray, side: np.ndarray, far: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solve a symmetric pentadiagonal system by LDL'; plain floats, since the recurrence goes number by number."""
+    n = len(main)
+    d, e, f, x = main.tolist(), [*side.tolist(), 0.0], [*far.tolist(), 0.0, 0.0], right.astype(float).tolist()
+    near, next_ = [0.0] * (n + 2), [0.0] * (n + 2)  # factors one and two rows below the diagonal
     for i in range(n):
-        a1 = e[i - 1] if i else 0.0
-        a2 = f[i - 2] if i > 1 else 0.0
-        l2[i] = a2 / dd[i - 2] if i > 1 else 0.0
-        l1[i] = (a1 - (l2[i] * dd[i - 2] * l1[i - 1] if i > 1 else 0.0)) / dd[i - 1] if i else 0.0
-        dd[i] = d[i] - (l1[i] ** 2 * dd[i - 1] if i else 0.0) - (l2[i] ** 2 * dd[i - 2] if i > 1 else 0.0)
-        x[i] -= (l1[i] * x[i - 1] if i else 0.0) + (l2[i] * x[i - 2] if i > 1 else 0.0)
-    x /= dd
-    for i in range(n - 2, -1, -1):
-        x[i] -= l1[i + 1] * x[i + 1] + (l2[i + 2] * x[i + 2] if i + 2 < n else 0.0)
-    return x
+        p = d[i]
+        one, two = e[i], f[i]
+        near[i], next_[i] = a, b = one / p, two / p
+        if i + 1 < n:
+            d[i + 1] -= a * one
+            e[i + 1] -= a * two
+            x[i + 1] -= a * x[i]
+        if i + 2 < n:
+            d[i + 2] -= b * two
+            x[i + 2] -= b * x[i]
+        x[i] /= p
+    x += [0.0, 0.0]
+    for i in range(n - 1, -1, -1):
+        x[i] -= near[i] * x[i + 1] + next_[i] * x[i + 2]
+    return np.array(x[:n])
 
 
 def baseline(points: DataFrame, keys: list[str], x: str, y: str, smooth: float = 1e5, asymmetry: float = 0.01) -> DataFrame:
