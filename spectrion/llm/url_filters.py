@@ -8,14 +8,18 @@ the most specific domain with an active entry decides.
 The as-of join is an equi-join on (domain, month) with a test of the time, so
 that a busy domain is spread over months and large partitions can be split.
 An entry's interval is cut at the month's end; what is carried into later
-months comes from each month's last entry, a partial aggregate, so no window
-runs over more than a domain's month or a domain's list of months. Captures
-are reduced to distinct (host, time) before the join. Native Spark only.
+months comes from each month's last entry, a partial aggregate, and only into
+months in which the domain has captures, so no date multiplies the list. No
+window runs over more than a domain's month or a domain's list of months.
+Captures are reduced to distinct (host, time) before the join. Native Spark
+only.
 
 Defined results: a capture with a null or malformed URL or null time has no
 verdict; entries with a null domain, time or action are ignored; of entries
 for one domain at one time a block wins over an allow, an allow over a
-removal; repeated captures each get a row.
+removal; repeated captures each get a row. Numeric addresses have no parent
+domains; suffixes such as co.uk count for a capture of that very host only.
+An empty list blocks nothing; no captures give no rows.
 """
 
 from __future__ import annotations
@@ -28,21 +32,29 @@ from .common import table
 #: Actions by precedence at equal times.
 ACTIONS = ("remove", "allow", "block")
 
+#: Host of a URL, behind the last @ if there is a user.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)"
+
+#: Numeric addresses.
+ADDRESS = r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$"
+
+#: Suffixes under which registries of countries give out names.
+SUFFIX = r"^(ac|co|com|edu|gob|gov|go|gr|mil|ne|net|or|org)\.[a-z][a-z]$"
+
 
 def host_of(url: Column) -> Column:
-    """Host in lower case without port; null where there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """Host in lower case without user and port, a numeric address of version 6 in its brackets; null where there is none."""
+    host = F.lower(F.regexp_extract(url, HOST, 1))
     return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parent domains of two labels or more."""
+    """The host and its parent domains of two labels or more; a numeric address has no parents, and a registry's suffix is nobody's parent."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.when(
-        host.isNotNull(),
-        F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), ".")),
-    )
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    named = F.filter(parents, lambda domain, i: (i == 0) | ~domain.rlike(SUFFIX))
+    return F.when(host.rlike(ADDRESS), F.array(host)).when(host.isNotNull(), named)
 
 
 def _month(time: Column) -> Column:
@@ -53,8 +65,8 @@ def _month_start(month: Column) -> Column:
     return F.make_timestamp(((month - 1) / 12).cast("int"), (month - 1) % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
 
 
-def intervals(entries: DataFrame, until: int) -> DataFrame:
-    """(domain, month, action, listed_at, start, end): what holds on a domain, cut by months, up to the month ``until``."""
+def intervals(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(domain, month, action, listed_at, start, end): what holds on a domain, cut by months, in months with entries and in the asked (domain, month)."""
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
     known = (
         entries.where("domain IS NOT NULL AND listed_at IS NOT NULL AND action IS NOT NULL")
@@ -63,13 +75,14 @@ def intervals(entries: DataFrame, until: int) -> DataFrame:
         .withColumn("month", _month(F.col("listed_at")))
     )
     in_month = Window.partitionBy("domain", "month").orderBy("listed_at")
-    own = known.select("domain", "month", "rank", "listed_at", F.col("listed_at").alias("start"), F.coalesce(F.lead("listed_at").over(in_month), _month_start(F.col("month") + 1)).alias("end"))
-    months = known.groupBy("domain", "month").agg(F.max_by("rank", "listed_at").alias("rank"), F.min("listed_at").alias("first"), F.max("listed_at").alias("listed_at"))
-    by_month = Window.partitionBy("domain").orderBy("month")
-    after = months.select("domain", "month", "rank", "listed_at", F.lead("month").over(by_month).alias("next"), F.lead("first").over(by_month).alias("first"))
-    last = F.least(F.coalesce("next", F.lit(until)), F.lit(until))
-    carried = after.where(F.col("month") < last).select("domain", F.explode(F.sequence(F.col("month") + 1, last)).alias("in"), "rank", "listed_at", "next", "first")
-    carried = carried.select("domain", F.col("in").alias("month"), "rank", "listed_at", _month_start(F.col("in")).alias("start"), F.when(F.col("in") == F.col("next"), F.col("first")).otherwise(_month_start(F.col("in") + 1)).alias("end"))
+    month_end = _month_start(F.col("month") + 1)
+    own = known.select("domain", "month", "rank", "listed_at", F.col("listed_at").alias("start"), F.coalesce(F.lead("listed_at").over(in_month), month_end).alias("end"))
+    listed = known.select("domain", "month", "rank", "listed_at").unionByName(asked.select("domain", "month"), allowMissingColumns=True)
+    months = listed.groupBy("domain", "month").agg(F.max_by("rank", "listed_at").alias("rank"), F.min("listed_at").alias("first"), F.max("listed_at").alias("listed_at"))
+    before = Window.partitionBy("domain").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.when(F.col("rank").isNotNull(), F.struct("rank", "listed_at"))
+    carried = months.withColumn("held", F.last(held, ignorenulls=True).over(before)).where("held IS NOT NULL")
+    carried = carried.select("domain", "month", "held.rank", "held.listed_at", _month_start(F.col("month")).alias("start"), F.coalesce("first", month_end).alias("end"))
     both = own.unionByName(carried).where("start < end")
     return both.select("domain", "month", F.array(*map(F.lit, ACTIONS))[F.col("rank").cast("int") - 1].alias("action"), "listed_at", "start", "end")
 
@@ -78,9 +91,8 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     """All columns of the captures and host, matched_domain, action, listed_at and blocked (false without an active entry, null without a host or time); columns of these names are replaced."""
     mine = captures.drop("matched_domain", "action", "listed_at", "blocked", "_host", "_at").withColumn("host", host_of(F.col(url)))
     asked = mine.where(F.col("host").isNotNull() & F.col(fetched).isNotNull()).select("host", F.col(fetched).alias("at")).distinct()
-    until = asked.agg(F.max(_month(F.col("at"))).alias("last")).first()["last"] or 0
     parts = asked.select("host", "at", _month(F.col("at")).alias("month"), F.explode(domains_of(F.col("host"))).alias("domain"))
-    active = parts.join(intervals(entries, until), ["domain", "month"]).where("at >= start AND at < end AND action <> 'remove'")
+    active = parts.join(intervals(entries, parts.select("domain", "month").distinct()), ["domain", "month"]).where("at >= start AND at < end AND action <> 'remove'")
     best = active.groupBy("host", "at").agg(F.max_by(F.struct("domain", "action", "listed_at"), F.length("domain")).alias("e"))
     verdict = best.select(F.col("host").alias("_host"), F.col("at").alias("_at"), F.col("e.domain").alias("matched_domain"), F.col("e.action").alias("action"), F.col("e.listed_at").alias("listed_at"))
     joined = mine.join(verdict, (F.col("host") == F.col("_host")) & (F.col(fetched) == F.col("_at")), "left").drop("_host", "_at")
@@ -113,8 +125,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH c AS (SELECT page_id, url, make_timestamp((1640995200 + page_id * 37 % 1051200 * 60) * 1000000) AS fetched_at,
-    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host FROM pages),
-h AS (SELECT host, [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)] AS ds FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)),
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)', 1)), '.'), '') AS host FROM pages),
+h AS (SELECT host, CASE WHEN regexp_matches(host, '^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$') THEN [host] ELSE
+    [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)
+     if i = 1 OR NOT regexp_matches(array_to_string(string_split(host, '.')[i:], '.'), '^(ac|co|com|edu|gob|gov|go|gr|mil|ne|net|or|org)\.[a-z][a-z]$')] END AS ds FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)),
 s AS (SELECT d AS domain, min(page_id) AS f, count(*) AS n FROM (SELECT page_id, unnest(ds[1:2]) AS d FROM c JOIN h USING (host)) GROUP BY d),
 t AS (SELECT domain, 1640995200 + (f * 911 + length(domain) * 7919) % 700000 * 60 AS s, (n % 17 + 3) * 20 * 86400 AS k, CASE WHEN length(domain) % 3 = 0 THEN 'allow' ELSE 'block' END AS a FROM s),
 e AS (SELECT domain, make_timestamp(s * 1000000) AS since, a FROM t UNION ALL SELECT domain, make_timestamp((s + k) * 1000000), 'remove' FROM t

@@ -480,6 +480,36 @@ def test_url_filters(spark):
     assert url_filters.judge(captures.limit(0), df).count() == 0
 
 
+def test_hosts_and_their_domains(spark):
+    asked = {
+        "http://[2001:DB8::1]:80/x": ("[2001:db8::1]", ["[2001:db8::1]"]), "http://10.0.0.1/": ("10.0.0.1", ["10.0.0.1"]), "https://a.shop.co.uk.": ("a.shop.co.uk", ["a.shop.co.uk", "shop.co.uk"]),
+        "http://co.uk/": ("co.uk", ["co.uk"]), "ftp://u:p@x@h.a.org?q=@z": ("h.a.org", ["h.a.org", "a.org"]), "http://localhost:1": ("localhost", ["localhost"]), "http:///x": (None, None), "http://[bad/": (None, None), "": (None, None),
+    }
+    host = url_filters.host_of(F.col("url"))
+    got = spark.createDataFrame([(u,) for u in asked], "url string").select("url", host.alias("host"), url_filters.domains_of(host).alias("domains")).collect()
+    assert {r["url"]: (r["host"], r["domains"]) for r in got} == asked
+
+
+def test_dated_entries_against_brute_force(spark):
+    r = random.Random(3)
+    day = lambda: f"{r.choice([2019, 2020, 2021])}-{r.randint(1, 12):02}-{r.randint(1, 28):02} {r.randint(0, 23):02}:00:00"
+    names = ["a.org", "x.a.org", "b.net", "y.x.a.org"]
+    entries = sorted({(r.choice(names[:3]), day(), r.choice(url_filters.ACTIONS)) for _ in range(60)})
+    asked = [("http://" + r.choice(names) + "/", day()) for _ in range(300)] + [("http://a.org/", "9999-12-31 00:00:00"), ("http://a.org/", "0001-01-01 00:00:00"), ("http://a.org/", entries[0][1])]
+
+    def verdict(host, at):
+        for name in (host.split(".", k)[k] for k in range(host.count("."))):
+            known = [(t, url_filters.ACTIONS.index(a), a) for d, t, a in entries if d == name and t <= at]
+            if known and max(known)[2] != "remove":
+                return name, max(known)[2], max(known)[0]
+        return None, None, None
+
+    captures = spark.createDataFrame(asked, "url string, d string").select("url", "d", F.to_timestamp("d").alias("fetched_at"))
+    listed = spark.createDataFrame(entries, "domain string, d string, action string").select("domain", F.to_timestamp("d").alias("listed_at"), "action")
+    out = url_filters.judge(captures, listed).select("url", "d", "matched_domain", "action", F.date_format("listed_at", "yyyy-MM-dd HH:mm:ss").alias("at")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(((u, d, *verdict(u[7:-1], d)) for u, d in asked), key=str)
+
+
 # HTML
 
 
