@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,22 +79,37 @@ def rolling_median(points: DataFrame, keys: list[str], order: list[str], y: str,
     return points.withColumn(out, F.percentile(y, 0.5).over(frame))
 
 
-def savgol_weights(half: int, derivative: int = 0, degree: int = 2) -> list[float]:
-    """Weights of the neighbours -half..half for a polynomial fit's value or derivative at the centre."""
+def savgol_weights(half: int, derivative: int = 0, degree: int = 2, at: int = 0) -> list[float]:
+    """Weights of the neighbours -half..half for a polynomial fit's value or derivative at the neighbour ``at``."""
+    import math
+
     import numpy as np
 
     x = np.arange(-half, half + 1, dtype=float)
     fit = np.linalg.pinv(np.vander(x, degree + 1, increasing=True))
-    return [float(v) * (2.0 if derivative == 2 else 1.0) for v in fit[derivative]]
+    power = [math.perm(k, derivative) * float(at) ** (k - derivative) if k >= derivative else 0.0 for k in range(degree + 1)]
+    return [float(v) for v in np.array(power) @ fit]
+
 
+def savgol(points: DataFrame, keys: list[str], order: list[str], y: str, half: int, derivative: int = 0, degree: int = 2, out: str = "smooth", ends: bool = False) -> DataFrame:
+    """Savitzky-Golay smoothing (or derivative per step) of evenly spaced points.
 
-def savgol(points: DataFrame, keys: list[str], order: list[str], y: str, half: int, derivative: int = 0, degree: int = 2, out: str = "smooth") -> DataFrame:
-    """Savitzky-Golay smoothing (or derivative per step) of evenly spaced points; null within ``half`` of an end."""
+    Within ``half`` of an end the result is null or, with ``ends``, the value
+    of the polynomial through the window at that end; signals shorter than a
+    window have none.
+    """
     w = _order(keys, order)
-    total: Column | None = None
-    for k, c in zip(range(-half, half + 1), savgol_weights(half, derivative, degree)):
-        at = F.lag(y, -k).over(w) if k < 0 else F.lead(y, k).over(w) if k else F.col(y)
-        total = at * c if total is None else total + at * c
+
+    def fit(at: int) -> Column:
+        weights = zip(range(-half - at, half - at + 1), savgol_weights(half, derivative, degree, at))
+        return reduce(add, [(F.lag(y, -k).over(w) if k < 0 else F.lead(y, k).over(w) if k else F.col(y)) * c for k, c in weights])
+
+    total = fit(0)
+    if ends:
+        place, size = F.row_number().over(w), F.count("*").over(Window.partitionBy(*keys))
+        for at in range(1, half + 1):
+            total = F.when(place == half + 1 - at, fit(-at)).when(place == size - half + at, fit(at)).otherwise(total)
+        total = F.when(size > 2 * half, total)
     return points.withColumn(out, total)
 
 
@@ -103,13 +121,22 @@ def noise_sigma(points: DataFrame, keys: list[str], order: list[str], y: str) ->
     return second.join(centre, keys).groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col("_d") - F.col("_m"))) / (6**0.5)).alias("sigma"))
 
 
-def crossing(points: DataFrame, keys: list[str], x: str, y: str, target: Column, order: list[str] | None = None) -> DataFrame:
-    """First x at which y is at or below the target, interpolated from the point before; null if none."""
+def crossings(points: DataFrame, keys: list[str], x: str, y: str, targets: dict[str, Column], order: list[str] | None = None) -> DataFrame:
+    """For each target the first x at which y is at or below it, interpolated from the point before; null if none."""
     w = _order(keys, order or [x])
-    rows = points.select(*keys, *(order or []), F.col(x).alias("_x1"), F.col(y).alias("_y1"), F.lag(x).over(w).alias("_x0"), F.lag(y).over(w).alias("_y0"), target.alias("_t"))
-    at = F.when(F.col("_x0").isNull() | (F.col("_y0") == F.col("_y1")), F.col("_x1")).otherwise(F.col("_x0") + (F.col("_t") - F.col("_y0")) * (F.col("_x1") - F.col("_x0")) / (F.col("_y1") - F.col("_y0")))
-    hit = F.col("_y1") <= F.col("_t")
-    return rows.groupBy(*keys).agg(F.min_by(F.when(hit, at), F.when(hit, F.struct(*(order or ["_x1"])))).alias("crossing"))
+    named = [t.alias(f"_t{i}") for i, t in enumerate(targets.values())]
+    rows = points.select(*keys, *(order or []), F.col(x).alias("_x1"), F.col(y).alias("_y1"), F.lag(x).over(w).alias("_x0"), F.lag(y).over(w).alias("_y0"), *named)
+    found = []
+    for i, name in enumerate(targets):
+        t, hit = F.col(f"_t{i}"), F.col("_y1") <= F.col(f"_t{i}")
+        at = F.when(F.col("_x0").isNull() | (F.col("_y0") == F.col("_y1")), F.col("_x1")).otherwise(F.col("_x0") + (t - F.col("_y0")) * (F.col("_x1") - F.col("_x0")) / (F.col("_y1") - F.col("_y0")))
+        found.append(F.min_by(F.when(hit, at), F.when(hit, F.struct(*(order or ["_x1"])))).alias(name))
+    return rows.groupBy(*keys).agg(*found)
+
+
+def crossing(points: DataFrame, keys: list[str], x: str, y: str, target: Column, order: list[str] | None = None) -> DataFrame:
+    """``crossings`` for one target, in column ``crossing``."""
+    return crossings(points, keys, x, y, {"crossing": target}, order)
 
 
 def local_maxima(points: DataFrame, keys: list[str], order: list[str], y: str, least: float = 0.0) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrion.functions.chem import ATOMIC_WEIGHT, heating_value
+from spectrion.functions.text import CARBONYL_WORDS, lignin_carbonyl
 
-from .ordered import band_maximum, crossing, log_slope, nearest_value, noise_sigma, simpson
+from .ordered import band_maximum, crossings, log_slope, nearest_value, noise_sigma, savgol, simpson
 
 # Chemical-shift bins of carbon spectra, closed on both sides, and their names.
 NMR_BINS = {
@@ -140,10 +141,47 @@ def tga_descriptors(points: DataFrame, keys: list[str], temperature: str, mass:
     loss = named.withColumns({f"loss_{n}": F.col(f"m{int(a)}") - F.col(f"m{int(b)}") for n, (a, b) in TGA_ZONES.items()})
     out = loss.withColumn("thermostability", _ratio(F.col("loss_aromatic"), F.col("loss_aliphatic")))
     dry = points.join(named.select(*keys, F.col("m150").alias("_dry")), keys).where((F.col(temperature) >= 150) & F.col("_dry").isNotNull())
-    for share in (5, 10, 50):
-        hit = crossing(dry, keys, temperature, mass, F.col("_dry") * (1 - share / 100)).withColumnRenamed("crossing", f"t{share}")
-        out = out.join(hit, keys, "left")
-    return out
+    gone = crossings(dry, keys, temperature, mass, {f"t{share}": F.col("_dry") * (1 - share / 100) for share in (5, 10, 50)})
+    return out.join(gone, keys, "left")
+
+
+def slope_curve(points: DataFrame, keys: list[str], x: str, y: str, half: int = 10, degree: int = 3, least: float = 1e-4, out: str = "slope") -> DataFrame:
+    """Negative slope of ln y at each evenly spaced point with y above ``least``; signals shorter than a window have none."""
+    positive = points.where(F.col(y) > least).withColumn("_ln", F.log(y))
+    steps = positive.groupBy(*keys).agg(((F.max(x) - F.min(x)) / (F.count("*") - 1)).alias("_step"))
+    fitted = savgol(positive, keys, [x], "_ln", half, 1, degree, "_d", ends=True)
+    return fitted.join(steps, keys).withColumn(out, -F.try_divide("_d", "_step")).drop("_ln", "_d", "_step")
+
+
+#: Position of the reference signal in ppm, half width of the window and largest shift.
+SHIFT_REFERENCES = {("dmso", "13C"): (39.5, 1.5, 1.5), ("dmso", "1H"): (2.5, 0.5, 0.5), ("tms", "13C"): (0.0, 1.5, 2.5), ("tms", "1H"): (0.0, 1.5, 2.5)}
+
+
+def recalibrated_shifts(points: DataFrame, keys: list[str], x: str, y: str, reference: str, nucleus: str = "13C") -> DataFrame:
+    """Chemical shifts moved so that the reference signal stands where it belongs, and the move as ``shift_by``.
+
+    The signal is the highest point of the window, of equals the one with the
+    lowest x. It must not stand at the window's edge, must reach a twentieth
+    of the spectrum's highest point and need no larger move than is allowed;
+    else nothing moves.
+    """
+    target, half, most = SHIFT_REFERENCES[reference, nucleus]
+    inside = F.col(x).between(target - half, target + half)
+    near = F.when(inside, F.col(x))
+    known = points.groupBy(*keys).agg(F.max_by(near, F.when(inside, F.struct(F.col(y), -F.col(x)))).alias("_at"), F.max(F.when(inside, F.col(y))).alias("_peak"), F.min(near).alias("_low"), F.max(near).alias("_high"), F.max(y).alias("_top"))
+    move = F.lit(target) - F.col("_at")
+    good = (F.col("_at") > F.col("_low")) & (F.col("_at") < F.col("_high")) & ~((F.col("_top") > 1e-4) & (F.col("_peak") < 0.05 * F.col("_top"))) & (F.abs(move) <= most)
+    moves = known.select(*keys, F.when(good, move).otherwise(0.0).alias("shift_by"))
+    return points.join(moves, keys).withColumn(x, F.col(x) + F.col("shift_by"))
+
+
+def carbonyl_ratios(peaks: DataFrame, keys: list[str], name: str, area: str) -> DataFrame:
+    """Acid to aldehyde and ketone to aldehyde ratios of guaiacyl and syringyl lignin by the areas of named peaks; null where one of the two isn't there."""
+    kind = lignin_carbonyl(F.col(name))
+    sums = peaks.groupBy(*keys).agg(*[F.sum(F.when(kind == k, F.col(area))).alias(k) for k in CARBONYL_WORDS])
+    ratio = lambda a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(a) / F.col(b))
+    pairs = [(unit, num) for unit in ("guaiacyl", "syringyl") for num in ("acid", "ketone")]
+    return sums.select(*keys, *[ratio(f"{unit}_{num}", f"{unit}_aldehyde").alias(f"{unit}_{num}_aldehyde") for unit, num in pairs])
 
 
 def elemental_descriptors(samples: DataFrame) -> DataFrame:

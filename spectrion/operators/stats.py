@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectrion.session import let_workers_import
+
 
 def standardized(df: DataFrame, keys: list[str], value: str, mode: str = "snv", out: str = "scaled") -> DataFrame:
     """Per key: snv (population deviation), minmax, vector, area or max; null where the scale is zero."""
+    return scalings(df, keys, value, {out: mode})
+
+
+def scalings(df: DataFrame, keys: list[str], value: str, modes: dict[str, str]) -> DataFrame:
+    """``standardized`` in several modes at once, a column for each, from one aggregation."""
     v = F.col(value)
     aggs = {
         "snv": (F.avg(v), F.stddev_pop(v)),
@@ -18,11 +29,12 @@ def standardized(df: DataFrame, keys: list[str], value: str, mode: str = "snv",
         "pareto": (F.avg(v), F.sqrt(F.stddev_samp(v))),
         "auto": (F.avg(v), F.stddev_samp(v)),
     }
-    if mode not in aggs:
-        raise ValueError(mode)
-    shift, scale = aggs[mode]
-    known = df.groupBy(*keys).agg(shift.alias("_shift"), scale.alias("_scale"))
-    return df.join(known, keys).withColumn(out, F.when(F.col("_scale") != 0, (v - F.col("_shift")) / F.col("_scale"))).drop("_shift", "_scale")
+    unknown = set(modes.values()) - set(aggs)
+    if unknown:
+        raise ValueError(f"no such mode: {sorted(unknown)}")
+    known = df.groupBy(*keys).agg(*[a.alias(f"_{part}{i}") for i, mode in enumerate(modes.values()) for part, a in zip(("shift", "scale"), aggs[mode])])
+    scaled = {out: F.when(F.col(f"_scale{i}") != 0, (v - F.col(f"_shift{i}")) / F.col(f"_scale{i}")) for i, out in enumerate(modes)}
+    return df.join(known, keys).withColumns(scaled).drop(*[f"_{part}{i}" for i in range(len(modes)) for part in ("shift", "scale")])
 
 
 def block_scaled(long: DataFrame, block: str, value: str, out: str = "scaled") -> DataFrame:
@@ -34,16 +46,41 @@ def block_scaled(long: DataFrame, block: str, value: str, out: str = "scaled") -
 def correlations(wide: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
     """Pearson r of every pair of columns over their joint rows: (f1, f2, n, r); null if too few or a constant column.
 
-    All moments come from one pass over the rows, without a self-join.
+    Tasks add up products of all pairs batch by batch, so the plan's size
+    doesn't grow with the pairs and rows aren't shuffled. Values are taken from
+    their column's mean to keep digits, so a column counts as constant where
+    its deviation is below a millionth of its joint rows' distance from it;
+    NaN and infinity count as missing.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    aggs = []
-    for a, b in pairs:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-        aggs.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.count(x).alias("n"), F.when(F.count(x) >= least, r).alias("r")))
-    return wide.agg(F.array(*aggs).alias("_p")).select(F.explode("_p").alias("p")).select("p.f1", "p.f2", "p.n", "p.r")
+    p = len(columns)
+    let_workers_import(wide.sparkSession)
+    cells = [F.col(f"`{c}`").cast("double") for c in columns]
+    finite = [F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for c in cells]
+    means = wide.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(finite)]).first()
+    centred = wide.select(*[(c - float(means[i] or 0.0)).alias(f"c{i}") for i, c in enumerate(finite)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = ~np.isnan(z)
+            z = np.where(there, z, 0.0)
+            there = there.astype(float)
+            total += there.T @ there, z.T @ there, (z * z).T @ there, z.T @ z
+        n, x, xx, xy = total
+        for i in range(p - 1):
+            rows = slice(i + 1, p)
+            j = np.arange(i + 1, p)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i, np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, (n[i, rows], x[i, rows], x[rows, i], xx[i, rows], xx[rows, i], xy[i, rows]))], ["i", "j", *sums])
+
+    sums = ["n", "x", "y", "xx", "yy", "xy"]
+    parts = centred.mapInArrow(add, "i int, j int, " + ", ".join(f"{s} double" for s in sums))
+    pair = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+    n = F.col("n")
+    spread = lambda s, ss: F.when(n * F.col(ss) - F.col(s) * F.col(s) > 1e-12 * n * F.col(ss), n * F.col(ss) - F.col(s) * F.col(s))
+    r = (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread("x", "xx")) / F.sqrt(spread("y", "yy"))
+    names = F.array(*map(F.lit, columns))
+    return pair.select(names[F.col("i")].alias("f1"), names[F.col("j")].alias("f2"), n.cast("long").alias("n"), F.when((n >= least) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def ranked_columns(long: DataFrame, key: str = "descriptor", value: str = "value", out: str = "rank", pieces: int = 200) -> DataFrame:

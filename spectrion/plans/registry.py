@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import instruments, laboratory, peaks, signals, tables  # noqa: F401 (they register their queries)
+from . import instruments, laboratory, peaks, screening, signals, tables  # noqa: F401 (they register their queries)
 from .base import QUERIES, SQL, Query
 
 

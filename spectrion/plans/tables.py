@@ -70,9 +70,7 @@ _ZS = {"snv": "(v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0)", "minmax":
 
 @query("SELECT o_orderkey, " + ", ".join(f"round({e}, 7) AS {n}" for n, e in _ZS.items()) + " FROM (SELECT o_orderkey, o_custkey, o_totalprice AS v FROM orders) WINDOW w AS (PARTITION BY o_custkey)")
 def normalize_spectrum(spark, d):
-    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    for mode in _ZS:
-        df = stats.standardized(df, ["o_custkey"], "o_totalprice", mode, mode)
+    df = stats.scalings(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", {m: m for m in _ZS})
     return df.select("o_orderkey", *[r(m, 7).alias(m) for m in _ZS])
 
 
@@ -154,12 +152,6 @@ def validation_ladder(spark, d):
     return m.select("l_suppkey", stats.validation_status(F.col("q"), F.col("p")).alias("status"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'FT-ICR MS' WHEN 1 THEN 'UV-Vis' WHEN 2 THEN 'IC' WHEN 3 THEN 'FTIR' WHEN 4 THEN 'Other' ELSE 'Elemental' END AS block FROM part""")
-def block_classifier(spark, d):
-    names = F.element_at(F.array(*map(F.lit, ["VK_7", "mean a254 value", "total_cations mg", "FTIR_Lignin_Idx", "shade", "ash_pct"])), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", text.feature_block(names).alias("block"))
-
-
 @query("""SELECT c_custkey, c_name || '_' || c_custkey AS sample, lower(replace(c_name, '#', ' ')) || ' ' || c_custkey AS normal FROM customer""")
 def sample_id_clean(spark, d):
     name = F.concat(F.lit("data/run/"), "c_name", F.lit("_"), F.col("c_custkey").cast("string"), F.lit("_FTICR.csv"))
@@ -172,14 +164,6 @@ def excel_guard(spark, d):
     return table(spark, d, "documents").select("doc_id", text.guarded_cell(v).alias("cell"))
 
 
-@query("""WITH h AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Wavelength (nm),Absorbance' WHEN 1 THEN 'Temperature;Mass %' WHEN 2 THEN 'm/z mass,intensity' WHEN 3 THEN 'ppm shift;value' ELSE event_type || ',x' END AS h FROM events)
-SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'UV-Vis' WHEN 1 THEN 'TGA' WHEN 2 THEN 'FT-ICR MS' WHEN 3 THEN 'NMR' ELSE 'generic' END AS modality FROM h""")
-def header_modality_detect(spark, d):
-    k = F.col("event_id") % 5
-    head = F.when(k == 0, "Wavelength (nm),Absorbance").when(k == 1, "Temperature;Mass %").when(k == 2, "m/z mass,intensity").when(k == 3, "ppm shift;value").otherwise(F.concat("event_type", F.lit(",x")))
-    return table(spark, d, "events").select("event_id", text.header_modality(head).alias("modality"))
-
-
 # Event windows, the same functions that streams use
 
 
@@ -319,13 +303,6 @@ def asynchronous_2dcos(spark, d):
     return stats.asynchronous(m, "l_returnflag", "l_linenumber", "s", "v", "A", "R").select("v1", "v2", r("asynchronous").alias("asynchronous"))
 
 
-@query("""WITH x AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t FROM part)
-SELECT p_partkey, CASE WHEN regexp_matches(t, 'syring|dimethoxyphenol') THEN 'syringyl' WHEN regexp_matches(t, 'guaiac|methoxyphenol|vanill|eugenol') THEN 'guaiacyl' WHEN regexp_matches(t, 'phenol|cresol') THEN 'hydroxyphenyl'
-    WHEN regexp_matches(t, 'furan|furfur|levogluc|pyran|cyclopent') THEN 'carbohydrate' WHEN regexp_matches(t, 'pyrrol|pyrid|indol|nitril|amid|amin') THEN 'nitrogen' WHEN regexp_matches(t, 'alkane|alkene|fatty|acid|decan|decen') THEN 'lipid' ELSE 'other' END AS class FROM x""")
-def pyrolysis_classes(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.pyrolysis_class(F.concat_ws(" ", "p_name", "p_type")).alias("class"))
-
-
 @query("""WITH a AS (SELECT l_extendedprice / 100 AS mass, sum(l_quantity) AS i FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_extendedprice / 100 AS mass, sum(l_quantity) AS i FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
 h AS (SELECT a.mass, a.i, b.i AS j, row_number() OVER (PARTITION BY a.mass ORDER BY abs(b.mass - a.mass), b.mass) AS k FROM a JOIN b ON b.mass BETWEEN a.mass - a.mass * 1.5e-6 AND a.mass + a.mass * 1.5e-6),
 s AS (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM h WHERE k = 1) AS common, (SELECT sum(i * j) FROM h WHERE k = 1) / sqrt((SELECT sum(i * i) FROM a) * (SELECT sum(i * i) FROM b)) AS cosine)
