@@ -8,7 +8,8 @@ unknown piece comes last and never occurs, as all 256 bytes are pieces.
 
 Each document is one row of a map without a shuffle. Defined results: a null
 text is empty and has no tokens; texts of any length are encoded whole; each
-repeated row gets its own result.
+repeated row gets its own result; an empty table gives an empty one; columns
+beyond key and text are ignored.
 """
 
 from __future__ import annotations

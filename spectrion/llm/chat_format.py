@@ -15,7 +15,9 @@ turns' pieces of the formatted text with a flag.
 Defined results: null texts and roles are empty; messages of one conversation
 are ordered by turn, then role, then text, then parent, so ties and repeated
 rows have an order and are kept; a reply to an unknown message or to one that
-isn't earlier starts a tree of its own; a null conv_id is a conversation.
+isn't earlier starts a tree of its own; a null conv_id is a conversation;
+texts of any length are formatted whole; an empty table gives an empty one;
+other columns are ignored.
 """
 
 from __future__ import annotations

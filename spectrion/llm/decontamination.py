@@ -25,7 +25,9 @@ its own length, and documents have windows of these lengths too.
 
 Defined results: a null text is empty; a benchmark item without words matches
 nothing; repeated rows of a document or an item count once; rows with a null
-id are matched like any other and reported under null.
+id are matched like any other and reported under null; texts of any length are
+searched whole; an empty table on either side gives no pairs; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, fixed_filter, maybe_in, small_batches, table
 
 WINDOW = 8
 
@@ -285,6 +287,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go; rows without doc_id stay."""
-    found = leaks(docs.where("doc_id IS NOT NULL"), table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: contaminated documents go, with or without a doc_id.
+
+    Rows are judged by doc_id and text, so that a clean text stays if a
+    contaminated one has the same doc_id. Only rows that may go are shuffled.
+    """
+    own = F.xxhash64("doc_id", "text")
+    found = cut(leaks(docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("doc")).distinct())
+    rows = maybe_in(docs.select(F.struct(*docs.columns).alias("row"), own.alias("doc")), fixed_filter(found))
+    kept = rows.where("NOT maybe").select("row").unionByName(rows.where("maybe").join(found, "doc", "left_anti").select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,7 +6,8 @@ operator is a map without a shuffle and runs inside the scan stage.
 Defined results: a null text is an empty text; an empty or blank text has no
 words and fails ``min_words``; repeated rows are judged one by one; columns
 beyond the text are passed through and metric names never clash with them
-(the metrics come in one struct column that the caller names).
+(the metrics come in one struct column that the caller names); texts of any
+length are measured whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations

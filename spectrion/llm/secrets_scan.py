@@ -18,7 +18,9 @@ a blank of over ``LONGEST`` characters, which must be cut, are counted in
 ``n_unopened``.
 
 A map over the rows without a shuffle. Defined results: a null or empty text
-has no secrets; repeated rows are scanned each; other columns are ignored.
+has no secrets; texts of any length are scanned whole; repeated rows are
+scanned each; an empty table gives an empty one; other columns are ignored by
+the scan and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations

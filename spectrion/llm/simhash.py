@@ -23,7 +23,9 @@ checkpoint in the shared folder each round.
 
 Defined results: a null, empty or blank text has fingerprint zero and links
 like any other; repeated rows each get a row; rows with a null doc_id get
-their component's smallest known doc_id, or null where there is none.
+their component's smallest known doc_id, or null where there is none; texts of
+any length are shingled whole; an empty table gives an empty one; other
+columns are ignored by the operator and kept by the stage.
 """
 
 from __future__ import annotations

@@ -33,7 +33,8 @@ anchor's contents differ, counts of each ``PASSAGE`` words around it.
 
 Defined results: a null text is empty; a text shorter than ``LENGTH`` bytes
 loses nothing; each repeated row is a document of its own, so that exact
-copies of ``LENGTH`` bytes or more lose all their bytes; other columns are
+copies of ``LENGTH`` bytes or more lose all their bytes; texts of any length
+are searched whole; an empty table gives an empty one; other columns are
 ignored.
 """
 
@@ -313,9 +314,10 @@ def aligned_repeats(texts: list[bytes], group: np.ndarray, length: int = LENGTH,
 
     Column by column, every text's symbol is inserted: the texts of a group are
     kept in the order of what has been inserted, read backwards, with the
-    common length of each and the one before it. A stable sort by the new
-    symbol makes the next order. The common length of two texts that come
-    together is one more than the least length between them.
+    common length of each and the one before it. The new symbols read in that
+    order are the round's column of the collection's positional transform; a
+    stable sort by them makes the next order. The common length of two texts
+    that come together is one more than the least length between them.
     """
     size = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -332,7 +334,8 @@ def aligned_repeats(texts: list[bytes], group: np.ndarray, length: int = LENGTH,
     common = np.zeros(len(texts) + 1, np.int32)  # of each text in order and the one before; the last is a stop
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for c in range(columns):
-        key = rank[order] + symbols[c][order]
+        transform = symbols[c][order]
+        key = rank[order] + transform
         step = np.argsort(key, kind="stable")
         key = key[step]
         together = np.nonzero((key[1:] == key[:-1]) & (key[1:] % (_NOTHING + 1) != _NOTHING))[0] + 1

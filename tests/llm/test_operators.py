@@ -47,17 +47,43 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-STAGES = [quality_rules.stage, simhash.stage, secrets_scan.stage]
+STAGES = [quality_rules.stage, simhash.stage, decontamination.stage, secrets_scan.stage]
 
 
 @pytest.mark.parametrize("stage", STAGES)
-def test_stages_keep_columns(spark, stage, clashing, none):
-    assert stage(spark, none, "").count() == 0
-    out = stage(spark, clashing, "")
+def test_stages_keep_columns(spark, stage, clashing, none, tmp_path):
+    spark.createDataFrame([(0, prose(9, 40))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert stage(spark, none, str(tmp_path)).count() == 0
+    out = stage(spark, clashing, str(tmp_path))
     assert out.columns == clashing.columns
     assert {tuple(r) for r in out.select("_m", "fp", "doc").collect()} <= {(7, 7, 7)}
 
 
+def columns(df, *names):
+    return sorted((tuple(r) for r in df.select(*names).collect()), key=str)
+
+
+def test_clashing_columns_change_nothing(spark, odd, clashing):
+    bench = spark.createDataFrame([(0, prose(2, 60))], "item_id long, text string")
+    worse = bench.withColumns({c: F.lit(7) for c in ("doc_id", "hash", "w", "doc", "maybe")})
+    for work in (byte_bpe.encode_table, secrets_scan.scan_table, suffix_dedup.remove, pii.scan):
+        plain, full = work(odd), work(clashing)
+        names = [c for c in plain.columns if c not in ("lang", "source", "n_chars")]
+        assert columns(plain, *names) == columns(full, *names)
+    plain = decontamination.leaks(odd, bench)
+    assert columns(plain, *plain.columns) == columns(decontamination.leaks(clashing, worse), *plain.columns) != []
+    turns = spark.createDataFrame([(1, 1, "user", "a"), (1, 2, None, None), (None, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    plain = chat_format.conversations(chat_format.chains(turns))
+    more = chat_format.chains(turns).withColumns({c: F.lit(7) for c in ("leaf", "ancestor", "steps", "path", "rank", "mean")})
+    assert columns(plain, *plain.columns) == columns(chat_format.conversations(more), *plain.columns)
+
+
+def test_empty_tables(spark, none):
+    assert pii.scan(none).count() == secrets_scan.scan_table(none).count() == byte_bpe.encode_table(none).count() == suffix_dedup.remove(none).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.conversations(chat_format.chains(turns)).count() == 0
+
+
 # Quality rules
 
 
@@ -325,6 +351,8 @@ def test_decontamination_stage(spark, odd, none, tmp_path):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r["doc_id"] for r in decontamination.stage(spark, odd, str(tmp_path)).collect()} == {None, 0, 1, 2, 3, 4, 5}
     assert decontamination.stage(spark, none, str(tmp_path)).count() == 0
+    twice = documents(spark, [prose(2, 60), prose(5, 60), prose(2, 60) + " end", prose(6, 60), None], [1, 1, None, None, None])
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontamination.stage(spark, twice, str(tmp_path)).collect()) == sorted([(1, prose(5, 60)), (0, prose(6, 60)), (0, "")])
     assert decontamination.leaks(odd, bench.limit(0)).count() == 0
 
 

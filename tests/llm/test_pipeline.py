@@ -33,3 +33,18 @@ def test_pipeline(spark, tmp_path):
     assert got == expected
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_dedup", "decontamination", "secret_scan", "byte_bpe"]
     assert quality_rules.RULES[0].name == "few_words"
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, and an empty table."""
+    long = prose(70, 60_000)
+    rows = [(None, prose(60, 80)), (5, prose(61, 80)), (5, prose(62, 80)), (5, prose(62, 80)), (6, None), (7, ""), (8, long)]
+    spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], DOCS).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    for d in "ab":
+        spark.createDataFrame([(0, prose(90, 40)), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / d / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    kept = [(None, rows[0][1]), (5, rows[1][1]), (5, rows[2][1]), (8, long)]
+    kept = [(i, t) for i, t in kept if t is not long or quality_rules.judge(spark.createDataFrame([(t,)], "text string")).first()["broken_rules"] == []]
+    assert sorted(((r["doc_id"], r["decoded_sha256"]) for r in got), key=str) == sorted(((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in kept), key=str)
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
