@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import posixpath
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +22,13 @@ def let_workers_import(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only a local session without one gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spectrion-")
+    return posixpath.join(named, f"work-{uuid.uuid4().hex}")
