@@ -145,14 +145,13 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str], mass: str, ppm: float)
 def principal_axes(samples: DataFrame, key: str, features: list[str], components: int = 2) -> DataFrame:
     """(component, descriptor, loading, explained) from the covariance of standardised descriptors.
 
-    The covariance is a Spark aggregate over any number of rows; only the square of the number of descriptors reaches the driver.
+    Tasks add up the products of all descriptors batch by batch; only their square reaches the driver. Rows with a missing descriptor are left out.
     """
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = samples.agg(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    place = {f: i for i, f in enumerate(features)}
-    cov = np.zeros((len(features), len(features)))
-    for i, (a, b) in enumerate(pairs):
-        cov[place[a], place[b]] = cov[place[b], place[a]] = row[i] or 0.0
+    from .models import moments, usable
+
+    total = moments(usable(samples, features), features, {}, F.lit(0), 1).total
+    n = max(total[0, 0], 1.0)
+    cov = total[1:, 1:] / n - np.outer(total[0, 1:], total[0, 1:]) / n**2
     d = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))
     values, vectors = np.linalg.eigh(cov / np.outer(d, d))
     rows = []

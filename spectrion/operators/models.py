@@ -26,17 +26,24 @@ from spectrion.session import let_workers_import
 #: Descriptors and responses of one model.
 MOST = 3000
 
+#: Bytes that the matrices of all folds may take, in the driver and in a task.
+MOST_BYTES = 1 << 29
+
 
 def usable(samples: DataFrame, names: list[str]) -> DataFrame:
     good = [F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")) for n in names]
     return samples.where(F.array_min(F.array(*good)))
 
 
-def sums_by_fold(samples: DataFrame, columns: dict[str, Column], fold: Column) -> DataFrame:
-    """(fold, place, total): sums of the products of every two of ``columns``, and of each with one, row by row of the matrix whose first row is that of ones."""
+def matrix_rows(samples: DataFrame, columns: dict[str, Column], fold: Column, folds: int = 1) -> DataFrame:
+    """(fold, i, total array): rows of each fold's sums of products of every two of [1, columns].
+
+    A task adds its batches up and sends each matrix row as one array; what
+    tasks send is added array by array, apart for each row of a matrix.
+    """
     m = len(columns) + 1
-    if m > MOST:
-        raise ValueError(f"more than {MOST} columns")
+    if m > MOST or folds * m * m * 8 > MOST_BYTES:
+        raise ValueError(f"{folds} folds of {m} columns are over {MOST} columns or {MOST_BYTES} bytes")
     let_workers_import(samples.sparkSession)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,12 +54,39 @@ def sums_by_fold(samples: DataFrame, columns: dict[str, Column], fold: Column) -
             for f in np.unique(own):
                 part = z[own == f]
                 held[f] = held.get(f, 0.0) + part.T @ part
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([s.ravel() for s in held.values()], pa.list_(pa.float64()))], ["fold", "sums"])
+        for f, sums in held.items():
+            yield packed([(f, i, row) for i, row in enumerate(sums)])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for f, i, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                held[f, i] = held.get((f, i), 0.0) + row.values.to_numpy()
+        yield packed([(f, i, row) for (f, i), row in held.items()])
+
+    def packed(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        f, i, row = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(i, pa.int32()), pa.array(row, pa.list_(pa.float64()))], ["fold", "i", "total"])
 
     rows = samples.select(fold.cast("int").alias("fold"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns.values())])
-    parts = rows.mapInArrow(add, "fold int, sums array<double>")
-    return parts.select("fold", F.posexplode("sums").alias("place", "v")).groupBy("fold", "place").agg(F.sum("v").alias("total"))
+    parts = rows.mapInArrow(add, "fold int, i int, total array<double>")
+    return parts.repartition("fold", "i").mapInArrow(join, "fold int, i int, total array<double>")
+
+
+def sums_by_fold(samples: DataFrame, columns: dict[str, Column], fold: Column, folds: int = 1) -> DataFrame:
+    """(fold, place, total): the sums of ``matrix_rows`` one by one, row by row of the matrix whose first row is that of ones."""
+    rows = matrix_rows(samples, columns, fold, folds)
+    return rows.select("fold", "i", F.posexplode("total").alias("j", "total")).select("fold", (F.col("i") * (len(columns) + 1) + F.col("j")).alias("place"), "total")
+
+
+def product_sums(samples: DataFrame, columns: dict[str, Column], fold: Column, folds: int) -> np.ndarray:
+    """The same as one array (folds, m, m) in the driver, brought there as Arrow buffers; ``MOST_BYTES`` bounds it."""
+    m = len(columns) + 1
+    out = np.zeros((folds, m, m))
+    got = matrix_rows(samples, columns, fold, folds).toArrow()
+    for f, i, row in zip(got.column("fold").to_pylist(), got.column("i").to_pylist(), got.column("total")):
+        out[f, i] = row.values.to_numpy()
+    return out
 
 
 @dataclass
@@ -72,11 +106,7 @@ def moments(samples: DataFrame, features: list[str], responses: dict[str, Column
     row = samples.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
     shift = np.array([row[f"m{i}"] or 0.0 for i in range(len(features))])
     columns = {f: F.col(f).cast("double") - float(shift[i]) for i, f in enumerate(features)} | responses
-    m = len(columns) + 1
-    out = np.zeros((folds, m * m))
-    for r in sums_by_fold(samples, columns, fold).collect():  # folds times the square of the columns, bounded by MOST
-        out[r["fold"], r["place"]] = r["total"]
-    return Moments(features, shift, out.reshape(folds, m, m))
+    return Moments(features, shift, product_sums(samples, columns, fold, folds))
 
 
 @dataclass

@@ -279,15 +279,12 @@ def correlation_edges(pairs: DataFrame, block: dict[str, str], threshold: float
 def fused_features(wide: DataFrame, key: str, blocks: dict[str, list[str]]) -> DataFrame:
     """Descriptors ready for a model: the median for what is missing, population z-scores, and each block weighed by the square root of its number of descriptors.
 
-    The medians and moments are one aggregate; a constant descriptor becomes zero.
+    Medians come from sketches and one exact pass over what they bracket; a constant descriptor becomes zero.
     """
+    from .fitted import apply_preprocessing, preprocessing
+
     features = [f for fs in blocks.values() for f in fs]
-    mid = wide.agg(*[F.median(F.col(f).cast("double")).alias(f) for f in features]).first()
-    filled = wide.select(key, *[F.coalesce(F.col(f).cast("double"), F.lit(mid[f])).alias(f) for f in features])
-    row = filled.agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in features]).first()
-    weight = {f: len(fs) ** -0.5 for fs in blocks.values() for f in fs}
-    scaled = [((F.col(f) - (row[f]["m"] or 0.0)) / (row[f]["s"] if (row[f]["s"] or 0.0) >= 1e-12 else 1.0) * weight[f]).alias(f) for f in features]
-    return filled.select(key, *scaled)
+    return apply_preprocessing(wide.select(key, *features), preprocessing(wide, blocks)).select(key, *features)
 
 
 def sec_calibration(standards: DataFrame, keys: list[str], volume: str, mass: str) -> DataFrame:
