@@ -5,6 +5,8 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +90,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of tables that ``scratch`` deletes, innermost last.
+_SCRATCH: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside are deleted at the end, so what reads them must be written by then."""
+    _SCRATCH.append(posixpath.join(shared_folder(spark), f"scratch-{uuid.uuid4().hex}"))
+    try:
+        yield
+    finally:
+        delete(spark, _SCRATCH.pop())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again; smaller than a checkpoint and read by column."""
-    path = posixpath.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    folder = _SCRATCH[-1] if _SCRATCH else shared_folder(df.sparkSession)
+    path = posixpath.join(folder, f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

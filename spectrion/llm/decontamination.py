@@ -12,22 +12,38 @@ would begin: windows of one diagonal (place in the document less place in the
 item), or, since copies have words put in or left out, of neighbouring
 diagonals that differ by less than the item's length. Other copies and stray
 windows elsewhere in the document don't count towards it. A run is neighbouring
-windows of one diagonal.
+windows of one diagonal. Slots must agree both ways: a value of either side
+stands for one value of the other.
+
+A template window of few literal words is evidence as far as it is rare: the
+fewer such words it has, the fewer documents may hold it (``allowed``).
+Commoner ones say nothing about an item and count neither for nor against it.
+
+Items of one template and one pattern of equal slots are one class, and so are
+items of equal words; a class is matched once, whatever its number of items.
 
 Before the join, windows are tested against a bitmap of the benchmark's hashes
-whose size is fixed (``BITMAP_BITS``); it only saves shuffling windows that
-can't match. Neither side of the join is broadcast.
+whose size is fixed (``BITMAP_BITS``); it only saves storing windows that
+can't match. The join is on distinct windows: those that are frequent in the
+documents stay where they are and meet a bounded number of broadcast keys.
 
 Beside the templates, windows of the raw words, in lower case, are joined, so a
 verbatim copy is found whatever its case and however many slots it has; each of
 the two is judged by itself. An item shorter than the window is one window of
-its own length, and documents have windows of these lengths too.
+its own length, and documents have windows of these lengths too. An item of
+under ``FEW_WORDS`` words is certain only where it is a whole line of the
+document; the pipeline leaves documents that merely contain it.
+
+Names are told by their capitals, so a copy with other names is found only if
+it has them too.
 
 Defined results: a null text is empty; a benchmark item without words matches
 nothing; repeated rows of a document or an item count once; rows with a null
-id are matched like any other and reported under null; texts of any length are
-searched whole; an empty table on either side gives no pairs; other columns
-are ignored.
+id are matched like any other and reported under null; of occurrences that
+pass, the certain one counts, then that which covers most, runs longest, is
+most consistent; a class is reported under its smallest item_id; texts of any
+length are searched whole; an empty table on either side gives no pairs; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,15 +54,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fixed_filter, maybe_in, small_batches, table
+from .common import cut, fixed_filter, maybe_in, small_batches, spread_join, stored, table
 
 WINDOW = 8
 
-#: A window says something only if so many of its words are no placeholders.
-LEAST_LITERAL = 4
+#: With so many words that are no placeholders, or all of them, a template window is evidence however frequent it is.
+LITERAL = 4
+
+#: Items of fewer words are certain only as a whole line.
+FEW_WORDS = 4
 
 #: Verdict: share of an item's windows found, or a run of them (13 words), and share of consistent slot values.
 COVERAGE = 0.5
@@ -63,6 +82,12 @@ UNITS = (
     "b kb mb gb tb usd eur gbp dollar dollars cent cents euro euros pound pounds"
 ).split()
 
+#: Words that are no names though questions inside a sentence begin with them in capitals.
+NO_NAMES = (
+    "a an the this that these those what which who whom whose when where why how if is are was were do does did can could will would should has have had "
+    "i you he she it we they my your his her its our their in on at of to from for by with and or but not as find solve given let suppose calculate compute"
+).split()
+
 #: Bytes of text handled at once.
 SLICE = 1 << 20
 
@@ -86,12 +111,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value, power, word
 
 
-@lru_cache(maxsize=1)
-def _units() -> np.ndarray:
-    text = np.frombuffer(" ".join(u for u in UNITS if u != "%").encode(), dtype=np.uint8)
+@lru_cache(maxsize=2)
+def _hashes(words: tuple[str, ...]) -> np.ndarray:
+    text = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
     return np.sort(_tokens(text, np.array([0, len(text)]))[0])
 
 
+def _among(raw: np.ndarray, words: list[str]) -> np.ndarray:
+    """Which hashes are those of some words."""
+    known = _hashes(tuple(w for w in words if w.isalnum()))
+    return known[np.minimum(np.searchsorted(known, raw), len(known) - 1)] == raw
+
+
 #: Placeholders' hashes, by kind.
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 
@@ -128,8 +159,8 @@ def _tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes, begin, end, capital, digit[begin]
 
 
-def templates(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of texts laid end to end: number of the text, raw hash, template hash and whether it is a slot."""
+def templates(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts laid end to end: number of the text, raw hash, template hash, whether it is a slot, and number of the line."""
     raw, begin, end, capital, number = _tokens(data, ends)
     doc = np.searchsorted(ends, begin, side="right") - 1
     first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
@@ -137,13 +168,13 @@ def templates(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     stop = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(b".!?:\n", np.uint8)))])
     previous = np.concatenate([[0], end[:-1]]) if len(end) else end
     opens = first | (stop[begin] > stop[previous])
-    name = capital & ~opens
+    name = capital & ~opens & ~_among(raw, NO_NAMES)
     after_number = np.concatenate([[False], number[:-1]]) & ~first if len(number) else number
-    units = _units()
-    unit = after_number & (units[np.minimum(np.searchsorted(units, raw), len(units) - 1)] == raw)
+    unit = after_number & _among(raw, UNITS)
     slot = number | name | unit
     template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, raw)))
-    return doc, raw, template, slot
+    line = np.concatenate([[0], np.cumsum(data == 0x0A)])[begin]
+    return doc, raw, template, slot, line
 
 
 def windows(doc: np.ndarray, value: np.ndarray, n_docs: int, sizes: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,42 +200,58 @@ def windows(doc: np.ndarray, value: np.ndarray, n_docs: int, sizes: list[int] |
     return tuple(x[order] for x in found)
 
 
+def _pattern(values: np.ndarray) -> np.ndarray:
+    """Each value's number, in order of first occurrence."""
+    _, first, back = np.unique(values, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[back]
+
+
 def window_table(texts: DataFrame, key: str, prefix: str, bitmap: np.ndarray | None = None, sizes: list[int] | None = None) -> DataFrame:
-    """(key, text's own number, whether raw words or template, words and windows of the text, window number, first word, size, hash, slots: raw hash of each slot in the window).
+    """(key, text's own digest, whether raw words or template, words of the text, first word, size, literal words, whether it is a whole line, hash, slots in the window).
 
-    Two kinds of windows stand side by side: of the template, if enough of it is literal, and of the raw words, whatever they are.
-    Only those that the bitmap, one row a kind, lets pass are returned.
+    Two kinds of windows stand side by side: of the template and of the raw
+    words. Without sizes the texts are items: the digest is that of their
+    class, and slots are numbered by the pattern of equal ones; else slots are
+    raw hashes. Only windows that the bitmap, one row a kind, lets pass are
+    returned.
     """
     small_batches(texts.sparkSession)
-    names = [key, f"{prefix}_text", "is_raw", f"{prefix}_words", f"{prefix}_n", f"{prefix}_w", f"{prefix}_at", "size", "hash", f"{prefix}_slots"]
+    names = [key, f"{prefix}_text", "is_raw", f"{prefix}_words", f"{prefix}_at", "size", "literal", f"{prefix}_whole", "hash", f"{prefix}_slots"]
+    digest = lambda *parts: hashlib.blake2b(b"|".join(parts), digest_size=16).digest()
 
     def emit(ids: pa.Array, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(parts), dtype=np.uint8)
         ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        doc, raw, template, slot = templates(data, ends)
+        doc, raw, template, slot, line = templates(data, ends)
         words = np.bincount(doc, minlength=len(parts))
         begin = np.cumsum(words) - words
         slots = np.concatenate([[0], np.cumsum(slot)])
+        opens = np.concatenate([[True], (line[1:] != line[:-1]) | (doc[1:] != doc[:-1]), [True]]) if len(doc) else np.ones(1, bool)
+        filler = raw.view(np.int64)
+        if sizes is None:
+            filler = np.concatenate([np.zeros(0, np.int64), *(put_back(slot[a : a + n], raw[a : a + n]) for a, n in zip(begin, words))])
         for kind, values in enumerate((template, raw)):
             of, start, size, h = windows(doc, values, len(parts), sizes)
-            if not kind:
-                keep = size - (slots[start + size] - slots[start]) >= np.minimum(LEAST_LITERAL, size)
-                of, start, size, h = of[keep], start[keep], size[keep], h[keep]
-            total = np.bincount(of, minlength=len(parts))
-            number = np.arange(len(of)) - (np.cumsum(total) - total)[of] if sizes is None else np.zeros(len(of), np.int64)
             if bitmap is not None:
                 keep = np.nonzero(bitmap[kind][(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])[0]
-                of, start, size, h, number = of[keep], start[keep], size[keep], h[keep], number[keep]
+                of, start, size, h = of[keep], start[keep], size[keep], h[keep]
             if not len(of):
                 continue
-            own = np.zeros(len(parts), np.int64)
+            own = [b""] * len(parts)
             for i in np.unique(of):
-                own[i] = int.from_bytes(hashlib.blake2b(parts[i], digest_size=8).digest(), "little", signed=True)
+                a, n = begin[i], words[i]
+                own[i] = digest(parts[i]) if sizes else digest(values[a : a + n].tobytes(), filler[a : a + n].tobytes() if not kind else b"")
+            literal = size - (slots[start + size] - slots[start])
             # raw windows are equal word by word: no slots to check
-            value = raw.view(np.int64)
-            filled = [[int(value[i]) for i in range(a, a + k) if slot[i]] if not kind else [] for a, k in zip(start, size)]
-            columns = (own[of], np.full(len(of), kind), words[of], total[of], number, start - begin[of], size, h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *map(pa.array, columns), pa.array(filled, pa.list_(pa.int64()))], names)
+            filled = [filler[a : a + k][slot[a : a + k]].tolist() if not kind else [] for a, k in zip(start, size)]
+            columns = (np.full(len(of), kind), words[of], start - begin[of], size, literal, opens[start] & opens[start + size], h.view(np.int64))
+            texts_of = pa.array([own[i] for i in of], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), texts_of, *map(pa.array, columns), pa.array(filled, pa.list_(pa.int64()))], names)
+
+    def put_back(slot: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        out = np.full(len(raw), -1, np.int64)
+        out[slot] = _pattern(raw[slot])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,10 +265,15 @@ def window_table(texts: DataFrame, key: str, prefix: str, bitmap: np.ndarray | N
                     parts, first, held = [], i + 1, 0
 
     kind = texts.schema[key].dataType.simpleString()
-    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, (kind, *["long"] * 8, "array<long>")))
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, (kind, "binary", *["long"] * 5, "boolean", "long", "array<long>")))
     return texts.select(F.col(key), F.col("text")).mapInArrow(run, schema)
 
 
+def allowed(literal: Column, n_docs: int) -> Column:
+    """Documents that may hold a template window with so few literal words if it is to be evidence: one of them, or a share of all, and four times as many for each such word."""
+    return F.pow(F.lit(4.0), literal) * max(1.0, n_docs / 16384)
+
+
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
     """Which remainders of the hashes occur, for templates and raw words: BITMAP_BITS flags each, whatever the number of hashes."""
     bits = hashes.select("is_raw", (F.col("hash").bitwiseAND(BITMAP_BITS - 1)).alias("bit")).distinct().toPandas().to_numpy(dtype=np.int64)
@@ -230,17 +282,34 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
     return flags
 
 
+KEY = ["is_raw", "size", "hash"]
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, figures of the match) for the places in a document that share windows with a benchmark item."""
-    items = window_table(benchmark, "item_id", "item").distinct()
-    sizes = sorted({WINDOW, *(r["size"] for r in items.select("size").distinct().collect())})
-    mine = window_table(docs, "doc_id", "doc", bitmap_of(items), sizes)
-    both = mine.select("doc_id", "doc_text", "is_raw", "doc_at", "size", "hash", "doc_slots").join(items, ["is_raw", "size", "hash"])
+    """Rows (doc_id, item_id, figures of the match) for the places in a document that share windows with a class of benchmark items."""
+    given = stored(window_table(benchmark, "item_id", "item").distinct())
+    members = given.select("is_raw", "item_text", "item_id").distinct().groupBy("is_raw", "item_text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
+    sizes = sorted({WINDOW, *(r["size"] for r in given.select("size").distinct().collect())})
+    mine = stored(window_table(docs, "doc_id", "doc", bitmap_of(given), sizes).select("doc_id", "doc_text", *KEY, "doc_at", "doc_whole", "doc_slots"))
+    items = given.select("item_text", "item_words", "item_at", "literal", "item_slots", *KEY).distinct()
+    # frequency of each window: documents that hold it, and its places
+    by_doc = mine.groupBy(*KEY, "doc_text").agg(F.count("*").alias("n"))
+    counts = by_doc.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+    weighed = items.join(counts, KEY, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_docs", "n")})
+    telling = (F.col("is_raw") == 1) | (F.col("literal") >= F.least(F.lit(LITERAL), F.col("size"))) | (F.col("n_docs") <= allowed(F.col("literal"), docs.count()))
+    item = Window.partitionBy("is_raw", "item_text")  # an item's windows
+    numbered = weighed.where(telling).withColumn("item_w", F.row_number().over(item.orderBy("item_at")).cast("long") - 1).withColumn("item_n", F.count("*").over(item))
+    kept = numbered.groupBy(*KEY, "n").agg(F.collect_list(F.struct("item_text", "item_words", "item_n", "item_w", "item_at", "item_slots")).alias("items"))
+    keys = stored(kept.where("n > 0"))
+    total = mine.count()
+    met = spread_join(mine, keys, KEY, "n", total).withColumn("item", F.explode("items"))
+    both = met.select("doc_id", "doc_text", "is_raw", "doc_at", "doc_whole", "doc_slots", "item.*").join(members, ["is_raw", "item_text"])
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    whole = ["doc_id", "doc_text", "item_id", "item_text", "is_raw"]
+    whole = ["doc_id", "doc_text", "item_id", "item_text", "is_raw", "n_items"]
     lines = both.groupBy(*whole, (F.col("doc_at") - F.col("item_at")).alias("line")).agg(
         F.max("item_words").alias("words"),
         F.max("item_n").alias("n_windows"),
+        F.max("doc_whole").alias("whole"),
         F.sort_array(F.collect_set("item_w")).alias("at"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
     )
@@ -262,24 +331,29 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     found = lines.withColumn("run", run).withColumn("place", F.explode(bands)).groupBy(*whole, "place").agg(
         F.max("n_windows").alias("n_windows"),
+        F.max((F.col("words") >= FEW_WORDS) | F.col("whole")).alias("certain"),
         F.max("run").alias("longest_run"),
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
     )
-    values = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
+    values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))
     return found.select(
-        "doc_id", "item_id", F.size("at").cast("long").alias("n_found"), "n_windows",
+        "doc_id", "item_id", "n_items", F.size("at").cast("long").alias("n_found"), "n_windows",
         (F.size("at") / F.col("n_windows")).alias("coverage"), "longest_run",
-        F.coalesce(F.try_divide(values, F.size("slots")), F.lit(1.0)).alias("consistency"),
+        F.coalesce(F.try_divide(F.least(values("i"), values("d")), F.size("slots")), F.lit(1.0)).alias("consistency"), "certain",
     )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN, consistent: float = CONSISTENT) -> DataFrame:
-    """The pairs of document and item of which an occurrence counts as contamination, with the figures of the one that covers most."""
-    figures = ["coverage", "longest_run", "consistency", "n_found", "n_windows"]
+    """The pairs of document and item of which an occurrence counts as contamination, with the figures of the one that covers most.
+
+    ``item_id`` is the smallest of the ``n_items`` in its class; without
+    ``certain`` the item is of few words and no line of the document.
+    """
+    figures = ["certain", "coverage", "longest_run", "consistency", "n_found", "n_windows", "n_items"]
     passed = occurrences(docs, benchmark).where(((F.col("coverage") >= coverage) | (F.col("longest_run") >= run)) & (F.col("consistency") >= consistent))
     best = passed.groupBy("doc_id", "item_id").agg(F.max(F.struct(*figures)).alias("best"))
-    return best.select("doc_id", "item_id", *[F.col(f"best.{c}") for c in ("n_found", "n_windows", "coverage", "longest_run", "consistency")])
+    return best.select("doc_id", "item_id", *[F.col(f"best.{c}") for c in ("n_found", "n_windows", "coverage", "longest_run", "consistency", "n_items", "certain")])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,11 +363,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go, with or without a doc_id.
 
-    Rows are judged by doc_id and text, so that a clean text stays if a
-    contaminated one has the same doc_id. Only rows that may go are shuffled.
+    Rows are judged by doc_id and text, known by two hashes of both, so that a
+    clean text stays if a contaminated one has the same doc_id. Only rows that
+    may go are shuffled.
     """
-    own = F.xxhash64("doc_id", "text")
-    found = cut(leaks(docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("doc")).distinct())
-    rows = maybe_in(docs.select(F.struct(*docs.columns).alias("row"), own.alias("doc")), fixed_filter(found))
-    kept = rows.where("NOT maybe").select("row").unionByName(rows.where("maybe").join(found, "doc", "left_anti").select("row"))
+    own = F.struct(F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64(F.lit(1), "doc_id", "text").alias("doc2"))
+    found = cut(leaks(docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("certain").select("doc_id.*").distinct())
+    rows = maybe_in(docs.select(F.struct(*docs.columns).alias("row"), own.alias("own")).select("row", "own.*"), fixed_filter(found))
+    kept = rows.where("NOT maybe").select("row").unionByName(rows.where("maybe").join(found, ["doc", "doc2"], "left_anti").select("row"))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -269,17 +269,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one document stays, that with the smallest doc_id; rows without doc_id stay.
 
-    Rows count by doc_id and text, so different texts under one doc_id are
+    Rows count by doc_id and text, known by two hashes of both, so different texts under one doc_id are
     judged apart; of the smallest doc_id's texts the one with the least hash
     stays, and of repeated rows one. Only rows that may go are shuffled.
     """
     known = docs.where("doc_id IS NOT NULL")
-    own = F.xxhash64("doc_id", "text")
-    found = classes(fingerprints(known.select(F.struct("doc_id", own.alias("doc")).alias("key"), "text"), "key"), "key")
-    state = found.groupBy(F.col("key.doc").alias("doc")).agg(F.max(F.col("key") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
-    doubtful = cut(state.where("NOT stays OR n > 1").select("doc", "stays"))
-    rows = maybe_in(known.select(F.struct(*docs.columns).alias("row"), own.alias("doc")), fixed_filter(doubtful))
-    judged = rows.where("maybe").select("row", "doc").join(doubtful, "doc", "left")
-    repeated = judged.where("stays").groupBy("doc").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in docs.columns])).alias("row"))
+    own = F.struct(F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64(F.lit(1), "doc_id", "text").alias("doc2"))
+    found = classes(fingerprints(known.select(F.struct("doc_id", own.alias("own")).alias("key"), "text"), "key"), "key")
+    state = found.groupBy(F.col("key.own").alias("own")).agg(F.max(F.col("key") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    doubtful = cut(state.where("NOT stays OR n > 1").select("own.*", "stays"))
+    rows = maybe_in(known.select(F.struct(*docs.columns).alias("row"), own.alias("own")).select("row", "own.*"), fixed_filter(doubtful))
+    judged = rows.where("maybe").select("row", "doc", "doc2").join(doubtful, ["doc", "doc2"], "left")
+    repeated = judged.where("stays").groupBy("doc", "doc2").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in docs.columns])).alias("row"))
     out = rows.where("NOT maybe").select("row").unionByName(judged.where("stays IS NULL").select("row")).unionByName(repeated.select("row"))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))

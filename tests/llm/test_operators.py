@@ -343,7 +343,7 @@ def test_verbatim_copies_always_match(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     texts = [f"{prose(i, 40)}. {t} {prose(9 - i, 40)}" for i, t in enumerate([*items, items[1].lower(), items[2].upper(), "What is 13 times 7?"])]
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(documents(spark, [*texts, items[0]]), bench).collect()}
-    assert got == {(0, 0), (1, 1), (2, 2), (3, 1), (4, 2), (6, 0)}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 1), (4, 2), (5, 0), (6, 0)}
 
 
 def test_decontamination_stage(spark, odd, none, tmp_path):
