@@ -4,7 +4,8 @@ Defined results: an empty table gives an empty one; a null text has no words
 and goes in the first stage; rows with a null or repeated doc_id are kept as
 each stage states; columns beyond those of ``documents`` are carried along up
 to the last stage, which returns the key and the tokens. A stage's table is
-deleted once the next one is written; the last one stays for the caller.
+deleted once the next one is written, and the tables that it made on the way
+with it; the last stage's table stays for the caller.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from spectrion.llm import byte_bpe, decontamination, quality_rules, secrets_scan, simhash
-from spectrion.llm.common import shared_folder
+from spectrion.llm.common import delete, scratch, shared_folder
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -29,20 +30,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     last = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if last is not None:
-            _delete(spark, last)
+            delete(spark, last)
         last = path
     return docs
