@@ -81,32 +81,10 @@ def baseline(points: DataFrame, keys: list[str], x: str, y: str, smooth: float =
 
 
 def prominent(y: np.ndarray, prominence: float, distance: int = 1) -> np.ndarray:
-    """Indices of local maxima by distance, then by prominence; the middle of a flat top."""
-    n = len(y)
-    change = np.nonzero(np.diff(y))[0]
-    if not len(change):
-        return np.zeros(0, int)
-    starts = np.concatenate([[0], change + 1])
-    ends = np.concatenate([change, [n - 1]])
-    v = y[starts]
-    top = np.nonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]))[0] + 1
-    peaks = (starts[top] + ends[top]) // 2
-    if distance > 1 and len(peaks):
-        keep = np.ones(len(peaks), bool)
-        for i in np.argsort(y[peaks], kind="stable")[::-1]:
-            if keep[i]:
-                near = np.abs(peaks - peaks[i]) < distance
-                near[i] = False
-                keep &= ~near
-        peaks = peaks[keep]
-    out = []
-    for p in peaks:
-        higher = np.nonzero(y > y[p])[0]
-        left, right = higher[higher < p], higher[higher > p]
-        low = max(y[(left[-1] + 1 if len(left) else 0) : p + 1].min(), y[p : (right[0] if len(right) else n)].min())
-        if y[p] - low >= prominence:
-            out.append(p)
-    return np.array(out, int)
+    """Indices of local maxima by distance, then by prominence; the middle of a flat top. Time is linear in the points."""
+    from .shapes import peaks
+
+    return peaks(y, prominence, distance=distance).at
 
 
 def find_peaks(points: DataFrame, keys: list[str], x: str, y: str, prominence: float, distance: int = 1) -> DataFrame:
@@ -499,17 +477,18 @@ def split_half(samples: DataFrame, sample: str, em: str, ex: str, value: str, co
 
 
 def fit_bands(points: DataFrame, keys: list[str], x: str, y: str, centres: list[float], width: float, shift: float) -> DataFrame:
-    """(keys, band, height, centre, width, area_percent, r2) of each signal's bands; signals with fewer points than parameters are left out."""
+    """(keys, band, height, centre, width, area_percent, r2, state) of each signal's bands; a signal with fewer points than parameters has nulls and says so in ``state``."""
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(x)
-        names = ["band", "height", "centre", "width", "area_percent", "r2"]
+        names = ["band", "height", "centre", "width", "area_percent", "r2", "state"]
         if len(part) < 3 * len(centres):
-            return pd.DataFrame(columns=names)
+            bands = np.arange(1, len(centres) + 1)
+            return pd.DataFrame({"band": bands, **{n: pd.Series([None] * len(bands), dtype="Float64") for n in names[1:-1]}, "state": "too few points"})
         p, r2 = bounded_fit(part[x].to_numpy(float), part[y].to_numpy(float), centres, width, shift)
         h, c, s = np.split(p, 3)
         area = h * s
         share = 100 * area / area.sum() if area.sum() > 0 else np.zeros_like(area)
-        return pd.DataFrame(dict(zip(names, (np.arange(1, len(h) + 1), h, c, s, share, r2))))
+        return pd.DataFrame(dict(zip(names, (np.arange(1, len(h) + 1), h, c, s, share, r2, "fitted"))))
 
-    return grouped(points, keys, [x, y], "band long, height double, centre double, width double, area_percent double, r2 double", work)
+    return grouped(points, keys, [x, y], "band long, height double, centre double, width double, area_percent double, r2 double, state string", work)

@@ -171,10 +171,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def centroids(vectors: DataFrame, label: str, vector: str, size: int) -> DataFrame:
-    """Mean vector of each label."""
-    means = F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(size)])
-    return vectors.groupBy(label).agg(means.alias("reference"))
+def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
+    """Mean vector of each label as ``reference``; vectors may be of any length, and each place is the mean of those that have it."""
+    places = vectors.select(label, F.posexplode(vector).alias("_i", "_v")).groupBy(label, "_i").agg(F.avg(F.col("_v").cast("double")).alias("_v"))
+    return places.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda p: p["_v"]).alias("reference"))
+
+
+def congruences(profiles: DataFrame, name: str, profile: str, bound: int = 10_000) -> DataFrame:
+    """(a, b, congruence) of every two profiles with a < b; more than ``bound`` are refused, since each is held against all."""
+    if profiles.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} profiles")
+    entries = profiles.agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col(profile).alias("ref"))).alias("_all"))
+    later = F.filter("_all", lambda e: e["name"] > F.col(name))
+    pairs = profiles.crossJoin(F.broadcast(entries)).select(F.col(name).alias("a"), profile, F.explode(later).alias("e"))
+    return pairs.select("a", F.col("e.name").alias("b"), cosine(F.col(profile), F.col("e.ref")).alias("congruence"))
 
 
 def library_match(vectors: DataFrame, library: DataFrame, key: str, vector: str, name: str, reference: str, top: int, bound: int = 10_000) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, instruments, laboratory, models, peaks, screening, signals, tables  # noqa: F401 (they register their queries)
+from . import files, instruments, laboratory, models, peaks, screening, shapes, signals, tables  # noqa: F401 (they register their queries)
 from .base import QUERIES, SQL, Query
 
 

@@ -65,13 +65,13 @@ def file_modality_detect(spark, d):
 def _block_sql() -> str:
     exact = "WHEN lower(trim(name)) IN ('h/c', 'o/c') THEN 'FT-ICR MS'"
     prefixes = " ".join(f"WHEN starts_with(spaced, ' {p} ') AND length(spaced) > {len(p) + 2} THEN '{b}'" for p, b in text.BLOCK_PREFIXES)
-    phrases = sorted(((text.phrase(w), b) for b, words in text.BLOCK_KEYWORDS.items() for w in words.split()), key=lambda x: -len(x[0].split()))
+    phrases = sorted(((text.phrase(w), b) for b, words in text.BLOCK_KEYWORDS.items() for w in words), key=lambda x: -len(x[0].split()))
     words = " ".join(f"WHEN contains(spaced, ' {p} ') THEN '{b}'" for p, b in phrases)
     return f"SELECT p_partkey, name, CASE {exact} {prefixes} {words} ELSE 'Other' END AS block"
 
 
 _LEAD = ["", "mean", *[p for p, _ in text.BLOCK_PREFIXES]]
-_WORDS = [w for words in text.BLOCK_KEYWORDS.values() for w in words.split()]
+_WORDS = [w for words in text.BLOCK_KEYWORDS.values() for w in words]
 
 
 @query(f"""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN ' H/C' ELSE {_list(_LEAD)}[p_partkey % {len(_LEAD)} + 1] || '_' || {_list(_WORDS)}[p_partkey * 7 % {len(_WORDS)} + 1] || ' ' || p_brand END AS name FROM part),
@@ -129,13 +129,14 @@ def chromatogram_table(spark, d):
     return out.groupBy("l_suppkey").agg(F.count("*").alias("n"), r(F.sum("volume"), 4).alias("volume"), r(F.sum("signal"), 4).alias("signal"))
 
 
-@query("""WITH x AS (SELECT l_suppkey, 20.0::DOUBLE + l_orderkey % 90 * 10 AS t, l_quantity * CASE WHEN l_suppkey % 2 = 0 THEN 3 ELSE 0.5 END + CASE WHEN l_suppkey % 4 = 3 THEN 60 ELSE 0 END AS m FROM lineitem WHERE l_suppkey % 3 > 0 OR l_orderkey % 90 > 3),
-s AS (SELECT l_suppkey, CASE WHEN max(m) > 105 OR max(m) < 50 THEN coalesce(median(m) FILTER (WHERE t <= 45), min_by(m, {'t': t, 'm': m})) END AS b FROM x GROUP BY 1)
-SELECT l_suppkey, count(*) AS n, round(avg(CASE WHEN b IS NULL THEN m ELSE m / b * 100 END), 6) AS mass, round(avg(t), 6) AS temperature FROM x JOIN s USING (l_suppkey) GROUP BY 1""")
+@query("""WITH x AS (SELECT l_suppkey, 20.0::DOUBLE + l_orderkey % 90 * 10 AS t, l_quantity * CASE WHEN l_suppkey % 2 = 0 THEN 3 ELSE 0.5 END + CASE WHEN l_suppkey % 4 = 3 THEN 60 ELSE 0 END AS m FROM lineitem),
+q AS (SELECT l_suppkey, t, CASE WHEN l_suppkey % 3 > 0 OR t > 50 THEN m END AS m FROM x),
+s AS (SELECT l_suppkey, CASE WHEN max(m) > 105 OR max(m) < 50 THEN coalesce(median(m) FILTER (WHERE t <= 45), min_by(m, {'t': t, 'm': m})) END AS b FROM q WHERE m IS NOT NULL GROUP BY 1)
+SELECT l_suppkey, count(*) AS n, round(avg(CASE WHEN b IS NULL THEN m ELSE m / b * 100 END), 6) AS mass, round(avg(t), 6) AS temperature FROM q JOIN s USING (l_suppkey) WHERE m IS NOT NULL GROUP BY 1""")
 def thermogram_table(spark, d):
-    li = table(spark, d, "lineitem").where("l_suppkey % 3 > 0 OR l_orderkey % 90 > 3")
+    li = table(spark, d, "lineitem")
     m = F.col("l_quantity") * F.when(F.col("l_suppkey") % 2 == 0, 3.0).otherwise(0.5) + F.when(F.col("l_suppkey") % 4 == 3, 60).otherwise(0)
-    lines = li.select("l_suppkey", F.concat_ws(";", m.cast("string"), (F.lit(20.0) + F.col("l_orderkey") % 90 * 10).cast("string")).alias("line"))
+    lines = li.select("l_suppkey", F.concat_ws(";", F.when((F.col("l_suppkey") % 3 > 0) | (F.col("l_orderkey") % 90 > 3), m.cast("string")).otherwise("n.d."), (F.lit(20.0) + F.col("l_orderkey") % 90 * 10).cast("string")).alias("line"))
     out = tables.thermogram(tables.from_lines(lines, "line", "Weight (mg);Temp. (°C)"), ["l_suppkey"])
     return out.groupBy("l_suppkey").agg(F.count("*").alias("n"), r(F.avg("mass")).alias("mass"), r(F.avg("temperature")).alias("temperature"))
 

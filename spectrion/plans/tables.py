@@ -92,16 +92,12 @@ def confusion_metrics(spark, d):
     return m.select("tp", "tn", "fp", "fn", *[r(c, 8).alias(c) for c in ("accuracy", "sensitivity", "specificity", "balanced_accuracy")])
 
 
-def _width(spark: SparkSession, d: str) -> int:
-    return table(spark, d, "embeddings").select(F.size("embedding").alias("n")).first()["n"]
-
-
 @query("""WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS v FROM e GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM c GROUP BY 1),
 s AS (SELECT e.vec_id, c.label, sum(e.v * c.v) / (sqrt(sum(e.v * e.v)) * any_value(n.n)) AS cosine FROM e JOIN c USING (i) JOIN n ON n.label = c.label GROUP BY 1, 2)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, label, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS rank FROM s) WHERE rank <= 3""")
 def cosine_library_match(spark, d):
     e = table(spark, d, "embeddings")
-    library = stats.centroids(e, "label", "embedding", _width(spark, d))
+    library = stats.centroids(e, "label", "embedding")
     out = stats.library_match(e.select("vec_id", "embedding"), library, "vec_id", "embedding", "label", "reference", 3)
     return out.select("vec_id", "rank", "label", r("cosine").alias("cosine"))
 
@@ -109,10 +105,8 @@ def cosine_library_match(spark, d):
 @query("""WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS v FROM e GROUP BY 1, 2)
 SELECT a.label AS a, b.label AS b, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 6) AS congruence FROM c a JOIN c b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2""")
 def tucker_congruence(spark, d):
-    c = stats.centroids(table(spark, d, "embeddings"), "label", "embedding", _width(spark, d))
-    other = c.select(F.col("label").alias("b"), F.col("reference").alias("ref"))
-    pairs = c.select(F.col("label").alias("a"), "reference").join(other, F.col("a") < F.col("b"))
-    return pairs.select("a", "b", r(stats.cosine(F.col("reference"), F.col("ref"))).alias("congruence"))
+    c = stats.centroids(table(spark, d, "embeddings"), "label", "embedding")
+    return stats.congruences(c, "label", "reference").select("a", "b", r("congruence").alias("congruence"))
 
 
 @query("SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem GROUP BY 1")

@@ -217,7 +217,9 @@ def test_band_fits(spark):
     x = np.linspace(0, 40, 81)
     y = 3 * np.exp(-0.5 * ((x - 11) / 3) ** 2) + 2 * np.exp(-0.5 * ((x - 27) / 4) ** 2)
     df = spark.createDataFrame([("k", float(a), float(b)) for a, b in zip(x, y)] + [("few", 1.0, 1.0)], "k string, x double, y double")
-    got = kernels.fit_bands(df, ["k"], "x", "y", [10.0, 30.0], 5.0, 5.0).orderBy("band").collect()
+    all_ = kernels.fit_bands(df, ["k"], "x", "y", [10.0, 30.0], 5.0, 5.0).orderBy("band").collect()
+    assert [(r["band"], r["height"], r["r2"], r["state"]) for r in all_ if r["k"] == "few"] == [(1, None, None, "too few points"), (2, None, None, "too few points")]
+    got = [r for r in all_ if r["k"] == "k"]
     assert [(round(r["height"], 3), round(r["centre"], 3), round(r["width"], 3)) for r in got] == [(3.0, 11.0, 3.0), (2.0, 27.0, 4.0)]
     assert got[0]["r2"] > 0.9999 and got[0]["area_percent"] == pytest.approx(100 * 9 / 17, abs=0.01)
 
