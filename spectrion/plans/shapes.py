@@ -17,11 +17,11 @@ def _signals(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), month.cast("double").alias("x")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / 100).alias("y"))
 
 
-@query(f"""WITH s AS ({_SIGNAL}), c AS (SELECT p.k, p.x, p.y, min(CASE WHEN a.x = b.x THEN a.y ELSE a.y + (b.y - a.y) * (p.x - a.x) / (b.x - a.x) END) AS base
+@query(f"""WITH s AS (SELECT k, x, ln(y) AS y FROM ({_SIGNAL})), c AS (SELECT p.k, p.x, p.y, min(CASE WHEN a.x = b.x THEN a.y ELSE a.y + (b.y - a.y) * (p.x - a.x) / (b.x - a.x) END) AS base
     FROM s p JOIN s a ON a.k = p.k AND a.x <= p.x JOIN s b ON b.k = p.k AND b.x >= p.x WHERE (a.x < p.x AND b.x > p.x) OR (a.x = p.x AND b.x = p.x) GROUP BY ALL)
-SELECT k, x, round(base, 4) AS baseline, round(greatest(y - base, 0), 4) AS corrected FROM c""")
+SELECT k, x, round(base, 6) AS baseline, round(greatest(y - base, 0), 6) AS corrected FROM c""")
 def hull_baselines(spark, d):
-    return shapes.hull_baseline(_signals(spark, d), ["k"], "x", "y").select("k", "x", r("baseline", 4).alias("baseline"), r("corrected", 4).alias("corrected"))
+    return shapes.hull_baseline(_signals(spark, d).withColumn("y", F.log("y")), ["k"], "x", "y").select("k", "x", r("baseline").alias("baseline"), r("corrected").alias("corrected"))
 
 
 @query(f"""WITH s AS ({_SIGNAL}), n AS (SELECT *, lag(y) OVER w AS before, lead(y) OVER w AS after FROM s WINDOW w AS (PARTITION BY k ORDER BY x)), p AS (SELECT k, x, y FROM n WHERE y > before AND y > after),
