@@ -15,6 +15,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 from xml.etree import ElementTree
 
@@ -120,37 +121,99 @@ def ordinates(line: str, last: float | None) -> tuple[float, list[float | None],
     return x, out, step is not None
 
 
-def jcamp(text: str) -> Iterator[tuple[str, float, float]]:
-    """Points of the first table of a JCAMP-DX file."""
+@dataclass
+class JcampTable:
+    """One table of a JCAMP-DX file with the labels that hold for it; of a page of n-tuples also the names of its two variables."""
+
+    labels: dict[str, str]
+    form: str
+    lines: list[str]
+    x: str = ""
+    y: str = ""
+    page: str = ""
+
+    def variable(self, symbol: str, label: str) -> str:
+        """Entry of a list of variables, by the place of the symbol."""
+        symbols = [v.strip() for v in self.labels.get("SYMBOL", "").split(",")]
+        values = [v.strip() for v in self.labels.get(label, "").split(",")]
+        i = symbols.index(symbol) if symbol in symbols else -1
+        return values[i] if 0 <= i < len(values) else ""
+
+    def number(self, name: str, default: float | None, symbol: str = "", label: str = "") -> float | None:
+        text = self.variable(symbol, label) if symbol else self.labels.get(name, "").split(",")[0]
+        return float(text) if text.strip() else default
+
+    @property
+    def series(self) -> str:
+        name = self.labels.get("DATATYPE", "")
+        return " ".join(filter(None, (name or self.labels.get("NTUPLES", ""), self.variable(self.y, "VARNAME"), self.page))) if self.y else name
+
+
+_VARIABLES = re.compile(r"\(\s*(\w)\s*(?:\+\+|,?)\s*\(?\s*(\w)\s*\.\.")
+
+
+def jcamp_tables(text: str) -> Iterator[JcampTable]:
+    """The tables of all blocks and pages in order; a new title opens a block that keeps no labels but those around it."""
+    outer: list[dict[str, str]] = []
     labels: dict[str, str] = {}
-    table: list[str] | None = None
-    form = ""
+    table: JcampTable | None = None
+    page = ""
     for line in text.splitlines():
         line = line.split("$$")[0].rstrip()
-        if line.startswith("##"):
-            name, _, value = line[2:].partition("=")
-            name = re.sub(r"[\s\-/_]", "", name).upper()
-            if table is not None:
-                break
-            if name in ("XYDATA", "XYPOINTS", "PEAKTABLE", "DATATABLE"):
-                table, form = [], value.strip().upper()
-            labels[name] = value.strip()
-        elif table is not None and line.strip():
-            table.append(line)
-    number = lambda n, d: float(labels[n].split(",")[0]) if labels.get(n) else d
-    fx, fy = number("XFACTOR", 1.0), number("YFACTOR", 1.0)
-    series = labels.get("DATATYPE", "")
-    if "++" not in form:
-        for line in table or []:
-            for pair in re.split(r"[;\s]+(?=[^,]*,)", line.strip()):
-                parts = [p for p in re.split(r"[,\s;]+", pair) if p]
-                if len(parts) >= 2:
-                    yield series, float(parts[0]) * fx, float(parts[1]) * fy
-        return
+        if not line.startswith("##"):
+            if table is not None and line.strip():
+                table.lines.append(line)
+            continue
+        if table is not None:
+            yield table
+            table = None
+        name, _, value = line[2:].partition("=")
+        name, value = re.sub(r"[\s\-/_]", "", name).upper(), value.strip()
+        if name == "TITLE" and labels:
+            outer.append(labels)
+            labels = {k: v for k, v in labels.items() if k in ("JCAMPDX", "DATATYPE")}
+        elif name == "END" and outer:
+            labels = outer.pop()
+        elif name == "PAGE":
+            page = value
+        elif name == "ENDNTUPLES":
+            page = ""
+        labels[name] = value
+        if name in ("XYDATA", "XYPOINTS", "PEAKTABLE", "DATATABLE"):
+            form = value.upper()
+            found = _VARIABLES.search(form) if "SYMBOL" in labels else None
+            table = JcampTable(dict(labels), form, [], found[1] if found else "", found[2] if found else "", page)
+    if table is not None:
+        yield table
+
+
+def _scaled(table: JcampTable, points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Hertz of magnetic resonance as parts per million, moved to the shift reference if one is named."""
+    units = (table.variable(table.x, "UNITS") if table.x else table.labels.get("XUNITS", "")).upper()
+    if units != "HZ" or "NMR" not in (table.labels.get("DATATYPE", "") + table.labels.get("NTUPLES", "")).upper():
+        return points
+    frequency = table.number(".OBSERVEFREQUENCY", None)
+    if not frequency or frequency <= 0:
+        raise ValueError("hertz without an observe frequency")
+    points = [(x / frequency, y) for x, y in points]
+    reference = [v.strip(" ()") for v in table.labels.get(".SHIFTREFERENCE", "").split(",")]
+    if len(reference) == 4 and reference[2].isdigit() and 0 < int(reference[2]) <= len(points):
+        move = float(reference[3]) - points[int(reference[2]) - 1][0]
+        points = [(x + move, y) for x, y in points]
+    return points
+
+
+def _decoded(table: JcampTable) -> list[tuple[float, float | None]]:
+    """Points of a table, a missing ordinate as None."""
+    fx = table.number("XFACTOR", 1.0, table.x, "FACTOR")
+    fy = table.number("YFACTOR", 1.0, table.y, "FACTOR")
+    if "++" not in table.form:
+        pairs = [[p for p in re.split(r"[,\s;]+", pair) if p] for line in table.lines for pair in re.split(r"[;\s]+(?=[^,]*,)", line.strip())]
+        return [(float(p[0]) * fx, float(p[1]) * fy) for p in pairs if len(p) >= 2]
     ys: list[float | None] = []
     places: list[tuple[int, float]] = []  # the lines' abscissas and the ordinates that stand at them
     checked = False
-    for line in table or []:
+    for line in table.lines:
         x, got, differs = ordinates(line, ys[-1] if ys else None)
         repeats = bool(checked and ys and got)
         if got:
@@ -158,17 +221,30 @@ def jcamp(text: str) -> Iterator[tuple[str, float, float]]:
         ys += got[1:] if repeats else got  # after differences a line repeats the last ordinate as a check
         checked = differs
     if not ys:
-        return
-    first = number("FIRSTX", places[0][1])
-    if labels.get("LASTX"):
-        step = (number("LASTX", 0.0) - first) / max(len(ys) - 1, 1)
+        return []
+    first = table.number("FIRSTX", places[0][1], table.x, "FIRST")
+    last = table.number("LASTX", None, table.x, "LAST")
+    if last is not None:
+        step = (last - first) / max(len(ys) - 1, 1)
     elif len(places) > 1 and places[-1][0] > places[0][0]:
         step = (places[-1][1] - places[0][1]) / (places[-1][0] - places[0][0])
     else:
-        step = number("DELTAX", 1.0)
-    for i, y in enumerate(ys):
-        if y is not None:
-            yield series, first + i * step, y * fy
+        step = table.number("DELTAX", 1.0)
+    return [(first + i * step, None if y is None else y * fy) for i, y in enumerate(ys)]
+
+
+def jcamp(text: str) -> Iterator[tuple[str, float, float]]:
+    """Points of all tables of a JCAMP-DX file: pages of n-tuples are series of their own, as are further blocks of one name, which are numbered."""
+    seen: dict[str, int] = {}
+    for table in jcamp_tables(text):
+        points = _scaled(table, _decoded(table))
+        if not points:
+            continue
+        n = seen[table.series] = seen.get(table.series, 0) + 1
+        name = table.series if n == 1 else f"{table.series} {n}"
+        for x, y in points:
+            if y is not None:
+                yield name, x, y
 
 
 def inflated(raw: bytes, form: int = zlib.MAX_WBITS) -> bytes:

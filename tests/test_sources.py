@@ -5,6 +5,8 @@ import struct
 import zipfile
 import zlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from spectrion.sources import formats
@@ -80,3 +82,56 @@ def test_sinks(spark, tmp_path):
     assert lines[0].startswith("MTD") and lines[-1] == "SML\t1\tC2H6\t30.0\tnull"
     formats.write_table(df, str(tmp_path / "t"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "t")).count() == 1
+
+
+NTUPLES = """##TITLE=spectrum
+##JCAMP-DX=5.01
+##DATA TYPE=NMR SPECTRUM
+##DATA CLASS=NTUPLES
+##.OBSERVE FREQUENCY=100.0
+##NTUPLES=NMR SPECTRUM
+##VAR_NAME=FREQUENCY, SPECTRUM/REAL, SPECTRUM/IMAG, PAGE NUMBER
+##SYMBOL=X, R, I, N
+##FACTOR=0.5, 1, 10, 1
+##FIRST=2000, 1, 1, 1
+##LAST=500, 4, 4, 2
+##UNITS=HZ, ARBITRARY UNITS, ARBITRARY UNITS,
+##PAGE=N=1
+##DATA TABLE=(X++(R..R)), XYDATA
+4000 1 2 3 4
+##PAGE=N=2
+##DATA TABLE=(X++(I..I)), XYDATA
+4000 5 6
+2000 7 ?
+##END NTUPLES=NMR SPECTRUM
+##END=
+"""
+
+SHIFTS = """##TITLE=13C
+##JCAMP-DX=5.01
+##DATA TYPE=NMR SPECTRUM
+##.OBSERVE FREQUENCY=100.0
+##XUNITS=HZ
+##FIRSTX=20000
+##LASTX=0
+##NPOINTS=9
+{extra}##XYDATA=(X++(Y..Y))
+20000A0JJJ
+12500A3jjj
+5000A0jj
+##END=
+"""
+
+
+def test_jcamp_pages_and_shifts():
+    pages = list(formats.jcamp(NTUPLES))
+    assert pages[:4] == [("NMR SPECTRUM SPECTRUM/REAL N=1", x, y) for x, y in zip((20.0, 15.0, 10.0, 5.0), (1.0, 2.0, 3.0, 4.0))]
+    assert pages[4:] == [("NMR SPECTRUM SPECTRUM/IMAG N=2", x, y) for x, y in zip((20.0, 15.0, 10.0), (50.0, 60.0, 70.0))]
+    plain = [(x, y) for _, x, y in formats.jcamp(SHIFTS.format(extra=""))]
+    assert plain == [(200.0 - 25 * i, y) for i, y in enumerate([10, 11, 12, 13, 12, 11, 10, 9, 8])]
+    moved = [x for _, x, _ in formats.jcamp(SHIFTS.format(extra="##.SHIFT REFERENCE=(INTERNAL, TMS, 9, 0.5)\n"))]
+    assert moved == [200.5 - 25 * i for i in range(9)]
+    with pytest.raises(ValueError, match="observe frequency"):
+        list(formats.jcamp(SHIFTS.format(extra="").replace("##.OBSERVE FREQUENCY=100.0\n", "")))
+    linked = "##TITLE=all\n##JCAMP-DX=5\n##DATA TYPE=LINK\n##BLOCKS=2\n" + "".join(f"##TITLE={i}\n##DATA TYPE=INFRARED SPECTRUM\n##XYPOINTS=(XY..XY)\n{i},1; {i + 1},2\n##END=\n" for i in (10, 20)) + "##END=\n"
+    assert list(formats.jcamp(linked)) == [("INFRARED SPECTRUM", 10, 1), ("INFRARED SPECTRUM", 11, 2), ("INFRARED SPECTRUM 2", 20, 1), ("INFRARED SPECTRUM 2", 21, 2)]
