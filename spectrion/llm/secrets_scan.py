@@ -1,10 +1,12 @@
 """Secret scan with a decoding worklist.
 
 Each text is layer zero of a worklist. A layer is scanned for secrets, then
-what is encoded in it (percent escapes and \\u and \\x escapes over the whole
-layer; base64 runs, also behind '=' or a path and over several lines, and
-base64 of zlib or gzip streams) is unwrapped into new layers, until nothing
-new appears. Each distinct content is scanned and unwrapped once, which ends
+what is encoded in it is unwrapped into new layers, until nothing new appears:
+over the whole layer percent escapes (also %u), backslash escapes (\\x, \\u,
+\\u{}, \\U and octal) and character references; runs of hexadecimal bytes;
+base64 runs, also behind '=' or a path and over several lines, of text in UTF-8
+or UTF-16; zlib, gzip, bzip2 and raw deflate streams in them (raw deflate, which
+has no mark, only as a whole run). Each distinct content is scanned and unwrapped once, which ends
 cycles; every place where it occurs is kept as an edge from the layer around it
 with a mapping of spans, and the spans of a content are handed up all edges
 until nothing changes. So a secret found at any depth is reported by the spans
@@ -26,12 +28,14 @@ the scan and kept by the stage, whatever their names.
 from __future__ import annotations
 
 import base64
+import bz2
 import codecs
 import hashlib
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from html import unescape
 from itertools import accumulate
 from urllib.parse import unquote_to_bytes
 
@@ -56,8 +60,11 @@ CHUNK = 1 << 22
 OVERLAP = 1 << 16
 LONGEST = 1 << 24
 
-_PERCENT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_PERCENT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|%u([0-9A-Fa-f]{4})")
+_ESCAPE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\([0-3][0-7]{2})")
+_REFERENCE_UNIT = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+#: Bytes in hexadecimal, enough for the shortest secret.
+_BYTES = re.compile(r"(?<![0-9A-Za-z])(?:0x)?((?:[0-9A-Fa-f]{2}){14,}+)(?![0-9A-Za-z])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 #: Lines of base64 that follow one another; the last may be short.
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]++={0,2}")
@@ -97,24 +104,60 @@ def _is_text(text: str) -> bool:
     return bool(text) and odd * 20 <= len(text)
 
 
+RAW_DEFLATE = -zlib.MAX_WBITS
+
+
 def _packed(raw: bytes) -> bool:
-    """Whether bytes begin like a zlib or gzip stream."""
-    return raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0
+    """Whether bytes begin like a zlib, gzip or bzip2 stream."""
+    return raw[:2] == b"\x1f\x8b" or raw[:3] == b"BZh" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+class _Bzip2:
+    """A bzip2 stream with the interface of zlib's; it keeps what it can't take yet."""
+
+    unconsumed_tail = b""
+
+    def __init__(self) -> None:
+        self._stream = bz2.BZ2Decompressor()
+        self.decompress = self._stream.decompress
+
+    @property
+    def eof(self) -> bool:
+        return self._stream.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self._stream.unused_data
+
+
+def _stream(head: bytes, form: int):
+    return _Bzip2() if head[:3] == b"BZh" and form != RAW_DEFLATE else zlib.decompressobj(form)
 
 
 def _opens(head: bytes) -> bool:
     """Whether the first bytes of a stream can be inflated."""
     try:
-        return _packed(head) and zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(head, 1 << 12) is not None
-    except zlib.error:
+        return _packed(head) and _stream(head, zlib.MAX_WBITS | 32).decompress(head, 1 << 12) is not None
+    except (zlib.error, OSError):
+        return False
+
+
+def _deflated(raw: bytes) -> bool:
+    """Whether bytes are one raw deflate stream whose beginning is text."""
+    stream = zlib.decompressobj(RAW_DEFLATE)
+    try:
+        out = stream.decompress(raw, 1 << 12)
+        text = codecs.getincrementaldecoder("utf-8")().decode(out)
+    except (zlib.error, UnicodeDecodeError):
         return False
+    return len(text) > 3 and _is_text(text) and (len(out) == 1 << 12 or stream.eof and not stream.unused_data)
 
 
-def _members(raw: bytes) -> Iterator[bytes]:
-    """Bytes of the zlib or gzip streams that stand one behind the other, in pieces."""
+def _members(raw: bytes, form: int = zlib.MAX_WBITS | 32) -> Iterator[bytes]:
+    """Bytes of the streams that stand one behind the other, in pieces."""
     at = 0
-    while at < len(raw) and _packed(raw[at : at + 3]):
-        stream = zlib.decompressobj(zlib.MAX_WBITS | 32)
+    while at < len(raw) and (_packed(raw[at : at + 3]) or form == RAW_DEFLATE and not at):
+        stream = _stream(raw[at : at + 3], form)
         feed = b""
         while not stream.eof:
             if not feed:
@@ -130,12 +173,12 @@ def _members(raw: bytes) -> Iterator[bytes]:
         at -= len(stream.unused_data)
 
 
-def _inflated(raw: bytes, lost: list[int]) -> Iterator[str]:
+def _inflated(raw: bytes, lost: list[int], form: int = zlib.MAX_WBITS | 32) -> Iterator[str]:
     """Text of the streams in chunks; nothing if the bytes are none."""
     decoder = codecs.getincrementaldecoder("utf-8")()
     held, fresh, size, some, cut_short = "", [], 0, False, False
     try:
-        for piece in _members(raw):
+        for piece in _members(raw, form):
             some = True
             fresh.append(decoder.decode(piece))
             size += len(fresh[-1])
@@ -152,8 +195,8 @@ def _inflated(raw: bytes, lost: list[int]) -> Iterator[str]:
             if _is_text(held[:end]):
                 yield held[:end]
             held = held[end - OVERLAP :]
-    except (zlib.error, UnicodeDecodeError) as e:
-        cut_short |= some and isinstance(e, zlib.error)
+    except (zlib.error, OSError, UnicodeDecodeError) as e:
+        cut_short |= some and not isinstance(e, UnicodeDecodeError)
     lost[0] += cut_short
     held += "".join(fresh)
     if _is_text(held):
@@ -186,6 +229,8 @@ def _unescaped(text: str, units: re.Pattern, read: Callable[[re.Match], list[tup
 
 
 def _percent(u: re.Match) -> list[tuple[str, int, int, int]]:
+    if u[1]:
+        return _character(int(u[1], 16), u)
     raw, a = unquote_to_bytes(u[0]), u.start()
     try:
         got = raw.decode("utf-8")
@@ -197,14 +242,33 @@ def _percent(u: re.Match) -> list[tuple[str, int, int, int]]:
     return [(c, at[i], at[i + 1], 0) for i, c in enumerate(got)]
 
 
+def _character(code: int, u: re.Match) -> list[tuple[str, int, int, int]]:
+    return [(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", u.start(), u.end(), 0)]
+
+
 def _backslash(u: re.Match) -> list[tuple[str, int, int, int]]:
-    code = int(u[1] or u[2], 16)
-    return [(chr(code) if not 0xD800 <= code < 0xE000 else "\ufffd", u.start(), u.end(), 0)]
+    return _character(int(u[5], 8) if u[5] else int(u[1] or u[2] or u[3] or u[4], 16), u)
+
+
+def _reference(u: re.Match) -> list[tuple[str, int, int, int]]:
+    return [(unescape(u[0]), u.start(), u.end(), 0)]
+
+
+def _wide(raw: bytes) -> str | None:
+    """The bytes as text of two bytes a character, if they are that."""
+    if len(raw) < 28 or len(raw) % 2:
+        return None
+    form = "utf-16-le" if raw[1::2].count(0) * 10 >= 9 * len(raw) // 2 else "utf-16-be" if raw[::2].count(0) * 10 >= 9 * len(raw) // 2 else None
+    try:
+        text = raw.decode(form) if form else ""
+    except UnicodeDecodeError:
+        return None
+    return text if text and _is_text(text.removeprefix("\ufeff")) else None
 
 
-def _decoded(got: str, first: int, size: int, where: Place, skip: int = 0) -> Place:
+def _decoded(got: str, first: int, size: int, where: Place, skip: int = 0, form: str = "utf-8") -> Place:
     """Place of text whose bytes, ``skip`` others before them, the base64 characters from ``first`` on, of ``size``, encode: a character comes from all that hold bits of it."""
-    at = None if got.isascii() else list(accumulate((len(c.encode()) for c in got), initial=0))
+    at = None if got.isascii() and form == "utf-8" else list(accumulate((len(c.encode(form)) for c in got), initial=0))
 
     def place(a: int, b: int) -> tuple[int, int]:
         a, b = (a, b) if at is None else (at[a], at[b])
@@ -230,6 +294,11 @@ def _base64(token: str, where: Place, stop: int, starts: list[int], lost: list[i
             yield got, lambda a, b: whole
         if not inflated and (got := _readable(raw)) is not None:
             yield got, _decoded(got, 0, n, where)
+        elif not inflated and (got := _wide(raw)) is not None:
+            yield got, _decoded(got, 0, n, where, form="utf-16-le")
+        elif not inflated and _deflated(raw):
+            for got in _inflated(raw, lost, RAW_DEFLATE):
+                yield got, lambda a, b: whole
     for i in starts:
         if _packed(decode(i, min(i + 4, n))) and _opens(decode(i, min(i + 256, n))):
             for got in _inflated(decode(i), lost):
@@ -241,12 +310,33 @@ def _base64(token: str, where: Place, stop: int, starts: list[int], lost: list[i
             yield got, _decoded(got, phase, n, where, m.start())
 
 
+def _from_hex(m: re.Match, lost: list[int]) -> Iterator[tuple[str, Place]]:
+    """What a run of hexadecimal bytes holds."""
+    raw, start = bytes.fromhex(m[1]), m.start(1)
+    if _opens(raw[:256]):
+        for got in _inflated(raw, lost):
+            yield got, lambda a, b: m.span()
+        return
+    got, form = _readable(raw), "utf-8"
+    if got is None:
+        got, form = _wide(raw), "utf-16-le"
+    if got is not None:
+        at = list(accumulate((2 * len(c.encode(form)) for c in got), initial=start))
+        yield got, lambda a, b: (at[a], at[b])
+
+
 def unwrap(text: str, lost: list[int]) -> Iterator[tuple[str, Place]]:
     """Layers one decoding deeper; adds to ``lost`` how many streams were not opened to their end."""
     if "%" in text and _PERCENT_UNIT.search(text):
         yield _unescaped(text, _PERCENT_UNIT, _percent)
     if "\\" in text and _ESCAPE_UNIT.search(text):
         yield _unescaped(text, _ESCAPE_UNIT, _backslash)
+    if "&" in text and _REFERENCE_UNIT.search(text):
+        got = _unescaped(text, _REFERENCE_UNIT, _reference)
+        if got[0] != text:
+            yield got
+    for m in _BYTES.finditer(text):
+        yield from _from_hex(m, lost)
     for m in _BASE64.finditer(text):
         token = m[0].rstrip("=")
         yield from _base64(token, lambda a, b, at=m.start(): (at + a, at + b), m.end(), [p.end() for p in _PARTS.finditer(token)], lost)
