@@ -85,3 +85,39 @@ def falling(degree: int) -> Column:
         turn = F.try_divide(-c[2], 3 * c[3])
         good = good & (~F.coalesce(turn.between(*ends), F.lit(False)) | (slope(turn) < 0))
     return good
+
+
+def recalibrated(peaks: DataFrame, calibrants: DataFrame, keys: list[str], mass: str, theoretical: str, ppm: float, degree: int = 2, least: int = 3, span: float = 0.6) -> DataFrame:
+    """Masses less the error that calibrants show, a polynomial of the mass: columns ``corrected``, ``n_calibrants`` and ``degree``.
+
+    Per calibrant and key the peak nearest to the theoretical mass within
+    ``ppm`` counts. Calibrants that span less than ``span`` of the spectrum
+    give a straight line; with fewer than ``least`` of them, or without a
+    solution, masses stay as they are and the degree is zero.
+    """
+    from .ranges import best_match, ppm_join
+
+    pairs = ppm_join(calibrants.select(F.col(theoretical).alias("_t")).distinct(), peaks.select(*keys, mass).distinct(), "_t", mass, ppm)
+    near = best_match(pairs, [*keys, "_t"], [F.abs(F.col(mass) - F.col("_t")), F.col(mass)]).withColumn("_error", F.col(mass) - F.col("_t"))
+    whole = peaks.groupBy(*keys).agg((F.max(mass) - F.min(mass)).alias("_width"))
+    fits = whole
+    for d in {1, degree}:
+        fit = fitted(near, keys, mass, "_error", d)
+        solved = F.struct("middle", "spread", *[f"c{i}" for i in range(d + 1)])
+        fits = fits.join(fit.select(*keys, F.col("n").alias(f"_n{d}"), (F.col("high") - F.col("low")).alias(f"_span{d}"), F.when(F.col(f"c{d}").isNotNull(), solved).alias(f"_f{d}")), keys, "left")
+    joined = peaks.join(fits, keys, "left")
+    n = F.coalesce(F.col("_n1"), F.lit(0))
+    wide = F.col("_span1") / F.greatest(F.lit(1.0), F.col("_width")) >= span
+
+    def error(d: int) -> Column:
+        f = F.col(f"_f{d}")
+        u = F.try_divide(F.col(mass) - f["middle"], f["spread"])
+        out = f[f"c{d}"]
+        for i in reversed(range(d)):
+            out = out * u + f[f"c{i}"]
+        return out
+
+    chosen = F.when(n < least, 0).when(F.lit(degree > 1) & wide & F.col(f"_f{degree}").isNotNull(), degree).when(F.col("_f1").isNotNull(), 1).otherwise(0)
+    out = joined.withColumn("n_calibrants", n).withColumn("degree", chosen)
+    moved = F.when(F.col("degree") == degree, error(degree)).when(F.col("degree") == 1, error(1)).otherwise(0.0)
+    return out.withColumn("corrected", F.col(mass) - moved).select(*peaks.columns, "corrected", "n_calibrants", "degree")

@@ -177,8 +177,10 @@ def recalibrated_shifts(points: DataFrame, keys: list[str], x: str, y: str, refe
 
 def carbonyl_ratios(peaks: DataFrame, keys: list[str], name: str, area: str) -> DataFrame:
     """Acid to aldehyde and ketone to aldehyde ratios of guaiacyl and syringyl lignin by the areas of named peaks; null where one of the two isn't there."""
-    kind = lignin_carbonyl(F.col(name))
-    sums = peaks.groupBy(*keys).agg(*[F.sum(F.when(kind == k, F.col(area))).alias(k) for k in CARBONYL_WORDS])
+    # areas by name first, so that a name's class is worked out once for each sample
+    named = peaks.groupBy(*keys, name).agg(F.sum(area).alias("_area"))
+    kinds = named.groupBy(*keys, lignin_carbonyl(F.col(name)).alias("_kind")).agg(F.sum("_area").alias("_area"))
+    sums = kinds.groupBy(*keys).pivot("_kind", list(CARBONYL_WORDS)).agg(F.first("_area"))
     ratio = lambda a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(a) / F.col(b))
     pairs = [(unit, num) for unit in ("guaiacyl", "syringyl") for num in ("acid", "ketone")]
     return sums.select(*keys, *[ratio(f"{unit}_{num}", f"{unit}_aldehyde").alias(f"{unit}_{num}_aldehyde") for unit, num in pairs])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,39 +44,29 @@ def block_scaled(long: DataFrame, block: str, value: str, out: str = "scaled") -
     return long.join(norm, block).withColumn(out, F.try_divide(F.col(value), F.col("_norm"))).drop("_norm")
 
 
-def correlations(wide: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
+#: Columns of a side in one pass of correlations: six matrices of its square are held by a task.
+SIDE = 1000
+
+
+def correlations(wide: DataFrame, columns: list[str], least: int = 3, side: int = SIDE) -> DataFrame:
     """Pearson r of every pair of columns over their joint rows: (f1, f2, n, r); null if too few or a constant column.
 
     Tasks add up products of all pairs batch by batch, so the plan's size
-    doesn't grow with the pairs and rows aren't shuffled. Values are taken from
-    their column's mean to keep digits, so a column counts as constant where
-    its deviation is below a millionth of its joint rows' distance from it;
-    NaN and infinity count as missing.
+    doesn't grow with the pairs and rows aren't shuffled. More than ``side``
+    columns are cut into blocks, and every two blocks take a pass of their own
+    that reads their columns only. Values are taken from their column's mean to
+    keep digits, so a column counts as constant where its deviation is below a
+    millionth of its joint rows' distance from it; NaN and infinity count as
+    missing.
     """
-    p = len(columns)
     let_workers_import(wide.sparkSession)
     cells = [F.col(f"`{c}`").cast("double") for c in columns]
     finite = [F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for c in cells]
     means = wide.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(finite)]).first()
-    centred = wide.select(*[(c - float(means[i] or 0.0)).alias(f"c{i}") for i, c in enumerate(finite)])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, p, p))
-        for batch in batches:
-            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-            there = ~np.isnan(z)
-            z = np.where(there, z, 0.0)
-            there = there.astype(float)
-            total += there.T @ there, z.T @ there, (z * z).T @ there, z.T @ z
-        n, x, xx, xy = total
-        for i in range(p - 1):
-            rows = slice(i + 1, p)
-            j = np.arange(i + 1, p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i, np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, (n[i, rows], x[i, rows], x[rows, i], xx[i, rows], xx[rows, i], xy[i, rows]))], ["i", "j", *sums])
-
-    sums = ["n", "x", "y", "xx", "yy", "xy"]
-    parts = centred.mapInArrow(add, "i int, j int, " + ", ".join(f"{s} double" for s in sums))
-    pair = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+    centred = [(c - float(means[i] or 0.0)).alias(f"c{i}") for i, c in enumerate(finite)]
+    starts = range(0, len(columns), side)
+    parts = reduce(DataFrame.unionByName, [_product_pairs(wide, centred, (a, min(a + side, len(columns))), (b, min(b + side, len(columns)))) for a in starts for b in starts if b >= a])
+    pair = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
     n = F.col("n")
     spread = lambda s, ss: F.when(n * F.col(ss) - F.col(s) * F.col(s) > 1e-12 * n * F.col(ss), n * F.col(ss) - F.col(s) * F.col(s))
     r = (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread("x", "xx")) / F.sqrt(spread("y", "yy"))
@@ -83,6 +74,31 @@ def correlations(wide: DataFrame, columns: list[str], least: int = 3) -> DataFra
     return pair.select(names[F.col("i")].alias("f1"), names[F.col("j")].alias("f2"), n.cast("long").alias("n"), F.when((n >= least) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
+_SUMS = ["n", "x", "y", "xx", "yy", "xy"]
+
+
+def _product_pairs(wide: DataFrame, cells: list[Column], one: tuple[int, int], two: tuple[int, int]) -> DataFrame:
+    """(i, j, sums) of each task for the pairs i < j of two ranges of columns."""
+    same = one == two
+    chosen = cells[slice(*one)] + ([] if same else cells[slice(*two)])
+    p, q = one[1] - one[0], two[1] - two[0]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, p, q))
+        for batch in batches:
+            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = ~np.isnan(z)
+            z, there = np.where(there, z, 0.0), there.astype(float)
+            a, b, ta, tb = z[:, :p], z[:, -q:], there[:, :p], there[:, -q:]
+            total += ta.T @ tb, a.T @ tb, ta.T @ b, (a * a).T @ tb, ta.T @ (b * b), a.T @ b
+        for i in range(p):
+            j = np.arange(i + 1 if same else 0, q)
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), one[0] + i, np.int32)), pa.array((two[0] + j).astype(np.int32)), *[pa.array(m[i, j]) for m in total]], ["i", "j", *_SUMS])
+
+    return wide.select(*chosen).mapInArrow(add, "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS))
+
+
 def ranked_columns(long: DataFrame, key: str = "descriptor", value: str = "value", out: str = "rank", pieces: int = 200) -> DataFrame:
     """Average rank of each value among its descriptor's, for Spearman correlation; a null value has none.
 
@@ -113,14 +129,30 @@ def normal_p(r: Column, n: Column) -> Column:
     return F.least(F.lit(1.0), 2.0 * tail)
 
 
-def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str, ident: str, out: str = "q") -> DataFrame:
-    """False-discovery q of each test of a family; a null p has none and doesn't count."""
-    family = Window.partitionBy(*keys)
+def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str, ident: str, out: str = "q", pieces: int = 200) -> DataFrame:
+    """False-discovery q of each test of a family; a null p has none and doesn't count.
+
+    A family's p-values are cut into ``pieces`` ranges that are ranked apart,
+    set off by the counts below; the least value above a range comes from the
+    ranges' own least values. So no task sorts a whole family, and q is exact
+    for any cuts.
+    """
     known = tests.where(F.col(p).isNotNull())
-    ranked = known.withColumn("_rank", F.row_number().over(family.orderBy(p, ident))).withColumn("_m", F.count("*").over(family))
-    back = family.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    q = ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(back))).drop("_rank", "_m")
-    return q.unionByName(tests.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    cuts = known.groupBy(*keys).agg(F.percentile_approx(p, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("_cuts"), F.count("*").alias("_m"))
+    piece = F.size(F.filter("_cuts", lambda c: c < F.col(p)))
+    cut = known.join(cuts, keys).withColumn("_piece", piece).drop("_cuts")
+    ranges = Window.partitionBy(*keys).orderBy("_piece")
+    counted = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+    offset = counted.select(*keys, "_piece", F.coalesce(F.sum("_n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_piece")
+    rank = F.col("_off") + F.row_number().over(inside.orderBy(p, ident))
+    ranked = cut.join(offset, [*keys, "_piece"]).withColumn("_v", F.col(p) * F.col("_m") / rank)
+    least = ranked.groupBy(*keys, "_piece").agg(F.min("_v").alias("_least"))
+    above = least.select(*keys, "_piece", F.min("_least").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    back = inside.orderBy(F.desc(p), F.desc(ident)).rowsBetween(Window.unboundedPreceding, 0)
+    q = ranked.withColumn("_back", F.min("_v").over(back)).join(above, [*keys, "_piece"])
+    made = q.withColumn(out, F.least(F.lit(1.0), F.col("_back"), F.col("_above"))).select(*tests.columns, out)
+    return made.unionByName(tests.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def hotelling_ellipse(scores: DataFrame, keys: list[str], x: str, y: str, confidence: float = 0.95) -> DataFrame:
@@ -135,6 +167,64 @@ def hotelling_ellipse(scores: DataFrame, keys: list[str], x: str, y: str, confid
     return known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("centre_x"), F.avg(y).alias("centre_y"), (F.stddev_samp(x) * scale).alias("radius_x"), (F.stddev_samp(y) * scale).alias("radius_y"))
 
 
+def hotelling_ellipsoid(scores: DataFrame, keys: list[str], axes: list[str], confidence: float = 0.95) -> DataFrame:
+    """(keys, n, centre and radius of each axis) of the T-squared ellipsoid of any number of scores; radii are null with fewer than two points over the axes."""
+    k = len(axes)
+    known = scores.where(F.array_min(F.array(*[F.col(a).isNotNull() for a in axes])))
+    found = known.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"centre_{a}") for a in axes], *[F.stddev_samp(a).alias(f"_s_{a}") for a in axes])
+    n = F.col("n").cast("double")
+    scale = F.when(n >= k + 2, F.sqrt(k * (n - 1.0) / (n - k) * f_quantile(confidence, k, n - k)))
+    return found.withColumn("_scale", scale).select(*keys, "n", *[f"centre_{a}" for a in axes], *[(F.col(f"_s_{a}") * F.col("_scale")).alias(f"radius_{a}") for a in axes])
+
+
+def beta_share(x: Column, a: Column, b: Column, rounds: int = 200) -> Column:
+    """Regularised incomplete beta function by its continued fraction, for x up to (a + 1) / (a + b + 2)."""
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+    start = F.struct(F.lit(1.0).alias("c"), (1.0 / safe(1.0 - (a + b) * x / (a + 1.0))).alias("d"), (1.0 / safe(1.0 - (a + b) * x / (a + 1.0))).alias("h"))
+
+    def step(s: Column, num: Column) -> Column:
+        d, c = 1.0 / safe(1.0 + num * s["d"]), safe(1.0 + num / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    def both(s: Column, m: Column) -> Column:
+        m = m.cast("double")
+        even = m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
+        return F.transform(F.array(step(s, even)), lambda t: step(t, odd))[0]
+
+    h = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, both)["h"]
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+    return F.when(x <= 0, 0.0).otherwise(front * h / a)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number, by Stirling's series from ten steps on."""
+    up = x + 10.0
+    lower = F.log(x)
+    for k in range(1, 10):
+        lower = lower + F.log(x + float(k))
+    series = 1.0 / (12.0 * up) - 1.0 / (360.0 * F.pow(up, F.lit(3.0))) + 1.0 / (1260.0 * F.pow(up, F.lit(5.0))) - 1.0 / (1680.0 * F.pow(up, F.lit(7.0)))
+    return (up - 0.5) * F.log(up) - up + 0.9189385332046727 + series - lower
+
+
+def f_quantile(share: float, top: int, bottom: Column, rounds: int = 60) -> Column:
+    """Quantile of F with ``top`` and ``bottom`` degrees of freedom, by halving the interval of x = top f / (top f + bottom)."""
+    a, b = F.lit(top / 2.0), bottom / 2.0
+
+    def below(x: Column) -> Column:
+        near = x <= (a + 1.0) / (a + b + 2.0)
+        return F.when(near, beta_share(x, a, b, 60)).otherwise(1.0 - beta_share(1.0 - x, b, a, 60))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2.0
+        low = below(mid) < share
+        return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
+
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)["lo"]
+    return bottom * x / (top * (1.0 - x))
+
+
 def marker_directions(long: DataFrame, descriptor: str, label: str, value: str) -> DataFrame:
     """For each descriptor the classes with the highest and lowest mean, and these means; of equals the first class."""
     means = long.where(F.col(label).isNotNull()).groupBy(descriptor, label).agg(F.avg(value).alias("_m")).where("_m IS NOT NULL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spectrion.operators import containment, grids, polynomials, shapes
+from spectrion.operators import containment, grids, polynomials, shapes, stats
 
 from .base import query, r, table
 
@@ -92,3 +92,26 @@ def contained_names(spark, d):
     k = F.col("p_partkey")
     files = table(spark, d, "part").select(F.concat(F.lit("in-NR"), k.cast("string"), F.when(k % 2 == 0, " uv").otherwise("")).alias("file"))
     return containment.containing(names, files, "name", "file")
+
+
+@query("""WITH p AS (SELECT l_suppkey, l_extendedprice / 100 AS mass FROM lineitem), c AS (SELECT DISTINCT l_extendedprice / 100 * 1.000002::DOUBLE AS t FROM lineitem WHERE l_returnflag = 'N' AND l_discount > 0.06),
+k AS (SELECT l_suppkey, t, mass, row_number() OVER (PARTITION BY l_suppkey, t ORDER BY abs(mass - t), mass) AS k FROM c JOIN (SELECT DISTINCT l_suppkey, mass FROM p) p ON mass BETWEEN t - t * 5e-6 AND t + t * 5e-6),
+e AS (SELECT l_suppkey, mass, mass - t AS y FROM k WHERE k = 1), m AS (SELECT l_suppkey, avg(mass) AS mx, stddev_pop(mass) AS sx, avg(y) AS my, count(*) AS n, max(mass) - min(mass) AS span FROM e GROUP BY 1),
+q AS (SELECT l_suppkey, mx, sx, my, n, span, avg(u ** 3) AS s3, avg(u ** 4) AS s4, avg(v * u) AS t1, avg(v * u * u) AS t2 FROM (SELECT m.*, (mass - mx) / nullif(sx, 0) AS u, y - my AS v FROM e JOIN m USING (l_suppkey)) GROUP BY ALL),
+w AS (SELECT l_suppkey, max(mass) - min(mass) AS width FROM p GROUP BY 1),
+z AS (SELECT *, CASE WHEN n < 3 OR sx = 0 THEN 0 WHEN span / greatest(1, width) >= 0.6 AND abs(s4 - 1 - s3 * s3) > 1e-12 THEN 2 ELSE 1 END AS degree, (t2 - s3 * t1) / nullif(s4 - 1 - s3 * s3, 0) AS c2 FROM q JOIN w USING (l_suppkey)),
+r AS (SELECT p.l_suppkey, coalesce(n, 0) AS n_calibrants, coalesce(degree, 0)::INT AS degree, mass - CASE degree WHEN 2 THEN my - c2 + (t1 - s3 * c2) * ((mass - mx) / sx) + c2 * ((mass - mx) / sx) ** 2 WHEN 1 THEN my + t1 * ((mass - mx) / sx) ELSE 0 END AS corrected FROM p LEFT JOIN z USING (l_suppkey))
+SELECT l_suppkey, n_calibrants, degree, count(*) AS n_peaks, round(sum(corrected), 4) AS total FROM r GROUP BY 1, 2, 3""")
+def curved_recalibration(spark, d):
+    li = table(spark, d, "lineitem")
+    p = li.select("l_suppkey", (F.col("l_extendedprice") / 100).alias("mass"))
+    c = li.where("l_returnflag = 'N' AND l_discount > 0.06").select((F.col("l_extendedprice") / 100 * 1.000002).alias("t"))
+    out = polynomials.recalibrated(p, c, ["l_suppkey"], "mass", "t", 5.0)
+    return out.groupBy("l_suppkey", "n_calibrants", "degree").agg(F.count("*").alias("n_peaks"), r(F.sum("corrected"), 4).alias("total"))
+
+
+@query()
+def score_ellipsoids(spark, d):
+    """T-squared ellipsoids of suppliers' three mean values by nation."""
+    means = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*[F.avg(c).alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    return stats.hotelling_ellipsoid(means.withColumn("nation", F.col("l_suppkey") % 7), ["nation"], ["l_quantity", "l_discount", "l_tax"])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectrion.operators import containment, grids, polynomials, shapes
+from spectrion.operators import containment, grids, polynomials, shapes, stats
 
 
 def brute_hull(x, y):
@@ -186,3 +186,50 @@ def test_containment_equals_a_cross_join(spark):
     form = lambda s: (s or "").strip(" ").lower()
     expected = {(x, y) for x in left for y in right if form(x) and form(y) and (form(x) in form(y) or form(y) in form(x))}
     assert got == expected and len(got) > 500
+
+
+# Quantiles of F at 0.95 with three degrees of freedom above, from published tables
+F3 = {2: 19.164, 5: 5.4095, 10: 3.7083, 27: 2.9604, 60: 2.7581, 120: 2.6802}
+
+
+def test_ellipsoid_radii(spark):
+    rng = np.random.default_rng(1)
+    data = {n + 3: rng.normal(size=(n + 3, 3)) * [1, 2, 3] for n in F3}
+    rows = [(n, *map(float, r)) for n, m in data.items() for r in m] + [(4, 1.0, 2.0, 3.0)] * 4 + [(5, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    got = {r.k: r for r in stats.hotelling_ellipsoid(df, ["k"], ["a", "b", "c"]).collect()}
+    for n, m in data.items():
+        if n - 3 in F3 and n != 5:
+            scale = np.sqrt(3 * (n - 1) / (n - 3) * F3[n - 3])
+            assert [got[n][f"radius_{x}"] for x in "abc"] == pytest.approx(m.std(axis=0, ddof=1) * scale, rel=1e-4)
+            assert [got[n][f"centre_{x}"] for x in "abc"] == pytest.approx(m.mean(axis=0))
+    assert got[4].radius_a is None and got[4].n == 4
+
+
+def test_false_discovery_in_pieces(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f, i, float(p)) for f, n in ((0, 700), (1, 3), (2, 90)) for i, p in enumerate(np.where(rng.random(n) < 0.3, rng.random(n) ** 6, np.round(rng.random(n), 2)))] + [(1, 99, None)]
+    df = spark.createDataFrame(rows, "f int, i int, p double")
+    got = {(r.f, r.i): r.q for r in stats.benjamini_hochberg(df, ["f"], "p", "i", pieces=7).collect()}
+    for f in range(3):
+        mine = sorted((p, i) for g, i, p in rows if g == f and p is not None)
+        q = 1.0
+        for k in range(len(mine), 0, -1):
+            q = min(q, mine[k - 1][0] * len(mine) / k)
+            assert got[f, mine[k - 1][1]] == pytest.approx(q)
+    assert got[1, 99] is None and len(got) == len(rows)
+
+
+def test_correlations_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 7)) @ rng.normal(size=(7, 7))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"c{i} double" for i in range(7)))
+    whole = {(r.f1, r.f2): (r.n, r.r) for r in stats.correlations(df, df.columns).collect()}
+    cut = {(r.f1, r.f2): (r.n, r.r) for r in stats.correlations(df, df.columns, side=3).collect()}
+    assert whole.keys() == cut.keys() and len(cut) == 21
+    for k, (n, r) in cut.items():
+        assert whole[k][0] == n and whole[k][1] == pytest.approx(r)
+        i, j = int(k[0][1]), int(k[1][1])
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
