@@ -53,11 +53,17 @@ def medians(long: DataFrame, folds: int = 1, sketch: int = SKETCH, margin: float
     merged = by_fold.withColumn("train", _training(folds)).groupBy("train", "descriptor").agg(F.kll_merge_agg_double("s").alias("s"), F.sum("n").alias("n"))
     place = lambda q: F.kll_sketch_get_quantile_double("s", F.lit(q))
     brackets = merged.select("train", "descriptor", "n", place(0.5 - margin).alias("lo"), place(0.5 + margin).alias("hi"))
-    whole = brackets.select("train", "descriptor", "n", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    found = _within(long, brackets, folds)
-    missed = found.where("median IS NULL").select("train", "descriptor")
-    again = _within(long, whole.join(missed, ["train", "descriptor"]), folds)
-    return found.where("median IS NOT NULL").unionByName(again)
+    found = _held(_within(long, brackets, folds))
+    missed = found.where("median IS NULL")
+    if missed.isEmpty():
+        return found
+    whole = missed.select("train", "descriptor", "n", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    return found.where("median IS NOT NULL").unionByName(_held(_within(long, whole, folds)))
+
+
+def _held(small: DataFrame) -> DataFrame:
+    """A table of a few numbers for each descriptor and training set, brought to the driver so that what uses it doesn't work it out again."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
 
 
 def _within(long: DataFrame, brackets: DataFrame, folds: int) -> DataFrame:
@@ -102,7 +108,7 @@ def preprocessing(wide: DataFrame, blocks: dict[str, list[str]], fold: Column |
         weight = F.when(norm > 1e-12, 1.0 / norm).otherwise(1.0)
     else:
         weight = F.pow(F.col("size").cast("double"), F.lit(-0.5)) if weigh == "size" else F.lit(1.0)
-    return made.withColumn("weight", weight).select("train", "descriptor", "block", "median", "mean", "scale", "weight")
+    return _held(made.withColumn("weight", weight).select("train", "descriptor", "block", "median", "mean", "scale", "weight"))
 
 
 def _one_row(state: DataFrame, features: list[str], fields: list[str]) -> DataFrame:
