@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrion.session import let_workers_import
@@ -98,26 +98,56 @@ def find_peaks(points: DataFrame, keys: list[str], x: str, y: str, prominence: f
     return grouped(points, keys, [x, y], f"`{x}` double, `{y}` double", work)
 
 
+#: Cells of a mass axis that are looked at together.
+CELLS = 4096
+
+
+def runs(rows: DataFrame, keys: list[str], mass: str, ppm: float, out: str = "_run") -> DataFrame:
+    """Rows with a number of their run: peaks of a key whose masses follow one another nearer than ``ppm`` share one; peaks of different runs are farther apart.
+
+    The mass axis is cut into cells twice as wide as the tolerance. A run is a
+    stretch of cells without an empty one; where it begins is carried over
+    stretches of cells, so no task orders a whole key.
+    """
+    cell = F.when(F.col(mass) > 0, F.floor(F.log(F.col(mass)) / (2e-6 * ppm))).otherwise(F.lit(-(1 << 40)))
+    placed = rows.withColumn("_cell", cell.cast("long")).withColumn("_block", F.floor(F.col("_cell") / CELLS))
+    cells = placed.select(*keys, "_cell", "_block").distinct()
+    before = cells.select(*keys, (F.col("_cell") + 1).alias("_cell"), F.lit(True).alias("_goes_on"))
+    starts = cells.join(before, [*keys, "_cell"], "left").withColumn("_start", F.when(F.col("_goes_on").isNull(), F.col("_cell")))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    begun = starts.withColumn("_begun", F.last("_start", True).over(inside))
+    blocks = starts.groupBy(*keys, "_block").agg(F.max("_start").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*keys, "_block", F.last("_last", True).over(earlier).alias("_carried"))
+    numbered = begun.join(carried, [*keys, "_block"]).select(*keys, "_cell", F.coalesce("_begun", "_carried").alias(out))
+    return placed.drop("_block").join(numbered, [*keys, "_cell"]).drop("_cell")
+
+
 def aligned(a: DataFrame, b: DataFrame, keys: list[str], mass: str, ppm: float) -> DataFrame:
-    """One-to-one greedy alignment of two spectra of each key: in order of mass each peak of a takes the nearest free peak of b in its window."""
+    """One-to-one greedy alignment of two spectra of each key: in order of mass each peak of a takes the nearest free peak of b in its window.
+
+    Peaks of different runs can't meet, so a key is dealt over tasks by
+    stretches of runs. A null key or mass is in no pair.
+    """
 
     both = a.select(*keys, mass).withColumn("_side", F.lit(0)).unionByName(b.select(*keys, mass).withColumn("_side", F.lit(1)))
+    parted = runs(both.where(F.col(mass).isNotNull()), keys, mass, ppm).withColumn("_part", F.floor(F.col("_run") / CELLS))
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         side = part["_side"].to_numpy()
         ma, mb = (np.sort(part[mass].to_numpy(float)[side == k]) for k in (0, 1))
+        low, high = np.searchsorted(mb, ma - ma * ppm * 1e-6, "left"), np.searchsorted(mb, ma + ma * ppm * 1e-6, "right")
         used = np.zeros(len(mb), bool)
         out = []
-        for m in ma:
-            lo, hi = np.searchsorted(mb, m - m * ppm * 1e-6, "left"), np.searchsorted(mb, m + m * ppm * 1e-6, "right")
-            free = [j for j in range(lo, hi) if not used[j]]
-            if free:
-                j = min(free, key=lambda i: (abs(mb[i] - m), i))
+        for m, lo, hi in zip(ma[high > low], low[high > low], high[high > low]):
+            free = lo + np.nonzero(~used[lo:hi])[0]
+            if len(free):
+                j = free[np.argmin(np.abs(mb[free] - m))]
                 used[j] = True
                 out.append((m, mb[j]))
         return pd.DataFrame(out, columns=["mass_a", "mass_b"])
 
-    return grouped(both, keys, [mass, "_side"], "mass_a double, mass_b double", work)
+    return grouped(parted, [*keys, "_part"], [mass, "_side"], "mass_a double, mass_b double", work).drop("_part")
 
 
 def principal_axes(samples: DataFrame, key: str, features: list[str], components: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spectrion.operators import ordered, spectra
+from spectrion.operators import chains, ordered, spectra
 
 from .base import query, r, table
 
@@ -156,3 +156,15 @@ def structure_concordance(spark, d):
     k = F.col("p_partkey")
     ppm, ftir, nmr = F.when(k % 5 > 0, (k % 9 - 4) * 0.5), F.when(k % 3 > 0, k % 101 * 1.0), F.when(k % 4 > 0, F.col("p_size") * 2.0)
     return table(spark, d, "part").select("p_partkey", r(spectra.concordance(ppm, 2.0, ftir, nmr, F.lit(None).cast("double"))).alias("score"))
+
+
+_BAND = "max(c) FILTER (WHERE x BETWEEN {m} - {h} AND {m} + {h})"
+
+
+@query(f"""WITH s AS (SELECT * FROM ({_spectrum_sql(400, 4000)})), e AS (SELECT user_id, arg_min(y, x) AS a, arg_max(y, x) AS b, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT user_id, x, greatest(y - (a + (b - a) * coalesce((row_number() OVER (PARTITION BY user_id ORDER BY x) - 1) / nullif(n - 1, 0)::DOUBLE, 0)), 0) AS c FROM s JOIN e USING (user_id))
+SELECT user_id, {", ".join(f"round({_BAND.format(m=spectra.FTIR_BANDS[n][0], h=spectra.FTIR_BANDS[n][1])}, 6) AS {n}" for n in ("i3400", "i1650", "i1600", "i1030"))} FROM c GROUP BY 1""")
+def infrared_chain(spark, d):
+    e = table(spark, d, "events").select("user_id", (F.lit(400.0) + F.col("event_id") * 37 % 997 * (3600.0 / 997.0)).alias("x"), F.col("value").alias("y"))
+    out = chains.infrared(e, ["user_id"], "x", "y", "linear")
+    return out.select("user_id", *[r(n).alias(n) for n in ("i3400", "i1650", "i1600", "i1030")])
