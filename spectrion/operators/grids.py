@@ -7,6 +7,8 @@ those whose circles hold no corner.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,9 +56,9 @@ def _circles(p: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a + off, (off * off).sum(axis=1)
 
 
-def interpolated_inside(points: np.ndarray, values: np.ndarray, asked: np.ndarray, outside: float = 0.0) -> np.ndarray:
-    """Values at the asked points by planes over the triangles; ``outside`` where no triangle lies."""
-    out = np.full(len(asked), outside)
+def corners_of(points: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked point the places of its triangle's corners and their shares; shares are zero where no triangle lies."""
+    place, share = np.zeros((len(asked), 3), int), np.zeros((len(asked), 3))
     open_ = np.ones(len(asked), bool)
     for tri in triangles(points):
         a, b, c = points[tri]
@@ -69,26 +71,36 @@ def interpolated_inside(points: np.ndarray, values: np.ndarray, asked: np.ndarra
         wb = (d[:, 0] * (c[1] - a[1]) - d[:, 1] * (c[0] - a[0])) / whole
         wc = ((b[0] - a[0]) * d[:, 1] - (b[1] - a[1]) * d[:, 0]) / whole
         hit = (wb >= -1e-9) & (wc >= -1e-9) & (wb + wc <= 1 + 1e-9)
-        va, vb, vc = values[tri]
-        out[at[hit]] = va + wb[hit] * (vb - va) + wc[hit] * (vc - va)
+        place[at[hit]], share[at[hit]] = tri, np.column_stack([1 - wb[hit] - wc[hit], wb[hit], wc[hit]])
         open_[at[hit]] = False
-    return out
+    return place, share
 
 
-def filled(grid: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """A matrix whose missing cells (NaN) are taken from around, never below zero; zero where nothing is around."""
-    gap = np.isnan(grid)
-    if not gap.any():
-        return grid
+@lru_cache(maxsize=64)
+def _plan(rows: bytes, columns: bytes, gaps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the flat matrix and shares from which each missing cell is made. Instruments measure on one grid and mask it alike, so a worker needs few of them."""
+    r, c = np.frombuffer(rows), np.frombuffer(columns)
+    gap = np.frombuffer(gaps, bool).reshape(len(r), len(c))
     wide = np.pad(gap, 1)
     near = np.zeros_like(gap)
     for i in range(3):
         for j in range(3):
             near |= wide[i : i + gap.shape[0], j : j + gap.shape[1]]
     near &= ~gap
-    place = lambda m: np.column_stack([rows[np.nonzero(m)[0]], columns[np.nonzero(m)[1]]]).astype(float)
+    at = lambda m: np.column_stack([r[np.nonzero(m)[0]], c[np.nonzero(m)[1]]])
+    place, share = corners_of(at(near), at(gap))
+    flat = np.nonzero(near.ravel())[0]
+    return (flat[place] if len(flat) else place), share
+
+
+def filled(grid: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """A matrix whose missing cells (NaN) are taken from around, never below zero; zero where nothing is around."""
+    gap = np.isnan(grid)
+    if not gap.any():
+        return grid
+    place, share = _plan(np.asarray(rows, float).tobytes(), np.asarray(columns, float).tobytes(), gap.tobytes())
     out = grid.copy()
-    out[gap] = np.maximum(interpolated_inside(place(near), grid[near], place(gap)), 0.0)
+    out[gap] = np.maximum(np.where(share > 0, share * grid.ravel()[place], 0.0).sum(axis=1) if not gap.all() else 0.0, 0.0)
     return out
 
 

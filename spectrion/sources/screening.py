@@ -108,7 +108,9 @@ def told(files: DataFrame) -> DataFrame:
 def cells(found: DataFrame) -> DataFrame:
     """CELLS of tables of samples, a row each; columns are numbered from one."""
     lines = found.where("kind IN ('table', 'descriptor_matrix')").select("path", "sample_id", "modality", "kind", "form", "header", F.posexplode(detect.lines_of(F.col("text"))).alias("row", "line")).where("row > 0")
-    out = lines.select("path", "sample_id", "modality", "kind", "form", "row", F.posexplode(F.transform("header", lambda h, i: F.struct(h.alias("name"), F.get(detect.cells_of(F.col("line"), quoted=True), i).alias("cell")))).alias("column", "c"))
+    own = lines.withColumn("cells", detect.cells_of(F.col("line"), quoted=True)).drop("line")
+    named = F.transform("header", lambda h, i: F.struct(h.alias("name"), F.get("cells", i).alias("cell")))
+    out = own.select("path", "sample_id", "modality", "kind", "form", "row", F.posexplode(named).alias("column", "c"))
     return out.select("path", "sample_id", "modality", "kind", "form", "row", (F.col("column") + 1).alias("column"), F.col("c.name").alias("name"), F.col("c.cell").alias("cell")).where("name IS NOT NULL")
 
 
@@ -243,17 +245,19 @@ def screened(files: DataFrame, work: str, *, largest: int = LARGEST, bounds: dic
     points = kept(spectral.mapInPandas(_points, POINTS), "points", "modality")
     rows = kept(cells(found.where("error IS NULL")), "cells", "modality")
     good = points.where("error IS NULL")
-    of = lambda m: good.where(F.col("modality") == m)
-    tabled = lambda m: rows.where((F.col("modality") == m) & (F.col("kind") == "table"))
-    parts = [
-        _uv(of("UV-Vis")), _ftir(of("FTIR")), _nmr(of("NMR")), _tga(of("Thermal")), _eem(of("EEM-PARAFAC")), _sec(of("SEC/GPC"), calibration, volumes, flow), _fticr(of("FT-ICR MS"), bounds), _pyrolysis(tabled("Thermal")),
-    ]
-    no_label = F.lit(None).cast("string")
+    there = {(r["modality"], r["kind"]) for r in found.where("error IS NULL").select("modality", "kind").distinct().collect()}  # instruments times kinds
+    spectra_of = {
+        "UV-Vis": _uv, "FTIR": _ftir, "NMR": _nmr, "Thermal": _tga, "EEM-PARAFAC": _eem, "SEC/GPC": lambda p: _sec(p, calibration, volumes, flow), "FT-ICR MS": lambda p: _fticr(p, bounds),
+    }
+    tables_of = {"Thermal": _pyrolysis, "Elemental": _elements, "General / CSV": _rows_as_samples}
     columns = ["path", "sample_id", "label", "descriptor", "value"]
-    long = [p.withColumn("label", no_label).select(columns) for p in parts]
-    samples = rows.where("kind = 'descriptor_matrix' OR modality = 'General / CSV'")
-    long += [_elements(tabled("Elemental")).select(columns), _rows_as_samples(samples).select(columns)]
-    descriptors = kept(reduce(DataFrame.unionByName, long), "descriptors")
+    long = [describe(good.where(F.col("modality") == m)) for m, describe in spectra_of.items() if (m, "spectrum") in there]
+    long += [describe(rows.where((F.col("modality") == m) & (F.col("kind") == "table"))) for m, describe in tables_of.items() if (m, "table") in there]
+    if any(kind == "descriptor_matrix" for _, kind in there):
+        long.append(_rows_as_samples(rows.where("kind = 'descriptor_matrix'")))
+    none = spark.createDataFrame([], "path string, sample_id string, label string, descriptor string, value double")
+    labelled = [p if "label" in p.columns else p.withColumn("label", F.lit(None).cast("string")) for p in long]
+    descriptors = kept(reduce(DataFrame.unionByName, [p.select(columns) for p in labelled], none), "descriptors")
     n_points = points.groupBy("path").agg(F.count("x").alias("n_points"), F.max("error").alias("fault"))
     n_rows = rows.groupBy("path").agg(F.countDistinct("row").alias("n_rows"))
     n_found = descriptors.groupBy("path").agg(F.countDistinct("descriptor").alias("n_descriptors"), F.countDistinct("sample_id").alias("n_samples"))
