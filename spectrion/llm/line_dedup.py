@@ -73,7 +73,7 @@ def between(lines: Column, gone: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, kept: str = "kept_text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """All columns of ``docs``, the text without shared lines, and the counts of lines before and of lines dropped."""
-    lines = keyed_lines(docs, key, text, least_chars)
+    lines = stored(keyed_lines(docs, key, text, least_chars))  # six numbers a line, read three times
     shared = stored(shared_lines(lines, least_docs))
     total = shared.agg(F.sum("n_lines")).first()[0] or 0
     held = spread_join(lines, shared, ["h1", "h2"], "n_lines", total)
