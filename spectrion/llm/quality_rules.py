@@ -7,7 +7,9 @@ Defined results: a null text is an empty text; an empty or blank text has no
 words and fails ``min_words``; repeated rows are judged one by one; columns
 beyond the text are passed through and metric names never clash with them
 (the metrics come in one struct column that the caller names); texts of any
-length are measured whole; an empty table gives an empty one.
+length are measured whole; an empty table gives an empty one. The rule of stop
+words knows those of four languages (``STOP_WORDS``) and so rejects prose of
+others; a corpus of more languages gives ``rules`` without it.
 """
 
 from __future__ import annotations

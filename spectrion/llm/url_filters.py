@@ -32,8 +32,8 @@ from .common import table
 #: Actions by precedence at equal times.
 ACTIONS = ("remove", "allow", "block")
 
-#: Host of a URL, behind the last @ if there is a user.
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)"
+#: Host of a URL, with or without a scheme, behind the last @ if there is a user; a backslash counts as a slash, as browsers take it.
+HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?[/\\][/\\](?:[^/?#\\]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]\\]+)"
 
 #: Numeric addresses.
 ADDRESS = r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$"
@@ -125,7 +125,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH c AS (SELECT page_id, url, make_timestamp((1640995200 + page_id * 37 % 1051200 * 60) * 1000000) AS fetched_at,
-    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)', 1)), '.'), '') AS host FROM pages),
+    nullif(rtrim(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?[/\\][/\\](?:[^/?#\\]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]\\]+)', 1)), '.'), '') AS host FROM pages),
 h AS (SELECT host, CASE WHEN regexp_matches(host, '^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$') THEN [host] ELSE
     [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)
      if i = 1 OR NOT regexp_matches(array_to_string(string_split(host, '.')[i:], '.'), '^(ac|co|com|edu|gob|gov|go|gr|mil|ne|net|or|org)\.[a-z][a-z]$')] END AS ds FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)),
