@@ -26,24 +26,32 @@ def _solved(normal: list[list[Column]], right: list[Column]) -> list[Column]:
     return out
 
 
-def fitted(points: DataFrame, keys: list[str], x: str, y: str, degree: int) -> DataFrame:
-    """(keys, n, low, high, middle, spread, c0.., r2): y by powers of (x - middle) / spread, with the range of x in which it holds.
-
-    Null coefficients mean fewer different x than coefficients.
-    """
-    if not 1 <= degree <= 3:
-        raise ValueError("degrees 1 to 3")
+def _sums(points: DataFrame, keys: list[str], x: str, y: str, degree: int) -> DataFrame:
+    """(keys, n, low, high, middle, spread, _level, means of powers and products): what fits up to a degree are solved from."""
     known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     size = known.groupBy(*keys).agg(F.avg("_x").alias("middle"), F.stddev_pop("_x").alias("spread"), F.avg("_y").alias("_level"), F.min("_x").alias("low"), F.max("_x").alias("high"))
     u = F.col("_x") - F.col("middle")
     u = F.when(F.col("spread") > 0, u / F.col("spread")).otherwise(0.0)
     v = F.col("_y") - F.col("_level")
     power = lambda k: F.lit(1.0) if not k else u if k == 1 else F.pow(u, F.lit(float(k)))
-    sums = known.join(size, keys).groupBy(*keys, "middle", "spread", "_level", "low", "high").agg(
+    return known.join(size, keys).groupBy(*keys, "middle", "spread", "_level", "low", "high").agg(
         F.count("*").alias("n"), *[F.avg(power(k)).alias(f"_s{k}") for k in range(2 * degree + 1)], *[F.avg(v * power(k)).alias(f"_t{k}") for k in range(degree + 1)], F.avg(v * v).alias("_vv"),
     )
-    c = _solved([[F.col(f"_s{i + j}") for j in range(degree + 1)] for i in range(degree + 1)], [F.col(f"_t{i}") for i in range(degree + 1)])
-    made = sums.withColumns({f"_c{i}": e for i, e in enumerate(c)})
+
+
+def _coefficients(degree: int) -> list[Column]:
+    """Coefficients of y less its level, over a row of ``_sums`` of this degree or a higher one."""
+    return _solved([[F.col(f"_s{i + j}") for j in range(degree + 1)] for i in range(degree + 1)], [F.col(f"_t{i}") for i in range(degree + 1)])
+
+
+def fitted(points: DataFrame, keys: list[str], x: str, y: str, degree: int) -> DataFrame:
+    """(keys, n, low, high, middle, spread, c0.., r2): y by powers of (x - middle) / spread, with the range of x in which it holds.
+
+    Null coefficients mean fewer different x than coefficients.
+    """
+    if not 1 <= degree <= 3:
+        raise ValueError("degrees 1 to 3")
+    made = _sums(points, keys, x, y, degree).withColumns({f"_c{i}": e for i, e in enumerate(_coefficients(degree))})
     explained = sum((F.col(f"_c{i}") * F.col(f"_t{i}") for i in range(1, degree + 1)), F.col("_c0") * F.col("_t0"))
     r2 = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(explained, F.col("_vv"))))
     return made.select(*keys, "n", "low", "high", "middle", "spread", *[(F.col(f"_c{i}") + (F.col("_level") if not i else 0.0)).alias(f"c{i}") for i in range(degree + 1)], r2.alias("r2"))
@@ -95,19 +103,23 @@ def recalibrated(peaks: DataFrame, calibrants: DataFrame, keys: list[str], mass:
     give a straight line; with fewer than ``least`` of them, or without a
     solution, masses stay as they are and the degree is zero.
     """
-    from .ranges import best_match, ppm_join
+    from .ranges import calibrant_peaks
 
-    pairs = ppm_join(calibrants.select(F.col(theoretical).alias("_t")).distinct(), peaks.select(*keys, mass).distinct(), "_t", mass, ppm)
-    near = best_match(pairs, [*keys, "_t"], [F.abs(F.col(mass) - F.col("_t")), F.col(mass)]).withColumn("_error", F.col(mass) - F.col("_t"))
+    if not 1 <= degree <= 3:
+        raise ValueError("degrees 1 to 3")
+    near = calibrant_peaks(peaks, calibrants, keys, mass, theoretical, ppm).withColumn("_error", F.col(mass) - F.col("_t"))
     whole = peaks.groupBy(*keys).agg((F.max(mass) - F.min(mass)).alias("_width"))
-    fits = whole
-    for d in {1, degree}:
-        fit = fitted(near, keys, mass, "_error", d)
-        solved = F.struct("middle", "spread", *[f"c{i}" for i in range(d + 1)])
-        fits = fits.join(fit.select(*keys, F.col("n").alias(f"_n{d}"), (F.col("high") - F.col("low")).alias(f"_span{d}"), F.when(F.col(f"c{d}").isNotNull(), solved).alias(f"_f{d}")), keys, "left")
+    sums = _sums(near, keys, mass, "_error", degree)
+    solved = []
+    for d in sorted({1, degree}):
+        c = [F.col(f"_c{d}{i}") for i in range(d + 1)]
+        sums = sums.withColumns({f"_c{d}{i}": e for i, e in enumerate(_coefficients(d))})
+        row = F.struct("middle", "spread", *[(c[i] + (F.col("_level") if not i else 0.0)).alias(f"c{i}") for i in range(d + 1)])
+        solved.append(F.when(c[d].isNotNull(), row).alias(f"_f{d}"))
+    fits = whole.join(sums.select(*keys, F.col("n").alias("_n"), (F.col("high") - F.col("low")).alias("_span"), *solved), keys, "left")
     joined = peaks.join(fits, keys, "left")
-    n = F.coalesce(F.col("_n1"), F.lit(0))
-    wide = F.col("_span1") / F.greatest(F.lit(1.0), F.col("_width")) >= span
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    wide = F.col("_span") / F.greatest(F.lit(1.0), F.col("_width")) >= span
 
     def error(d: int) -> Column:
         f = F.col(f"_f{d}")

@@ -181,6 +181,36 @@ def isotope_companions(peaks: DataFrame, key: str, mass: str, intensity: str, sh
     return best.select(*keys, key, "companion", F.try_divide("_ci", "_i").alias("ratio"))
 
 
+#: Bits of the filter of bins: 131,072 numbers of 64 bits at most when broadcast.
+FILTER_BITS = 1 << 23
+
+
+def calibrant_peaks(peaks: DataFrame, calibrants: DataFrame, keys: list[str], mass: str, theoretical: str, ppm: float) -> DataFrame:
+    """(keys, mass, _t): for each key and calibrant the peak nearest to the theoretical mass within ``ppm`` of it; of equals the lighter one.
+
+    Calibrants, the fewer ones, are repeated into the bins that their windows
+    touch. Peaks in no such bin are left out by a filter of bins that is
+    broadcast, so only the others are shuffled, once each.
+    """
+    tol = ppm * 1e-6
+    t, m = F.col("_t"), F.col(mass)
+    place = lambda x: F.floor(F.log(x) / math.log1p(tol))
+    slot = lambda b: F.pmod(b, F.lit(FILTER_BITS))
+    word = lambda b: F.shiftright(slot(b), 6)
+    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (slot(b) % 64).cast("int"))
+    known = calibrants.select(F.col(theoretical).cast("double").alias("_t")).where((t > 0) & (t < float("inf"))).distinct()
+    binned = known.select("_t", F.explode(F.sequence(place(t - t * tol), place(t + t * tol))).alias("_bin"))
+    b = F.col("_bin")
+    bits = binned.groupBy(word(b).alias("_word")).agg(F.bit_or(bit(b)).alias("_bits"))
+    mine = peaks.where(m > 0).select(*keys, mass, place(m).alias("_bin"))
+    maybe = mine.withColumn("_word", word(b)).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit(b)) != 0)
+    pairs = maybe.select(*keys, mass, "_bin").join(binned, "_bin").where(m.between(t - t * tol, t + t * tol))
+    # numbers only, so that Spark adds up by hash and needn't sort
+    best = pairs.groupBy(*keys, "_t").agg(F.max(F.when(m <= t, m)).alias("_below"), F.min(F.when(m > t, m)).alias("_above"))
+    below, above = F.col("_below"), F.col("_above")
+    return best.select(*keys, F.when(above.isNull() | (t - below <= above - t), below).otherwise(above).alias(mass), "_t")
+
+
 def recalibrated(peaks: DataFrame, calibrants: DataFrame, keys: list[str], mass: str, theoretical: str, ppm: float, least: int = 3) -> DataFrame:
     """Masses less the linear error that calibrants show: per calibrant and key the nearest peak within ``ppm`` of the theoretical mass, then a regression of the error on the mass.
 
