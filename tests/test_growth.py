@@ -44,7 +44,7 @@ def test_nearest_peaks_of_calibrants(spark):
     assert {(r["k"], r["_t"], r["mass"]) for r in ranges.calibrant_peaks(peaks, calibrants, ["k"], "mass", "t", 5.0).collect()} == nearest
 
 
-@pytest.mark.parametrize("recalibrated", [polynomials.recalibrated])
+@pytest.mark.parametrize("recalibrated", [ranges.recalibrated, polynomials.recalibrated])
 def test_peaks_are_not_repeated_for_calibrants(spark, recalibrated):
     peaks, calibrants, nearest = calibration(spark)
     peaks = peaks.cache()
