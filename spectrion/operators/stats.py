@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrion.session import let_workers_import
+from spectrion.session import let_workers_import, work_folder
 
 
 def standardized(df: DataFrame, keys: list[str], value: str, mode: str = "snv", out: str = "scaled") -> DataFrame:
@@ -136,7 +136,14 @@ def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str, ident: str, ou
     set off by the counts below; the least value above a range comes from the
     ranges' own least values. So no task sorts a whole family, and q is exact
     for any cuts.
+
+    The tests are written to the work folder first and stay there: they are
+    read several times, and a p-value made from sums may differ in its last
+    digit each time it is worked out, which would move it to another range.
     """
+    path = work_folder(tests.sparkSession)
+    tests.write.parquet(path)
+    tests = tests.sparkSession.read.schema(tests.schema).parquet(path)
     known = tests.where(F.col(p).isNotNull())
     cuts = known.groupBy(*keys).agg(F.percentile_approx(p, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("_cuts"), F.count("*").alias("_m"))
     piece = F.size(F.filter("_cuts", lambda c: c < F.col(p)))

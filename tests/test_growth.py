@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spectrion.operators import polynomials, ranges
+from spectrion.operators import polynomials, ranges, stats
 
 
 def shuffled_rows(spark, make):
@@ -60,3 +60,13 @@ def test_calibrants_without_a_place_match_nothing(spark):
     p = spark.createDataFrame([(1, 100.0), (1, None), (1, float("inf")), (1, float("nan")), (1, -5.0), (1, 0.0)], "k int, mass double")
     c = spark.createDataFrame([(100.0,), (None,), (float("inf"),), (float("nan"),), (-5.0,), (0.0,)], "t double")
     assert [tuple(r) for r in ranges.calibrant_peaks(p, c, ["k"], "mass", "t", 5.0).collect()] == [(1, 100.0, 100.0)]
+
+
+def test_false_discovery_of_values_that_differ_each_time(spark):
+    """Sums over tasks differ in their last digits whenever they are worked out; no test may get lost by that."""
+    last_digit = F.udf(lambda p: p * (1 + random.choice((-3, -2, -1, 0, 1, 2, 3)) * 2**-52), "double").asNondeterministic()
+    tests = spark.createDataFrame([(1, i, (i + 1) / 100) for i in range(60)], "f int, i int, p double").repartition(3).withColumn("p", last_digit("p"))
+    got = sorted((r.p, r.i, r.q) for r in stats.benjamini_hochberg(tests, ["f"], "p", "i").collect())
+    assert [i for _, i, _ in got] == list(range(60))
+    q = [min(p * 60 / (k + 1) for k, (p, _, _) in enumerate(got) if k >= at) for at in range(60)]
+    assert [v for _, _, v in got] == q
