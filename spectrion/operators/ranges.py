@@ -172,13 +172,20 @@ def blank_subtracted(sample: DataFrame, blank: DataFrame, mass: str, intensity:
 
 
 def isotope_companions(peaks: DataFrame, key: str, mass: str, intensity: str, shift: float, tolerance: float, keys: list[str] | None = None) -> DataFrame:
-    """For each peak the nearest peak one isotope step above: (keys, key, companion, ratio of intensities)."""
+    """For each peak the nearest peak one isotope step above, of equals the lighter one, then the first by key: (keys, key, companion, ratio of intensities).
+
+    Peaks of one mass have one companion, so different masses are matched and
+    peaks joined with what is found; peaks of equal masses never meet.
+    """
     keys = keys or []
-    low = peaks.select(*keys, F.col(key), F.col(mass).alias("_m"), F.col(intensity).alias("_i"), (F.col(mass) + shift).alias("_aim"))
-    high = peaks.select(*keys, F.col(key).alias("companion"), F.col(mass).alias("_cm"), F.col(intensity).alias("_ci"))
-    pairs = absolute_join(low, high, "_aim", "_cm", tolerance, keys)
-    best = best_match(pairs, [*keys, key], [F.abs(F.col("_cm") - F.col("_aim")), F.col("_cm"), F.col("companion")])
-    return best.select(*keys, key, "companion", F.try_divide("_ci", "_i").alias("ratio"))
+    m, aim, cm = F.col("_m"), F.col("_aim"), F.col("_cm")
+    low = peaks.where(F.col(mass).isNotNull()).select(*keys, F.col(key), F.col(mass).alias("_m"), F.col(intensity).alias("_i"))
+    high = low.groupBy(*keys, m.alias("_cm")).agg(F.min(F.struct(F.col(key).alias("companion"), F.col("_i").alias("_ci"))).alias("_c"))
+    aims = low.select(*keys, "_m").distinct().withColumn("_aim", m + shift)
+    found = best_match(absolute_join(aims, high, "_aim", "_cm", tolerance, keys), [*keys, "_m"], [F.abs(cm - aim), cm])
+    rows = low.join(found.select(*keys, "_m", F.abs(cm - aim).alias("_o"), "_cm", "_c.*"), [*keys, "_m"])
+    best = rows.groupBy(*keys, key).agg(F.min(F.struct("_o", "_cm", "companion", "_m", "_i", "_ci")).alias("_b"))  # of peaks with one key
+    return best.select(*keys, key, F.col("_b.companion").alias("companion"), F.try_divide("_b._ci", "_b._i").alias("ratio"))
 
 
 #: Bits of the filter of bins: 131,072 numbers of 64 bits at most when broadcast.

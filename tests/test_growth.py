@@ -23,6 +23,19 @@ def shuffled_rows(spark, make):
     return made, sum(n for k, n in written().items() if k not in before)
 
 
+def joined_rows(spark, make):
+    """What ``make`` gives, and the most rows that a join of the last plan gave."""
+    made = make()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    last = runs.apply(runs.size() - 1).executionId()
+    values, nodes = store.executionMetrics(last), store.planGraph(last).allNodes()
+    joins = [n for n in (nodes.apply(i) for i in range(nodes.size())) if "Join" in n.name()]
+    metrics = [m for n in joins for m in (n.metrics().apply(i) for i in range(n.metrics().size())) if m.name() == "number of output rows"]
+    return made, max((int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if values.contains(m.accumulatorId())), default=0)
+
+
 def calibration(spark):
     """Peaks by key, calibrants, and for each key and calibrant the nearest peak within 5 ppm by brute force."""
     rng = random.Random(4)
@@ -70,3 +83,23 @@ def test_false_discovery_of_values_that_differ_each_time(spark):
     assert [i for _, i, _ in got] == list(range(60))
     q = [min(p * 60 / (k + 1) for k, (p, _, _) in enumerate(got) if k >= at) for at in range(60)]
     assert [v for _, _, v in got] == q
+
+
+def test_companions_of_equal_masses(spark):
+    """The work grows with the peaks, also where many have one mass."""
+    rng = random.Random(9)
+    peaks = [(s, s * 10_000 + i, m, float(rng.randrange(5))) for s in range(2) for i, m in enumerate([100.0] * 400 + [101.0] * 400 + [102.0] * 400 + [round(rng.uniform(90, 110), 3) for _ in range(300)])]
+    peaks += [(0, 5, 103.0, 1.0), (0, 5, 104.0, 2.0), (1, 99_999, None, 1.0), (1, 99_998, 100.5, None)]
+    df = spark.createDataFrame(peaks, "sample int, id int, mass double, height double").repartition(4)
+    got, joined = joined_rows(spark, lambda: ranges.isotope_companions(df, "id", "mass", "height", 1.0, 0.005, ["sample"]).collect())
+    expected = {}
+    for s, i, m, h in peaks:
+        near = [(abs(cm - (m + 1.0)), cm, c, ch) for t, c, cm, ch in peaks if t == s and m is not None and cm is not None and abs(m + 1.0 - cm) <= 0.005]
+        if near:
+            o, cm, c, ch = min(near, key=lambda e: (*e[:3], e[3] is not None, e[3] or 0.0))
+            one = (o, cm, c, m, (h is not None, h or 0.0), (ch is not None, ch or 0.0))
+            expected[s, i] = min(expected.get((s, i), one), one)
+    ratio = lambda h, ch: ch[1] / h[1] if h[0] and ch[0] and h[1] else None
+    assert {(r["sample"], r["id"], r["companion"], r["ratio"]) for r in got} == {(*k, e[2], ratio(e[4], e[5])) for k, e in expected.items()}
+    assert len(got) == len(expected)
+    assert joined <= 2 * len(peaks)
