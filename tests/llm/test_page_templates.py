@@ -77,3 +77,13 @@ def test_templates_equal_brute_force_on_all_kinds_of_pages(spark):
         want.append((kept(parts, mine), sum(p in mine for p in parts)))
     assert extracted(spark, html) == want
     assert {k for _, (k, _) in gone} == set(forms) and Counter(n > 0 for _, n in want)[True] > 50
+
+
+def test_what_recurs_beside_the_story_in_a_main_element_goes(spark):
+    page = "<body><main><article><h2>Join our club</h2></article><p>Subscribe now</p><article><h1>Story number {0}</h1><p>again</p></article><p>note {0}</p></main></body>"
+    assert extracted(spark, [("h.org", page.format(i)) for i in range(9)]) == [(f"Story number {i}\nagain\nnote {i}", 2) for i in range(9)]
+    assert extracted(spark, [("h.org", page.format(i)) for i in range(4)]) == [(f"Join our club\nSubscribe now\nStory number {i}\nagain\nnote {i}", 0) for i in range(4)]
+    only = "<body><main><h1>Story number {0}</h1><p>again</p></main></body>"
+    assert extracted(spark, [("h.org", only.format(i)) for i in range(9)]) == [(f"Story number {i}\nagain", 0) for i in range(9)]
+    prose = "<body><main><p>Story number {0}</p><p>again and again</p><article>card</article><article>other</article></main></body>"
+    assert extracted(spark, [("h.org", prose.format(i)) for i in range(9)]) == [(f"Story number {i}\nagain and again\ncard\nother", 0) for i in range(9)]
