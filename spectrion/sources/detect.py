@@ -46,6 +46,9 @@ FILE_ENDINGS = [
 #: Lines from which names and rows of a table are read; the numbers of all lines decide on the axis.
 HEAD = 40
 
+#: What a line whose first cell is a number begins with, after blanks and quotes: a sign, a digit, a point, or NaN or infinity.
+NUMBER_START = r"""^[\x00-\x20\x7F"']*[-+.0-9NnIi]"""
+
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -60,8 +63,14 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(as_text), F.regexp_replace(as_text, "^\ufeff", "")).otherwise(F.translate(F.decode(content, "ISO-8859-1"), _LATIN, _CYRILLIC))
 
 
+#: Where lines part: an end of line with all blanks around it, found from the first blank on so that long runs take linear time.
+_ENDS = r"(?<![ \t\x0b\x0c])[ \t\x0b\x0c]*+[\r\n][ \t\n\x0b\x0c\r]*+"
+
+
 def lines_of(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n", -1), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    """Lines without blanks around them; blank ones are left out."""
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _ENDS, -1))
 
 
 def cells_of(line: Column, quoted: bool = False) -> Column:
@@ -140,9 +149,18 @@ def detected(files: DataFrame, path: str = "path", text: str = "text") -> DataFr
     known = F.aggregate(blocks, F.lit(0), lambda a, b: a - b["minus"])
     wide = F.size(F.filter(blocks, lambda b: (-b["minus"] >= 3) | (-b["minus"] >= 0.2 * known)))
     matrix = F.coalesce(known >= F.greatest(F.lit(2.0), 0.5 * F.size(features)), F.lit(False))
-    # axis: numbers of the first two columns of all lines
+    label = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), c), c)
+    df = df.withColumn(by_name, label(names.file_modality(F.col(path))))
+    df = df.withColumn(by_header, label(names.header_modality(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))))
+    start = F.lower(F.array_join(F.slice(lines, 1, 5), " "))
+    jcamp = F.contains(start, F.lit("##jcamp-dx")) | F.contains(start, F.lit("##data type= nmr"))
+    mass_file = F.startswith(start, F.lit("<")) & (F.contains(start, F.lit("mzml")) | F.contains(start, F.lit("mzxml")))
+    spectral = F.col(by_header).isNotNull() & ~F.col(by_header).isin("Elemental", "generic")
+    df = df.withColumn("_open", ~(matrix | F.col(by_name).isNotNull() | (F.size(lines) == 0) | jcamp | mass_file | spectral))
+    # axis: numbers of the first two columns of all lines that may begin with one, of files that nothing else has told
     all_numbers = F.forall(header, lambda c: c.try_cast("double").isNotNull())
-    data = F.when(all_numbers, F.col(lines)).otherwise(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))
+    data = F.when(F.col("_open"), F.when(all_numbers, F.col(lines)).otherwise(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))))
+    data = F.filter(data, lambda x: x.rlike(NUMBER_START))
     both = F.filter(F.transform(data, lambda x: F.slice(F.transform(cells_of(x), lambda c: c.try_cast("double")), 1, 2)), lambda p: F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())
     df = df.withColumn(pts, both)
     df = df.withColumn(xs, F.array_sort(F.transform(pts, lambda p: p[0])))
@@ -165,18 +183,11 @@ def detected(files: DataFrame, path: str = "path", text: str = "text") -> DataFr
         .when((lo >= 50) & (hi <= 3000) & (cv > 0.5), "FT-ICR MS"),
     )
     df = df.withColumn(axis, ranged)
-    label = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), c), c)
-    df = df.withColumn(by_name, label(names.file_modality(F.col(path))))
-    df = df.withColumn(by_header, label(names.header_modality(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))))
-    start = F.lower(F.array_join(F.slice(lines, 1, 5), " "))
-    jcamp = F.contains(start, F.lit("##jcamp-dx")) | F.contains(start, F.lit("##data type= nmr"))
-    mass_file = F.startswith(start, F.lit("<")) & (F.contains(start, F.lit("mzml")) | F.contains(start, F.lit("mzxml")))
 
     def found(modality: Column | str, kind: Column | str, confidence: str, reason: str) -> Column:
         as_column = lambda x: F.lit(x) if isinstance(x, str) else x
         return F.struct(as_column(modality).alias("modality"), as_column(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
 
-    spectral = F.col(by_header).isNotNull() & ~F.col(by_header).isin("Elemental", "generic")
     decision = (
         F.when(matrix & (wide >= 2), found("Multimodal", "descriptor_matrix", "high", "descriptors of several blocks"))
         .when(matrix, found(F.get(blocks, F.lit(0))["block"], "descriptor_matrix", "high", "descriptors of a block"))

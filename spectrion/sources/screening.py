@@ -34,7 +34,8 @@ from .formats import POINTS_AT_ONCE, members, points_of
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 UNPACKED = "path string, source string, modified timestamp, content binary, error string"
 POINTS = "path string, sample_id string, modality string, form string, x_name string, series string, place int, x double, y double, error string"
-CELLS = ["path", "sample_id", "modality", "kind", "form", "row", "column", "name", "cell"]
+CELLS = ["path", "sample_id", "modality", "kind", "form", "row", "at", "cells"]
+ELEMENT_ROLES = ["sample_id", "c", "h", "n", "s", "o", "ash", "moisture", "basis", "sample_type"]
 
 #: Largest file that is opened, in bytes.
 LARGEST = 50_000_000
@@ -46,10 +47,11 @@ SEC_VOLUMES = (5.85, 10.25)
 
 @dataclass
 class Screened:
-    """Long descriptors (path, sample_id, label, descriptor, value) and one summary row per file."""
+    """Long descriptors (path, sample_id, label, descriptor, value) and one summary row per file; ``files`` is the summary without what descriptors tell."""
 
     descriptors: DataFrame
     summary: DataFrame
+    files: DataFrame | None = None
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,13 +107,45 @@ def told(files: DataFrame) -> DataFrame:
     return found.withColumn("form", thermal).withColumn("kind", kind).withColumn("sample_id", detect.file_sample(F.col("path")))
 
 
+def _places(header: Column) -> Column:
+    """Where in a table's lines, counted from zero, its parts are; told from the header once for the whole file.
+
+    ``sample`` and ``label``: the first such columns; ``others``: columns that
+    may be descriptors, with their names; ``elements``: the last column of each
+    part of an elemental analysis; ``compound`` and ``area`` of a pyrolysis table.
+    """
+    heads = F.transform(header, lambda h, i: F.struct(i.alias("place"), h.alias("name"), detect.column_name(h).alias("plain"), F.lower(F.trim(h)).alias("whole")))
+
+    def made(heads: Column) -> Column:
+        first = lambda hit: F.get(F.filter(heads, hit), F.lit(0))["place"]
+        named = lambda words: lambda h: h["plain"].isin(words)
+        has = lambda words: lambda h: h["whole"].rlike("|".join(words))
+        dotted = lambda words: has([w.replace(".", r"\.") for w in words])
+        sample = first(named(detect.SAMPLE_NAMES))
+        others = F.transform(F.filter(heads, lambda h: ~h["place"].eqNullSafe(sample) & ~h["plain"].isin(detect.NO_DESCRIPTORS)), lambda h: F.struct(h["place"], h["name"]))
+        roles = F.transform(heads, lambda h: F.struct(h["place"], _element_role(h).alias("role")))
+        last = lambda r: F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform(F.filter(roles, lambda h: h["role"] == r), lambda h: h["place"])), -1)
+        area = F.coalesce(first(dotted(tables.AREA_PARTS)), first(dotted(tables.INTENSITY_PARTS)))
+        return F.struct(sample.alias("sample"), first(named(detect.CLASS_NAMES)).alias("label"), others.alias("others"), F.struct(*[last(r).alias(r) for r in ELEMENT_ROLES]).alias("elements"), first(dotted(tables.COMPOUND_PARTS)).alias("compound"), area.alias("area"))
+
+    return F.transform(F.array(heads), made)[0]
+
+
+def _element_role(head: Column) -> Column:
+    """What a column of an elemental analysis holds, or null."""
+    role = F.when(head["plain"].isin(detect.SAMPLE_NAMES) | head["whole"].isin(tables.ELEMENT_NAMES["sample_id"]), "sample_id")
+    for e, words in detect.ELEMENT_NAMES.items():
+        role = role.when(head["plain"].isin(words), e.lower())
+    for r, words in tables.ELEMENT_PARTS.items():
+        role = role.when(head["whole"].rlike("|".join(words)), r)
+    return role.when(head["whole"].isin(tables.ELEMENT_NAMES["basis"]), "basis")
+
+
 def cells(found: DataFrame) -> DataFrame:
-    """CELLS of tables of samples, a row each; columns are numbered from one."""
-    lines = found.where("kind IN ('table', 'descriptor_matrix')").select("path", "sample_id", "modality", "kind", "form", "header", F.posexplode(detect.lines_of(F.col("text"))).alias("row", "line")).where("row > 0")
-    own = lines.withColumn("cells", detect.cells_of(F.col("line"), quoted=True)).drop("line")
-    named = F.transform("header", lambda h, i: F.struct(h.alias("name"), F.get("cells", i).alias("cell")))
-    out = own.select("path", "sample_id", "modality", "kind", "form", "row", F.posexplode(named).alias("column", "c"))
-    return out.select("path", "sample_id", "modality", "kind", "form", "row", (F.col("column") + 1).alias("column"), F.col("c.name").alias("name"), F.col("c.cell").alias("cell")).where("name IS NOT NULL")
+    """CELLS of tables of samples, a row for each line, with the places of the table's parts."""
+    files = found.where("kind IN ('table', 'descriptor_matrix')").select("path", "sample_id", "modality", "kind", "form", _places(F.col("header")).alias("at"), detect.lines_of(F.col("text")).alias("lines"))
+    lines = files.select("path", "sample_id", "modality", "kind", "form", "at", F.posexplode("lines").alias("row", "line")).where("row > 0")
+    return lines.withColumn("cells", detect.cells_of(F.col("line"), quoted=True)).select(*CELLS)
 
 
 def _long(wide: DataFrame, prefix: str, keys: list[str] | None = None) -> DataFrame:
@@ -174,51 +208,41 @@ def _numbered(cell: Column) -> Column:
     return fusion.clean_number(plain.try_cast("double"))
 
 
+def _cell(place: str) -> Column:
+    return F.get("cells", F.col(place))
+
+
 def _rows_as_samples(rows: DataFrame) -> DataFrame:
     """(path, sample_id, label, descriptor, value) of tables whose rows are samples."""
-    name = detect.column_name(F.col("name"))
-    is_id, is_class = name.isin(detect.SAMPLE_NAMES), name.isin(detect.CLASS_NAMES)
-    keys = rows.groupBy("path", "row").agg(F.min_by(F.when(is_id, F.trim("cell")), F.when(is_id, F.col("column"))).alias("sample"), F.min_by(F.when(is_class, F.trim("cell")), F.when(is_class, F.col("column"))).alias("label"), F.min(F.when(is_id, F.col("column"))).alias("id_column"))
-    joined = rows.join(keys, ["path", "row"]).where((F.col("sample") != "") & (F.col("column") != F.col("id_column")) & ~name.isin(detect.NO_DESCRIPTORS))
-    out = joined.select("path", F.col("sample").alias("sample_id"), F.nullif("label", F.lit("")).alias("label"), F.col("name").alias("descriptor"), _numbered(F.col("cell")).alias("value"))
-    return out.where("value IS NOT NULL")
+    named = rows.select("path", F.trim(_cell("at.sample")).alias("sample_id"), F.nullif(F.trim(_cell("at.label")), F.lit("")).alias("label"), "at.others", "cells").where("sample_id <> ''")
+    each = named.select("path", "sample_id", "label", "cells", F.explode("others").alias("o"))
+    return each.select("path", "sample_id", "label", F.col("o.name").alias("descriptor"), _numbered(_cell("o.place")).alias("value")).where("value IS NOT NULL")
 
 
 def _elements(rows: DataFrame) -> DataFrame:
     """(path, sample_id, label, descriptor, value) of elemental analyses under any header."""
-    name = detect.column_name(F.col("name"))
-    whole = F.lower(F.trim("name"))
-    part = lambda words: whole.rlike("|".join(words))
-    role = F.when(name.isin(detect.SAMPLE_NAMES) | whole.isin(tables.ELEMENT_NAMES["sample_id"]), "sample_id")
-    for e, words in detect.ELEMENT_NAMES.items():
-        role = role.when(name.isin(words), e.lower())
-    for r, words in tables.ELEMENT_PARTS.items():
-        role = role.when(part(words), r)
-    role = role.when(whole.isin(tables.ELEMENT_NAMES["basis"]), "basis")
-    roles = ["sample_id", "c", "h", "n", "s", "o", "ash", "moisture", "basis", "sample_type"]
-    text = F.when(role.isin("sample_id", "basis", "sample_type"), F.col("cell")).otherwise(_numbered(F.col("cell")).cast("string"))
-    keyed = rows.select("path", F.col("sample_id").alias("file_sample"), "row", "column", role.alias("role"), text.alias("cell")).where("role IS NOT NULL")
-    wide = keyed.groupBy("path", "file_sample", "row").pivot("role", roles).agg(F.max_by("cell", "column"))
+    known = rows.where(F.coalesce(*[F.col(f"at.elements.{r}") for r in ELEMENT_ROLES]).isNotNull())
+    texts = ("sample_id", "basis", "sample_type")
+    cell = {r: _cell(f"at.elements.{r}") if r in texts else _numbered(_cell(f"at.elements.{r}")).cast("string") for r in ELEMENT_ROLES}
+    wide = known.select("path", F.col("sample_id").alias("file_sample"), "row", *[c.alias(r) for r, c in cell.items()])
     wide = wide.withColumn("sample_id", F.coalesce(F.nullif(F.trim("sample_id"), F.lit("")), F.col("file_sample"))).withColumnRenamed("sample_type", "type")
     # one column carries the path through the resolver, which names its own
-    tied = wide.withColumn("sample_id", F.to_json(F.struct("path", "sample_id"))).select(*[c for c in wide.columns if c not in ("path", "file_sample", "row")])
+    tied = wide.withColumn("sample_id", F.concat(F.length("path").cast("string"), F.lit(":"), "path", "sample_id")).select(*[c for c in wide.columns if c not in ("path", "file_sample", "row")])
     made = spectra.elemental_descriptors(tables.elemental(tied))
     # Names of the descriptors.
     out = {
         "C_pct": "c", "H_pct": "h", "N_pct": "n", "S_pct": "s", "O_pct": "o", "H_C": "h_c", "O_C": "o_c", "N_C": "n_c", "S_C": "s_c", "NOSC": "nosc", "AI_bulk": "ai", "Q_combustion": "hhv_mendeleev",
     }
-    key = F.from_json("sample_id", "path string, sample_id string")
-    named = made.withColumn("_k", key).select("_k.path", "_k.sample_id", *[F.col(c).cast("double").alias(n) for n, c in out.items()])
+    key = F.col("sample_id")
+    start = F.locate(":", key) + 1
+    end = start + F.substring_index(key, ":", 1).cast("int")
+    named = made.select(F.substr(key, start, end - start).alias("path"), F.substr(key, end).alias("sample_id"), *[F.col(c).cast("double").alias(n) for n, c in out.items()])
     return _long(named, "Elem_").withColumn("label", F.lit(None).cast("string"))
 
 
 def _pyrolysis(rows: DataFrame) -> DataFrame:
     """Shares of the classes of pyrolysis products, in percent of all areas."""
-    low = F.lower(F.trim("name"))
-    has = lambda words: low.rlike("|".join(w.replace(".", r"\.") for w in words))
-    size = F.when(has(tables.AREA_PARTS), 0).when(has(tables.INTENSITY_PARTS), 1)
-    pick = lambda hit, order: F.min_by(F.when(hit, F.col("cell")), F.when(hit, order))
-    peaks = rows.groupBy("path", "sample_id", "row").agg(pick(has(tables.COMPOUND_PARTS), F.col("column")).alias("named"), pick(size.isNotNull(), F.struct(size, F.col("column"))).alias("area"))
+    peaks = rows.select("path", "sample_id", _cell("at.compound").alias("named"), _cell("at.area").alias("area"))
     named = F.when(~F.lower("named").isin("", "none", "nan"), F.col("named"))
     classed = peaks.select("path", "sample_id", tables.pyrolysis_class(named).alias("class"), F.greatest(F.coalesce(_numbered(F.col("area")), F.lit(1.0)), F.lit(0.0)).alias("area"))
     sums = classed.groupBy("path", "sample_id", "class").agg(F.sum("area").alias("area"))
@@ -230,7 +254,8 @@ def screened(files: DataFrame, work: str, *, largest: int = LARGEST, bounds: dic
     """Descriptors and summary of files (path, modificationTime, length, content); ``work`` is a folder that driver and executors share.
 
     Points, cells and states of all files are written there once, apart by
-    instrument, and are the caller's to delete.
+    instrument, and are the caller's to delete. Descriptors are worked out from
+    these when they are asked for, and only the ones that are.
     """
     spark = files.sparkSession
     found = told(unpacked(files, largest))
@@ -257,19 +282,24 @@ def screened(files: DataFrame, work: str, *, largest: int = LARGEST, bounds: dic
         long.append(_rows_as_samples(rows.where("kind = 'descriptor_matrix'")))
     none = spark.createDataFrame([], "path string, sample_id string, label string, descriptor string, value double")
     labelled = [p if "label" in p.columns else p.withColumn("label", F.lit(None).cast("string")) for p in long]
-    descriptors = kept(reduce(DataFrame.unionByName, [p.select(columns) for p in labelled], none), "descriptors")
+    descriptors = reduce(DataFrame.unionByName, [p.select(columns) for p in labelled], none)
     n_points = points.groupBy("path").agg(F.count("x").alias("n_points"), F.max("error").alias("fault"))
-    n_rows = rows.groupBy("path").agg(F.countDistinct("row").alias("n_rows"))
+    n_rows = rows.groupBy("path").agg(F.max("row").alias("n_rows"))
+    states = found.drop("content", "text", "header").join(n_points, "path", "left").join(n_rows, "path", "left")
+    return Screened(descriptors, summarized(states, descriptors), states)
+
+
+def summarized(files: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """One summary row per file of ``Screened.files``."""
     n_found = descriptors.groupBy("path").agg(F.countDistinct("descriptor").alias("n_descriptors"), F.countDistinct("sample_id").alias("n_samples"))
-    joined = found.drop("content", "text", "header").join(n_points, "path", "left").join(n_rows, "path", "left").join(n_found, "path", "left")
+    joined = files.join(n_found, "path", "left")
     error = F.coalesce("error", "fault")
     status = F.when(F.col("error").isNotNull(), "error").when(F.col("n_descriptors") > 0, "success").when(F.col("fault").isNotNull() & (F.col("fault") != "no points"), "error").otherwise("warning")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    summary = joined.select(
+    return joined.select(
         "path", "source", "modified", "sample_id", "modality", "kind", "confidence", "reason", status.alias("status"),
-        zero(F.coalesce("n_points", "n_rows")).alias("n_points"), zero(F.col("n_descriptors")).alias("n_descriptors"), zero(F.col("n_samples")).alias("n_samples"), error.alias("note"),
+        zero(F.coalesce("n_points", F.col("n_rows").cast("long"))).alias("n_points"), zero(F.col("n_descriptors")).alias("n_descriptors"), zero(F.col("n_samples")).alias("n_samples"), error.alias("note"),
     )
-    return Screened(descriptors, summary)
 
 
 def fused(descriptors: DataFrame, order: str = "path", most: int = 10_000) -> DataFrame:
@@ -300,7 +330,8 @@ def write_batch(files: DataFrame, batch: int, target: str, **options) -> None:
     work = f"{target}/work/{batch}"
     made = screened(files, work, **options)
     made.descriptors.write.mode("overwrite").parquet(f"{target}/descriptors/batch={batch}")
-    made.summary.write.mode("overwrite").parquet(f"{target}/files/batch={batch}")
+    written = spark.read.schema(made.descriptors.schema).parquet(f"{target}/descriptors/batch={batch}")
+    summarized(made.files, written).write.mode("overwrite").parquet(f"{target}/files/batch={batch}")
     folder = spark._jvm.org.apache.hadoop.fs.Path(work)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

@@ -1,11 +1,13 @@
 """Rows that operators shuffle against the rows they are given, beside their results by brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from spectrion.operators import polynomials, ranges, stats
+from spectrion.sources import detect, screening
 
 
 def shuffled_rows(spark, make):
@@ -103,3 +105,31 @@ def test_companions_of_equal_masses(spark):
     assert {(r["sample"], r["id"], r["companion"], r["ratio"]) for r in got} == {(*k, e[2], ratio(e[4], e[5])) for k, e in expected.items()}
     assert len(got) == len(expected)
     assert joined <= 2 * len(peaks)
+
+
+def test_tables_in_files_are_not_shuffled(spark, tmp_path):
+    """A table's lines are read where they stand; its header is told once for the file."""
+    lines = [f"P{i},{40 + i % 9},{5 + i % 2},1,x{i}" for i in range(2000)]
+    text = 'Sample, C% ,H%,N%,Name\r\n\r\n' + "\n \t \n".join(lines) + '\n"Q, 1","60,5",5,,\nshort,50\n,51,5,0\n'
+    files = spark.createDataFrame([("in/a.csv", 0, len(text), bytearray(text.encode()))], "path string, t int, length bigint, content binary").select("path", F.col("t").cast("timestamp").alias("modificationTime"), "length", "content")
+    found = []
+
+    def described():
+        found.append(screening.screened(files, str(tmp_path)))
+        return found[0].descriptors.where("descriptor IN ('Elem_C_pct', 'Elem_O_pct')").collect()
+
+    rows, shuffled = shuffled_rows(spark, described)
+    got = {(r.sample_id, r.descriptor): round(r.value, 6) for r in rows}
+    assert len(rows) == 2 * 2003
+    assert got["x7", "Elem_C_pct"] == 47 and got["x7", "Elem_O_pct"] == 100 - 47 - 6 - 1  # of two columns of samples the last counts
+    assert sorted(r.value for r in rows if r.sample_id == "a" and r.descriptor == "Elem_C_pct") == [50.0, 51.0, 60.5]  # lines without a name have the file's
+    assert shuffled < 100  # kinds of files only
+    assert found[0].summary.select("n_points", "n_samples", "status").collect()[0] == (2003, 2001, "success")
+
+
+def test_lines_without_blanks_around_them(spark):
+    texts = ["", " \t\r\n\x0b", "a", "  a  b \r\n\r\n\t\x0c c\rd \x0b\n", "x" + " " * 200_000 + "y\n z", "\n\n1\xa0\n\u2028\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {r.i: r.l for r in df.select("i", detect.lines_of(F.col("t")).alias("l")).collect()}
+    blanks = " \t\n\x0b\x0c\r"
+    assert got == {i: [p.strip(blanks) for p in re.split("\r\n|\r|\n", t) if p.strip(blanks)] for i, t in enumerate(texts)} | {len(texts): None}
